@@ -6,7 +6,9 @@ points' directory is not a tree of boxes: over tens of coordinates all boxes ove
 search visits nearly every leaf. Instead the groups themselves are the directory. Two rows of
 sizes up to u that reach the likeness t differ in at most D = u (1 - t) / t tokens, so of D + 2
 groups at least two hold the same tokens on both sides; rows meet under the content of one
-group with two or more tokens, or of two groups with fewer. Nothing is lost or capped.
+group with two or more tokens, or of two groups with fewer. Nothing is lost or capped. A
+larger collection takes D + 3 groups, of which three agree, and so on, so that no key grows
+with it unchecked.
 
 Defined results: rows with fewer than 8 distinct words (also null and empty texts) never
 count; identical rows are a class, and only its representative enters the join; ids are
@@ -16,6 +18,7 @@ unique, a row without an id is left out.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import numpy as np
@@ -27,7 +30,7 @@ from graphloom.common import keep, pick
 from graphloom.llm import words as W
 
 U = np.uint64
-ROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("small", pa.bool_()), ("code", pa.int64())])
+ROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("small", pa.int8()), ("code", pa.int64())])
 
 
 def size_bounds(t: float, top: int) -> np.ndarray:
@@ -38,12 +41,13 @@ def size_bounds(t: float, top: int) -> np.ndarray:
     return np.array([*b, math.floor(b[-1] / t + 1e-9) + 1])
 
 
-@functools.lru_cache(64)
-def _couples(w: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(w, 1)
+@functools.lru_cache(256)
+def _combinations(w: int, k: int) -> np.ndarray:
+    """All k of w places, a column each."""
+    return np.array(list(itertools.combinations(range(w), k))).T
 
 
-def group_keys(h: np.ndarray, owner: np.ndarray, groups: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def group_keys(h: np.ndarray, owner: np.ndarray, groups: np.ndarray, tag: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, row of each) for rows with ``groups`` token groups under the size class ``tag``."""
     first = np.concatenate([[0], np.cumsum(groups)])
     cell = first[owner] + (W.mix(h) % groups[owner].astype(U)).astype(np.int64)
@@ -53,21 +57,22 @@ def group_keys(h: np.ndarray, owner: np.ndarray, groups: np.ndarray, tag: np.nda
     row = np.repeat(np.arange(len(groups)), groups)
     place = np.arange(first[-1]) - first[row]
     key = W.mix(content + W.mix(place.astype(U) * U(1 << 20) + tag[row].astype(U)))
-    strong = count >= 2
+    strong = count > depth
     keys, rows = [key[strong]], [row[strong]]
     weak, weak_row = key[~strong], row[~strong]
     per = np.bincount(weak_row, minlength=len(groups))
-    start = np.concatenate([[0], np.cumsum(per)])[:-1]
-    for w in np.unique(per[per >= 2]):
+    start = np.cumsum(per) - per
+    for w in np.unique(per[per > depth]):
         who = np.flatnonzero(per == w)
-        i, j = _couples(int(w))
-        at = start[who][:, None]
-        keys.append(W.mix(weak[at + i] * U(3) + weak[at + j]).ravel())
-        rows.append(np.repeat(who, len(i)))
+        mixed = U(0)
+        for c in _combinations(int(w), depth + 1):
+            mixed = W.mix(mixed * U(3) + weak[start[who][:, None] + c])
+        keys.append(mixed.ravel())
+        rows.append(np.repeat(who, mixed.shape[1]))
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def signatures(docs: DataFrame, t: float) -> DataFrame:
+def signatures(docs: DataFrame, t: float, depth: int) -> DataFrame:
     """(key, id, n, small, code): the groups under which a row meets its partners.
 
     Each row stands in its own size class (small) and as the larger side in the class below.
@@ -75,50 +80,58 @@ def signatures(docs: DataFrame, t: float) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            h, owner, n = W.flat(b.column(1))
+            ids, h, owner, n, _ = W.large_enough(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist())
             if not len(ids):
                 continue
-            h = h.view(U)
             code = W.count_codes(h, owner, len(ids))
             bounds = size_bounds(t, int(n.max()))
             own = np.searchsorted(bounds, n, "right") - 1
             for down in (0, 1):
                 cls = own - down
                 fits = cls >= 0
-                if not fits.all():
-                    new = np.cumsum(fits) - 1
-                    sel = fits[owner]
-                    hh, oo = h[sel], new[owner[sel]]
-                else:
-                    hh, oo = h, owner
+                if not fits.any():
+                    continue
+                new = np.cumsum(fits) - 1
+                sel = fits[owner]
                 most = bounds[cls[fits] + 1] - 1
-                groups = np.floor(most * (1 - t) / t + 1e-9).astype(np.int64) + 2
-                keys, rows = group_keys(hh, oo, groups, cls[fits])
+                groups = np.floor(most * (1 - t) / t + 1e-9).astype(np.int64) + 1 + depth
+                keys, rows = group_keys(h[sel], new[owner[sel]], groups, cls[fits], depth)
                 at = np.flatnonzero(fits)[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[at]), pa.array(n[at].astype(np.int32)), pa.array(np.full(len(at), down == 0)), pa.array(code[at])], schema=ROW)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[at]), pa.array(n[at].astype(np.int32)), pa.array(np.full(len(at), 1 - down, dtype=np.int8)), pa.array(code[at])], schema=ROW)
 
-    return docs.select("doc_id", "words").mapInArrow(run, "key bigint, id bigint, n int, small boolean, code bigint")
+    return docs.select("doc_id", "txt").mapInArrow(run, "key bigint, id bigint, n int, small tinyint, code bigint")
 
 
-def word_rows(df: DataFrame, id_col: str, *text_cols: str) -> DataFrame:
-    return (
-        pick(df, id_col, *text_cols)
-        .select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), W.words(*(F.col(f"`{c}`") for c in text_cols)).alias("words"))
-        .where(F.col("doc_id").isNotNull() & (F.size("words") >= W.LEAST_WORDS))
-    )
+def _met(t: float):
+    """Pairs of rows under one key whose bounded overlap may reach t."""
+
+    def run(batches):
+        for x in W.whole_blocks(batches, ("key", "id", "n", "small", "code")):
+            x = W.prepared(x)
+            _, end = W.runs(x["key"])
+            rows = np.arange(len(end))
+            for i, j in W.ranges(rows, rows + 1, end):
+                ok = ((x["small"][i] | x["small"][j]) == 1) & (x["id"][i] != x["id"][j])
+                i, j = i[ok], j[ok]
+                ok = W.may_reach(x, i, j, t)
+                a, b = x["id"][i[ok]], x["id"][j[ok]]
+                if len(a):
+                    yield W.pair_batch(np.minimum(a, b), np.maximum(a, b))
+
+    return run
+
+
+def depth_for(n: int) -> int:
+    """How many weak groups less one meet under a key: one more for each hundredfold beyond 2 million rows."""
+    return 1 + max(0, math.ceil(math.log(max(n, 1) / 2e6, 100)))
 
 
-def links(docs: DataFrame, t: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, t: float = 0.8, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs of class representatives with likeness t or more, and the members of classes with several rows."""
     members, copies, n = W.classes(docs)
     reps = W.filtered(docs, copies, n, "doc_id", "left_anti")
-    sig = signatures(reps, t)
-    met = (
-        sig.alias("a").hint("shuffle_hash").join(sig.alias("b"), F.expr("a.key = b.key and a.id < b.id and (a.small or b.small) and " + W.jaccard_bound(t)))
-        .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-        .distinct()
-    )
+    depth = depth_for(docs.count()) if depth is None else depth
+    met = signatures(reps, t, depth).repartition("key").sortWithinPartitions("key").mapInArrow(_met(t), W.PAIRS).distinct()
     return W.verified(met, docs, t), members
 
 
@@ -133,7 +146,7 @@ def expanded(found: DataFrame, members: DataFrame) -> DataFrame:
 
 def found(requirements: DataFrame, t: float = 0.8) -> DataFrame:
     """p2_found: (req_id_a, req_id_b) with a likeness of at least t by text and boilerplate_main together."""
-    pairs, members = links(word_rows(requirements, "req_id", "text", "boilerplate_main"), t)
+    pairs, members = links(W.texts(pick(requirements, "req_id", "text", "boilerplate_main"), "req_id", ["text", "boilerplate_main"]), t)
     return expanded(pairs, members).toDF("req_id_a", "req_id_b")
 
 
@@ -143,7 +156,7 @@ def groups(requirements: DataFrame, t: float = 0.8, most_rounds: int = 50) -> Da
     Labels fall to the smallest neighbour and are shortened by a jump each round; only a
     count comes back to the driver.
     """
-    docs = word_rows(requirements, "req_id", "text", "boilerplate_main")
+    docs = W.texts(pick(requirements, "req_id", "text", "boilerplate_main"), "req_id", ["text", "boilerplate_main"])
     pairs, members = links(docs, t)
     pairs = keep(pairs, "links")
     edges = keep(pairs.union(pairs.select("id_b", "id_a")).toDF("u", "v"), "edges")

@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import pick
+from graphloom.common import keep, pick
 from graphloom.llm import words as W
 
 #: Terms that get their own count in the order; there are never more that hold 1/50,000 of all occurrences.
 COUNTED = 50_000
-ROW = pa.schema([("term", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("code", pa.int64()), ("w", pa.float32()), ("r", pa.float32()), ("mx", pa.float32()), ("role", pa.int8())])
+#: Rows of a term in one inverted list; a more frequent term is spread over several.
+MOST = 200_000
+ROW = pa.schema([("key", pa.int64()), ("side", pa.int8()), ("id", pa.int64()), ("n", pa.int32()), ("code", pa.int64()), ("w", pa.float32()), ("r", pa.float32()), ("mx", pa.float32())])
 
 
 def split_of(c: Column) -> Column:
@@ -38,22 +40,34 @@ def split_of(c: Column) -> Column:
 
 def common_terms(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes (sorted) and counts of the terms that hold at least 1/COUNTED of all occurrences, and the number of rows."""
-    n, total = docs.agg(F.count("*"), F.sum(F.size("words"))).first()
-    least = math.ceil((total or 0) / COUNTED)
-    rows = docs.select(F.explode("words").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") >= max(least, 2)).orderBy(F.desc("c"), "t").limit(COUNTED).toPandas()
-    rows = rows.sort_values("t")
-    return rows.t.to_numpy(np.int64), rows.c.to_numpy(np.int64), n or 0
 
+    def run(batches):
+        for b in batches:
+            _, h, _, n, _ = W.large_enough(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist())
+            t, c = np.unique(h.view(np.int64), return_counts=True)  # combined before the shuffle
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(c), pa.array(np.where(np.arange(len(t)) == 0, len(n), 0))], names=["t", "c", "rows"])
+
+    part = docs.select("doc_id", "txt").mapInArrow(run, "t bigint, c bigint, rows bigint")
+    sums = keep(part.groupBy("t").agg(F.sum("c").alias("c"), F.sum("rows").alias("rows")), "terms")
+    total, rows = sums.agg(F.sum("c"), F.sum("rows")).first()
+    least = max(2, math.ceil((total or 0) / COUNTED))
+    top = sums.where(F.col("c") >= least).orderBy(F.desc("c"), "t").limit(COUNTED).toPandas().sort_values("t")
+    return top.t.to_numpy(np.int64), top.c.to_numpy(np.int64), rows or 0
 
-def entries(docs: DataFrame, theta: float, terms: np.ndarray, counts: np.ndarray, rows: int, weighting: str = "unit") -> DataFrame:
-    """Inverted-list entries (term, id, n, code, w, r, mx, role) of rows (doc_id, role, words)."""
+
+def entries(docs: DataFrame, theta: float, terms: np.ndarray, counts: np.ndarray, rows: int, weighting: str = "unit", most: int = MOST) -> DataFrame:
+    """Inverted-list entries (key, side, id, n, code, w, r, mx) of rows (doc_id, txt, role).
+
+    side 0 is training, 2 evaluation, 1 both. A term found in more than ``most`` rows has
+    several lists: its evaluation entries are spread over them, its training entries stand in each.
+    """
 
     def run(batches):
         for b in batches:
-            ids, role = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            h, owner, n = W.flat(b.column(2))
+            ids, h, owner, n, (role,) = W.large_enough(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False))
             if not len(ids):
                 continue
+            h = h.view(np.int64)
             count = np.ones(len(h), dtype=np.int64)
             if len(terms):
                 at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
@@ -62,58 +76,81 @@ def entries(docs: DataFrame, theta: float, terms: np.ndarray, counts: np.ndarray
             norm = np.sqrt(np.bincount(owner, w * w, minlength=len(ids)))
             w = w / norm[owner]
             order = np.lexsort((h, count, owner))
-            hs, ws, os = h[order], w[order], owner[order]
+            hs, ws, os, cs = h[order], w[order], owner[order], count[order]
             sq = np.cumsum(ws * ws)
             ends = np.cumsum(n) - 1
             rest = np.maximum(sq[ends][os] - sq, 0)  # squared norm after this term
             sel = rest + ws * ws >= theta * theta - 1e-9  # before it the residual could still reach theta
             mx = np.zeros(len(ids))
             np.maximum.at(mx, owner, w)
-            o = os[sel]
             code = W.count_codes(h.view(np.uint64), owner, len(ids))
+            o, lists = os[sel], cs[sel] // most + 1
+            side = np.array([-1, 0, 2, 1])[role[o]]
+            # An entry on the evaluation side goes to one list, one on the training side to all of the term.
+            times = np.where(side == 2, 1, lists)
+            e = np.repeat(np.arange(len(o)), times)
+            k = np.arange(len(e)) - np.repeat(np.cumsum(times) - times, times)
+            own = (W.mix(ids[o]) % lists.astype(np.uint64)).astype(np.int64)
+            k = np.where(side[e] == 2, own[e], k)
+            side_e = np.where((side[e] == 1) & (k != own[e]), 0, side[e])
+            key = W.mix(hs[sel][e].view(np.uint64) + W.mix(k)).view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array(hs[sel]), pa.array(ids[o]), pa.array(n[o].astype(np.int32)), pa.array(code[o]), pa.array(ws[sel].astype(np.float32)),
-                pa.array(np.sqrt(rest[sel]).astype(np.float32)), pa.array(mx[o].astype(np.float32)), pa.array(role[o].astype(np.int8)),
+                pa.array(key), pa.array(side_e.astype(np.int8)), pa.array(ids[o[e]]), pa.array(n[o[e]].astype(np.int32)), pa.array(code[o[e]]),
+                pa.array(ws[sel][e].astype(np.float32)), pa.array(np.sqrt(rest[sel])[e].astype(np.float32)), pa.array(mx[o[e]].astype(np.float32)),
             ], schema=ROW)
 
-    return docs.select("doc_id", "role", "words").mapInArrow(run, "term bigint, id bigint, n int, code bigint, w float, r float, mx float, role tinyint")
+    return docs.select("doc_id", "txt", "role").mapInArrow(run, "key bigint, side tinyint, id bigint, n int, code bigint, w float, r float, mx float")
 
 
-def candidates(docs: DataFrame, theta: float, weighting: str = "unit", extra: str = "true") -> DataFrame:
-    """Pairs (id_a, id_b), a with the training bit (1) and b with an evaluation bit (2), that may reach theta."""
-    terms, counts, rows = common_terms(docs)
-    inv = entries(docs, theta, terms, counts, rows, weighting)
+def _met(theta: float, t: float | None):
+    """Pairs of a list's training and evaluation entries that may reach theta (and the likeness t)."""
     slack = theta - 1e-5  # the weights are single precision
-    return (
-        inv.alias("a").hint("shuffle_hash").join(
-            inv.alias("b"),
-            F.expr(f"a.term = b.term and a.id <> b.id and (a.role & 1) + (b.role & 2) = 3 and a.w * b.w + a.r * b.r >= {slack} and least(a.n, b.n, {W.OVERLAP}) * a.mx * b.mx >= {slack} and {extra}"),
-        )
-        .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-        .distinct()
-    )
+
+    def run(batches):
+        for x in W.whole_blocks(batches, ("key", "side", "id", "n", "code", "w", "r", "mx")):
+            x = W.prepared(x)
+            start, _ = W.runs(x["key"])
+            rows = np.arange(len(start))
+            # Entries are sorted by side: those for training (0, 1) come first in a list.
+            n_train = np.bincount(start, x["side"] < 2, minlength=len(start)).astype(np.int64)[start]
+            for i, j in W.ranges(rows[x["side"] > 0], start[x["side"] > 0], (start + n_train)[x["side"] > 0]):
+                ok = x["w"][i] * x["w"][j] + x["r"][i] * x["r"][j] >= slack  # residual norms
+                i, j = i[ok], j[ok]
+                o = np.minimum(W.most_overlap(x, i, j), np.minimum(x["n"][i], x["n"][j]))
+                ok = (o * x["mx"][i] * x["mx"][j] >= slack) & (x["id"][i] != x["id"][j])  # largest weights
+                if t is not None:
+                    ok &= W.may_reach(x, i, j, t)
+                if ok.any():
+                    yield W.pair_batch(x["id"][j[ok]], x["id"][i[ok]])
+
+    return run
+
+
+def candidates(docs: DataFrame, theta: float, weighting: str = "unit", t: float | None = None, most: int = MOST) -> DataFrame:
+    """Pairs (id_a, id_b), a with the training bit (1) and b with an evaluation bit (2) of ``role``, that may reach theta."""
+    terms, counts, rows = common_terms(docs)
+    inv = entries(docs, theta, terms, counts, rows, weighting, most)
+    return inv.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_met(theta, t), W.PAIRS).distinct()
 
 
 def overlaps(requirements: DataFrame, t: float = 0.85) -> DataFrame:
     """(train_id, eval_id, eval_split, eval_source) of every overlap with a likeness of at least t."""
-    docs = (
-        pick(requirements, "req_id", "text", "split", "source")
-        .select(F.col("req_id").cast("bigint").alias("doc_id"), split_of(F.col("split")).alias("split"), "source", W.words(F.col("text")).alias("words"))
-        .where(F.col("doc_id").isNotNull() & F.col("split").isNotNull() & (F.size("words") >= W.LEAST_WORDS))
-    )
-    members, copies, n = W.classes(docs)
+    docs = W.texts(pick(requirements, "req_id", "text", "split", "source"), "req_id", ["text"], split_of(F.col("split")).alias("split"), F.col("source")).where("split is not null")
+    members, copies, n = W.classes(docs, "split", "source")
     own = F.when(F.col("split") == "train", 1).otherwise(2)
-    # A representative carries the splits of all its class. Classes are few beside the rows, their ids are counted.
+    # A representative carries the splits of all its class; classes of several rows are no more than the copies, which are counted.
     bits = members.groupBy("rep_id").agg(F.bit_or(own).cast("tinyint").alias("bits")).withColumnRenamed("rep_id", "doc_id")
     reps = W.filtered(docs, copies, n, "doc_id", "left_anti")
-    reps = reps.join(F.broadcast(bits) if n <= W.SMALL else bits, "doc_id", "left").select("doc_id", F.coalesce("bits", own.cast("tinyint")).alias("role"), "words")
-    pairs = W.verified(candidates(reps, 2 * t / (1 + t) - 1e-9, extra=W.jaccard_bound(t)), docs, t)
-    # Back to rows: every class member on either side; rows that are a class of their own stand for themselves.
-    ids = docs.select("doc_id", "split", "source").join(members.select("doc_id", "rep_id"), "doc_id", "left").withColumn("rep_id", F.coalesce("rep_id", "doc_id"))
-    train = ids.where("split = 'train'").select(F.col("rep_id").alias("id_a"), F.col("doc_id").alias("train_id"))
-    held = ids.where("split <> 'train'").select(F.col("rep_id").alias("id_b"), F.col("doc_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
-    across = pairs.join(train, "id_a").join(held, "id_b")
+    reps = reps.join(F.broadcast(bits) if n <= W.SMALL else bits, "doc_id", "left").select("doc_id", "txt", F.coalesce("bits", own.cast("tinyint")).alias("role"))
+    pairs = keep(W.verified(candidates(reps, 2 * t / (1 + t) - 1e-9, t=t), docs, t), "overlaps")
+    # Back to rows: a representative stands for its members; rows that are a class of their own for themselves.
+    ids = keep(pairs.select(F.explode(F.array("id_a", "id_b")).alias("rep_id")).distinct(), "ids")
+    alone = W.filtered(docs.select(F.col("doc_id").alias("rep_id"), "split", "source"), ids, ids.count(), "rep_id", "left_semi").select("rep_id", F.col("rep_id").alias("doc_id"), "split", "source")
     m = members.select("rep_id", "doc_id", "split", "source")
+    rows = m.unionByName(alone.join(m.select("rep_id").distinct(), "rep_id", "left_anti"))
+    train = rows.where("split = 'train'").select(F.col("rep_id").alias("id_a"), F.col("doc_id").alias("train_id"))
+    held = rows.where("split <> 'train'").select(F.col("rep_id").alias("id_b"), F.col("doc_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
+    across = pairs.join(train, "id_a").join(held, "id_b")
     within = m.where("split = 'train'").select("rep_id", F.col("doc_id").alias("train_id")).join(
         m.where("split <> 'train'").select("rep_id", F.col("doc_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source")), "rep_id")
     cols = ["train_id", "eval_id", "eval_split", "eval_source"]

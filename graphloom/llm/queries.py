@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from graphloom.common import table
-from graphloom.llm import mixing, neardup, overlap, packing
+from graphloom.llm import mixing, neardup, overlap, packing, pii
 
 
 def _mix(s, d):
@@ -18,6 +18,8 @@ QUERIES = {
     "p8_pack": lambda s, d: packing.packed(table(s, d, "documents"), table(s, d, "pack_specs")),
     "p8_report": lambda s, d: packing.report(packing.packed(table(s, d, "documents"), table(s, d, "pack_specs")), table(s, d, "pack_specs")),
     "p9_mixture": _mix,
+    "p10_found": lambda s, d: pii.found(table(s, d, "documents"), table(s, d, "given_names")),
+    "p10_redacted": lambda s, d: pii.redacted(table(s, d, "documents"), table(s, d, "given_names")),
     "p9_shares": lambda s, d: mixing.shares(_mix(s, d), table(s, d, "mix_targets")),
 }
 

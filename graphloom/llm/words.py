@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +17,47 @@ SMALL = 2_000_000
 LEAST_WORDS = 8
 
 
-def words(*cols: Column) -> Column:
-    """The distinct words (maximal runs of a-z and 0-9 in the lower-cased text) as sorted 64-bit hashes; null texts have none."""
-    found = F.regexp_extract_all(F.lower(F.concat_ws(" ", *cols)), F.lit("([a-z0-9]+)"))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))))
+_WORD = re.compile("[a-z0-9]+")
+
+
+class _Hashes(dict):
+    """64-bit hashes of the words this process has met."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 2_000_000:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w)
+        return h
+
+
+_hashes = _Hashes()
+
+
+def word_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, text of each, sizes): the distinct words (maximal runs of a-z and 0-9 in
+    the lower-cased text) of each text; a null text has none."""
+    get = _hashes.__getitem__
+    sets = [set(_WORD.findall(t.lower())) if t else () for t in texts]
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    h = np.fromiter((get(w) for s in sets for w in s), dtype=np.uint64, count=int(sizes.sum()))
+    return h, np.repeat(np.arange(len(sets)), sizes), sizes
+
+
+def large_enough(ids: np.ndarray, texts: list[str | None], *others: np.ndarray):
+    """Word sets of the rows that have at least LEAST_WORDS words: (ids, hashes, owners, sizes, others)."""
+    h, owner, n = word_sets(texts)
+    keep_ = n >= LEAST_WORDS
+    if not keep_.all():
+        new = np.cumsum(keep_) - 1
+        sel = keep_[owner]
+        h, owner, n, ids = h[sel], new[owner[sel]], n[keep_], ids[keep_]
+        others = tuple(o[keep_] for o in others)
+    return ids, h, owner, n, others
+
+
+def texts(df: DataFrame, id_col: str, text_cols: list[str], *others: Column) -> DataFrame:
+    """(doc_id, txt, the others); rows without an id are left out."""
+    return df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.concat_ws(" ", *(F.col(f"`{c}`") for c in text_cols)).alias("txt"), *others).where(F.col("doc_id").isNotNull())
 
 
 def filtered(df: DataFrame, ids: DataFrame, n: int, on: str, how: str) -> DataFrame:
@@ -24,14 +65,33 @@ def filtered(df: DataFrame, ids: DataFrame, n: int, on: str, how: str) -> DataFr
     return df.join(F.broadcast(ids) if n <= SMALL else ids, on, how)
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+def set_keys(docs: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, k1, k2, the others): a 128-bit key of each word set, rows of fewer words left out."""
+    kinds = [docs.schema[c] for c in others]
+    out = "doc_id bigint, k1 bigint, k2 bigint" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kinds)
+
+    def run(batches):
+        for b in batches:
+            ids, h, owner, n, rows = large_enough(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), np.arange(b.num_rows))
+            keys = []
+            for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0676A9A99):
+                k = np.zeros(len(ids), dtype=np.uint64)
+                np.add.at(k, owner, mix(h ^ np.uint64(salt)))
+                keys.append(pa.array(mix(k).view(np.int64)))
+            rest = [b.column(2 + i).take(pa.array(rows[0])) for i in range(len(others))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *keys, *rest], names=["doc_id", "k1", "k2", *others])
+
+    return docs.select("doc_id", "txt", *others).mapInArrow(run, out)
+
+
+def classes(docs: DataFrame, *others: str) -> tuple[DataFrame, DataFrame, int]:
     """Rows with one word set form a class with its smallest id for representative.
 
-    Returns (members, copies, number of copies): members (doc_id, rep_id, the other columns
-    but words) of all classes with several rows, copies the ids of the rows that represent no class. Only
+    Returns (members, copies, number of copies): members (doc_id, rep_id, the others) of all
+    classes with several rows, copies the ids of the rows that represent no class. Only
     representatives enter a join, so a text that fills a third of all rows counts once there.
     """
-    keyed = docs.withColumns({"k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit(7), "words")}).drop("words")
+    keyed = set_keys(docs, *others)
     several = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = keep(keyed.join(several, ["k1", "k2"]).drop("k1", "k2"), "members")
     copies = members.where("doc_id <> rep_id").select("doc_id")
@@ -46,10 +106,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def flat(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(values, owner of each, sizes) of an Arrow list column without nulls."""
-    sizes = np.diff(column.offsets.to_numpy())
-    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes), sizes
+#: Pairs that are compared at a time.
+BLOCK = 2_000_000
+
+
+def ranges(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """Pairs (i, j) of each of ``rows`` with all of lo <= j < hi, some at a time."""
+    n = np.maximum(hi - lo, 0)
+    live = n > 0
+    rows, lo, n = rows[live], lo[live], n[live]
+    upto = np.cumsum(n)
+    i = 0
+    while i < len(rows):
+        done = upto[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(upto, done + BLOCK, "right")))
+        c = n[i:j]
+        first = np.cumsum(c) - c
+        yield np.repeat(rows[i:j], c), np.arange(int(c.sum())) - np.repeat(first - lo[i:j], c)
+        i = j
+
+
+def whole_blocks(batches, names: tuple[str, ...]):
+    """Arrays of rows sorted by their first column, cut so that no run of equal keys is split."""
+    pending: list[list[np.ndarray]] = []
+    for b in batches:
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
+        if not len(cols[0]):
+            continue
+        last = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # where the run that may go on begins
+        if pending and pending[0][0][0] != cols[0][-1]:
+            pending.append([c[:last] for c in cols])
+            yield dict(zip(names, (np.concatenate(x) for x in zip(*pending))))
+            pending = [[c[last:] for c in cols]]
+        elif not pending:
+            if last:
+                yield dict(zip(names, (c[:last] for c in cols)))
+            pending = [[c[last:] for c in cols]]
+        else:
+            pending.append(cols)
+    if pending:
+        yield dict(zip(names, (np.concatenate(x) for x in zip(*pending))))
+
+
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the run of equal keys that each row is in."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.concatenate([edge, [len(key)]]))
+    return np.repeat(edge, size), np.repeat(edge + size, size)
 
 
 GROUPS, LEVELS = 32, 2
@@ -68,19 +171,50 @@ def count_codes(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return code.view(np.int64)
 
 
-#: Upper bound of the overlap of a and b: common bits, and what the counts beyond the levels could add.
-OVERLAP = "(bit_count(a.code & b.code) + least(a.n - bit_count(a.code), b.n - bit_count(b.code)))"
+def most_overlap(x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap: common bits, and what the counts beyond the levels could add."""
+    ca, cb = x["code"][i], x["code"][j]
+    common = np.bitwise_count(ca & cb).astype(np.int64)
+    return common + np.minimum(x["over"][i], x["over"][j])
+
+
+def prepared(x: dict) -> dict:
+    x["code"] = np.ascontiguousarray(x["code"]).view(np.uint64)
+    x["n"] = x["n"].astype(np.int64)
+    x["over"] = x["n"] - np.bitwise_count(x["code"]).astype(np.int64)
+    return x
+
+
+def may_reach(x: dict, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+    """Sizes and the bounded overlap allow a Jaccard likeness of t."""
+    na, nb = x["n"][i], x["n"][j]
+    return (np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9) & (most_overlap(x, i, j) * (1 + t) >= t * (na + nb) - 1e-9)
+
+
+PAIRS = "id_a bigint, id_b bigint"
+
+
+def pair_batch(a: np.ndarray, b: np.ndarray):
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id_a", "id_b"])
+
+
+def sorted_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, words): the word hashes of each row."""
 
+    def run(batches):
+        for b in batches:
+            h, _, n = word_sets(b.column(1).to_pylist())
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))], names=["doc_id", "words"])
 
-def jaccard_bound(t: float) -> str:
-    return f"least(a.n, b.n) >= {t} * greatest(a.n, b.n) - 1e-9 and {OVERLAP} * {1 + t} >= {t} * (a.n + b.n) - 1e-9"
+    return docs.select("doc_id", "txt").mapInArrow(run, "doc_id bigint, words array<bigint>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """The pairs (id_a, id_b) whose word sets have a Jaccard likeness of at least t."""
     pairs = keep(pairs, "pairs")
     ids = keep(pairs.select(F.explode(F.array("id_a", "id_b")).alias("doc_id")).distinct(), "ids")
-    some = filtered(docs.select("doc_id", "words"), ids, ids.count(), "doc_id", "left_semi")
+    some = sorted_words(filtered(docs.select("doc_id", "txt"), ids, ids.count(), "doc_id", "left_semi"))
     both = pairs.join(some.select(F.col("doc_id").alias("id_a"), F.col("words").alias("wa")), "id_a").join(some.select(F.col("doc_id").alias("id_b"), F.col("words").alias("wb")), "id_b")
     o = F.size(F.array_intersect("wa", "wb"))
     return both.where(o * (1 + t) >= F.lit(t) * (F.size("wa") + F.size("wb")) - 1e-9).select("id_a", "id_b")
