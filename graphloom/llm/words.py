@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +17,14 @@ SMALL = 2_000_000
 LEAST_WORDS = 8
 
 
-_WORD = re.compile("[a-z0-9]+")
+#: UTF-8 bytes that are part of a word; all others separate.
+_BYTES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 
 
 class _Hashes(dict):
     """64-bit hashes of the words this process has met."""
 
-    def __missing__(self, w: str) -> int:
+    def __missing__(self, w: bytes) -> int:
         if len(self) > 2_000_000:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w)
@@ -37,9 +38,9 @@ def word_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """(word hashes, text of each, sizes): the distinct words (maximal runs of a-z and 0-9 in
     the lower-cased text) of each text; a null text has none."""
     get = _hashes.__getitem__
-    sets = [set(_WORD.findall(t.lower())) if t else () for t in texts]
+    sets = [set(t.lower().encode("utf-8", "replace").translate(_BYTES).split()) if t else () for t in texts]
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    h = np.fromiter((get(w) for s in sets for w in s), dtype=np.uint64, count=int(sizes.sum()))
+    h = np.fromiter(map(get, itertools.chain.from_iterable(sets)), dtype=np.uint64, count=int(sizes.sum()))
     return h, np.repeat(np.arange(len(sets)), sizes), sizes
 
 
@@ -91,7 +92,7 @@ def classes(docs: DataFrame, *others: str) -> tuple[DataFrame, DataFrame, int]:
     classes with several rows, copies the ids of the rows that represent no class. Only
     representatives enter a join, so a text that fills a third of all rows counts once there.
     """
-    keyed = set_keys(docs, *others)
+    keyed = keep(set_keys(docs, *others), "keyed")
     several = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = keep(keyed.join(several, ["k1", "k2"]).drop("k1", "k2"), "members")
     copies = members.where("doc_id <> rep_id").select("doc_id")
