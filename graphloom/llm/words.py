@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,27 +18,61 @@ LEAST_WORDS = 8
 _BYTES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 
 
-class _Hashes(dict):
-    """64-bit hashes of the words this process has met."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w)
-        return h
-
-
-_hashes = _Hashes()
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Texts and bytes that are read together; a longer text is read alone.
+TEXTS, BYTES = 1 << 14, 1 << 22
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    if len(_powers[0]) < n:
+        for i, b in enumerate((_BASE, _INVERSE)):
+            _powers[i] = np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(n - 1, b, dtype=np.uint64))])
+    tables = [t[:n] for t in _powers]
+    if n > 4 * BYTES:  # do not keep the tables of one huge text
+        _powers[:] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+    return tables
+
+
+def _sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    buf = np.frombuffer(b" ".join(texts).translate(_BYTES) + b" ", dtype=np.uint8)
+    inside = np.concatenate([[False], buf != 32])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    up, down = _power_tables(len(buf))
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(buf.astype(np.uint64) * up)])
+    word = mix((total[end] - total[start]) * down[start] + mix((end - start).astype(np.uint64)))
+    first = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
+    owner = np.searchsorted(first, start, "right").astype(np.uint64) - np.uint64(1)
+    both = np.sort((owner << np.uint64(50)) | (word >> np.uint64(14)))
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    owner = (both >> np.uint64(50)).astype(np.int64)
+    return mix(both & np.uint64((1 << 50) - 1)), owner, np.bincount(owner, minlength=len(texts))
 
 
 def word_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, text of each, sizes): the distinct words (maximal runs of a-z and 0-9 in
-    the lower-cased text) of each text; a null text has none."""
-    get = _hashes.__getitem__
-    sets = [set(t.lower().encode("utf-8", "replace").translate(_BYTES).split()) if t else () for t in texts]
-    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    h = np.fromiter(map(get, itertools.chain.from_iterable(sets)), dtype=np.uint64, count=int(sizes.sum()))
-    return h, np.repeat(np.arange(len(sets)), sizes), sizes
+    the lower-cased text) of each text; a null text has none.
+
+    The bytes of many texts are hashed at once: a word's hash is a difference of prefix sums of
+    a polynomial in the byte places, brought back to its start and mixed. Words are told apart
+    by 50 bits, within a text or a pair of texts.
+    """
+    raw = [t.lower().encode("utf-8", "replace") if t else b"" for t in texts]
+    parts, at = [], 0
+    while at < len(raw):
+        to, size = at, 0
+        while to < len(raw) and to - at < TEXTS and (to == at or size + len(raw[to]) < BYTES):
+            size += len(raw[to]) + 1
+            to += 1
+        h, owner, n = _sets(raw[at:to])
+        parts.append((h, owner + at, n))
+        at = to
+    if not parts:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def large_enough(ids: np.ndarray, texts: list[str | None], *others: np.ndarray):
