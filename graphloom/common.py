@@ -26,6 +26,12 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"c{fields.index(n)}").alias(n) for n in names))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least a partition per core: a few small files would leave costly work to a few tasks."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
     sc = spark.sparkContext

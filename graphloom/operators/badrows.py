@@ -13,19 +13,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import pick
+from graphloom.common import pick, spread
 
 LINE = "req_no string, title string, text string, split string, created_on date, priority int, _corrupt string"
 COLUMNS = ("req_no", "title", "text", "split", "created_on", "priority")
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 _FIELD = rf'(?:{_QUOTED}|[^",]*+)'
-_WHOLE = rf"(?s)^{_FIELD}(?:,{_FIELD})*+$"
+_WHOLE = rf"(?s)^{_FIELD}(?:,{_FIELD})*+\z"  # not $, which also matches before a last line break
 _NEXT = rf'({_QUOTED}|[^",]*+),'
 DECIMAL = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
 
 
 def real_date(c: Column) -> Column:
-    return c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & ~c.startswith("0000") & F.try_to_date(c, "yyyy-MM-dd").isNotNull()
+    return c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & ~c.startswith("0000") & F.try_to_date(c, "yyyy-MM-dd").isNotNull()
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed a single time however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def unquoted(c: Column) -> Column:
@@ -34,20 +39,31 @@ def unquoted(c: Column) -> Column:
 
 def _bad_values(f: list[Column]) -> Column:
     return ~(
-        f[0].rlike("^[0-9]+$") & f[2].rlike(r"(?U)\S") & f[3].isin("train", "dev", "test", "") & real_date(f[4]) & f[5].rlike("^[1-5]$")
+        f[0].rlike(r"^[0-9]+\z") & f[2].rlike(r"(?U)\S") & f[3].isin("train", "dev", "test", "") & real_date(f[4]) & f[5].rlike(r"^[1-5]\z")
     )
 
 
-def read_lines(df: DataFrame, id_col: str = "line_id", raw_col: str = "raw_line") -> DataFrame:
-    """(row_id, the six typed columns, raw, reason): reason null for a good row, whose columns are loaded."""
+def _reason(why: Column) -> Column:
+    """A row where there is a reason, none otherwise: as a generator, so that no filter computes it again."""
+    return F.explode(F.filter(F.array(why), lambda x: x.isNotNull())).alias("reason")
+
+
+def read_lines(df: DataFrame, id_col: str = "line_id", raw_col: str = "raw_line", bad_only: bool = False) -> DataFrame:
+    """(row_id, the six typed columns, raw, reason): reason null for a good row, whose columns are loaded.
+
+    With ``bad_only`` just (row_id, reason) of the rows that cannot be loaded.
+    """
     src = pick(df, id_col, raw_col).select(F.col(f"`{id_col}`").cast("bigint").alias("row_id"), F.col(f"`{raw_col}`").alias("raw"))
     read = F.from_csv("raw", LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"', "dateFormat": "yyyy-MM-dd", "maxCharsPerColumn": "-1"})
     raw = F.col("raw")
     plain = ~raw.contains('"')  # no quotes: the fields are the pieces between commas
     pieces = F.when(plain, F.split(raw, ",", -1)).when(raw.rlike(_WHOLE), F.regexp_extract_all(F.concat(raw, F.lit(",")), F.lit(_NEXT), F.lit(1)))
-    f = [unquoted(F.get("pieces", F.lit(i))) for i in range(6)]
-    reason = F.when(raw.isNull(), "column_count").when(F.col("pieces").isNull(), "quoting").when(F.size("pieces") != 6, "column_count").when(_bad_values(f), "invalid_value")
-    out = src.withColumn("pieces", pieces).withColumn("reason", reason)
+    values = lambda p: [unquoted(F.get(p, F.lit(i))) for i in range(6)]
+    why = once(pieces, lambda p: F.when(raw.isNull(), "column_count").when(p.isNull(), "quoting").when(F.size(p) != 6, "column_count").when(_bad_values(values(p)), "invalid_value"))
+    if bad_only:
+        return src.select("row_id", _reason(why))
+    f = values(F.col("pieces"))
+    out = src.withColumn("pieces", pieces).withColumn("reason", why)
     # Only good rows take the reader's columns; where it errs on a row that is good, the strict fields hold.
     good = F.when(F.col("reason").isNull(), read)
     loaded = out.withColumn("r", good)
@@ -60,10 +76,10 @@ def read_lines(df: DataFrame, id_col: str = "line_id", raw_col: str = "raw_line"
 _SUFFIX = r'(?:\^\^(?:<[^<>"\s]*+>|[^\s"<>]++)|@[A-Za-z]++(?:-[A-Za-z0-9]++)*+)?'
 _LIT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"' + _SUFFIX
 _TERM = rf'(?:{_LIT}|<[^<>"\s]*+>|[^\s"<][^\s"]*+)'
-_TOKENS = rf"^{_TERM}(?:\s++{_TERM})*+$"
-_TRIPLE = rf"^(?!\.\s){_TERM}\s++{_TERM}\s++{_TERM}\s++\.$"
+_TOKENS = rf"^{_TERM}(?:\s++{_TERM})*+\z"
+_TRIPLE = rf"^(?!\.\s){_TERM}\s++{_TERM}\s++{_TERM}\s++\.\z"
 _TYPED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"\^\^(?:xsd:|<http://www\.w3\.org/2001/XMLSchema#)(decimal|integer|boolean|dateTime)>?(?=\s|$)'
-_DATE_TIME = r"^-?(?:[1-9][0-9]{3,}|0[0-9]{3})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T(?:(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?|24:00:00(?:\.0+)?)(?:Z|[+-](?:(?:0[0-9]|1[0-3]):[0-5][0-9]|14:00))?$"
+_DATE_TIME = r"^-?(?:[1-9][0-9]{3,}|0[0-9]{3})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T(?:(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?|24:00:00(?:\.0+)?)(?:Z|[+-](?:(?:0[0-9]|1[0-3]):[0-5][0-9]|14:00))?\z"
 
 
 def _days_fit(v: Column) -> Column:
@@ -79,8 +95,8 @@ def bad_typed(kind: Column, lex: Column) -> Column:
     """Not in the lexical space of the type; white space around the value collapses, as XML Schema says."""
     v = F.regexp_replace(lex, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
     return (
-        F.when(kind == "decimal", ~v.rlike(f"^{DECIMAL}$"))
-        .when(kind == "integer", ~v.rlike("^[+-]?[0-9]+$"))
+        F.when(kind == "decimal", ~v.rlike(rf"^{DECIMAL}\z"))
+        .when(kind == "integer", ~v.rlike(r"^[+-]?[0-9]+\z"))
         .when(kind == "boolean", ~v.isin("true", "false", "1", "0"))
         .otherwise(~(v.rlike(_DATE_TIME) & _days_fit(v)))
     )
@@ -91,20 +107,22 @@ def statements(turtle: Column) -> Column:
     return F.filter(lines, lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("@prefix") & ~x.startswith("```"))
 
 
-def read_turtle(df: DataFrame, id_col: str = "response_id", text_col: str = "turtle") -> DataFrame:
+def read_turtle(df: DataFrame, id_col: str = "response_id", text_col: str = "turtle", bad_only: bool = False) -> DataFrame:
     """(row_id, statements, raw, reason): reason null for a text all of whose statements can be read."""
     typed = lambda s: F.exists(F.arrays_zip(F.regexp_extract_all(s, F.lit(_TYPED), F.lit(2)).alias("k"), F.regexp_extract_all(s, F.lit(_TYPED), F.lit(1)).alias("v")), lambda x: bad_typed(x["k"], x["v"]))
-    reason = (
-        F.when(F.exists("st", lambda s: ~s.rlike(_TOKENS)), "quoting")
-        .when(F.exists("st", lambda s: ~s.rlike(_TRIPLE)), "column_count")
-        .when(F.exists("st", lambda s: s.contains("^^") & typed(s)), "invalid_value")
-    )
+    why = once(statements(F.col("raw")), lambda st: (
+        F.when(F.exists(st, lambda s: ~s.rlike(_TOKENS)), "quoting")
+        .when(F.exists(st, lambda s: ~s.rlike(_TRIPLE)), "column_count")
+        .when(F.exists(st, lambda s: s.contains("^^") & typed(s)), "invalid_value")
+    ))
     src = pick(df, id_col, text_col).select(F.col(f"`{id_col}`").cast("bigint").alias("row_id"), F.col(f"`{text_col}`").alias("raw"))
-    return src.withColumn("st", statements(F.col("raw"))).withColumn("reason", reason).select("row_id", F.col("st").alias("statements"), "raw", "reason")
+    if bad_only:
+        return src.select("row_id", _reason(why))
+    return src.select("row_id", statements(F.col("raw")).alias("statements"), "raw", why.alias("reason"))
 
 
 def found(lines: DataFrame, responses: DataFrame) -> DataFrame:
     """p4_found: (row_source, row_id, reason) of every row that cannot be loaded."""
-    a = read_lines(lines).where("reason is not null").select(F.lit("requirement_lines").alias("row_source"), "row_id", "reason")
-    b = read_turtle(responses).where("reason is not null").select(F.lit("llm_responses").alias("row_source"), "row_id", "reason")
+    a = read_lines(spread(lines), bad_only=True).select(F.lit("requirement_lines").alias("row_source"), "row_id", "reason")
+    b = read_turtle(spread(responses), bad_only=True).select(F.lit("llm_responses").alias("row_source"), "row_id", "reason")
     return a.unionByName(b)

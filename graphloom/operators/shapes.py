@@ -92,7 +92,7 @@ class Validator:
         if plain:
             schema = "cid int, shape string, target string, path string, inverse boolean, component string, arg string, severity string, message string"
             cons = F.broadcast(spark.createDataFrame([(i, *astuple(c)) for i, c in enumerate(plain)], schema))
-            focus = typed.join(cons, typed["class"] == cons.target).select("graph_id", F.col("node").alias("focus"), *cons.columns).dropDuplicates(["graph_id", "focus", "cid"])
+            focus = typed.join(cons, typed["class"] == cons.target).select("graph_id", F.col("node").alias("focus"), *cons.columns)
             paths = sorted({c.path for c in plain})
             used = graph.where(F.col("p").isin(paths))  # pushed down to the scan
             val = F.struct("o", "o_kind", "o_dt", "o_lang")
