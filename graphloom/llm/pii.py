@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import pick
+from graphloom.common import pick, spread
 from graphloom.llm import crf, pii_examples
 
 MOST_EXAMPLES = 5_000
@@ -98,7 +98,7 @@ def _searched(documents: DataFrame, names: DataFrame, out: str, rows_of):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             yield rows_of(ids, texts, findings(mine, [t or "" for t in texts]))
 
-    return src.mapInArrow(run, out)
+    return spread(src).mapInArrow(run, out)
 
 
 def found(documents: DataFrame, names: DataFrame) -> DataFrame:

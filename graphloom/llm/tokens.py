@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import pick
+from graphloom.common import pick, spread
 
 HOME = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -46,4 +46,4 @@ def counted(df: DataFrame, id_col: str, text_col: str, *others: str, home: str =
             n = [len(x) for x in enc.encode_ordinary_batch([t or "" for t in texts], num_threads=1)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(n, pa.int64())], names=[*names, "n_tokens"])
 
-    return src.mapInArrow(run, out).where(F.col(f"`{id_col}`").isNotNull())
+    return spread(src).mapInArrow(run, out).where(F.col(f"`{id_col}`").isNotNull())

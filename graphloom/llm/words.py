@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import keep
+from graphloom.common import keep, spread
 
 #: Rows up to which a list of ids is broadcast (16 MB); beyond it the join is shuffled.
 SMALL = 2_000_000
@@ -89,7 +89,7 @@ def large_enough(ids: np.ndarray, texts: list[str | None], *others: np.ndarray):
 
 def texts(df: DataFrame, id_col: str, text_cols: list[str], *others: Column) -> DataFrame:
     """(doc_id, txt, the others); rows without an id are left out."""
-    return df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.concat_ws(" ", *(F.col(f"`{c}`") for c in text_cols)).alias("txt"), *others).where(F.col("doc_id").isNotNull())
+    return spread(df).select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.concat_ws(" ", *(F.col(f"`{c}`") for c in text_cols)).alias("txt"), *others).where(F.col("doc_id").isNotNull())
 
 
 def filtered(df: DataFrame, ids: DataFrame, n: int, on: str, how: str) -> DataFrame:
