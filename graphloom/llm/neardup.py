@@ -8,7 +8,8 @@ sizes up to u that reach the likeness t differ in at most D = u (1 - t) / t toke
 groups at least two hold the same tokens on both sides; rows meet under the content of one
 group with two or more tokens, or of two groups with fewer. Nothing is lost or capped. A
 larger collection takes D + 3 groups, of which three agree, and so on, so that no key grows
-with it unchecked.
+with it unchecked; very long rows, whose combinations of groups would be too many, take D + 1
+groups and meet under each single one.
 
 Defined results: rows with fewer than 8 distinct words (also null and empty texts) never
 count; identical rows are a class, and only its representative enters the join; ids are
@@ -47,6 +48,18 @@ def _combinations(w: int, k: int) -> np.ndarray:
     return np.array(list(itertools.combinations(range(w), k))).T
 
 
+@functools.lru_cache(4096)
+def depth_of(most: int, t: float, wanted: int) -> int:
+    """The depth for the size class up to ``most`` words: the wanted one, or less where its combinations would outgrow the groups."""
+    for d in range(wanted, 0, -1):
+        m = math.floor(most * (1 - t) / t + 1e-9) + 1 + d
+        rate = most / m
+        weak = m * sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(d + 1))
+        if math.prod(max(weak - i, 0) for i in range(d + 1)) / math.factorial(d + 1) <= 2 * m:
+            return d
+    return 0
+
+
 def group_keys(h: np.ndarray, owner: np.ndarray, groups: np.ndarray, tag: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, row of each) for rows with ``groups`` token groups under the size class ``tag``."""
     first = np.concatenate([[0], np.cumsum(groups)])
@@ -89,15 +102,16 @@ def signatures(docs: DataFrame, t: float, depth: int) -> DataFrame:
             for down in (0, 1):
                 cls = own - down
                 fits = cls >= 0
-                if not fits.any():
-                    continue
-                new = np.cumsum(fits) - 1
-                sel = fits[owner]
-                most = bounds[cls[fits] + 1] - 1
-                groups = np.floor(most * (1 - t) / t + 1e-9).astype(np.int64) + 1 + depth
-                keys, rows = group_keys(h[sel], new[owner[sel]], groups, cls[fits], depth)
-                at = np.flatnonzero(fits)[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[at]), pa.array(n[at].astype(np.int32)), pa.array(np.full(len(at), 1 - down, dtype=np.int8)), pa.array(code[at])], schema=ROW)
+                most = np.where(fits, bounds[np.maximum(cls, 0) + 1] - 1, 0)
+                depths = np.array([depth_of(int(x), t, depth) for x in most])
+                for d in np.unique(depths[fits]):
+                    mine = fits & (depths == d)
+                    new = np.cumsum(mine) - 1
+                    sel = mine[owner]
+                    groups = np.floor(most[mine] * (1 - t) / t + 1e-9).astype(np.int64) + 1 + int(d)
+                    keys, rows = group_keys(h[sel], new[owner[sel]], groups, cls[mine], int(d))
+                    at = np.flatnonzero(mine)[rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[at]), pa.array(n[at].astype(np.int32)), pa.array(np.full(len(at), 1 - down, dtype=np.int8)), pa.array(code[at])], schema=ROW)
 
     return docs.select("doc_id", "txt").mapInArrow(run, "key bigint, id bigint, n int, small tinyint, code bigint")
 
