@@ -80,6 +80,39 @@ cnt AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT id) AS
 m AS (SELECT cnt.*, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.05 * total THEN 'common' END AS mark FROM cnt JOIN tot USING (field_name))
 """
 
+_TERM = r"""(?:"[^"\\]*(?:\\.[^"\\]*)*"(?:\^\^(?:<[^<>"\s]*>|[^\s"<>]+)|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?|<[^<>"\s]*>|[^\s"<][^\s"]*)"""
+_TYPED = r"""(?:^|\s)"([^"\\]*(?:\\.[^"\\]*)*)"\^\^(?:xsd:|<http://www\.w3\.org/2001/XMLSchema#)(decimal|integer|boolean|dateTime)>?"""
+_DT = r"-?(?:[1-9][0-9]{3,}|0[0-9]{3})-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])T(?:(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?|24:00:00(?:\.0+)?)(?:Z|[+-](?:(?:0[0-9]|1[0-3]):[0-5][0-9]|14:00))?"
+_TURTLE = rf"""
+, t AS (SELECT response_id, list_filter(list_transform(string_split_regex(turtle, '\r\n|\n|\r'), lambda x: trim(x, E' \t\n\r')), lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '@prefix') AND NOT starts_with(x, '```')) AS st FROM llm_responses),
+s AS (SELECT response_id, unnest(st) AS x FROM t),
+v AS (SELECT response_id, trim(unnest(regexp_extract_all(x, '{_TYPED}', 1)), E' \t\n\r') AS v, unnest(regexp_extract_all(x, '{_TYPED}', 2)) AS k FROM s),
+bad AS (SELECT DISTINCT response_id FROM v WHERE NOT CASE k WHEN 'decimal' THEN regexp_full_match(v, '[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)') WHEN 'integer' THEN regexp_full_match(v, '[+-]?[0-9]+')
+  WHEN 'boolean' THEN v IN ('true', 'false', '1', '0') ELSE regexp_full_match(v, '{_DT}') AND try_cast(substr(v, 1, 10) AS DATE) IS NOT NULL END),
+q AS (SELECT response_id, bool_or(NOT regexp_full_match(x, '{_TERM}(?:\s+{_TERM})*')) AS quoting, bool_or(NOT regexp_full_match(x, '{_TERM}\s+{_TERM}\s+{_TERM}\s+\.')) AS cols FROM s GROUP BY 1),
+w AS (SELECT q.response_id, CASE WHEN quoting THEN 'quoting' WHEN cols THEN 'column_count' WHEN bad.response_id IS NOT NULL THEN 'invalid_value' END AS reason FROM q LEFT JOIN bad ON bad.response_id = q.response_id)
+"""
+_DRIFT = r"""
+WITH f AS (SELECT DISTINCT series_id, file_id, min(file_written_at) OVER (PARTITION BY file_id) AS written FROM iteration_log_lines),
+o AS (SELECT *, lag(file_id) OVER (PARTITION BY series_id ORDER BY written, file_id) AS prev FROM f),
+n AS (SELECT file_id, substr(j.fullkey, 3) AS path, CASE j.type WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS t, count(*) AS c
+  FROM (SELECT * FROM iteration_log_lines WHERE json_valid(payload)) l, json_tree(l.payload) j WHERE j.type NOT IN ('OBJECT', 'NULL') AND NOT contains(j.fullkey, '[') GROUP BY 1, 2, 3),
+k AS (SELECT file_id, path, t FROM (SELECT *, row_number() OVER (PARTITION BY file_id, path ORDER BY c DESC, t) AS rn FROM n) WHERE rn = 1),
+c AS (SELECT o.file_id, k.path, k.t AS nt, NULL AS ot FROM o JOIN k ON k.file_id = o.file_id WHERE prev IS NOT NULL UNION ALL SELECT o.file_id, k.path, NULL, k.t FROM o JOIN k ON k.file_id = o.prev),
+d AS (SELECT file_id, path, max(nt) AS nt, max(ot) AS ot, regexp_replace(path, '\.?[^.]*$', '') AS parent FROM c GROUP BY 1, 2 HAVING max(nt) IS DISTINCT FROM max(ot)),
+p AS (SELECT file_id, parent, count(nt) AS n_in, count(ot) AS n_out, max(nt) AS nt, max(ot) AS ot, max(CASE WHEN nt IS NOT NULL THEN path END) AS np, max(CASE WHEN ot IS NOT NULL THEN path END) AS op FROM d WHERE nt IS NULL OR ot IS NULL GROUP BY 1, 2),
+r AS (SELECT * FROM p WHERE n_in = 1 AND n_out = 1 AND nt = ot)
+SELECT file_id, 'type_changed' AS change_kind, path AS field_path, '' AS new_path FROM d WHERE nt IS NOT NULL AND ot IS NOT NULL
+UNION ALL SELECT file_id, 'renamed', op, np FROM r
+UNION ALL SELECT d.file_id, CASE WHEN d.nt IS NOT NULL THEN 'added' ELSE 'removed' END, d.path, '' FROM d LEFT JOIN r ON r.file_id = d.file_id AND r.parent = d.parent WHERE (d.nt IS NULL OR d.ot IS NULL) AND r.file_id IS NULL
+"""
+_NGRAMS = r"""
+WITH src AS (SELECT result_id, list_sort(list(DISTINCT path)) AS ps FROM validation_results WHERE path IS NOT NULL AND result_id IS NOT NULL GROUP BY 1),
+s AS (SELECT result_id, flatten(list_transform(ps, lambda x: regexp_extract_all(regexp_replace(x, '<http://([A-Za-z_][A-Za-z0-9_\-]*)\.example\.org/ns#([^>\s]+)>', ' \1:\2 ', 'g'), '[A-Za-z_][A-Za-z0-9_.\-]*:[\p{L}\p{N}_](?:[\p{L}\p{N}_.\-]*[\p{L}\p{N}_\-])?'))) AS t FROM src),
+g AS (SELECT result_id, array_to_string(t[i + 1:i + k], ' ') AS gram FROM s, unnest(range(len(t))) AS a(i), (VALUES (1), (2), (3)) AS b(k) WHERE i + k <= len(t))
+SELECT gram, count(*) AS occurrences, count(DISTINCT result_id) AS records FROM g GROUP BY 1
+"""
+
 SQL: dict[str, str] = {
     "p1_found": _ITS + """
 SELECT log_id, iter_pos, 'cq_result' AS child, CAST(cq_pos AS VARCHAR) AS child_key FROM cq
@@ -88,6 +121,13 @@ UNION ALL SELECT log_id, iter_pos, 'patch_type', name FROM pt WHERE json_type(v)
     "p1_cq_results": _ITS + "SELECT log_id, iter_pos, cq_pos, c->>'$.query' AS query, try_cast(c->>'$.success' AS BOOLEAN) AS success, c->>'$.message' AS message FROM cq",
     "p1_violations": _ITS + "SELECT log_id, iter_pos, name, try_cast(v->>'$' AS BIGINT) AS n FROM vi WHERE json_type(v) <> 'NULL'",
     "p1_patch_types": _ITS + "SELECT log_id, iter_pos, name, try_cast(v->>'$' AS BIGINT) AS n FROM pt WHERE json_type(v) <> 'NULL'",
+    "p1_runs": "SELECT log_id, payload->>'$.run' AS run, payload->>'$.config.policy' AS policy, try_cast(payload->>'$.config.thresholds.cq' AS DOUBLE) AS cq_threshold FROM run_logs WHERE payload IS NOT NULL",
+    "p1_iterations": _ITS
+    + "SELECT log_id, iter_pos, try_cast(it->>'$.iteration' AS BIGINT) AS iteration, try_cast(it->>'$.shacl.total' AS BIGINT) AS shacl_total, try_cast(it->>'$.cq.pass_rate' AS DOUBLE) AS cq_pass_rate, "
+    + "try_cast(it->>'$.stop.decision' AS BOOLEAN) AS stop, it->>'$.stop.reason' AS stop_reason, it->>'$.reasoning.notes' AS notes FROM its",
+    "p4_found": _PIECES + _TURTLE + "SELECT 'requirement_lines' AS row_source, line_id AS row_id, reason FROM r WHERE reason IS NOT NULL UNION ALL SELECT 'llm_responses', response_id, reason FROM w WHERE reason IS NOT NULL",
+    "p6_found": _DRIFT,
+    "p7_ngrams": _NGRAMS,
     "p4_loaded": _PIECES + "SELECT line_id AS row_id, v[1] AS req_no, v[2] AS title, v[3] AS text, v[4] AS split, CAST(v[5] AS DATE) AS created_on, CAST(v[6] AS INTEGER) AS priority FROM r WHERE reason IS NULL",
     "p5_found": _KEYS + "SELECT keep_id, rec_id AS dup_id FROM r JOIN g USING (k) WHERE rec_id > keep_id",
     "p5_collapsed": _KEYS + "SELECT keep_id, copies FROM g",

@@ -84,6 +84,19 @@ def _expanded(c: str) -> str:
     return f"CASE WHEN starts_with({c}, 'http') THEN {c} " + " ".join(f"WHEN starts_with({c}, '{p}:') THEN '{u}' || substr({c}, {len(p) + 2})" for p, u in ns.items()) + f" ELSE '{FOR}' || {c} END"
 
 
+_LINES = r"""
+WITH l AS (SELECT response_id AS doc, string_split(turtle, chr(10)) AS x FROM llm_responses WHERE turtle IS NOT NULL), n AS (SELECT doc, CAST(i AS INTEGER) AS line_no, x[i + 1] AS t FROM l, unnest(range(len(x))) AS r(i)),
+a AS (SELECT doc, line_no, CASE (doc + line_no) % 5 WHEN 1 THEN replace(t, 'bnk:', '?bnk:') WHEN 2 THEN 'NOT ' || t WHEN 3 THEN t || ' -> x' ELSE t END AS t FROM n),
+b AS (SELECT doc, line_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '''\^?b''', '', 'g'), '''([A-Za-z][\w-]*:)', '\1', 'g'), '\?([A-Za-z][\w-]*:[\w-]+)', '\1', 'g'), '(^|[^\^])\^\s*([A-Za-z][\w-]*:)', '\1\2', 'g') AS t FROM a),
+c AS (SELECT *, contains(t, '->') OR contains(t, '→') AS arrow, starts_with(upper(ltrim(t)), 'NOT ') AS negated FROM b),
+d AS (SELECT *, CASE WHEN NOT arrow AND NOT negated AND trim(t) <> '' AND NOT starts_with(ltrim(t), '#') THEN ends_with(rtrim(t), ';') END AS ended FROM c),
+e AS (SELECT *, coalesce(last_value(ended IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS after FROM d),
+f AS (SELECT doc, line_no, arrow, negated, CASE WHEN after THEN regexp_replace(t, '^(\s*[A-Za-z][\w-]*:[\w-]+)\s+a\s+([A-Za-z][\w-]*:[\w-]+)(\s*[;,.].*)?$', '\1 \2\3') ELSE t END AS t FROM e),
+g AS (SELECT doc, line_no, arrow, negated, CASE WHEN contains(t, 'xsd:decimal') AND NOT contains(t, '^^xsd:decimal') AND NOT contains(t, '"') THEN regexp_replace(t, '([^\^\s])\s+xsd:decimal\b', '\1', 'g') ELSE t END AS t FROM f),
+h AS (SELECT doc, line_no, arrow, negated, CASE WHEN contains(t, '^^xsd:decimal') AND NOT contains(t, '"') THEN regexp_replace(t, '([+-]?[0-9]+(?:\.[0-9]+)?)(\s*\^\^xsd:decimal)', '"\1"\2', 'g') ELSE t END AS t FROM g)
+SELECT doc, line_no, CASE WHEN (arrow OR negated) AND NOT starts_with(ltrim(t), '#') THEN '# ' || t ELSE t END AS text FROM h
+"""
+
 SQL = {
     "direct_mapping": _GEO + "SELECT s, p, o, o_kind, o_dt FROM t",
     "predicate_stats": _GEO + "SELECT p, count(*) AS n, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM t GROUP BY 1",
@@ -147,6 +160,9 @@ UNION ALL SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'object' ELSE 'data' END, 'd
  row_number() OVER (PARTITION BY graph_id, iteration, coalesce(nullif(focus_node, ''), 'atm:UnknownFocus'), coalesce(nullif(path, ''), 'rdfs:comment'), coalesce(nullif(value, ''), 'xsd:string') ORDER BY result_id NULLS FIRST, message NULLS FIRST, source_shape NULLS FIRST, severity NULLS FIRST) AS rn
  FROM validation_results WHERE contains(lower(severity), 'violation'))
 SELECT graph_id, iteration, 'addProperty' AS action, subject, predicate, object, message, source_shape, severity FROM h WHERE rn = 1""",
+    "shacl_patches_soft": "WITH v AS (SELECT *, contains(lower(coalesce(severity, '')), 'violation') AS h FROM validation_results), g AS (SELECT *, max(h) OVER (PARTITION BY graph_id, iteration) AS any_hard FROM v) "
+    "SELECT graph_id, iteration, count(*) AS n FROM (SELECT DISTINCT graph_id, iteration, coalesce(nullif(focus_node, ''), 'atm:UnknownFocus') AS a, coalesce(nullif(path, ''), 'rdfs:comment') AS b, coalesce(nullif(value, ''), 'xsd:string') AS c FROM g WHERE h OR NOT any_hard) GROUP BY 1, 2",
+    "line_sanitize": _LINES,
     "merge_patches": """WITH p AS (SELECT DISTINCT graph_id, action, subject, predicate, object FROM patches WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL),
 f AS (SELECT * FROM p WHERE action = 'addProperty'), t AS (SELECT * FROM p WHERE action <> 'addProperty' AND NOT EXISTS (SELECT 1 FROM f WHERE f.graph_id = p.graph_id AND f.subject = p.subject AND f.predicate = p.predicate AND f.object = p.object))
 SELECT graph_id, 0 AS part, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT graph_id, 1, count(*) FROM t GROUP BY 1""",
