@@ -53,6 +53,23 @@ def keep(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
+    """With ``name``: the place from 1 in the order of ``order``, without bringing all rows to one task.
+
+    Rows are partitioned by range and sorted within their partitions; only the number of rows
+    of each partition comes to the driver.
+    """
+    spark = df.sparkSession
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
+    rows = keep(rows, "numbered")
+    at, offsets = 0, []
+    for r in rows.groupBy("_pid").agg(F.count("*").alias("n"), F.min("_mid").alias("first")).orderBy("_pid").collect():
+        offsets.append((r._pid, at - r.first + 1))
+        at += r.n
+    table = F.broadcast(spark.createDataFrame(offsets, "_pid int, _off bigint"))  # a row per partition
+    return rows.join(table, "_pid").withColumn(name, F.col("_mid") + F.col("_off")).drop("_pid", "_mid", "_off")
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _written:

@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.common import keep, pick
+from graphloom.common import keep, numbered, pick, spread
 
+#: Files whose lifespans are looked at together.
+BLOCK = 1024
 KEYS = ("series_id", "file_id", "file_written_at")
 
 
@@ -66,37 +68,54 @@ def catalogue(lines: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
     src = pick(lines, *KEYS, "payload").select("series_id", F.col("file_id").cast("bigint"), F.col("file_written_at").cast("timestamp_ntz"), "payload")
-    part = src.mapInArrow(run, "series_id string, file_id bigint, file_written_at timestamp_ntz, field_path string, field_type string, n bigint")
+    part = spread(src).mapInArrow(run, "series_id string, file_id bigint, file_written_at timestamp_ntz, field_path string, field_type string, n bigint")
     return part.groupBy("series_id", "file_id", "file_written_at", "field_path", "field_type").agg(F.sum("n").alias("n"))
 
 
+def ordered_files(cat: DataFrame) -> DataFrame:
+    """(series_id, file_id, pos, has_prev, next_file): all files numbered by series and time."""
+    files = cat.where("field_path is null").groupBy("series_id", "file_id").agg(F.min("file_written_at").alias("file_written_at"))
+    pos = keep(numbered(files, "series_id", "file_written_at", "file_id").select("series_id", "file_id", "pos"), "files")
+    side = lambda by, c: pos.select((F.col("pos") + by).alias("pos"), F.col("series_id").alias(f"s{c}"), F.col("file_id").alias(c))
+    near = pos.join(side(1, "prev"), "pos", "left").join(side(-1, "next"), "pos", "left")
+    same = lambda c: F.col(f"s{c}").eqNullSafe(F.col("series_id")) & F.col(c).isNotNull()
+    return near.select("series_id", "file_id", "pos", same("prev").alias("has_prev"), F.when(same("next"), F.col("next")).alias("next_file"))
+
+
+def boundaries(cat: DataFrame) -> DataFrame:
+    """(series_id, file_id, pos, field_path, field_type, has_prev, next_file, starts, ends) of the files in which a lifespan starts or ends.
+
+    ``lag`` and ``lead`` run in blocks of ``BLOCK`` files, so that a series that fills the
+    collection is no single task; a file at a block's edge stands in the next block too.
+    """
+    best = cat.where("field_path is not null").groupBy("file_id", "field_path", "field_type").agg(F.sum("n").alias("n"))
+    one = best.groupBy("file_id", "field_path").agg(F.min(F.struct(-F.col("n"), "field_type")).alias("m")).select("file_id", "field_path", F.col("m.field_type").alias("field_type"))
+    at = one.join(ordered_files(cat), "file_id")
+    b, edge = F.floor(F.col("pos") / BLOCK), F.pmod("pos", F.lit(BLOCK))
+    blocks = F.array(b, F.when(edge == 0, b - 1), F.when(edge == BLOCK - 1, b + 1))
+    rows = at.withColumn("block", F.explode(F.filter(blocks, lambda x: x.isNotNull())))
+    w = Window.partitionBy("block", "series_id", "field_path", "field_type").orderBy("pos")
+    rows = rows.withColumns({"before": F.lag("pos").over(w), "after": F.lead("pos").over(w)}).where(F.col("block") == b)
+    starts, ends = F.col("before").isNull() | (F.col("pos") - F.col("before") > 1), F.col("after").isNull() | (F.col("after") - F.col("pos") > 1)
+    return rows.withColumns({"starts": starts, "ends": ends}).where("starts or ends").drop("block", "before", "after")
+
+
 def lifespans(cat: DataFrame) -> DataFrame:
-    """(series_id, field_path, field_type, start_pos, end_pos, start_file, next_file): an island per unbroken run of files."""
-    files = Window.partitionBy("series_id").orderBy("file_written_at", "file_id")
-    order = (
-        cat.where("field_path is null")
-        .groupBy("series_id", "file_id")
-        .agg(F.min("file_written_at").alias("file_written_at"))
-        .select("series_id", "file_id", F.row_number().over(files).alias("pos"), F.lead("file_id").over(files).alias("next_file"))
-    )
-    best = cat.where("field_path is not null").groupBy("series_id", "file_id", "field_path", "field_type").agg(F.sum("n").alias("n"))
-    one = best.groupBy("series_id", "file_id", "field_path").agg(F.min(F.struct(-F.col("n"), "field_type")).alias("m")).select("series_id", "file_id", "field_path", F.col("m.field_type").alias("field_type"))
-    w = Window.partitionBy("series_id", "field_path", "field_type").orderBy("pos")
-    return (
-        one.join(order, ["series_id", "file_id"])
-        .withColumn("new", F.when(F.col("pos") - F.lag("pos").over(w) == 1, 0).otherwise(1))
-        .withColumn("island", F.sum("new").over(w))
-        .groupBy("series_id", "field_path", "field_type", "island")
-        .agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.min_by("file_id", "pos").alias("start_file"), F.max_by("next_file", "pos").alias("next_file"))
-    )
+    """(series_id, field_path, field_type, start_file, end_file) of each unbroken run of files with a field and type."""
+    edge = boundaries(cat)
+    w = Window.partitionBy("series_id", "field_path", "field_type").orderBy("pos")  # only where something changes
+    nth = lambda c: edge.where(c).withColumn("k", F.row_number().over(w))
+    keys = ["series_id", "field_path", "field_type", "k"]
+    return nth("starts").select(*keys, F.col("file_id").alias("start_file")).join(nth("ends").select(*keys, F.col("file_id").alias("end_file")), keys).drop("k")
 
 
 def changes(lines: DataFrame) -> DataFrame:
     """p6_found: (file_id, change_kind, field_path, new_path) of each file against the one before it."""
-    spans = keep(lifespans(keep(catalogue(lines), "fields")), "lifespans")
-    starts = spans.where("start_pos > 1").select("series_id", F.col("start_file").alias("file_id"), "field_path", F.col("field_type").alias("new_type"), F.lit(None).cast("string").alias("old_type"))
-    ends = spans.where("next_file is not null").select("series_id", F.col("next_file").alias("file_id"), "field_path", F.lit(None).cast("string").alias("new_type"), F.col("field_type").alias("old_type"))
-    both = starts.unionByName(ends).groupBy("series_id", "file_id", "field_path").agg(F.max("new_type").alias("new_type"), F.max("old_type").alias("old_type"))
+    edge = keep(boundaries(keep(catalogue(lines), "fields")), "boundaries")
+    none = F.lit(None).cast("string")
+    starts = edge.where("starts and has_prev").select("file_id", "field_path", F.col("field_type").alias("new_type"), none.alias("old_type"))
+    ends = edge.where("ends and next_file is not null").select(F.col("next_file").alias("file_id"), "field_path", none.alias("new_type"), F.col("field_type").alias("old_type"))
+    both = starts.unionByName(ends).groupBy("file_id", "field_path").agg(F.max("new_type").alias("new_type"), F.max("old_type").alias("old_type"))
     typed = both.where("new_type is not null and old_type is not null").select("file_id", F.lit("type_changed").alias("change_kind"), "field_path", F.lit("").alias("new_path"))
     moved = both.where("new_type is null or old_type is null").withColumn("parent", F.regexp_replace("field_path", r"\.?[^.]*$", ""))
     entered, left = F.col("new_type").isNotNull(), F.col("old_type").isNotNull()

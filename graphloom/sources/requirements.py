@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.common import numbered
 from graphloom.functions.text import boilerplate, normal_title
 
 SCHEMA = "id string, sentence_id string, identifier string, title string, text string, meta struct<title:string>, axioms struct<prefixes:map<string,string>,tbox:array<string>,abox:array<string>>, boilerplate struct<prefix:string,main:string,suffix:string>"
@@ -52,8 +53,8 @@ def read(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
 
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     raw = files.mapInPandas(run, "path string, pos bigint, payload string").select("path", "pos", F.from_json("payload", SCHEMA).alias("r")).select("path", "pos", "r.*")
-    numbered = raw.withColumn("ord", F.row_number().over(Window.orderBy("path", "pos")))  # a file of requirements is small; tables bring their own ord
-    return shaped(numbered.where(F.col("ord") <= limit) if limit is not None else numbered)
+    placed = numbered(raw, "path", "pos", name="ord")
+    return shaped(placed.where(F.col("ord") <= limit) if limit is not None else placed)
 
 
 def identifier(df: DataFrame):

@@ -1,6 +1,6 @@
 """Value checks over a stream of triples.
 
-The reference semantics know no streams; this only lets the checks that need no more than the
+The engine is a batch one; this only lets the checks that need no more than the
 value itself (datatype, range, length, pattern) run as triples arrive, with a table of counts
 per window. Counts and classes need whole graphs and belong to the batch validator.
 """

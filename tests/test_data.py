@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.common import pick
+from graphloom.common import numbered, pick
 from graphloom.operators import badrows, copies, drift, nested, terms
 
 
@@ -178,6 +178,38 @@ def test_drift(spark):
     assert drift.consistent(df).count() == len(data)
 
 
+def test_drift_over_blocks(spark, monkeypatch):
+    """A series over several blocks, against a comparison of neighbours; lifespans tile the files."""
+    monkeypatch.setattr(drift, "BLOCK", 4)
+    rng = random.Random(4)
+    t0 = datetime.datetime(2024, 1, 1)
+    docs = [{k: rng.choice([1, "s", True]) for k in "abc" if rng.random() < 0.7} | {"p": {k: 1 for k in "xy" if rng.random() < 0.5}} for _ in range(60)]
+    data = [(i, "s" if i < 45 else "t", t0 + datetime.timedelta(hours=i), json.dumps(d)) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(data, "file_id bigint, series_id string, file_written_at timestamp_ntz, payload string")
+    want = []
+    for i in range(1, 60):
+        if i == 45:
+            continue
+        old, new = (dict(drift.leaves(docs[j])) for j in (i - 1, i))
+        out, come = set(old) - set(new), set(new) - set(old)
+        want += [(i, "type_changed", f, "") for f in set(old) & set(new) if drift.kind_of(old[f]) != drift.kind_of(new[f])]
+        for parent in ("", "p"):
+            o, c = ([f for f in x if ("p" if "." in f else "") == parent] for x in (out, come))
+            if len(o) == len(c) == 1 and drift.kind_of(old[o[0]]) == drift.kind_of(new[c[0]]):
+                want.append((i, "renamed", o[0], c[0]))
+            else:
+                want += [(i, "removed", f, "") for f in o] + [(i, "added", f, "") for f in c]
+    assert rows(drift.changes(df)) == sorted(want, key=repr)
+    spans = rows(drift.lifespans(drift.catalogue(df)), "start_file", "end_file")
+    assert sum(b - a + 1 for a, b in spans) == sum(len(dict(drift.leaves(d))) for d in docs)
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(r,) for r in random.Random(6).sample(range(1000), 300)], "v int").repartition(7)
+    got = rows(numbered(df, "v", name="at"), "at", "v")
+    assert got == [(i + 1, v) for i, v in enumerate(sorted(v for _, v in got))] or sorted(got) == [(i + 1, v) for i, v in enumerate(sorted(v for _, v in got))]
+
+
 def brute_ngrams(seqs, n):
     occ, rec = {}, {}
     for s in seqs:
