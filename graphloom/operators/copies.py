@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import keep, pick
+from graphloom.common import keep, pick, spread
 
 #: Letter groups of the histogram, chosen to split English text about evenly.
 GROUPS = ("eqz", "tjv", "aok", "inx", "rsw")
@@ -40,7 +40,7 @@ def members(df: DataFrame, id_col: str = "rec_id", json_col: str = "payload") ->
     """(rec_id, key) of every record whose cheap invariants are shared, kept as a table."""
     read = F.from_json(F.col(f"`{json_col}`"), "title string, text string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     base = (
-        pick(df, id_col, json_col)
+        spread(pick(df, id_col, json_col))
         .select(F.col(f"`{id_col}`").cast("bigint").alias("rec_id"), read.alias("r"))
         .where(F.col("rec_id").isNotNull() & F.col("r").isNotNull() & F.col("r._bad").isNull())
         .select("rec_id", stripped(F.col("r.title")).alias("title"), stripped(F.col("r.text")).alias("text"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import pick
+from graphloom.common import pick, spread
 
 ROWS = "rec_id bigint, tbl string, ordinals array<bigint>, member string, kind string, vals map<string,string>"
 ROOT = "$"
@@ -99,7 +99,7 @@ def shred(df: DataFrame, id_col: str, json_col: str, repeated: Iterable[str] = (
                     add(rec, "_error", [], None, "error", [("value", str(e)[:200])])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], schema=schema)
 
-    src = pick(df, id_col, json_col)
+    src = spread(pick(df, id_col, json_col))
     return src.select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{json_col}`")).mapInArrow(run, ROWS)
 
 
