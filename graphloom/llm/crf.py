@@ -12,6 +12,7 @@ is Viterbi over windows of equal length, whose overlap lies outside what is kept
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 
@@ -28,10 +29,12 @@ OWN, NEAR, AROUND = 22, 4, 4
 WINDOW, MARGIN = 160, 32
 
 
+@functools.lru_cache(1 << 17)
 def _h(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) % (ROWS - 1) + 1  # row 0 stays zero
 
 
+@functools.lru_cache(1 << 17)
 def shape(s: str, most: int = 24) -> str:
     """Letters and digits by class; runs of letters are shortened, digits are kept one by one."""
     x = re.sub(r"\d", "9", s[:most])
@@ -45,7 +48,10 @@ class Vocabulary:
     def __init__(self, given: frozenset[str]):
         self.given = given
         self.chunks: dict[str, int] = {}
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # token types, starts, ends within the chunk
+        # Tokens of all chunks, one after the other: type, start and end within the chunk, and where each chunk's begin.
+        self.flat: list[list[int]] = [[], [], []]
+        self.begin: list[int] = [0]
+        self.arrays = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)]
         self.types: dict[tuple, int] = {}
         self.own: list[list[int]] = []
         self.near: list[list[int]] = []
@@ -78,9 +84,20 @@ class Vocabulary:
         for k, (t, _, _) in enumerate(toks):
             key = (t, sh, core, min(k, 3), min(n - 1 - k, 3), "@" in c, toks[k - 1][0] if k else "", toks[k + 1][0] if k + 1 < n else "")
             ids.append(self._type(key))
-        self.parts.append((np.array(ids), np.array([a for _, a, _ in toks]), np.array([b for _, _, b in toks])))
+        self.flat[0].extend(ids)
+        self.flat[1].extend(a for _, a, _ in toks)
+        self.flat[2].extend(b for _, _, b in toks)
+        self.begin.append(len(self.flat[0]))
         return i
 
+    def tokens(self) -> list[np.ndarray]:
+        """The flat lists as arrays; only what is new is converted."""
+        for k, x in enumerate((*self.flat, self.begin)):
+            n = len(self.arrays[k])
+            if len(x) > n:
+                self.arrays[k] = np.concatenate([self.arrays[k], np.array(x[n:], np.int64)])
+        return self.arrays
+
     def _listed(self, c: str) -> str:
         w = re.sub(r"^\W+|\W+$", "", c)
         return ("G" if w.lower() in self.given else "") + ("C" if w[:1].isupper() and w[1:].islower() else "U" if w.isupper() and len(w) > 1 else "")
@@ -121,25 +138,24 @@ class Batch:
     """Tokens of several texts: types, chunks, places; contexts do not cross texts."""
 
     def __init__(self, texts: list[str], v: Vocabulary):
-        types, starts, ends, own_chunk, text_of, chunk_ids, chunk_text = [], [], [], [], [], [], []
-        n_chunks = 0
-        for d, text in enumerate(texts):
-            for m in _CHUNK.finditer(text):
-                c = v.chunk(m.group())
-                t, a, b = v.parts[c]
-                at = m.start()
-                types.append(t)
-                starts.append(a + at)
-                ends.append(b + at)
-                own_chunk.append(len(t))
-                chunk_ids.append(c)
-                chunk_text.append(d)
-            n_chunks = len(chunk_ids)
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
-        self.types, self.starts, self.ends = cat(types), cat(starts), cat(ends)
-        self.chunk_ids, self.chunk_text = np.array(chunk_ids, dtype=np.int64), np.array(chunk_text, dtype=np.int64)
-        self.chunk_of = np.repeat(np.arange(n_chunks), own_chunk) if n_chunks else np.zeros(0, dtype=np.int64)
-        self.text_of = self.chunk_text[self.chunk_of] if n_chunks else np.zeros(0, dtype=np.int64)
+        ids, at, per = [], [], []
+        known, add = v.chunks.get, v.chunk
+        for text in texts:
+            found = [(m.group(), m.start()) for m in _CHUNK.finditer(text)]
+            for c, _ in found:
+                i = known(c)
+                ids.append(add(c) if i is None else i)
+            at.extend(a for _, a in found)
+            per.append(len(found))
+        types, starts, ends, begin = v.tokens()
+        self.chunk_ids, at = np.array(ids, np.int64), np.array(at, np.int64)
+        self.chunk_text = np.repeat(np.arange(len(texts)), per)
+        first = begin[self.chunk_ids]
+        n = begin[self.chunk_ids + 1] - first
+        self.chunk_of = np.repeat(np.arange(len(ids)), n)
+        i = np.arange(len(self.chunk_of)) - np.repeat(np.cumsum(n) - n - first, n)
+        self.types, self.starts, self.ends = types[i], starts[i] + at[self.chunk_of], ends[i] + at[self.chunk_of]
+        self.text_of = self.chunk_text[self.chunk_of]
 
 
 def _shifted(values: np.ndarray, owner: np.ndarray, k: int, none: int) -> np.ndarray:

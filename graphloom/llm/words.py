@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloom.common import keep, spread
 
-#: Rows up to which a list of ids is broadcast (16 MB); beyond it the join is shuffled.
-SMALL = 2_000_000
+#: Rows up to which a list of ids is broadcast (some 25 MB as a hash relation); beyond it the join is shuffled.
+SMALL = 500_000
 LEAST_WORDS = 8
 
 
