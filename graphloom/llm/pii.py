@@ -51,6 +51,14 @@ def checked(text: str, kind: str, start: int, end: int):
             if b - a >= 5:
                 yield a, b
         return
+    # A sentence ends a finding: a point after a whole word (not an initial, P.O. or Ave.) and then white space.
+    stop = {"id_number": r"\.\s", "name": r"(?<=\w\w)\.\s", "address": r"(?<!Ave)(?<!P\.O)\.\s"}.get(kind)
+    if stop and (m := re.search(stop, s)):
+        end = start + m.start()
+    if kind == "address" and text[start:end].endswith(" Ave") and text[end : end + 1] == ".":
+        end += 1
+    if kind == "phone" and re.fullmatch(r"(?:\+\d\d \d|\d\d)(?:[ .]\d\d)+", text[start:end]) and (m := re.match(r"[ .]\d\d(?!\d)", text[end : end + 4])):
+        end += m.end()  # the last pair of a number written in pairs
     strip = {"phone": " \t\n\r\xa0,;:/-.", "id_number": " \t\n\r\xa0,;:().", "address": " \t\n\r\xa0,;:", "name": " \t\n\r\xa0,;:()"}[kind]
     a, b = start, end
     while b > a and text[b - 1] in strip:

@@ -134,6 +134,22 @@ Nobody at the mobile unit could explain why the {thing} is {adj}.
 I would split this statement, since the {role} and the {role} have different duties.
 Open point: does the {role} {verb} the {thing}, or does the {role}?
 We agreed to {verb} the {thing} at most twice, but the draft says nothing on the paper jam.
+A {adj} {thing} should never reach the {role} because of a {thing}.
+A {adj} {thing} should never reach the {role} because of a {thing}.
+A class for the {thing} was declared without a range, so the {adj} literals were dropped.
+Each {adj} {thing} has to be linked to exactly one {role} and one {thing}.
+If the {role} postpones the visit at the night desk, the {role} shall {verb} the {thing} on request.
+As long as the {role} reports a full queue, a {role} can {verb} the {thing} only at the data hall.
+No {role} may {verb} a {adj} {thing} while the {role} is handling a power loss.
+Unless the {thing} is {adj}, the {role} will {verb} it and {verb} the related {thing}.
+The {role} must be able to {verb} the {thing} from the mobile unit by default.
+When a double booking occurs in the data hall, the {role} must {verb} the {thing} and {verb} every {adj} {thing}.
+When a {thing} is {adj}, the {role} must {verb} it.
+Before the {role} asks for a refund, the {role} checks whether the {thing} is {adj}.
+After {n} notes the {role} should {verb} the {thing} and show the {thing} to the teller.
+In case of a full queue, {adj} and late copies of the {thing} are kept for {n} minutes.
+The phrase about the {adj} {thing} is vague; please say who may {verb} it.
+The {thing} and the {thing} look like one concept to me.
 Bei einem Ausfall der Leitung bleibt die Karte im Leser, Code {code}.
 Die Pflegekraft prüft die Dosis vor jeder Gabe und vermerkt {n} Werte.
 Offen ist, wer den Termin in Zeile {n} ändern darf.
@@ -153,7 +169,7 @@ En cas de panne, la carte reste dans le lecteur et un avis est envoyé.
 
 
 #: Patterns whose numbers look most like personal ones stand more often.
-HARD = ("Serial", "Tag", "Module", "The log line", "Batch", "Bank", "Declare")
+HARD = ("Serial", "Tag", "Module", "See", "Names", "Parameters", "{coin}", "The {coin}", "For the {coinl}", "The mappings", "Screen", "This applies", "The log line", "Batch", "Bank", "Declare")
 
 
 class Filler:
@@ -263,7 +279,7 @@ class Filler:
 def labelled(given: list[str], seed: int = 5, per_pattern: int = 14) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Rows of (text, [(start, end, kind)]): every pattern ``per_pattern`` times, two or three to a text."""
     f = Filler(given, seed)
-    sentences = [f.fill(p) for p in PATTERNS for _ in range(per_pattern)] + [f.fill(p) for p in PLAIN for _ in range(max(2, per_pattern // 2) * (4 if p.startswith(HARD) else 1))]
+    sentences = [f.fill(p) for p in PATTERNS for _ in range(per_pattern)] + [f.fill(p) for p in PLAIN for _ in range(max(2, per_pattern // 2) * (3 if p.startswith(HARD) else 1))]
     f.r.shuffle(sentences)
     rows, i = [], 0
     while i < len(sentences):
