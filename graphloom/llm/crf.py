@@ -353,7 +353,7 @@ class _Fold:
         return np.add.reduceat(g[self.token], self.bounds, axis=0) / self.n, (self.gold - expected) / self.n
 
 
-def train(rows: list[tuple[str, list[tuple[int, int, str]]]], given: frozenset[str], passes: int = 12, folds: int = 16, rate: float = 0.1, l2: float = 2e-4) -> Model:
+def train(rows: list[tuple[str, list[tuple[int, int, str]]]], given: frozenset[str], passes: int = 10, folds: int = 24, rate: float = 0.1, l2: float = 1e-4) -> Model:
     v = Vocabulary(given)
     b = Batch([t for t, _ in rows], v)
     f = features(b, v)

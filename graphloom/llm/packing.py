@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import keep
+from graphloom.common import keep, pick, spread
 from graphloom.llm import tokens
 
 OPEN = 64
@@ -150,7 +150,7 @@ def pack(sizes: DataFrame, specs: DataFrame, seed: int = 1, per_stripe: int = PE
 
 
 def packed(documents: DataFrame, specs: DataFrame, home: str = tokens.HOME, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    return pack(tokens.counted(documents, "doc_id", "text", home=home, vocabulary=vocabulary), specs)
+    return pack(tokens.counted(spread(pick(documents, "doc_id", "text")), "doc_id", "text", home=home, vocabulary=vocabulary), specs)
 
 
 def report(rows: DataFrame, specs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ _MAIL = re.compile(r"\S+?(?:@|\s*[\[({]\s*(?:at|AT|arroba)\s*[\])}]\s*|\s+(?:at|
 
 
 @functools.lru_cache(2)
-def model(given: frozenset[str], per_pattern: int = 35) -> crf.Model:
+def model(given: frozenset[str], per_pattern: int = 60) -> crf.Model:
     rows = pii_examples.labelled(sorted(given), per_pattern=per_pattern)[:MOST_EXAMPLES]
     m = crf.train(rows, frozenset(g.lower() for g in given))
     m.reset()

@@ -279,7 +279,7 @@ class Filler:
 def labelled(given: list[str], seed: int = 5, per_pattern: int = 14) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Rows of (text, [(start, end, kind)]): every pattern ``per_pattern`` times, two or three to a text."""
     f = Filler(given, seed)
-    sentences = [f.fill(p) for p in PATTERNS for _ in range(per_pattern)] + [f.fill(p) for p in PLAIN for _ in range(max(2, per_pattern // 2) * (3 if p.startswith(HARD) else 1))]
+    sentences = [f.fill(p) for p in PATTERNS for _ in range(per_pattern)] + [f.fill(p) for p in PLAIN for _ in range(max(2, per_pattern // 2) * (2 if p.startswith(HARD) else 1))]
     f.r.shuffle(sentences)
     rows, i = [], 0
     while i < len(sentences):
