@@ -29,7 +29,10 @@ def main(argv: list[str] | None = None) -> int:
     a = arguments().parse_args(argv)
     from pyspark.sql import SparkSession
 
+    from graphloom.common import ship
+
     spark = SparkSession.builder.appName("graphloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    ship(spark)
     if a.command == "query":
         from graphloom.queries_data import QUERIES as data
         from graphloom.queries_graph import QUERIES as graph

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -26,6 +29,23 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"c{fields.index(n)}").alias(n) for n in names))
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers, wherever they run and whatever their path is."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="graphloom-"), "graphloom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("graphloom", os.path.relpath(full, root)))
+    sc.addPyFile(path)  # Spark copies it to the executors
+    _shipped.add(sc.applicationId)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least a partition per core: a few small files would leave costly work to a few tasks."""
     want = df.sparkSession.sparkContext.defaultParallelism
