@@ -470,8 +470,7 @@ class Engine:
                 out, c = self.expr(out, it[2])
                 out = out.withColumn(it[1], c)
             elif kind == "values":
-                rows = self.spark.createDataFrame(it[2], ", ".join(f"`{n}` string" for n in it[1]))
-                out = self.join(out, rows, it[1], graph=False)
+                out = self.values(out, it[1], it[2])
             elif kind == "union":
                 parts = [self.solve(x, out) for x in it[1]]
                 out = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -496,9 +495,21 @@ class Engine:
         names = variables(g)
         return [c for c in df.columns if c in names]
 
-    def join(self, left: DataFrame, right: DataFrame, names, graph: bool = True) -> DataFrame:
-        on = (["graph_id"] if graph else []) + [n for n in dict.fromkeys(names) if n in left.columns]
-        return left.join(right, on) if on else left.crossJoin(F.broadcast(right))  # only VALUES: as many rows as the query names
+    def join(self, left: DataFrame, right: DataFrame, names) -> DataFrame:
+        return left.join(right, ["graph_id", *(n for n in dict.fromkeys(names) if n in left.columns)])
+
+    def values(self, out: DataFrame, names: list[str], rows: list[tuple]) -> DataFrame:
+        """VALUES: an inline table; rows with UNDEF, or without a shared variable, are unfolded in place."""
+        shared = [n for n in names if n in out.columns]
+        if shared and all(v is not None for r in rows for v in r):
+            return out.join(F.broadcast(self.spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))), shared)  # as many rows as the query names
+        if not rows:
+            return out.where("false").withColumns({n: F.lit(None).cast("string") for n in names if n not in shared})
+        each = F.explode(F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(names, r))) for r in rows)))
+        out = out.withColumn("__v", each)
+        for n in shared:
+            out = out.where(F.col(f"__v.{n}").isNull() | (F.col(f"__v.{n}") == F.col(n)))
+        return out.withColumns({n: F.col(f"__v.{n}") for n in names if n not in shared}).drop("__v")
 
     def triple(self, out: DataFrame, s, p, o) -> DataFrame:
         if s[0] == o[0] == "const" and p[0] == "iri" and (s[1], p[1], o[1]) in self.known:

@@ -469,9 +469,8 @@ def patch_type_counts(s, d):
 
 
 def stop_policy_matrix(s, d):
-    policies = s.createDataFrame([(p,) for p in repair.POLICIES], "policy string")
     flags = s.range(0, 48).select((F.col("id") % 3).cast("int").alias("iteration"), (F.floor(F.col("id") / 3) % 2).cast("int").alias("hard"), (F.floor(F.col("id") / 6) % 2).alias("b"), (F.floor(F.col("id") / 12) % 2).cast("int").alias("n_patches"), (F.floor(F.col("id") / 24) % 2 == 1).alias("unchanged"))
-    m = flags.join(F.broadcast(policies)).select("policy", "iteration", F.lit(2).alias("most"), "hard", F.when(F.col("b") == 1, 0.9).otherwise(0.5).alias("rate"), F.lit(0.8).alias("threshold"), "n_patches", "unchanged")
+    m = flags.withColumn("policy", F.explode(F.array(*(F.lit(p) for p in repair.POLICIES)))).select("policy", "iteration", F.lit(2).alias("most"), "hard", F.when(F.col("b") == 1, 0.9).otherwise(0.5).alias("rate"), F.lit(0.8).alias("threshold"), "n_patches", "unchanged")
     return m.select("policy", "iteration", "hard", "n_patches", "unchanged", F.col("rate").alias("pass_rate"), repair.stop_column("policy", "iteration", "most", "hard", "rate", "threshold", "n_patches", "unchanged").alias("reason"))
 
 
