@@ -20,6 +20,8 @@ def transitive(edges: DataFrame, keys: tuple[str, ...] = ("graph_id",), most_rou
     """p+ over edges (keys.., s, o): pairs joined by one step or more; cycles end by themselves."""
     cols = [*keys, "s", "o"]
     base = keep(edges.select(*cols).where("s is not null and o is not null").dropDuplicates(), "edges")
+    if base.isEmpty():
+        return base
     step = base.select(*keys, F.col("s").alias("mid"), F.col("o").alias("to"))
     parts, new = [base], base
     for _ in range(most_rounds):

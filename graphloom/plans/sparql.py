@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.common import keep
-from graphloom.model import TYPE, XSD, keyed, literal_key
+from graphloom.model import TYPE, XSD, literal_key, object_key
 from graphloom.operators.closure import transitive
 from graphloom.sources.turtle import _unescape
 
@@ -399,6 +399,8 @@ def ground(g: Group) -> set[tuple[str, str, str]]:
 
 
 HITS = "__hits"
+#: Graphs up to which the table with a row per graph is broadcast.
+FEW_GRAPHS = 100_000
 
 
 def number(c: Column) -> Column:
@@ -411,11 +413,13 @@ class Engine:
 
     def __init__(self, triples: DataFrame, graphs: DataFrame | None = None):
         self.spark: SparkSession = triples.sparkSession
-        self.t = keyed(triples)
+        # Triples are a set, so what a pattern binds is one as well: no pattern has to drop duplicates. Repeated rows would do no harm but work.
+        self.t = triples.select("graph_id", "s", "p", object_key().alias("o"))
         self.graphs = (graphs if graphs is not None else self.t.select("graph_id")).select("graph_id").dropDuplicates()
         self.known: dict[tuple[str, str, str], int] = {}
         self._paths: dict[str, DataFrame] = {}
         self._n = 0
+        self.few = False
 
     def unit(self, groups: list[Group]) -> DataFrame:
         """A row per graph with the numbers of the ground triples it holds, by one pass over the triples."""
@@ -457,16 +461,22 @@ class Engine:
         return reach.unionByName(nodes.select("graph_id", "s", F.col("s").alias("o"))).dropDuplicates()
 
     # patterns ------------------------------------------------------------------------------
-    def solve(self, g: Group, seed: DataFrame) -> DataFrame:
-        """Solutions of a group that extend ``seed`` (graph_id, __hits, bound variables)."""
-        out, filters = seed, []
-        for it in g.items:
+    def solve(self, g: Group, seed: DataFrame | None) -> DataFrame:
+        """Solutions of a group that extend ``seed`` (graph_id, __hits, bound variables); no seed: of all graphs, for a group that begins with a pattern."""
+        out, filters, run = seed, [], []
+        for it in [*g.items, ("end",)]:
             kind = it[0]
             if kind == "triple":
-                out = self.triple(out, *it[1:])
-            elif kind == "filter":
+                run.append(it[1:])
+                continue
+            if kind == "filter":
                 filters.append(it[1])  # filters hold for the whole group
-            elif kind == "bind":
+                continue
+            if run:
+                out, run = self.basic(out, run), []
+            if kind == "end":
+                break
+            if kind == "bind":
                 out, c = self.expr(out, it[2])
                 out = out.withColumn(it[1], c)
             elif kind == "values":
@@ -511,9 +521,11 @@ class Engine:
             out = out.where(F.col(f"__v.{n}").isNull() | (F.col(f"__v.{n}") == F.col(n)))
         return out.withColumns({n: F.col(f"__v.{n}") for n in names if n not in shared}).drop("__v")
 
-    def triple(self, out: DataFrame, s, p, o) -> DataFrame:
-        if s[0] == o[0] == "const" and p[0] == "iri" and (s[1], p[1], o[1]) in self.known:
-            return out.where(F.array_contains(HITS, self.known[s[1], p[1], o[1]]))
+    def is_ground(self, s, p, o) -> bool:
+        return s[0] == o[0] == "const" and p[0] == "iri" and (s[1], p[1], o[1]) in self.known
+
+    def rows(self, s, p, o) -> DataFrame:
+        """(graph_id, the pattern's variables) of one triple pattern."""
         rows = self.t if p[0] == "var" else self.path(p).withColumn("p", F.lit(""))
         names, conds, cols = [], [], []
         for c, t in (("s", s), ("p", p if p[0] == "var" else ("skip", "")), ("o", o)):
@@ -527,8 +539,30 @@ class Engine:
                     cols.append(c)
         for c in conds:
             rows = rows.where(c)
-        rows = rows.select("graph_id", *(F.col(c).alias(n) for c, n in zip(cols, names)))
-        return self.join(out, rows if len(cols) == 3 else rows.dropDuplicates(), names)
+        return rows.select("graph_id", *(F.col(c).alias(n) for c, n in zip(cols, names)))
+
+    def basic(self, out: DataFrame | None, patterns: list[tuple]) -> DataFrame:
+        """A basic graph pattern: ground triples are conditions, patterns of one subject are joined
+        with each other first, and these stars then with what is bound, by their shared variables."""
+        stars: dict[tuple, DataFrame] = {}
+        for s, p, o in patterns:
+            if self.is_ground(s, p, o):
+                out = out.where(F.array_contains(HITS, self.known[s[1], p[1], o[1]]))
+            else:
+                got = self.rows(s, p, o)
+                stars[s] = got if s not in stars else self.join(stars[s], got, [c for c in got.columns if c != "graph_id"])
+        left = list(stars.values())
+        while left:
+            bound = [] if out is None else [c for c in out.columns if c not in ("graph_id", HITS)]
+            k = next((i for i, d in enumerate(left) if set(d.columns) & set(bound)), 0)
+            star = left.pop(k)
+            if out is None:
+                out = star.withColumn(HITS, F.array().cast("array<int>"))
+            elif not bound and self.few:
+                out = star.join(F.broadcast(out), "graph_id")  # a row per graph, counted
+            else:
+                out = self.join(out, star, [c for c in star.columns if c != "graph_id"])
+        return out
 
     # expressions ---------------------------------------------------------------------------
     def only_ground(self, g: Group) -> Column | None:
@@ -578,10 +612,11 @@ class Engine:
     # queries -------------------------------------------------------------------------------
     def select(self, query: str, prefixes: dict[str, str] | None = None, seed: DataFrame | None = None) -> DataFrame:
         _, names, g = parse(query, prefixes)
-        unit = self.unit([g])
-        if seed is not None:
-            unit = unit.join(seed, "graph_id")
-        out = self.solve(g, unit)
+        if seed is None and not ground(g) and g.items and g.items[0][0] == "triple" and not any(it[0] in ("union", "minus") for it in g.items):
+            out = self.solve(g, None)
+        else:
+            unit = self.unit([g])
+            out = self.solve(g, unit if seed is None else unit.join(seed, "graph_id"))
         return out.select("graph_id", *(names or [c for c in out.columns if c not in ("graph_id", HITS) and not c.startswith("__")])).dropDuplicates()
 
     def ask(self, queries: list[str], prefixes: dict[str, str] | None = None) -> DataFrame:
@@ -593,6 +628,7 @@ class Engine:
             except SparqlError as e:
                 parsed.append(e)
         unit = keep(self.unit([p[2] for p in parsed if not isinstance(p, Exception)]), "hits")
+        self.few = unit.count() <= FEW_GRAPHS
         out = []
         for i, p in enumerate(parsed, 1):
             try:
