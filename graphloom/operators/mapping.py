@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -24,19 +25,22 @@ class TableMap:
     literals: tuple[str, ...] = ()
 
     def subject(self, *cols: str):
-        return F.concat_ws("/", F.lit(BASE + self.name), *(F.col(c).cast("string") for c in cols))
+        """The IRI of a row; null, and so no triples, where a part of the key is null."""
+        return F.concat(F.lit(BASE + self.name), *(x for c in cols for x in (F.lit("/"), F.col(c).cast("string"))))
 
 
 def mapped(df: DataFrame, m: TableMap, graph: str = "g") -> DataFrame:
-    """Type, reference and literal triples of a table; null values have none. One scan, one explode."""
+    """Type, reference and literal triples of a table; null values have none.
+
+    A branch per predicate, each reading the key and one column: a pattern on one predicate
+    leaves a single branch of the plan, the others fold away before anything is read.
+    """
     kinds = dict(df.dtypes)
-    st = lambda p, o, kind, dt: F.struct(F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"))
-    rows = [st(TYPE, F.lit(BASE + m.name.capitalize()), "iri", None)]
-    rows += [st(f"{BASE}{m.name}#{c}", F.concat(F.lit(f"{BASE}{t}/"), F.col(c).cast("string")), "iri", None) for c, t in m.references.items()]
-    rows += [st(f"{BASE}{m.name}#{c}", F.col(c), "lit", XSD + DATATYPES.get(kinds[c], "string")) for c in m.literals]
-    none = F.lit(None).cast("string")
-    return df.select(m.subject(*m.keys).alias("s"), F.explode(F.array(*rows)).alias("t")).where("t.o is not null").select(
-        F.lit(graph).alias("graph_id"), "s", F.lit("iri").alias("s_kind"), "t.p", "t.o", "t.o_kind", "t.o_dt", none.alias("o_lang")).select(*COLUMNS)
+    s = m.subject(*m.keys)
+    parts = [triples(df, s, F.lit(TYPE), F.lit(BASE + m.name.capitalize()), graph=graph)]
+    parts += [triples(df.where(F.col(c).isNotNull()), s, F.lit(f"{BASE}{m.name}#{c}"), F.concat(F.lit(f"{BASE}{t}/"), F.col(c).cast("string")), graph=graph) for c, t in m.references.items()]
+    parts += [triples(df, s, F.lit(f"{BASE}{m.name}#{c}"), F.col(c), "lit", XSD + DATATYPES.get(kinds[c], "string"), graph) for c in m.literals]
+    return functools.reduce(DataFrame.unionByName, parts).select(*COLUMNS)
 
 
 __all__ = ["BASE", "TableMap", "mapped", "triples"]

@@ -408,13 +408,29 @@ def number(c: Column) -> Column:
     return F.regexp_extract(c, r'^"([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+))"\^\^http://www\.w3\.org/2001/XMLSchema#(?:integer|decimal|double|float|int|long|short|nonNegativeInteger)$', 1).try_cast("decimal(38,18)")
 
 
+_LITERAL = re.compile(r'"(.*)"(?:\^\^(.*)|@(.*))?', re.S)
+
+
+def same_object(key: str) -> Column:
+    """The object is the term of this key, said of the plain columns, so that scans can filter by it."""
+    m = _LITERAL.fullmatch(key)
+    if not m:
+        return (F.col("__o") == key) & (F.col("o_kind") != "lit")
+    lex, dt, lang = m.groups()
+    kind = (F.col("__o") == lex) & (F.col("o_kind") == "lit")
+    if lang:
+        return kind & (F.col("o_lang") == lang)
+    plain = F.coalesce("o_dt", F.lit(XSD + "string"))
+    return kind & F.col("o_lang").isNull() & (plain == (dt or XSD + "string"))
+
+
 class Engine:
     """Queries over graphs given as canonical triples; ``graphs`` (graph_id) may list empty graphs too."""
 
     def __init__(self, triples: DataFrame, graphs: DataFrame | None = None):
         self.spark: SparkSession = triples.sparkSession
         # Triples are a set, so what a pattern binds is one as well: no pattern has to drop duplicates. Repeated rows would do no harm but work.
-        self.t = triples.select("graph_id", "s", "p", object_key().alias("o"))
+        self.t = triples.select("graph_id", "s", "p", object_key().alias("o"), F.col("o").alias("__o"), "o_kind", "o_dt", "o_lang")
         self.graphs = (graphs if graphs is not None else self.t.select("graph_id")).select("graph_id").dropDuplicates()
         self.known: dict[tuple[str, str, str], int] = {}
         self._paths: dict[str, DataFrame] = {}
@@ -442,7 +458,7 @@ class Engine:
     def _path(self, p) -> DataFrame:
         kind = p[0]
         if kind == "iri":
-            return self.t.where(F.col("p") == p[1]).select("graph_id", "s", "o")
+            return self.t.where(F.col("p") == p[1]).select("graph_id", "s", "o")  # what is not asked for is never read
         if kind == "inv":
             return self.path(p[1]).select("graph_id", F.col("o").alias("s"), F.col("s").alias("o"))
         if kind == "alt":
@@ -526,7 +542,13 @@ class Engine:
 
     def rows(self, s, p, o) -> DataFrame:
         """(graph_id, the pattern's variables) of one triple pattern."""
-        rows = self.t if p[0] == "var" else self.path(p).withColumn("p", F.lit(""))
+        if p[0] == "var":
+            rows = self.t
+        elif p[0] == "iri" and o[0] == "const":
+            rows = self.t.where((F.col("p") == p[1]) & same_object(o[1])).withColumn("p", F.lit(""))
+            o = ("skip", "")
+        else:
+            rows = self.path(p).withColumn("p", F.lit(""))
         names, conds, cols = [], [], []
         for c, t in (("s", s), ("p", p if p[0] == "var" else ("skip", "")), ("o", o)):
             if t[0] == "const":

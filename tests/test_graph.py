@@ -74,6 +74,19 @@ def test_ask(spark, q, want):
     assert got[0][:3] == ("g", 1, want) and got[1][2] is False and got[1][3]
 
 
+def test_patterns_reach_the_scan(spark, tmp_path):
+    """A constant object is a filter of the scan; other predicates' columns are not read."""
+    from graphloom.operators.mapping import BASE, TableMap, mapped
+
+    spark.createDataFrame([(1, "a", 5), (2, "b", None), (None, "a", 6)], "k int, seg string, ref int").write.parquet(str(tmp_path / "t"))
+    g = mapped(spark.read.parquet(str(tmp_path / "t")), TableMap("t", ("k",), {"ref": "u"}, ("seg",)))
+    q = Engine(g).select(f'SELECT ?x WHERE {{ ?x <{BASE}t#seg> "a" }}')
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(seg,a)" in plan and "ref" not in plan.split("ReadSchema")[1].split(">")[0] and plan.count("FileScan") == 1
+    assert rows(q, "x") == [(BASE + "t/1",)]  # a null key or value has no triples
+    assert rows(g.where(F.col("p") == BASE + "t#ref"), "s", "o") == [(BASE + "t/1", BASE + "u/5")]
+
+
 def test_ask_on_empty_graphs(spark):
     g = frame(spark, [])
     graphs = spark.createDataFrame([("a",)], "graph_id string")
