@@ -474,6 +474,23 @@ def stop_policy_matrix(s, d):
     return m.select("policy", "iteration", "hard", "n_patches", "unchanged", F.col("rate").alias("pass_rate"), repair.stop_column("policy", "iteration", "most", "hard", "rate", "threshold", "n_patches", "unchanged").alias("reason"))
 
 
+def token_usage(s, d):
+    """Tokens that the generator reports, by graph."""
+    t = lambda k: F.sum(F.try_element_at("tokens", F.lit(k)).cast("bigint"))
+    return table(s, d, "llm_responses").groupBy("graph_id").agg(F.count("*").alias("responses"), t("prompt_tokens").alias("prompt_tokens"), t("completion_tokens").alias("completion_tokens"))
+
+
+def repair_prompts(s, d):
+    v = pick(table(s, d, "validation_results"), "graph_id", "message", "path", "focus_node")
+    return drafting.repair_prompts(v).dropDuplicates()
+
+
+def draft_prompts(s, d):
+    """A prompt per batch of five requirements, in order."""
+    r = pick(table(s, d, "requirements"), "req_id", "identifier", "text").select(F.col("req_id").alias("ord"), F.coalesce("identifier", F.lit("-")).alias("identifier"), F.coalesce("text", F.lit("")).alias("text"))
+    return drafting.draft_prompt(req.batches(r, 5), "- class d:Bank", "- none").select("batch", "prompt")
+
+
 def _nation_graph(s, d):
     return mapped(table(s, d, "nation"), NATION).unionByName(mapped(table(s, d, "region"), REGION))
 
@@ -510,7 +527,7 @@ QUERIES = {
         direct_mapping, predicate_stats, graph_merge, bgp_star, bgp_chain, ground_ask_suite, bind_exists_or, values_division, not_exists, double_booking, list_member_path, path_plus, path_star, path_cycle, path_inverse_sequence, optional_union,
         rdfs_subclass_types, rdfs_domain_range, owl_inverse, shacl_report, shacl_summary, shacl_conforms, results_summary, literal_coerce, restriction_strip, declare_missing_classes, invalid_decimals, clean_pipeline, exact_prf, normalized_prf, semantic_prf,
         cq_pass_rate, iteration_summary, slugify, fr_identifier, code_fence, prefix_normalize, prefix_ensure, line_sanitize, boilerplate, heuristic_draft, chunk_batches, split_assign, unmatched_ids, exemplar_topk, schema_context, drift_samples, redundant_axioms,
-        shacl_patches, shacl_patches_soft, cq_patches, merge_patches, apply_patches, patch_type_counts, stop_policy_matrix, turtle_parse, ntriples_roundtrip, report_json, repair_loop,
+        shacl_patches, shacl_patches_soft, cq_patches, merge_patches, apply_patches, patch_type_counts, stop_policy_matrix, token_usage, repair_prompts, draft_prompts, turtle_parse, ntriples_roundtrip, report_json, repair_loop,
     )
 } | {f"shacl_{n}": _shacl(n) for n in _SHAPES}
 

@@ -163,6 +163,10 @@ SELECT graph_id, iteration, 'addProperty' AS action, subject, predicate, object,
     "shacl_patches_soft": "WITH v AS (SELECT *, contains(lower(coalesce(severity, '')), 'violation') AS h FROM validation_results), g AS (SELECT *, max(h) OVER (PARTITION BY graph_id, iteration) AS any_hard FROM v) "
     "SELECT graph_id, iteration, count(*) AS n FROM (SELECT DISTINCT graph_id, iteration, coalesce(nullif(focus_node, ''), 'atm:UnknownFocus') AS a, coalesce(nullif(path, ''), 'rdfs:comment') AS b, coalesce(nullif(value, ''), 'xsd:string') AS c FROM g WHERE h OR NOT any_hard) GROUP BY 1, 2",
     "line_sanitize": _LINES,
+    "token_usage": "SELECT graph_id, count(*) AS responses, CAST(sum(tokens['prompt_tokens']) AS BIGINT) AS prompt_tokens, CAST(sum(tokens['completion_tokens']) AS BIGINT) AS completion_tokens FROM llm_responses GROUP BY 1",
+    "repair_prompts": "SELECT DISTINCT graph_id, concat_ws(' | ', message, CASE WHEN path <> '' THEN 'path=' || path END, CASE WHEN focus_node <> '' THEN 'focus=' || focus_node END) AS prompt FROM validation_results",
+    "draft_prompts": "SELECT CAST(floor((req_id - 1) / 5) AS BIGINT) AS batch, 'A. Vocabulary' || chr(10) || '- class d:Bank' || chr(10) || chr(10) || 'B. Examples' || chr(10) || '- none' || chr(10) || chr(10) || 'C. Requirements' || chr(10) "
+    "|| string_agg('- [' || coalesce(identifier, '-') || '] ' || coalesce(text, ''), chr(10) ORDER BY req_id) AS prompt FROM requirements GROUP BY 1",
     "merge_patches": """WITH p AS (SELECT DISTINCT graph_id, action, subject, predicate, object FROM patches WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL),
 f AS (SELECT * FROM p WHERE action = 'addProperty'), t AS (SELECT * FROM p WHERE action <> 'addProperty' AND NOT EXISTS (SELECT 1 FROM f WHERE f.graph_id = p.graph_id AND f.subject = p.subject AND f.predicate = p.predicate AND f.object = p.object))
 SELECT graph_id, 0 AS part, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT graph_id, 1, count(*) FROM t GROUP BY 1""",
