@@ -2,7 +2,8 @@
 
 The catalogue has a row per file, field and type, aggregated on the map side before any
 shuffle. ``lag`` over the files of a series turns it into islands (lifespans); their starts
-and endings are the log of changes. An alias table generates the casts of one stable table.
+and endings are the log of changes. The catalogue, its renames and an alias table generate the
+columns and casts of one stable table, in which every value stays.
 
 Defined results: a null or unreadable payload has no fields, its file still counts; ties in
 time go by file_id; of several types in one file the one on most lines holds, then the
@@ -12,16 +13,21 @@ first by name; an empty object is no field.
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from graphloom.common import keep, numbered, pick, spread
 
 #: Files whose lifespans are looked at together.
 BLOCK = 1024
+#: Fields that become columns of the stable table, those of most files first; values of further ones stand in ``rest``.
+MOST = 1000
+TYPES = {"boolean": "boolean", "number": "double", "list": "string", "string": "string"}
 KEYS = ("series_id", "file_id", "file_written_at")
 
 
@@ -41,7 +47,12 @@ def leaves(doc: dict):
         if isinstance(v, dict):
             stack.extend((f"{at}.{k}" if at else k, x) for k, x in v.items())
         elif v is not None and at:
-            yield at, v
+            yield _sound(at), v
+
+
+def _sound(text: str) -> str:
+    """Without lone surrogates, which no column can hold."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
 def _parse(text: str | None):
@@ -111,7 +122,12 @@ def lifespans(cat: DataFrame) -> DataFrame:
 
 def changes(lines: DataFrame) -> DataFrame:
     """p6_found: (file_id, change_kind, field_path, new_path) of each file against the one before it."""
-    edge = keep(boundaries(keep(catalogue(lines), "fields")), "boundaries")
+    return changed(keep(catalogue(lines), "fields"))
+
+
+def changed(cat: DataFrame) -> DataFrame:
+    """``changes`` from the catalogue."""
+    edge = keep(boundaries(cat), "boundaries")
     none = F.lit(None).cast("string")
     starts = edge.where("starts and has_prev").select("file_id", "field_path", F.col("field_type").alias("new_type"), none.alias("old_type"))
     ends = edge.where("ends and next_file is not null").select(F.col("next_file").alias("file_id"), "field_path", none.alias("new_type"), F.col("field_type").alias("old_type"))
@@ -130,7 +146,7 @@ def changes(lines: DataFrame) -> DataFrame:
     return typed.unionByName(renamed).unionByName(rest)
 
 
-#: Stable column -> (type, spellings it has had). Fixed values of this data's producers.
+#: Stable column -> (type, spellings it is known to have had). Fixed values of this data's producers; ``columns`` adds to them.
 ALIASES = {
     "iteration": ("bigint", ["iteration"]),
     "shacl_total": ("bigint", ["shacl.total"]),
@@ -147,9 +163,72 @@ ALIASES = {
 }
 
 
-def consistent(lines: DataFrame, aliases: dict[str, tuple[str, list[str]]] = ALIASES) -> DataFrame:
-    """All files in one table with stable columns; casts come from the alias table, a value
-    that does not cast is null there and still stands in ``raw``."""
+def columns(cat: DataFrame, log: DataFrame, aliases: dict[str, tuple[str, list[str]]] = ALIASES) -> dict[str, tuple[str, list[str]]]:
+    """Stable column -> (type, spellings) for every field of the catalogue.
+
+    The aliases given come first. Two fields that the log calls renamed share a column, unless
+    spellings of both stand in one file: then one left and another came by chance. A column that
+    is not given has the type most of its values have, and the name of its spelling in most files.
+    """
+    known = cat.where("field_path is not null")
+    per = known.groupBy("field_path").agg(F.count_distinct("file_id").alias("files"), *(F.sum(F.when(F.col("field_type") == k, F.col("n")).otherwise(0)).alias(k) for k in TYPES))
+    seen = {r.field_path: r for r in per.orderBy(F.desc("files"), "field_path").limit(MOST).collect()}
+    groups = {c: list(ps) for c, (_, ps) in aliases.items()}
+    of = {p: c for c, ps in groups.items() for p in ps}
+    groups |= {("", p): [p] for p in seen if p not in of}
+    of |= {p: ("", p) for p in seen if p not in of}
+
+    paths = known.where(F.col("field_path").isin(list(of))).select("file_id", F.regexp_replace("field_path", r"\.?[^.]*$", "").alias("parent"), F.col("field_path").alias("a")).distinct()
+    together = {(r.a, r.b) for r in paths.join(paths.withColumnRenamed("a", "b"), ["file_id", "parent"]).where("a <> b").select("a", "b").distinct().collect()}
+    links = log.where(F.col("change_kind") == "renamed").groupBy("field_path", "new_path").agg(F.count("*").alias("n"))
+    links = links.where(F.col("field_path").isin(list(of)) & F.col("new_path").isin(list(of))).collect()
+    for a, b, _ in sorted(links, key=lambda r: (-r.n, r.field_path, r.new_path)):
+        x, y = of[a], of[b]
+        if y in aliases:
+            x, y = y, x
+        if x == y or y in aliases or any((p, q) in together for p in groups[x] for q in groups[y]):
+            continue
+        groups[x] += groups.pop(y)
+        of |= {p: x for p in groups[x]}
+
+    out = {c: (t, groups[c]) for c, (t, _) in aliases.items()}
+    taken = {c.lower() for c in (*KEYS, "line_no", "rest", "raw", *aliases)}
+    for c, ps in sorted((c, ps) for c, ps in groups.items() if c not in aliases):
+        ps = sorted(ps, key=lambda p: (-seen[p].files, p))
+        kind = max(TYPES, key=lambda k: (sum(seen[p][k] for p in ps), k))
+        name = stem = re.sub(r"\W", "_", ps[0]).lower()
+        i = 1
+        while name.lower() in taken:
+            i += 1
+            name = f"{stem}_{i}"
+        taken.add(name.lower())
+        out[name] = (TYPES[kind], ps)
+    return out
+
+
+def values(lines: DataFrame) -> DataFrame:
+    """The lines with ``fields``: a map of the text of every value by its field path; lists as JSON."""
     src = pick(lines, *KEYS, "line_no", "payload")
-    col = lambda paths, t: F.coalesce(*(F.get_json_object("payload", "$." + p) for p in paths)).try_cast(t)
-    return src.select(*KEYS, "line_no", *(col(paths, t).alias(c) for c, (t, paths) in aliases.items()), F.col("payload").alias("raw"))
+    text = lambda v: _sound(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False))
+
+    def run(batches):
+        for b in batches:
+            maps = [[(p, text(v)) for p, v in dict(leaves(_parse(t))).items()] for t in b.column("payload").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maps, pa.map_(pa.string(), pa.string()))], names=[*b.schema.names, "fields"])
+
+    return spread(src).mapInArrow(run, StructType([*src.schema.fields, StructField("fields", MapType(StringType(), StringType()))]))
+
+
+def consistent(lines: DataFrame, aliases: dict[str, tuple[str, list[str]]] = ALIASES) -> DataFrame:
+    """All files in one table with stable columns; names, types and spellings come from ``columns``.
+
+    ``rest`` has the text of every value that is in no column, by field path: one that does not
+    cast, a second spelling in one line, a field beyond ``MOST``. ``raw`` is the payload.
+    """
+    cat = keep(catalogue(lines), "fields")
+    chains = columns(cat, changed(cat), aliases)
+    one = lambda p, t: F.try_element_at("fields", F.lit(p)).try_cast(t)
+    used = (F.coalesce(*(F.when(one(p, t).isNotNull(), F.lit(p)) for p in ps)) for t, ps in chains.values())
+    left = F.array_except(F.map_keys("fields"), F.array_compact(F.array(*used)))
+    rest = F.map_from_entries(F.transform(left, lambda k: F.struct(k, F.try_element_at("fields", k))))
+    return values(lines).select(*KEYS, "line_no", *(F.coalesce(*(one(p, t) for p in ps)).alias(c) for c, (t, ps) in chains.items()), rest.alias("rest"), F.col("payload").alias("raw"))

@@ -32,7 +32,7 @@ QUERIES: dict[str, Query] = {
     "p5_found": lambda s, d: copies.found(table(s, d, "requirement_records")),
     "p5_collapsed": lambda s, d: copies.collapsed(table(s, d, "requirement_records")),
     "p6_found": lambda s, d: drift.changes(table(s, d, "iteration_log_lines")),
-    "p6_table": lambda s, d: drift.consistent(table(s, d, "iteration_log_lines")).drop("raw"),
+    "p6_table": lambda s, d: drift.consistent(table(s, d, "iteration_log_lines")),
     "p7_found": lambda s, d: _p7(s, d).where("mark is not null").select("field_name", "term", "mark"),
     "p7_counts": lambda s, d: _p7(s, d).select("field_name", "term", "occurrences", "records"),
     "p7_ngrams": lambda s, d: terms.ngram_counts(terms.sequences(table(s, d, "validation_results"), "result_id", {"validation_results.path": "path"}), 3).selectExpr("concat_ws(' ', gram) as gram", "occurrences", "records"),

@@ -178,6 +178,29 @@ def test_drift(spark):
     assert drift.consistent(df).count() == len(data)
 
 
+def test_consistent_keeps_every_value(spark):
+    docs = [
+        {"stop": {"reason": "a"}, "iteration": "no", "x": {"p": 1.5, "q": True}, "both": {"u": 1, "v": 2}}, {"stop": {"stopReason": "b"}, "x": {"P": 2.5, "q": "odd"}, "both": {"u": 1, "w": 3}},
+        {"x": {"P": [1, "\u00e4"]}, "x_q": "clash", "both": {"v": 5, "w": 6}, "iteration": 7}, {"stop": {"why": "c", "reason": "d"}, "a\ud800": "\udc00"},
+    ]
+    lines = [json.dumps(d) for d in docs] + ["bad", None]
+    data = [(i, "s", datetime.datetime(2024, 1, 1, i), 0, p) for i, p in enumerate(lines)]
+    df = spark.createDataFrame(data, "file_id bigint, series_id string, file_written_at timestamp_ntz, line_no int, payload string")
+    cat = drift.catalogue(df)
+    chains = drift.columns(cat, drift.changes(df))
+    assert chains["stop_reason"] == ("string", ["stop.reason", "stop.why", "stop.stopReason"]) and chains["x_p"][0] == "double" and sorted(chains["x_p"][1]) == ["x.P", "x.p"]
+    assert not any({"both.v", "both.w"} <= set(ps) for _, ps in chains.values())  # renamed says the log, but both are in file 2
+    got = {r.file_id: r for r in drift.consistent(df).collect()}
+    assert [r for r in range(6) if got[r].raw != lines[r]] == [] and len(got) == 6
+    assert [got[i].stop_reason for i in range(4)] == ["a", "b", None, "d"] and [got[i].x_p for i in range(3)] == [1.5, 2.5, None] and got[2].iteration == 7
+    for i, d in enumerate(docs):  # each value is in its column or in rest
+        for p, v in drift.leaves(d):
+            c, ps = next((c, ps) for c, (_, ps) in chains.items() if p in ps)
+            other = [q for q in ps if q != p and q in dict(drift.leaves(d))]
+            assert p in got[i].rest or (got[i][c] is not None and not (other and all(q not in got[i].rest for q in other))), (i, p, v)
+    assert got[0].rest == {"iteration": "no"} and got[2].rest == {"x.P": '[1, "\u00e4"]'} and got[3].rest == {"stop.why": "c"} and got[4].rest == {}
+
+
 def test_drift_over_blocks(spark, monkeypatch):
     """A series over several blocks, against a comparison of neighbours; lifespans tile the files."""
     monkeypatch.setattr(drift, "BLOCK", 4)
