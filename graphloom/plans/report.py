@@ -1,4 +1,4 @@
-"""Reports: one JSON text per graph, optional parts only where there is something."""
+"""Reports: JSON texts per graph, in numbered parts where it is large; optional parts only where there is something."""
 
 from __future__ import annotations
 
@@ -7,33 +7,53 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.common import keep, numbered
 from graphloom.operators import shapes
 
+#: Rows of a list in one part of a report.
+PART = 1000
 
-def report_json(graphs: DataFrame, results: DataFrame, answers: DataFrame, patches: DataFrame | None = None, most: int = 1000) -> DataFrame:
-    """(graph_id, report). Lists hold at most ``most`` rows, in order; the counts are of all rows."""
-    summary = shapes.summary(results, "graph_id")
-    first = results.select("graph_id", F.struct(*(c for c in shapes.RESULT if c != "graph_id")).alias("r"))
-    some = _first(first, "r", most).withColumnRenamed("rows", "results")
-    cqs = answers.groupBy("graph_id").agg(F.count("*").alias("cq_total"), F.count_if("success").alias("cq_passed"), F.array_sort(F.collect_list(F.struct("cq_id", "success", "message"))).alias("cqs"))  # a question list
-    out = graphs.select("graph_id").dropDuplicates().join(summary, "graph_id", "left").join(some, "graph_id", "left").join(cqs, "graph_id", "left")
-    parts = [
-        "graph_id", F.struct(F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("hard", F.lit(0)).alias("hard"), F.coalesce("soft", F.lit(0)).alias("soft")).alias("validation"),
+
+def report_json(graphs: DataFrame, results: DataFrame, answers: DataFrame, patches: DataFrame | None = None, size: int = PART) -> DataFrame:
+    """(graph_id, part, report). Lists are whole and in order, ``size`` rows of each in a part; parts count from 1.
+
+    The first part has the counts and the questions, each part says how many there are.
+    """
+    graphs = graphs.select("graph_id").where("graph_id is not null").dropDuplicates()
+    found = _ordered(results, [c for c in shapes.RESULT if c != "graph_id"])
+    summary = shapes.summary(found.select("graph_id", "r.severity"), "graph_id").withColumn("part", F.lit(1))
+    cqs = answers.groupBy("graph_id").agg(F.count("*").alias("cq_total"), F.count_if("success").alias("cq_passed"), F.array_sort(F.collect_list(F.struct("cq_id", "success", "message"))).alias("cqs")).withColumn("part", F.lit(1))  # a question list
+    lists = [_parts(found, "results", size)]
+    if patches is not None:
+        lists.append(_parts(_ordered(patches, ["action", "subject", "predicate", "object"]), "patches", size))
+    out = graphs.withColumn("parts", F.lit(1))
+    for _, n in lists:
+        out = out.join(n, "graph_id", "left").withColumn("parts", F.greatest("parts", "n")).drop("n")
+    out = out.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts"))))
+    for rows in (summary, cqs, *(rows for rows, _ in lists)):
+        out = out.join(rows, ["graph_id", "part"], "left")
+    counts = F.struct(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "hard", "soft")))
+    body = [
+        "graph_id", "part", "parts", F.when(F.col("part") == 1, counts).alias("validation"),
         F.when(F.size("results") > 0, F.col("results")).alias("results"), F.when(F.col("cq_total") > 0, F.struct("cq_total", "cq_passed", "cqs")).alias("questions"),
     ]
     if patches is not None:
-        rows = _first(patches.select("graph_id", F.struct("action", "subject", "predicate", "object").alias("r")), "r", most).withColumnRenamed("rows", "patches")
-        out = out.join(rows, "graph_id", "left")
-        parts.append(F.when(F.size("patches") > 0, F.col("patches")).alias("patches"))
-    return out.select("graph_id", F.to_json(F.struct(*parts)).alias("report"))
+        body.append(F.when(F.size("patches") > 0, F.col("patches")).alias("patches"))
+    return out.select("graph_id", "part", F.to_json(F.struct(*body)).alias("report"))
+
 
+def _ordered(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(graph_id, r, pos): the rows in order. They are sorted by range, so that a large graph is no single task."""
+    return numbered(df.where("graph_id is not null").select("graph_id", F.struct(*cols).alias("r")), "graph_id", "r")
 
-def _first(df: DataFrame, c: str, most: int) -> DataFrame:
-    from pyspark.sql import Window
 
-    w = Window.partitionBy("graph_id").orderBy(c)
-    top = df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
-    return top.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", c))), lambda x: x[c]).alias("rows"))
+def _parts(rows: DataFrame, name: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """(graph_id, part, ``name``): each graph's rows in order, ``size`` in a part; and (graph_id, n), its number of parts."""
+    per = keep(rows.groupBy("graph_id").agg(F.min("pos").alias("first"), F.ceil(F.count("*") / size).cast("int").alias("n")), "parts")
+    part = (F.floor((F.col("pos") - F.col("first")) / size) + 1).cast("int")
+    cut = rows.join(per, "graph_id").select("graph_id", part.alias("part"), "pos", "r")
+    lists = cut.groupBy("graph_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda x: x["r"]).alias(name))
+    return lists, per.select("graph_id", "n")
 
 
 def save(rows: DataFrame, path: str) -> None:

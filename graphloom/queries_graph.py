@@ -508,7 +508,7 @@ def ntriples_roundtrip(s, d):
 def report_json(s, d):
     v = pick(table(s, d, "validation_results"), "result_id", "graph_id", "focus_node", "path", "message", "severity", "source_shape", "constraint_component", "value").dropDuplicates(["result_id"]).withColumnRenamed("constraint_component", "component")
     answers = s.createDataFrame([], "graph_id string, cq_id int, success boolean, message string")
-    return report.report_json(v.select("graph_id").where("graph_id is not null"), v, answers, most=20)
+    return report.report_json(v.select("graph_id").where("graph_id is not null"), v, answers)
 
 
 def repair_loop(s, d):

@@ -10,7 +10,7 @@ import __spark_entry__
 from graphloom import cli
 from graphloom.model import SCHEMA, XSD
 from graphloom.operators.shapes import Constraint
-from graphloom.plans import pipeline
+from graphloom.plans import pipeline, report
 from graphloom.streaming import validation
 
 SHAPES = "@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix ex: <http://e.org/o#> . @prefix owl: <http://www.w3.org/2002/07/owl#> .\nex:S sh:targetClass owl:Axiom ; sh:property [ sh:path ex:sourceRequirement ; sh:minCount 1 ] ."
@@ -74,3 +74,21 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("bad"), "component", "n") == [("s|datatype", 1), ("s|minInclusive", 2)]
+
+
+def test_report_holds_whole_lists(spark):
+    v = spark.range(0, 2503).select(
+        F.when(F.col("id") < 3, "small").when(F.col("id") == 3, F.lit(None)).otherwise("large").alias("graph_id"), F.format_string("n%05d", (F.col("id") * 7919) % 2503).alias("focus_node"),
+        F.lit("p").alias("path"), F.lit("m").alias("message"), F.lit("Violation").alias("severity"), F.lit("s").alias("source_shape"), F.lit("c").alias("component"), F.col("id").cast("string").alias("value"),
+    )
+    graphs = spark.createDataFrame([("small",), ("large",), ("none",), (None,)], "graph_id string")
+    answers = spark.createDataFrame([("none", 1, True, None), ("large", 1, False, "no")], "graph_id string, cq_id int, success boolean, message string")
+    patches = spark.range(0, 1200).select(F.lit("small").alias("graph_id"), F.lit("add").alias("action"), F.format_string("s%04d", F.col("id")).alias("subject"), F.lit("p").alias("predicate"), F.lit("o").alias("object"))
+    got = {(r.graph_id, r.part): json.loads(r.report) for r in report.report_json(graphs, v, answers, patches).collect()}
+    assert sorted(got) == [("large", 1), ("large", 2), ("large", 3), ("none", 1), ("small", 1), ("small", 2)]
+    large = [x for k in (1, 2, 3) for x in got["large", k]["results"]]
+    want = sorted((r.focus_node, r.value) for r in v.where("graph_id = 'large'").collect())
+    assert [(x["focus_node"], x["value"]) for x in large] == want and [len(got["large", k]["results"]) for k in (1, 2, 3)] == [1000, 1000, 499]
+    assert got["large", 1]["validation"] == {"total": 2499, "hard": 2499, "soft": 0} and got["large", 1]["questions"]["cq_total"] == 1 and not {"validation", "questions"} & set(got["large", 2])
+    assert [x["subject"] for k in (1, 2) for x in got["small", k]["patches"]] == [f"s{i:04d}" for i in range(1200)] and len(got["small", 1]["results"]) == 3 and "results" not in got["small", 2]
+    assert got["none", 1]["validation"]["total"] == 0 and "results" not in got["none", 1] and got["none", 1]["parts"] == 1
