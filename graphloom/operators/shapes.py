@@ -167,11 +167,14 @@ class Validator:
         """Focus nodes that share their values of all key paths with another; by counting, never by pairs."""
         paths = c.arg.split(" ")
         focus = typed.where(F.col("class") == c.target).select("graph_id", F.col("node").alias("focus")).dropDuplicates()
-        held = graph.where(F.col("p").isin(paths)).select("graph_id", F.col("s").alias("focus"), "p", object_key().alias("k")).groupBy("graph_id", "focus").agg(*(F.min(F.when(F.col("p") == p, F.col("k"))).alias(f"k{i}") for i, p in enumerate(paths)))
         keys = [f"k{i}" for i in range(len(paths))]
-        full = held.join(focus, ["graph_id", "focus"], "left_semi").where(" and ".join(f"{k} is not null" for k in keys))
-        shared = full.groupBy("graph_id", *keys).agg(F.count("*").alias("n")).where("n > 1")
-        return self._result(self._lone(full.join(shared, ["graph_id", *keys]), c), F.lit(None).cast("string"))
+        held = graph.where(F.col("p").isin(paths)).select("graph_id", F.col("s").alias("focus"), "p", object_key().alias("k")).groupBy("graph_id", "focus").agg(*(F.collect_set(F.when(F.col("p") == p, F.col("k"))).alias(k) for k, p in zip(keys, paths)))
+        full = held.join(focus, ["graph_id", "focus"], "left_semi")
+        for k in keys:  # a row per combination of a node's values; a node without a value of some path has none
+            full = full.withColumn(k, F.explode(k))
+        shared = full.groupBy("graph_id", *keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        found = full.join(shared, ["graph_id", *keys], "left_semi").select("graph_id", "focus").dropDuplicates()
+        return self._result(self._lone(found, c), F.lit(None).cast("string"))
 
 
 def bad_decimals(graph: DataFrame) -> DataFrame:

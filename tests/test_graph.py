@@ -239,3 +239,9 @@ def test_draft_and_loop(spark):
 def test_merge_is_a_set(spark):
     g = graph(spark, "e:a e:b e:c .")
     assert merged(g, g).count() == 1
+
+
+def test_unique_key_of_several_values(spark):
+    g = graph(spark, 'e:a a e:T ; e:k 1, 2 ; e:d "x", "y" . e:b a e:T ; e:k 2 ; e:d "y" . e:c a e:T ; e:k 2 ; e:d "z" . e:d a e:T ; e:k 2 . e:f a e:U ; e:k 2 ; e:d "z" .')
+    unique = lambda *paths: [r[0] for r in rows(shapes.Validator([shapes.Constraint(E + "S", E + "T", "", False, "uniqueKey", " ".join(E + p for p in paths))]).results(g), "focus_node")]
+    assert unique("k", "d") == [E + "a", E + "b"] and unique("k") == [E + x for x in "abcd"] and unique("d") == [E + "a", E + "b"]
