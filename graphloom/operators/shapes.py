@@ -79,6 +79,29 @@ def types(graph: DataFrame) -> DataFrame:
     return t.unionByName(t.join(up, ["graph_id", "class"]).select("graph_id", "node", F.col("sup").alias("class"))).dropDuplicates()
 
 
+#: Components that need no more than the value.
+ALONE = ("datatype", "minInclusive", "maxInclusive", "minExclusive", "maxExclusive", "minLength", "maxLength", "pattern", "in", "nodeKind")
+
+
+def broken_value(comp: Column, arg: Column, o: Column, kind: Column, dt: Column) -> Column:
+    """The value breaks the component, one of ``ALONE``; false for any other."""
+    lit, dt = kind == "lit", F.coalesce(dt, F.lit(""))
+    num, bound = literals.number(o, dt), arg.try_cast("decimal(38,18)")
+    return (
+        F.when(comp == "datatype", ~lit | (dt != arg) | ~literals.well_formed(o, dt))
+        .when(comp == "minInclusive", ~F.coalesce(num >= bound, F.lit(False)))
+        .when(comp == "maxInclusive", ~F.coalesce(num <= bound, F.lit(False)))
+        .when(comp == "minExclusive", ~F.coalesce(num > bound, F.lit(False)))
+        .when(comp == "maxExclusive", ~F.coalesce(num < bound, F.lit(False)))
+        .when(comp == "minLength", ~F.coalesce(F.length(o) >= arg.try_cast("int"), F.lit(False)))
+        .when(comp == "maxLength", ~F.coalesce(F.length(o) <= arg.try_cast("int"), F.lit(False)))
+        .when(comp == "pattern", ~F.rlike(o, arg))
+        .when(comp == "in", ~F.array_contains(F.split(arg, " "), o))
+        .when(comp == "nodeKind", F.when(arg.endswith("#IRI"), kind != "iri").when(arg.endswith("#Literal"), ~lit).when(arg.endswith("#BlankNode"), kind != "bnode").otherwise(F.lit(False)))
+        .otherwise(F.lit(False))
+    )
+
+
 class Validator:
     def __init__(self, constraints: list[Constraint]):
         self.constraints = constraints
@@ -131,22 +154,8 @@ class Validator:
     def _values(self, focus: DataFrame, rows: DataFrame, typed: DataFrame) -> DataFrame:
         want = focus.where(~F.col("component").isin("minCount", "maxCount", "hasValue"))
         pairs = want.join(rows, ["graph_id", "focus", "path", "inverse"])
-        lit, o, dt, arg = F.col("v.o_kind") == "lit", F.col("v.o"), F.coalesce(F.col("v.o_dt"), F.lit("")), F.col("arg")
-        num, bound = literals.number(o, dt), arg.try_cast("decimal(38,18)")
-        comp = F.col("component")
-        broken = (
-            F.when(comp == "datatype", ~lit | (dt != arg) | ~literals.well_formed(o, dt))
-            .when(comp == "minInclusive", ~F.coalesce(num >= bound, F.lit(False)))
-            .when(comp == "maxInclusive", ~F.coalesce(num <= bound, F.lit(False)))
-            .when(comp == "minExclusive", ~F.coalesce(num > bound, F.lit(False)))
-            .when(comp == "maxExclusive", ~F.coalesce(num < bound, F.lit(False)))
-            .when(comp == "minLength", ~F.coalesce(F.length(o) >= arg.try_cast("int"), F.lit(False)))
-            .when(comp == "maxLength", ~F.coalesce(F.length(o) <= arg.try_cast("int"), F.lit(False)))
-            .when(comp == "pattern", ~F.expr("v.o rlike arg"))
-            .when(comp == "in", ~F.array_contains(F.split(arg, " "), o))
-            .when(comp == "nodeKind", F.when(arg.endswith("#IRI"), F.col("v.o_kind") != "iri").when(arg.endswith("#Literal"), ~lit).when(arg.endswith("#BlankNode"), F.col("v.o_kind") != "bnode").otherwise(F.lit(False)))
-            .otherwise(F.lit(False))
-        )
+        comp, o, lit = F.col("component"), F.col("v.o"), F.col("v.o_kind") == "lit"
+        broken = broken_value(comp, F.col("arg"), o, F.col("v.o_kind"), F.col("v.o_dt"))
         simple = self._result(pairs.where((comp != "class") & broken), o)
         members = typed.select("graph_id", F.col("node").alias("vo"), F.col("class").alias("arg"))
         classy = pairs.where(comp == "class").withColumn("vo", F.when(lit, F.lit(None)).otherwise(o))

@@ -1,8 +1,9 @@
 """Value checks over a stream of triples.
 
 The engine is a batch one; this only lets the checks that need no more than the
-value itself (datatype, range, length, pattern) run as triples arrive, with a table of counts
-per window. Counts and classes need whole graphs and belong to the batch validator.
+value itself (``shapes.ALONE``: datatype, ranges, lengths, pattern, in, node kind) run as triples
+arrive, with a table of counts per window. They are the batch validator's own checks; what needs
+whole graphs (counts, classes, inverse paths) belongs to it and is refused here.
 """
 
 from __future__ import annotations
@@ -10,24 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions import literals
-from graphloom.operators.shapes import Constraint
-
-ALONE = ("datatype", "minInclusive", "maxInclusive")
+from graphloom.operators.shapes import ALONE, Constraint, broken_value
 
 
 def bad_values(triples: DataFrame, constraints: list[Constraint]) -> DataFrame:
-    """Rows of a (streaming) table of triples whose value breaks a constraint; its other columns stay."""
-    cons = [c for c in constraints if c.component in ALONE and not c.inverse]
-    if not cons:
+    """Rows of a (streaming) table of triples whose value breaks a constraint; its other columns stay.
+
+    The target class of a shape is not looked at. Raises ValueError for a constraint that needs more than the value.
+    """
+    more = [c for c in constraints if c.component not in ALONE or c.inverse]
+    if more:
+        raise ValueError("not checkable by the value alone: " + ", ".join(sorted({f"{c.shape} {'inverse ' * c.inverse}{c.component}" for c in more})))
+    if not constraints:
         return triples.withColumn("component", F.lit("")).where("false")
-    o, dt = F.col("o"), F.coalesce("o_dt", F.lit(""))
-    num = literals.number(o, dt)
-    hits = []
-    for c in cons:
-        bound = F.lit(c.arg).try_cast("decimal(38,18)")
-        bad = {"datatype": (F.col("o_kind") != "lit") | (dt != c.arg) | ~literals.well_formed(o, dt), "minInclusive": ~F.coalesce(num >= bound, F.lit(False)), "maxInclusive": ~F.coalesce(num <= bound, F.lit(False))}[c.component]
-        hits.append(F.when((F.col("p") == c.path) & bad, F.lit(f"{c.shape}|{c.component}")))
+    bad = lambda c: broken_value(F.lit(c.component), F.lit(c.arg), F.col("o"), F.col("o_kind"), F.col("o_dt"))
+    hits = [F.when((F.col("p") == c.path) & bad(c), F.lit(f"{c.shape}|{c.component}")) for c in constraints]
     return triples.withColumn("component", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))
 
 

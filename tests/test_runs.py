@@ -92,3 +92,14 @@ def test_report_holds_whole_lists(spark):
     assert got["large", 1]["validation"] == {"total": 2499, "hard": 2499, "soft": 0} and got["large", 1]["questions"]["cq_total"] == 1 and not {"validation", "questions"} & set(got["large", 2])
     assert [x["subject"] for k in (1, 2) for x in got["small", k]["patches"]] == [f"s{i:04d}" for i in range(1200)] and len(got["small", 1]["results"]) == 3 and "results" not in got["small", 2]
     assert got["none", 1]["validation"]["total"] == 0 and "results" not in got["none", 1] and got["none", 1]["parts"] == 1
+
+
+def test_stream_checks_all_that_the_value_tells(spark):
+    df = spark.createDataFrame([("g", "s", "iri", "p", v, "lit", XSD + "integer", None) for v in ("5", "123")] + [("g", "s", "iri", "p", "u", "iri", None, None)], SCHEMA)
+    args = {"minExclusive": "5", "maxExclusive": "123", "minLength": "2", "maxLength": "2", "pattern": "^[0-9]$", "in": "5 6", "nodeKind": "http://www.w3.org/ns/shacl#Literal"}
+    cons = [Constraint("s", "c", "p", False, k, v) for k, v in args.items()]
+    want = [("minExclusive", "5"), ("minExclusive", "u"), ("maxExclusive", "123"), ("maxExclusive", "u"), ("minLength", "5"), ("minLength", "u"), ("maxLength", "123"), ("pattern", "123"), ("pattern", "u"), ("in", "123"), ("in", "u"), ("nodeKind", "u")]
+    assert rows(validation.bad_values(df, cons), "component", "o") == sorted((f"s|{k}", v) for k, v in want)
+    for c in (Constraint("s", "c", "p", False, "minCount", "1"), Constraint("s", "c", "p", True, "datatype", XSD + "string")):
+        with pytest.raises(ValueError, match=c.component):
+            validation.bad_values(df, [*cons, c])
