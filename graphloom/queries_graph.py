@@ -458,10 +458,16 @@ def merge_patches(s, d):
     return repair.merged_patches(first, then, ["graph_id"]).groupBy("graph_id", "part").agg(F.count("*").alias("n"))
 
 
-def apply_patches(s, d):
+def patched_triples(s, d):
+    """Triples that all patches ask for, of every predicate."""
     ns = {"bnk": "http://bnk.example.org/ns#", "cln": "http://cln.example.org/ns#"}
     t = repair.applied(table(s, d, "patches"), "http://bnk.example.org/ns#", ns)
-    return t.groupBy("graph_id", "p", "o_kind").agg(F.count("*").alias("n")).where(F.col("p").isin(SUBCLASS, DOMAIN, RANGE, TYPE))
+    return t.groupBy("graph_id", "p", "o_kind").agg(F.count("*").alias("n"))
+
+
+def apply_patches(s, d):
+    """Of these, the predicates of the schema."""
+    return patched_triples(s, d).where(F.col("p").isin(SUBCLASS, DOMAIN, RANGE, TYPE))
 
 
 def patch_type_counts(s, d):
@@ -527,7 +533,7 @@ QUERIES = {
         direct_mapping, predicate_stats, graph_merge, bgp_star, bgp_chain, ground_ask_suite, bind_exists_or, values_division, not_exists, double_booking, list_member_path, path_plus, path_star, path_cycle, path_inverse_sequence, optional_union,
         rdfs_subclass_types, rdfs_domain_range, owl_inverse, shacl_report, shacl_summary, shacl_conforms, results_summary, literal_coerce, restriction_strip, declare_missing_classes, invalid_decimals, clean_pipeline, exact_prf, normalized_prf, semantic_prf,
         cq_pass_rate, iteration_summary, slugify, fr_identifier, code_fence, prefix_normalize, prefix_ensure, line_sanitize, boilerplate, heuristic_draft, chunk_batches, split_assign, unmatched_ids, exemplar_topk, schema_context, drift_samples, redundant_axioms,
-        shacl_patches, shacl_patches_soft, cq_patches, merge_patches, apply_patches, patch_type_counts, stop_policy_matrix, token_usage, repair_prompts, draft_prompts, turtle_parse, ntriples_roundtrip, report_json, repair_loop,
+        shacl_patches, shacl_patches_soft, cq_patches, merge_patches, apply_patches, patched_triples, patch_type_counts, stop_policy_matrix, token_usage, repair_prompts, draft_prompts, turtle_parse, ntriples_roundtrip, report_json, repair_loop,
     )
 } | {f"shacl_{n}": _shacl(n) for n in _SHAPES}
 

@@ -79,6 +79,11 @@ t AS (
 SELECT graph_id, p, o_kind, count(*) AS n FROM t WHERE p IN ('{RDFS}subClassOf', '{RDFS}domain', '{RDFS}range', '{TYPE}') GROUP BY 1, 2, 3"""
 
 
+_PATCHED = _PATCH.rsplit("\nSELECT", 1)[0] + f""",
+u AS (SELECT * FROM t UNION SELECT graph_id, p, '{RDFS}label', m, 'lit' FROM x WHERE a NOT IN ('addsubclass', 'subclass', 'addtriple', 'assert') AND starts_with(oo, 'xsd:'))
+SELECT graph_id, p, o_kind, count(*) AS n FROM u GROUP BY 1, 2, 3"""
+
+
 def _expanded(c: str) -> str:
     ns = {"rdf": RDF, "rdfs": RDFS, "owl": OWL, "xsd": XSD, "bnk": FOR, "cln": "http://cln.example.org/ns#"}
     return f"CASE WHEN starts_with({c}, 'http') THEN {c} " + " ".join(f"WHEN starts_with({c}, '{p}:') THEN '{u}' || substr({c}, {len(p) + 2})" for p, u in ns.items()) + f" ELSE '{FOR}' || {c} END"
@@ -171,6 +176,7 @@ SELECT graph_id, iteration, 'addProperty' AS action, subject, predicate, object,
 f AS (SELECT * FROM p WHERE action = 'addProperty'), t AS (SELECT * FROM p WHERE action <> 'addProperty' AND NOT EXISTS (SELECT 1 FROM f WHERE f.graph_id = p.graph_id AND f.subject = p.subject AND f.predicate = p.predicate AND f.object = p.object))
 SELECT graph_id, 0 AS part, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT graph_id, 1, count(*) FROM t GROUP BY 1""",
     "apply_patches": _PATCH.format(s=_expanded("s"), p=_expanded("p"), o=_expanded("o")),
+    "patched_triples": _PATCHED.format(s=_expanded("s"), p=_expanded("p"), o=_expanded("o")),
     "patch_type_counts": "SELECT graph_id, iteration, action, count(*) AS n FROM (SELECT DISTINCT ON (patch_id) patch_id, graph_id, iteration, action FROM patches) GROUP BY 1, 2, 3",
     "stop_policy_matrix": """WITH m AS (SELECT policy, CAST(i % 3 AS INTEGER) AS iteration, CAST((i // 3) % 2 AS INTEGER) AS hard, CAST((i // 12) % 2 AS INTEGER) AS n_patches, (i // 24) % 2 = 1 AS unchanged, CAST(CASE WHEN (i // 6) % 2 = 1 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS pass_rate
  FROM range(48) AS r(i), (VALUES ('default'), ('hard_and_cq'), ('ignore_no_hard'), ('max_only')) AS p(policy))

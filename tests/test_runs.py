@@ -103,3 +103,11 @@ def test_stream_checks_all_that_the_value_tells(spark):
     for c in (Constraint("s", "c", "p", False, "minCount", "1"), Constraint("s", "c", "p", True, "datatype", XSD + "string")):
         with pytest.raises(ValueError, match=c.component):
             validation.bad_values(df, [*cons, c])
+
+
+def test_patched_triples_of_every_predicate(spark, tmp_path):
+    data = [("g", "addTriple", "bnk:a", "bnk:coversClaim", "bnk:b", "m"), ("g", "assert", "bnk:a", "bnk:note", "text", "m"), ("g", "addProperty", "bnk:a", "bnk:size", "xsd:integer", "a size"), ("g", "addProperty", "bnk:a", "bnk:size", "xsd:integer", "the size")]
+    spark.createDataFrame(data, "graph_id string, action string, subject string, predicate string, object string, message string").write.parquet(str(tmp_path / "patches.parquet"))
+    got = {(r.p.split("#")[1], r.o_kind): r.n for r in __spark_entry__.queries()["patched_triples"](spark, str(tmp_path)).collect()}
+    assert got == {("coversClaim", "iri"): 1, ("note", "lit"): 1, ("domain", "iri"): 1, ("range", "iri"): 1, ("label", "lit"): 2, ("type", "iri"): 2}
+    assert "label" in __spark_entry__.oracle_sql()["patched_triples"]
