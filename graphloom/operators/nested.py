@@ -1,12 +1,12 @@
 """Deeply nested JSON records -> related flat tables (problem 1).
 
-Each record is read once and streamed as path-value-ordinal triples. Triples that share
+Each record is parsed as a whole, then walked once as path-value-ordinal triples. Triples that share
 their nearest repeated ancestor (path and ordinals) form one flat row; the ordinals of the
 outer ancestors are the key of the parent row. A record never leaves its task, so shredding
 needs no shuffle however large one run or one graph becomes.
 
-Defined results: a null payload yields no row; a payload that is not JSON yields one row in
-table ``_error``; an empty object that is an element of a list is a row without values; null
+Defined results: a null payload yields no row; a payload that is not JSON, or nested deeper than
+``json.loads`` goes (about 10,000 levels), yields one row in table ``_error``; an empty object that is an element of a list is a row without values; null
 elements count for the ordinals but are no rows; of repeated member names the last holds.
 """
 
@@ -140,6 +140,11 @@ def children(rows: DataFrame) -> DataFrame:
     )
 
 
+def errors(rows: DataFrame) -> DataFrame:
+    """(log_id, error) of the records that cannot be parsed, which have no rows elsewhere."""
+    return rows.where("tbl = '_error'").select(F.col("rec_id").alias("log_id"), F.element_at("vals", F.lit("value")).alias("error"))
+
+
 def run_tables(logs: DataFrame) -> dict[str, DataFrame]:
     """runs, iterations, cq_results, violations and patch_types with parent keys and stable columns."""
     rows = shred_runs(logs)

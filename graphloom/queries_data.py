@@ -22,6 +22,7 @@ def _p7(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: nested.children(nested.shred_runs(table(s, d, "run_logs"))),
+    "p1_errors": lambda s, d: nested.errors(nested.shred_runs(table(s, d, "run_logs"))),
     "p1_runs": _run_table("runs"),
     "p1_iterations": _run_table("iterations"),
     "p1_cq_results": _run_table("cq_results"),

@@ -270,3 +270,13 @@ def test_terms_and_marks(spark):
 def test_statements_never_fail(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] or [(0, None)], "response_id bigint, turtle string")
     assert badrows.read_turtle(df).count() == max(1, len(texts))
+
+
+def test_records_that_cannot_be_parsed_are_listed(spark, tmp_path):
+    from graphloom.queries_data import QUERIES
+
+    deep = '{"iteration_log": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    data = [(1, '{"run": "a"}'), (2, "{broken"), (3, deep), (4, None)]
+    spark.createDataFrame(data, "log_id bigint, payload string").write.parquet(str(tmp_path / "run_logs.parquet"))
+    got = dict(rows(QUERIES["p1_errors"](spark, str(tmp_path))))
+    assert set(got) == {2, 3} and "recursion" in got[3]
