@@ -1,8 +1,8 @@
-"""Rows that fail to parse (problem 4): read permissively, keep the raw text, say why.
+"""Rows that fail to parse (problem 4): keep the raw text, say why.
 
-Lines are read by the permissive CSV reader under an explicit schema that keeps corrupt raw
-text; the suspects (corrupt, or valid for the reader but not by the stricter rules) are then
-classified by quoting, column count and casts, in this order. All of it stays in the JVM.
+Every row is classified by quoting, column count and casts, in this order. The permissive CSV
+reader, under an explicit schema that keeps corrupt raw text, does not choose the suspects: it
+only fills the typed columns of good rows. All of it stays in the JVM.
 
 Defined results: a null line has no fields (``column_count``), as has an empty one; a null
 turtle text has no statement and is good; a text with several faults gets the first reason.
