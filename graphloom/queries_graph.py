@@ -511,6 +511,11 @@ def ntriples_roundtrip(s, d):
     return turtle.read_ntriples(turtle.ntriples(_nation_graph(s, d)).select(F.col("line").alias("value"))).select("s", "p", "o", "o_kind")
 
 
+def ntriples_roundtrip_geo(s, d):
+    """The same of a graph that grows with the tables."""
+    return turtle.read_ntriples(turtle.ntriples(_geo(s, d)).select(F.col("line").alias("value"))).select("s", "p", "o", "o_kind")
+
+
 def report_json(s, d):
     v = pick(table(s, d, "validation_results"), "result_id", "graph_id", "focus_node", "path", "message", "severity", "source_shape", "constraint_component", "value").dropDuplicates(["result_id"]).withColumnRenamed("constraint_component", "component")
     answers = s.createDataFrame([], "graph_id string, cq_id int, success boolean, message string")
@@ -527,13 +532,25 @@ def repair_loop(s, d):
     return log
 
 
+def repair_loop_segments(s, d):
+    """The loop over a graph per market segment, with inference and several questions."""
+    from graphloom.plans import loop
+
+    g = _by_segment(s, d).where("graph_id is not null")
+    ask = "PREFIX bnk: <http://bnk.example.org/ns#> PREFIX rdfs: <http://www.w3.org/2000/01/rdf-schema#> ASK "
+    q = [ask + "{ bnk:hasCapital rdfs:domain bnk:Nation ; rdfs:range bnk:City }", ask + "{ bnk:hasBranch rdfs:domain bnk:Bank }", ask + f"{{ ?c <{CN}> ?n }}"]
+    c = [shapes.Constraint(B + "CustomerShape", B + "Customer", f"{B}customer#contact", False, "minCount", "1", "Violation", "a contact"), shapes.Constraint(B + "CustomerShape", B + "Customer", CN, False, "minCount", "1", "Violation", "a nation")]
+    _, log = loop.run(g, c, q, loop.LoopConfig(base="http://bnk.example.org/ns#", policy="hard_and_cq", prefix="bnk", prefixes={"bnk": "http://bnk.example.org/ns#"}, max_iterations=2))
+    return log
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         direct_mapping, predicate_stats, graph_merge, bgp_star, bgp_chain, ground_ask_suite, bind_exists_or, values_division, not_exists, double_booking, list_member_path, path_plus, path_star, path_cycle, path_inverse_sequence, optional_union,
         rdfs_subclass_types, rdfs_domain_range, owl_inverse, shacl_report, shacl_summary, shacl_conforms, results_summary, literal_coerce, restriction_strip, declare_missing_classes, invalid_decimals, clean_pipeline, exact_prf, normalized_prf, semantic_prf,
         cq_pass_rate, iteration_summary, slugify, fr_identifier, code_fence, prefix_normalize, prefix_ensure, line_sanitize, boilerplate, heuristic_draft, chunk_batches, split_assign, unmatched_ids, exemplar_topk, schema_context, drift_samples, redundant_axioms,
-        shacl_patches, shacl_patches_soft, cq_patches, merge_patches, apply_patches, patched_triples, patch_type_counts, stop_policy_matrix, token_usage, repair_prompts, draft_prompts, turtle_parse, ntriples_roundtrip, report_json, repair_loop,
+        shacl_patches, shacl_patches_soft, cq_patches, merge_patches, apply_patches, patched_triples, patch_type_counts, stop_policy_matrix, token_usage, repair_prompts, draft_prompts, turtle_parse, ntriples_roundtrip, ntriples_roundtrip_geo, report_json, repair_loop, repair_loop_segments,
     )
 } | {f"shacl_{n}": _shacl(n) for n in _SHAPES}
 

@@ -183,6 +183,7 @@ SELECT graph_id, 0 AS part, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT gra
 SELECT *, CASE WHEN policy = 'max_only' THEN CASE WHEN iteration >= 2 THEN 'max_iterations_reached' ELSE 'continue' END
  WHEN policy = 'hard_and_cq' AND hard = 0 AND pass_rate >= 0.8 THEN 'no_hard_violations_and_cq_threshold_met' WHEN policy = 'default' AND hard = 0 THEN 'no_hard_violations'
  WHEN n_patches = 0 THEN 'no_patches_available' WHEN unchanged THEN 'patches_unchanged' WHEN pass_rate >= 0.8 THEN 'cq_threshold_met' WHEN iteration >= 2 THEN 'max_iterations_reached' ELSE 'continue' END AS reason FROM m""",
+    "ntriples_roundtrip_geo": _GEO + "SELECT s, p, o, o_kind FROM t",
     "ntriples_roundtrip": f"SELECT s, p, o, o_kind FROM ({_NATION} UNION ALL {_REGION})",
 }
 SQL["path_star"] = SQL["path_plus"] + f" UNION SELECT '{B}customer/' || c_custkey, '{B}customer/' || c_custkey FROM customer UNION SELECT '{B}nation/' || c_nationkey, '{B}nation/' || c_nationkey FROM customer UNION SELECT '{B}nation/' || n_nationkey, '{B}nation/' || n_nationkey FROM nation UNION SELECT '{B}region/' || n_regionkey, '{B}region/' || n_regionkey FROM nation"

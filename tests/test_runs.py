@@ -111,3 +111,10 @@ def test_patched_triples_of_every_predicate(spark, tmp_path):
     got = {(r.p.split("#")[1], r.o_kind): r.n for r in __spark_entry__.queries()["patched_triples"](spark, str(tmp_path)).collect()}
     assert got == {("coversClaim", "iri"): 1, ("note", "lit"): 1, ("domain", "iri"): 1, ("range", "iri"): 1, ("label", "lit"): 2, ("type", "iri"): 2}
     assert "label" in __spark_entry__.oracle_sql()["patched_triples"]
+
+
+def test_repair_loop_over_segments(spark, tmp_path):
+    spark.createDataFrame([(i, i % 3, "A" if i < 3 else "B") for i in range(5)] + [(9, 1, None)], "c_custkey bigint, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    log = __spark_entry__.queries()["repair_loop_segments"](spark, str(tmp_path))
+    got = {(r.graph_id, r.iteration): (r.hard, r.patch_count, r.reason) for r in log.collect()}
+    assert got == {(g, i): (n, n + 2 - (i > 0), "patches_unchanged" if i == 2 else "continue") for g, n in (("A", 3), ("B", 2)) for i in range(3)}
