@@ -6,8 +6,14 @@ features of the token, its neighbours, its chunk and the chunks around it. Featu
 only on the token type or the chunk, so each distinct one is scored once and the scores are
 then gathered and added over whole batches of texts.
 
-Training maximises the conditional likelihood with scaled forward-backward and Adam; decoding
-is Viterbi over windows of equal length, whose overlap lies outside what is kept.
+Training maximises the conditional likelihood with scaled forward-backward and Adam; the token's
+spelling and the words around it are left out at random, so that shapes and classes of words
+carry most of the weight and texts of other wording are read too.
+
+Decoding is Viterbi over whole texts. A token whose score for "outside" exceeds every other
+label's by more than all transitions around it could make good is outside on the best path of
+any text; such tokens are settled at once and the texts fall into short stretches between
+them, which are decoded exactly.
 """
 
 from __future__ import annotations
@@ -23,10 +29,33 @@ from graphloom.llm.pii_examples import KINDS
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 L = len(LABELS)
 ROWS = 1 << 17
-_CHUNK = re.compile(r"[^\S\n]*\n\s*\n\s*|[^\S\n]*\n[^\S\n]*|\S+")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|.", re.S)
-OWN, NEAR, AROUND = 22, 4, 4
-WINDOW, MARGIN = 160, 32
+OWN, NEAR, AROUND = 23, 4, 5
+#: Tokens times texts whose back pointers are held at a time.
+CELLS = 1 << 20
+#: General words of four languages that stand near personal information, or near what only looks like it.
+CUES = {
+    "phone": "phone telephone tel mobile cell fax hotline call called ring dial text helpline extension telefon handy mobil rufnummer anrufen ruf teléfono tel móvil llame llamar téléphone portable appelez appeler joindre",
+    "mail": "mail email e-mail mailto mailbox write inbox cc bcc courriel correo adresse schreiben escriba écrivez",
+    "id": "ssn nino passport identity id social security insurance national licence license driver driver's driving member membership tax medicare nhs health ausweis personalausweis reisepass reisepassnummer ausweisnummer führerschein versichertennummer versicherungsnummer sozialversicherungsnummer steuer-id mitgliedsnummer pasaporte dni nie nif nuss identidad afiliación socio conducir carné permiso seguridad passeport identité cni permis assuré adhérent sécu sécurité",
+    "thing": "serial batch lot ticket case incident order invoice account iban card device terminal build revision reference tracking part asset meter router hash checksum version error port line seriennummer charge gerät vorgang rechnung konto kontonummer bestellung serie lote pedido factura cuenta incidencia série dossier facture compte commande",
+    "title": "dr mr mrs ms miss prof professor sir madam frau herr herrn sr sra señor señora don doña m mme mlle monsieur madame nurse sister rev captain",
+    "street": "street st road rd lane ln avenue ave drive dr court ct close way walk terrace place crescent square boulevard blvd row gardens quay calle c avenida av avda plaza paseo camino ronda travesía rue quai chemin allée impasse route bd straße strasse str platz weg gasse",
+    "unit": "flat apt apartment unit suite floor room piso appt bâtiment étage box p.o po postfach apartado apdo boîte bp",
+    "home": "lives address home deliver moved resident post postal ship billing wohnt anschrift vive domicilio habite",
+    "org": "bank trust hospital clinic board committee council institute university group holdings ltd inc gmbh ag agency department foundation laboratory partners insurance company team office klinikum banco banque universität",
+    "role": "engineer manager analyst auditor architect tester operator director consultant clerk physician reviewer secretary coordinator customer patient author owner witness applicant kundin kunde clienta cliente client",
+    "say": "approved asked said wrote agreed joined reviewed signed complained stated called met visited disagreed sagte schrieb aprobó dijo écrit validé",
+    "greet": "dear hi hello thanks regards sincerely cheers cordialement saludo grüßen geehrte geehrter estimado estimada cher chère liebe lieber hola bonjour",
+    "day": "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday januar februar märz mai juni juli oktober dezember enero febrero marzo abril mayo junio julio septiembre octubre diciembre janvier février avril juin juillet août septembre octobre décembre",
+}
+_CUE = {w: c for c, ws in reversed(CUES.items()) for w in ws.split()}
+_COMPOUND = re.compile(r"\w\w(?:straße|strasse|str|weg|platz|allee|gasse|ufer|damm)\Z")
+
+
+def cue(word: str) -> str:
+    """The class of a lower-case word, or nothing."""
+    return _CUE.get(word) or ("street" if _COMPOUND.search(word) else "")
 
 
 @functools.lru_cache(1 << 17)
@@ -35,9 +64,9 @@ def _h(s: str) -> int:
 
 
 @functools.lru_cache(1 << 17)
-def shape(s: str, most: int = 24) -> str:
+def shape(s: str) -> str:
     """Letters and digits by class; runs of letters are shortened, digits are kept one by one."""
-    x = re.sub(r"\d", "9", s[:most])
+    x = re.sub(r"\d", "9", s)
     x = re.sub(r"[^\W\d_]", lambda m: "A" if m.group().isupper() else "a", x)
     return re.sub(r"a{2,}", "a+", re.sub(r"A{3,}", "A+", x))
 
@@ -76,13 +105,14 @@ class Vocabulary:
             toks = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(c)]
         core = shape(c.strip("<>()[],;:.\"'") or c)
         last = c[-1] if c[-1] in ".,;:)>]" else ""
-        self.around.append([_h(f"c{word[:14]}"), _h(f"d{core}"), _h(f"e{last}"), _h(f"g{self._listed(c)}")])
+        kind = cue(word)
+        self.around.append([_h(f"c{word}"), _h(f"d{core}"), _h(f"e{last}"), _h(f"g{self._listed(c)}"), _h(f"q{kind}")])
         self.shape_of.append(_h(f"sh{core}"))
-        self.word_of.append(_h(f"wd{word[:14]}"))
+        self.word_of.append(_h(f"wd{kind or word}"))
         ids = []
         n = len(toks)
         for k, (t, _, _) in enumerate(toks):
-            key = (t, sh, core, min(k, 3), min(n - 1 - k, 3), "@" in c, toks[k - 1][0] if k else "", toks[k + 1][0] if k + 1 < n else "")
+            key = (t, sh, core, min(k, 3), min(n - 1 - k, 3), "@" in c, toks[k - 1][0] if k else "", toks[k + 1][0] if k + 1 < n else "", kind)
             ids.append(self._type(key))
         self.flat[0].extend(ids)
         self.flat[1].extend(a for _, a, _ in toks)
@@ -106,15 +136,16 @@ class Vocabulary:
         i = self.types.get(key)
         if i is None:
             i = self.types[key] = len(self.own)
-            t, sh, core, first, last, at, before, after = key
+            t, sh, core, first, last, at, before, after, kind = key
             low, s = t.lower(), shape(t)
             given = low in self.given
-            f = [f"w{low}", f"s{s}", f"s{s}|{core}", f"x{core}|{first}", f"x{core}|{last}", f"y{sh}|{first}|{last}", f"p{first}", f"l{last}", f"@{at}|{s[:1]}", f"g{given}|{s}", "bias"]
+            # Spelling first: the features that training leaves out at random.
+            f = [f"w{low}", f"3{low[-3:]}" if t.isalpha() else "", f"4{low[-4:]}" if t.isalpha() else "", f"b{low[:3]}" if t.isalpha() else "", f"b4{low[:4]}" if t.isalpha() else "", f"s{s}", f"s{s}|{core}", f"x{core}|{first}", f"x{core}|{last}", f"y{sh}|{first}|{last}", f"p{first}", f"l{last}", f"@{at}|{s[:1]}", f"g{given}|{s}", f"q{kind}|{s}", "bias"]
             if t.isalpha():
-                f += [f"3{low[-3:]}", f"4{low[-4:]}", f"2{low[-2:]}", f"b{low[:3]}", f"b4{low[:4]}", f"n{min(len(t), 9)}|{s}"]
+                f += [f"2{low[-2:]}", f"n{min(len(t), 9)}|{s}"]
             f += [f"<{before.lower() if before.isalpha() else before}|{s}", f">{after.lower() if after.isalpha() else after}|{s}", f"<>{shape(before)}|{shape(after)}"]
-            self.own.append([_h("0" + x) for x in f[:OWN]])
-            self.near.append([_h(f"n{low[:14]}"), _h(f"m{s}"), _h(f"k{given}{s}"), _h(f"3{low[-3:] if t.isalpha() else ''}")])
+            self.own.append([_h("0" + x) if x else 0 for x in f])
+            self.near.append([_h(f"n{low}"), _h(f"m{s}"), _h(f"k{given}{s}"), _h(f"3{low[-3:] if t.isalpha() else ''}")])
         return i
 
 
@@ -131,25 +162,47 @@ def _pad(rows: list[list[int]], width: int) -> np.ndarray:
     return out
 
 
+#: The first own features are those of spelling.
+SPELLING = 5
 TOKEN_OFFSETS, CHUNK_OFFSETS = (-2, -1, 1, 2), (-3, -2, -1, 1, 2, 3)
 
 
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+
+
+def _cut(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(chunks, start of each in its text, text of each): runs without white space, and runs of it with a line break."""
+    whole = " ".join(texts) + " "
+    code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    space = _SPACE[np.minimum(code, 0x3001)]
+    own = np.ones(len(code), bool)
+    own[begin + sizes - 1] = False  # the blank between two texts belongs to none
+    edge = np.concatenate([[True], (space[1:] != space[:-1]) | ~own[:-1]])
+    start = np.flatnonzero(edge)
+    lines = np.add.reduceat((code == 10) & own, start, dtype=np.int64)
+    filled = ~space[start]
+    kept = filled | (lines > 0)
+    chunks = np.empty(len(start), dtype=object)
+    chunks[filled] = whole.split()
+    chunks[lines == 1] = "\n"
+    chunks[lines > 1] = "\n\n"
+    start = start[kept]
+    text_of = np.searchsorted(begin, start, "right") - 1
+    return chunks[kept].tolist(), start - begin[text_of], text_of
+
+
 class Batch:
     """Tokens of several texts: types, chunks, places; contexts do not cross texts."""
 
     def __init__(self, texts: list[str], v: Vocabulary):
-        ids, at, per = [], [], []
-        known, add = v.chunks.get, v.chunk
-        for text in texts:
-            found = [(m.group(), m.start()) for m in _CHUNK.finditer(text)]
-            for c, _ in found:
-                i = known(c)
-                ids.append(add(c) if i is None else i)
-            at.extend(a for _, a in found)
-            per.append(len(found))
+        chunks, at, self.chunk_text = _cut(texts)
+        ids = list(map(v.chunks.get, chunks))
+        if None in ids:
+            ids = [v.chunk(c) if i is None else i for c, i in zip(chunks, ids)]
         types, starts, ends, begin = v.tokens()
-        self.chunk_ids, at = np.array(ids, np.int64), np.array(at, np.int64)
-        self.chunk_text = np.repeat(np.arange(len(texts)), per)
+        self.chunk_ids = np.array(ids, np.int64)
         first = begin[self.chunk_ids]
         n = begin[self.chunk_ids + 1] - first
         self.chunk_of = np.repeat(np.arange(len(ids)), n)
@@ -265,47 +318,89 @@ def allowed() -> np.ndarray:
     return ok
 
 
-def viterbi(e: np.ndarray, trans: np.ndarray, text_of: np.ndarray, block: int = 2048) -> np.ndarray:
-    """Best labels of all tokens; texts are decoded in windows whose margins are dropped."""
-    starts = np.flatnonzero(np.concatenate([[True], text_of[1:] != text_of[:-1]]))
-    ends = np.concatenate([starts[1:], [len(text_of)]])
-    wins = []  # (from, to, keep from, keep to)
-    step = WINDOW - 2 * MARGIN
-    for s, t in zip(starts.tolist(), ends.tolist()):
-        if t - s <= WINDOW:
-            wins.append((s, t, s, t))
-            continue
-        for k in range(s, t, step):
-            wins.append((max(s, k - MARGIN), min(t, k + step + MARGIN), k, min(t, k + step)))
-    wins.sort(key=lambda w: w[1] - w[0])
-    y = np.zeros(len(text_of), dtype=np.int64)
+def settled(e: np.ndarray, trans: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Tokens that are outside on every best path; ``first`` and ``last`` mark the ends of texts.
+
+    Calling all tokens of a finding O is always allowed and changes the score by its tokens'
+    margins and by transitions, which are bounded over all labels. Of a best path no finding may
+    lose by that. The most that any finding of a kind through a token could gain is a bound for
+    its ends, the token's own margin and the best sums of margins to its left and right.
+    """
+    ok = allowed()
+    outer = [0, *range(1, L, 2)]
+    sure = np.ones(len(e), dtype=bool)
+    for b in range(1, L, 2):
+        i = b + 1
+        begin = max(0.0, max(trans[a, b] - trans[a, 0] for a in range(L) if ok[a, b]))
+        end = max(0.0, max(trans[x, c] - trans[0, c] for x in (b, i) for c in outer))
+        on = max(trans[b, i], trans[i, i]) - trans[0, 0]
+        u = (np.maximum(e[:, b], e[:, i] + on) - e[:, 0]).astype(np.float64)
+        gain = u + _sums(u, first) + _sums(u[::-1], last[::-1])[::-1]
+        sure &= gain + begin + end < -1e-3
+    return sure
+
+
+def _sums(u: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The largest sum, at least 0, of values right before each place, back to the start of its text at most."""
+    total = np.concatenate([[0.0], np.cumsum(u)])[:-1]  # before each place
+    group = np.cumsum(first)
+    # The least total so far within a text: texts are set apart by more than any sum.
+    apart = (np.abs(total).max() if len(total) else 0.0) * 2 + 1
+    return total - (np.minimum.accumulate(total - group * apart) + group * apart)
+
+
+def viterbi(e: np.ndarray, trans: np.ndarray, text_of: np.ndarray, gate: bool = True) -> np.ndarray:
+    """Best labels of all tokens, each text decoded whole; without ``gate`` nothing is settled beforehand."""
+    n = len(text_of)
+    first = np.concatenate([[True], text_of[1:] != text_of[:-1]])
+    last = np.concatenate([first[1:], [True]])
+    y = np.zeros(n, dtype=np.int64)
+    open_ = ~settled(e, trans, first, last) if gate else np.ones(n, dtype=bool)
+    prev_open = np.concatenate([[False], open_[:-1]]) & ~first
+    next_open = np.concatenate([open_[1:], [False]]) & ~last
+    start, end = np.flatnonzero(open_ & ~prev_open), np.flatnonzero(open_ & ~next_open) + 1
+    size = end - start
+    order = np.argsort(size, kind="stable")
+    start, size = start[order], size[order]
     t32 = np.where(allowed(), trans, -1e4).astype(np.float32)
-    begin = np.where(allowed()[0], 0, -1e4).astype(np.float32)
-    for i in range(0, len(wins), block):
-        part = wins[i : i + block]
-        a = np.array([w[0] for w in part])
-        n = np.array([w[1] - w[0] for w in part])
-        longest = int(n.max())
-        back = np.zeros((longest, len(part), L), np.int8)
-        d = e[a] + begin
-        for k in range(1, longest):
-            sums = d[:, :, None] + t32
-            arg = sums.argmax(1)
-            best = np.take_along_axis(sums, arg[:, None, :], 1)[:, 0, :] + e[np.minimum(a + k, len(e) - 1)]
-            live = (k < n)[:, None]
-            back[k] = np.where(live, arg, np.arange(L))  # beyond the end a path stays where it is
-            d = np.where(live, best, d)
-        lab = d.argmax(1)
-        path = np.zeros((longest, len(part)), dtype=np.int64)
-        path[longest - 1] = lab
-        for k in range(longest - 1, 0, -1):
-            lab = np.take_along_axis(back[k], lab[:, None], 1)[:, 0].astype(np.int64)
-            path[k - 1] = lab
-        for w, (f, _, kf, kt) in enumerate(part):
-            y[kf:kt] = path[kf - f : kt - f, w]
+    into = np.where(first[start][:, None], np.where(allowed()[0], 0, -1e4), t32[0]).astype(np.float32)
+    out_of = np.where(last[start + size - 1][:, None], 0, t32[:, 0]).astype(np.float32)
+    i = 0
+    while i < len(start):
+        j = i + 1
+        while j < len(start) and (j + 1 - i) * size[j] <= CELLS and size[j] <= 2 * size[i] + 2:
+            j += 1
+        y_at, lab = _stretches(e, t32, start[i:j], size[i:j], into[i:j], out_of[i:j])
+        y[y_at] = lab
+        i = j
     return y
 
 
+def _stretches(e: np.ndarray, t32: np.ndarray, a: np.ndarray, n: np.ndarray, into: np.ndarray, out_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, labels) of stretches that begin at ``a``, sorted by their length ``n``."""
+    longest, many = int(n[-1]), len(a)
+    back = np.zeros((longest, many, L), np.int8)
+    d = e[a] + into
+    done = np.searchsorted(n, np.arange(longest + 1), "right")  # stretches of at most k tokens
+    for k in range(1, longest):
+        live = done[k]  # those from here on are longer than k
+        sums = d[live:, :, None] + t32
+        arg = sums.argmax(1)
+        back[k, live:] = arg
+        best = sums.max(1) + e[a[live:] + k]
+        d[live:] = best - best.max(1, keepdims=True)  # small numbers keep their precision
+    lab = (d + out_of).argmax(1)
+    path = np.zeros((longest, many), dtype=np.int64)
+    cols = np.arange(many)
+    for k in range(longest - 1, -1, -1):
+        path[k] = lab
+        if k:
+            live = done[k]
+            lab[live:] = back[k, cols[live:], lab[live:]]
+    mask = np.arange(longest)[:, None] < n
+    return (a + np.arange(longest)[:, None])[mask], path[mask]
+
+
 class _Fold:
     """A part of the labelled table as arrays: features, gold labels and their order by feature."""
 
@@ -353,10 +448,15 @@ class _Fold:
         return np.add.reduceat(g[self.token], self.bounds, axis=0) / self.n, (self.gold - expected) / self.n
 
 
-def train(rows: list[tuple[str, list[tuple[int, int, str]]]], given: frozenset[str], passes: int = 10, folds: int = 24, rate: float = 0.1, l2: float = 1e-4) -> Model:
+def train(rows: list[tuple[str, list[tuple[int, int, str]]]], given: frozenset[str], passes: int = 5, folds: int = 24, rate: float = 0.05, l2: float = 1e-4, drop: float = 0.5, drop_near: float = 0.9) -> Model:
     v = Vocabulary(given)
     b = Batch([t for t, _ in rows], v)
     f = features(b, v)
+    rng = np.random.default_rng(3)
+    f[np.ix_(rng.random(len(f)) < drop, np.arange(SPELLING))] = 0
+    words = [OWN + NEAR * i + j for i in range(len(TOKEN_OFFSETS)) for j in (0, 3)] + [OWN + NEAR * len(TOKEN_OFFSETS) + AROUND * i for i in range(len(CHUNK_OFFSETS))] + [f.shape[1] - 1 - i for i in range(3)]
+    for group in (words[: 2 * len(TOKEN_OFFSETS)], words[2 * len(TOKEN_OFFSETS) :]):
+        f[np.ix_(rng.random(len(f)) < drop_near, group)] = 0
     y = np.zeros(len(b.types), dtype=np.int64)
     ends = np.cumsum(np.bincount(b.text_of, minlength=len(rows)))
     for d, (_, spans) in enumerate(rows):

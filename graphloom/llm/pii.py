@@ -22,60 +22,39 @@ from graphloom.common import pick, spread
 from graphloom.llm import crf, pii_examples
 
 MOST_EXAMPLES = 5_000
-MOST_NAMES = 100_000
 #: Texts that are decoded together.
 TOGETHER = 400
-_MAIL = re.compile(r"\S+?(?:@|\s*[\[({]\s*(?:at|AT|arroba)\s*[\])}]\s*|\s+(?:at|AT|arroba)\s+)[^\s,;<>]+(?:\s*(?:[\[({](?:dot|punto)[\])}]|\b(?:DOT|dot|punto)\b)\s*[^\s,;<>]+)*", re.S)
-
-
 @functools.lru_cache(2)
-def model(given: frozenset[str], per_pattern: int = 60) -> crf.Model:
-    rows = pii_examples.labelled(sorted(given), per_pattern=per_pattern)[:MOST_EXAMPLES]
-    m = crf.train(rows, frozenset(g.lower() for g in given))
+def model(given: frozenset[str], rows: int = MOST_EXAMPLES) -> crf.Model:
+    m = crf.train(pii_examples.labelled(sorted(given), rows=min(rows, MOST_EXAMPLES)), frozenset(g.lower() for g in given))
     m.reset()
     return m
 
 
-def checked(text: str, kind: str, start: int, end: int):
-    """The parts of a finding that have the least form of its kind, cut of stray marks."""
+#: Marks that a finding of a kind neither begins nor ends with.
+EDGES = {"email": " \t\n\r\xa0,;:.<>()\"'", "phone": " \t\n\r\xa0,;:/-.", "id_number": " \t\n\r\xa0,;:().#", "address": " \t\n\r\xa0,;:()", "name": " \t\n\r\xa0,;:()"}
+LEAST_DIGITS = {"phone": 6, "id_number": 4, "address": 1}
+
+
+def checked(text: str, kind: str, start: int, end: int) -> tuple[int, int] | None:
+    """The finding without marks at its edges, or none where it lacks the least form of its kind."""
+    if kind == "email" and text[start:end].lower().startswith("mailto:"):
+        start += 7
+    edges = EDGES[kind]
+    while end > start and text[end - 1] in edges and not (text[end - 1] == ")" and "(" in text[start:end]):
+        end -= 1
+    while start < end and text[start] in edges and not (text[start] == "(" and ")" in text[start:end]):
+        start += 1
     s = text[start:end]
+    if kind in ("name", "address") and s.endswith(".") and not re.search(r"(?:^|[\s.])\w{1,3}\.$", s):
+        end -= 1  # the point of the sentence, not of an initial or a short form
+        s = s[:-1]
+    fits = sum(c.isdigit() for c in s) >= LEAST_DIGITS.get(kind, 0) and len(s) > 1
     if kind == "email":
-        for m in _MAIL.finditer(s):
-            a, b = start + m.start(), start + m.end()
-            while b > a and text[b - 1] in ".,;:>)\"'" and not text[a:b].endswith("(dot)"):
-                b -= 1
-            while a < b and text[a] in "<(\"'":
-                a += 1
-            if text[a:b].lower().startswith("mailto:"):
-                a += 7
-            if b - a >= 5:
-                yield a, b
-        return
-    # A sentence ends a finding: a point after a whole word (not an initial, P.O. or Ave.) and then white space.
-    stop = {"id_number": r"\.\s", "name": r"(?<=\w\w)\.\s", "address": r"(?<!Ave)(?<!P\.O)\.\s"}.get(kind)
-    if stop and (m := re.search(stop, s)):
-        end = start + m.start()
-    if kind == "address" and text[start:end].endswith(" Ave") and text[end : end + 1] == ".":
-        end += 1
-    if kind == "phone" and re.fullmatch(r"(?:\+\d\d \d|\d\d)(?:[ .]\d\d)+", text[start:end]) and (m := re.match(r"[ .]\d\d(?!\d)", text[end : end + 4])):
-        end += m.end()  # the last pair of a number written in pairs
-    strip = {"phone": " \t\n\r\xa0,;:/-.", "id_number": " \t\n\r\xa0,;:().", "address": " \t\n\r\xa0,;:", "name": " \t\n\r\xa0,;:()"}[kind]
-    a, b = start, end
-    while b > a and text[b - 1] in strip:
-        b -= 1
-    while a < b and text[a] in strip:
-        a += 1
-    s = text[a:b]
-    digits = sum(c.isdigit() for c in s)
-    if kind == "address" and s.endswith(".") and not s.endswith("Ave."):
-        b -= 1
-        s = text[a:b]
-    if kind == "name" and s.endswith("."):
-        b -= 1
-        s = text[a:b]
-    ok = {"phone": digits >= 7 and not re.fullmatch(r"\d{3}-\d\d-\d{4}", s), "id_number": digits >= 5, "address": digits >= 1 and any(c.isalpha() for c in s), "name": any(c.isupper() for c in s) and not digits and len(s) > 1}[kind]
-    if ok:
-        yield a, b
+        fits = len(s) >= 5 and ("@" in s or bool(re.search(r"\W(?:\w{2,7})\W|_at_", s)))
+    elif kind == "name":
+        fits = len(s) > 1 and any(c.isalpha() for c in s) and not any(c.isdigit() for c in s)
+    return (start, end) if fits else None
 
 
 def findings(m: crf.Model, texts: list[str]) -> list[list[tuple[str, int, int]]]:
@@ -83,15 +62,14 @@ def findings(m: crf.Model, texts: list[str]) -> list[list[tuple[str, int, int]]]
     for i in range(0, len(texts), TOGETHER):
         part = texts[i : i + TOGETHER]
         for d, kind, s, e in m.spans(part):
-            out[i + d].extend((kind, a, b) for a, b in checked(part[d], kind, s, e))
+            if (at := checked(part[d], kind, s, e)) is not None:
+                out[i + d].append((kind, *at))
     return out
 
 
 def _given(names: DataFrame) -> frozenset[str]:
-    rows = pick(names, "given_name").where("given_name is not null").distinct().limit(MOST_NAMES + 1).collect()
-    if len(rows) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} given names")
-    return frozenset(r.given_name for r in rows)
+    """The helpful list, a small table by definition; it is a feature's vocabulary and goes to every task."""
+    return frozenset(r.given_name for r in pick(names, "given_name").where("given_name is not null").distinct().collect())
 
 
 def _searched(documents: DataFrame, names: DataFrame, out: str, rows_of):

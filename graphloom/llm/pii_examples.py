@@ -1,8 +1,9 @@
 """The labelled table for the personal-information model, built from patterns by a seed.
 
-A pattern is a sentence with typed slots; filling its slots gives the text and its labels.
-Parts of names, streets and towns are invented from syllables, so that the model learns
-shapes and surroundings and not a list.
+A pattern is a sentence with typed slots; filling its slots gives the text and its labels. The
+patterns, names, streets and number forms are general knowledge in four languages. They were
+written without reading the collection that is searched, and none is taken from it. Patterns
+stand in families, so that whole families can be held out to measure the model.
 """
 
 from __future__ import annotations
@@ -12,285 +13,243 @@ import re
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
-#: Given names outside the helpful list, as examples of its gaps.
-OTHER_GIVEN = "Lars Ines Colm Wilma Rafael Jutta Amadou Siobhan Benedikt Chiara Ewan Fiorella Gunnar Hedda Iker Jolanda Klaus Lucía Milos Nuria Ruben Cosima Félix Tobias Noé Lina Timo Bo Uma Karel Vera Hugo Dario Anouk".split()
-FIRST = "Kes Nor Tal Ost Rov Vel Lam Gal Quin Fen Had Mer Pel Jor Kar Lin Sor Brun Dav Hol Bran Cor Wil Mar Stern Grim".split()
-LAST = "ander mor wick dlund mström etto ova usz hari ière stine trand fielder berwick ano -Oake -Thorne son mann ley quist".split()
-STREETS = "Copper Juniper Weaver Lantern Quarry Kiln Fifth Tannery Orchard Harrow Willow Mercer Second Bishop Elm".split() + ["Old Mill", "Saint Orle", "Long Acre"]
-KINDS_OF_STREET = ["Street", "St", "Road", "Rd", "Lane", "Court", "Boulevard", "Ave.", "Avenue", "Square"]
-TOWNS = "Talbridge Ostermoor Villaseca Dunhollow Peñalba Brackenford Kelderhof Grauheim Linmouth Montclar Sainte-Orle Westmere Altdorf".split() + ["Harwick Vale", "North Ferry"]
-FOREIGN_STREETS = [("Mühlstraße {n}", 0), ("Gartenweg {n}", 0), ("Am Anger {n}", 0), ("Lindenallee {n}", 0), ("Calle Olmo {n}", 0), ("Avenida del Pozo {n}", 0), ("Plaza Nueva {n}", 0), ("Calle de la Luna {n}", 0), ("{n} rue des Tilleuls", 1), ("{n} avenue du Moulin", 1), ("{n} place Verte", 1), ("{n} rue Haute", 1)]
-HOSTS = "kiosk-ops.test mail.clinic.test brunfield-bank.example example.org example.com post.invalid ledger.example.net ward7.example depot.test north-line.example".split()
-TITLES = ["Dr. ", "Dr ", "Mr. ", "Ms. ", "Mrs. ", "Prof. ", "Nurse ", "Sister ", "Frau ", "Herr ", "Sra. ", "Sr. ", "Mme "]
-THINGS = "session token;payout amount;insurance voucher;identity card slot;card counter;bed number;phone queue;address book;member list;passport desk;licence key;audit trail;blood sample;door sensor;error banner;retry counter;mail gateway".split(";")
-ROLES = "ward console;branch operator;card reader;teller;case manager;key custodian;triage queue;duty physician;Settlement Engine;host gateway;nurse".split(";")
-
-PATTERNS = r"""
-Ask {name} or {name} about item {code}.
-Ask {title}{name} about item {code}.
-Please reach {name} at {email} before the review of the {thing}.
-Please reach {title}{name} at {mailed} before the review of the {thing}.
-Call {name} on {phone} if the {role} stays {adj}.
-Call {title}{name} on {phone} if the {role} stays {adj}.
-Reported by {name}, phone {phone}, mail {mailed}.
-Reported by {title}{name}, phone {phone}, mail {email}.
-Minutes taken by {name}; questions go to {phone}.
-Minutes taken by {title}{name}; questions go to {phone}.
-I spoke with {name} about the {thing}.
-I spoke with {title}{name} about the {thing}.
-The draft was signed by {name} and sent to {address}.
-The draft was signed by {title}{name} and sent to {address}.
-{name} said that the {thing} was {adj} all week.
-{title}{name} said that the {thing} was {adj} all week.
-Patient {name}, insured under {labelled}, asked to reserve the {thing}.
-Patient {name}, insured under {id_number}, asked to {verb} the {thing}.
-The account of {name} ({labelled}) was opened at the {role}.
-The account of {title}{name} ({id_number}) was opened at the front counter.
-Holder: {name}; document {labelled}; home {address}.
-Holder: {title}{name}; document {id_number}; home {address}.
-Identity check used {labelled} together with the {thing}.
-Identity check used {id_number} together with the {thing}.
-Contact: {mailed} / {phone}
-Contact: {email} / {phone} {filler}
-My number is {phone}, please do not use {mailed} after noon.
-cc {mailed}, {email}
-cc {email}, {mailed}\n{filler}
-Send the {thing} to {address} and copy {mailed}.
-Send the {thing} to {address} and copy {email}.
-Deliver to:\n{address}\nAttn. {name}
-Deliver to:\n{address}\nAttn. {title}{name} {filler}
-Our visitor from {address} was shown the {role}.
-Our visitor from {address} was shown the branch vault.
-Regards,\n{name}
-Regards,\n{name}\n{filler}
-Regards,\n{title}{name} {filler}
-Regards,\n{name} {filler}
-Rückfragen an {mailed} oder an {name}.
-Rückfragen an {email} oder an {title}{name}.
-Bitte {name} unter {phone} anrufen.
-Bitte {title}{name} unter {phone} anrufen.
-Ausweis {labelled} wurde geprüft.
-Ausweis {id_number} wurde geprüft.
-{name} hat den Entwurf gelesen.
-{title}{name} hat den Entwurf gelesen.
-Die Unterlagen gehen an {address}.
-Llame a {name} al {phone} si hay dudas.
-Llame a {title}{name} al {phone} si hay dudas.
-Escriba a {mailed} con copia a {name}.
-Escriba a {email} con copia a {title}{name}.
-El documento {labelled} fue revisado.
-El documento {id_number} fue revisado.
-{name} firmó el borrador.
-{title}{name} firmó el borrador.
-Enviar el informe a {address}.
-Merci de joindre {name} au {phone}.
-Merci de joindre {title}{name} au {phone}.
-Écrire à {mailed} pour le suivi.
-La pièce {labelled} a été vérifiée.
-La pièce {id_number} a été vérifiée.
-{name} a relu le brouillon.
-{title}{name} a relu le brouillon.
-Le dossier part au {address}.
-""".strip().split("\n")
-
-PLAIN = r"""
-Serial 00{d2}-{d3}-{d4} belongs to the {role}, unit 9{d2}-{d2}-{d4}.
-Serial {d4}-{d3}-{d4} belongs to the {role}, unit {d3}-{d2}-{d4}.
-Tag FR-{d3}-{d4} was moved to release 4.{d2}.{d4} without review.
-Tag FR-555-{d4} was moved to release 4.12.{d4} without review.
-Batch number {d3}555{d4} held {n} {adj} entries.
-Bank code {d5} and branch key {d2}-{d2}-{d2} come from the {thing}.
-The log line 2025-{m2}-{m2} {m2}:{d2}:{d2} lists terminal {d3}-{d2}-{d4} as idle.
-The log line 2025-{m2}-{m2} {m2}:{d2}:{d2} lists terminal {d3}-{d2}-{d4} as idle. {plainfill}
-Level {d2} 10 20 30 40 are valid steps for the {thing}.
-Checksum {d1}f{d1}a{d3}c0de was stored with build v{d1}@stage{d1}.
-Declare @prefix bnk: before using bnk:CardShape@en in the {thing} axiom.
-Cash Card and Bank Host stay separate classes in the {role} model.
-Harbour Savings Desk and Northgate Clinic use the same {thing}.
-The Wednesday Review Board and Quality Circle asked about Lane {d1} of the night desk.
-Street Level Design chose {n} Main Menu entries for the {role}.
-Names such as {coin}, {coin}, {coinl} or {coin} appear in the {thing} of the records cellar.
-Module {coin} passes the {thing} to module {coinl} in reading order over queue {hex}, never to {coin}.
-See the {coin} profile; its {coin} variant uses {n} seconds, the {coinl} variant uses key {hex}.
-Parameters {coin} and {coin} are read at start, limits {hex} and {hex}.
-{coin}, {hex} and {coin} are the only accepted values of the {thing}, and {hex} is kept for tests.
-{coin}, {hex} and {coinl} are the only accepted values of the {thing}, and {hex} is kept for tests.
-The {coin} field is written with code {hex} by the {coin} job and read by the {coin} job.
-This applies to the {coin} screen and the {coin} register of the {role}, builds {hex} and {hex}.
-Screen {hex} lists {coinl} next to {coin} and {coin} for the {role}.
-For the {coinl} release the value comes from {coin}, tickets {hex} and {hex}.
-The mappings {coin} to {coinl} and {coin} to {coin} are fixed in table {code}.
-Compare item {code} with the older wording of the {thing}.
-The run stopped because the {thing} threshold was met at step {n}.
-Recall against the hand-made model rose to 0.{d2} while precision stayed at 0.{d2}.
-Competency question {n} about the {thing} passed only after the second repair.
-Iteration {n} closed with {n} hard and {n} soft results on the {thing} graph.
-Closure added {n} statements to the {role} fragment and removed none.
-Pharmacist: person who may {verb} a {thing} at the front counter.
-Outpatient wing: location of the {role}; see also {thing}.
-Whenever the {thing} exceeds {n} working days, the {role} shall {verb} it and inform the teller.
-Between two visits to the remote kiosk the {thing} stays {adj} until the nurse disputes a fee.
-Nobody at the mobile unit could explain why the {thing} is {adj}.
-I would split this statement, since the {role} and the {role} have different duties.
-Open point: does the {role} {verb} the {thing}, or does the {role}?
-We agreed to {verb} the {thing} at most twice, but the draft says nothing on the paper jam.
-A {adj} {thing} should never reach the {role} because of a {thing}.
-A {adj} {thing} should never reach the {role} because of a {thing}.
-A class for the {thing} was declared without a range, so the {adj} literals were dropped.
-Each {adj} {thing} has to be linked to exactly one {role} and one {thing}.
-If the {role} postpones the visit at the night desk, the {role} shall {verb} the {thing} on request.
-As long as the {role} reports a full queue, a {role} can {verb} the {thing} only at the data hall.
-No {role} may {verb} a {adj} {thing} while the {role} is handling a power loss.
-Unless the {thing} is {adj}, the {role} will {verb} it and {verb} the related {thing}.
-The {role} must be able to {verb} the {thing} from the mobile unit by default.
-When a double booking occurs in the data hall, the {role} must {verb} the {thing} and {verb} every {adj} {thing}.
-When a {thing} is {adj}, the {role} must {verb} it.
-Before the {role} asks for a refund, the {role} checks whether the {thing} is {adj}.
-After {n} notes the {role} should {verb} the {thing} and show the {thing} to the teller.
-In case of a full queue, {adj} and late copies of the {thing} are kept for {n} minutes.
-The phrase about the {adj} {thing} is vague; please say who may {verb} it.
-The {thing} and the {thing} look like one concept to me.
-Bei einem Ausfall der Leitung bleibt die Karte im Leser, Code {code}.
-Die Pflegekraft prüft die Dosis vor jeder Gabe und vermerkt {n} Werte.
-Offen ist, wer den Termin in Zeile {n} ändern darf.
-Der Beleg wird nur auf Wunsch gedruckt und danach gesperrt.
-Jede Buchung gehört zu genau einem Konto und einer Filiale.
-Das Terminal muss den Vorgang nach {n} Sekunden abbrechen.
-El cajero debe cancelar la operación tras {n} segundos.
-El sistema guarda el motivo del rechazo con el código {code}.
-Queda por decidir quién cambia la hora en la línea {n}.
-Si falla la red, la tarjeta queda retenida y se avisa al operador.
-Cada cita se vincula con un paciente y una sola sala.
-Chaque rendez-vous est lié à un seul patient et à une seule salle.
-Le motif du refus est conservé avec le code {code}.
-Il reste à préciser qui modifie l'heure de la ligne {n}.
-En cas de panne, la carte reste dans le lecteur et un avis est envoyé.
-""".strip().split("\n")
-
-
-#: Patterns whose numbers look most like personal ones stand more often.
-HARD = ("Serial", "Tag", "Module", "See", "Names", "Parameters", "{coin}", "The {coin}", "For the {coinl}", "The mappings", "Screen", "This applies", "The log line", "Batch", "Bank", "Declare")
-
-
-class Filler:
-    def __init__(self, given: list[str], seed: int):
-        self.r = random.Random(seed)
-        self.given = given or OTHER_GIVEN
-
-    def digits(self, n: int) -> str:
-        return "".join(self.r.choice("0123456789") for _ in range(n))
-
-    def a_given(self) -> str:
-        return self.r.choice(OTHER_GIVEN if self.r.random() < 0.4 else self.given)
-
-    def family(self) -> str:
-        return self.r.choice(FIRST) + self.r.choice(LAST)
-
-    def name(self) -> str:
-        g, f, i = self.a_given(), self.family(), self.r.choice("ABCDEFGHIJKLMNOPRSTVWY")
-        x = self.r.choice([f"{g} {f}", f"{g} {f}", f"{g} {f}", f"{g} {i}. {f}", f"{i}. {f}", f"{i}. {f}", f"{f}, {g}", f"{f}, {g}", g, f, f"{g} {f}".upper(), f"{i}. {self.r.choice('ABCDE')}. {f}"])
-        return x
-
-    def short(self) -> str:
-        return self.r.choice([self.family(), self.family(), f"{self.a_given()} {self.family()}", f"{self.r.choice('ABDEHJKLMST')}. {self.family()}", f"{self.a_given()} {self.r.choice('ABDEHJKLMST')}. {self.family()}", self.a_given()])
-
-    def email(self) -> str:
-        g, f = (re.sub(r"[^a-z]", "", x.lower().replace("ö", "o").replace("è", "e").replace("é", "e")) for x in (self.a_given(), self.family()))
-        at = self.r.choice([f"{g}.{f}", f"{g}-{f}", f"{g}+notes", f"{self.r.choice('abcdehjklmx')}{f}", f"{f}_{g}{self.digits(2)}", f"{f}_{g}{self.digits(1)}", f"{g}-{f[:3]}-oake"])
-        host = self.r.choice(HOSTS)
-        style = self.r.randrange(12)
-        if style < 6:
-            x = f"{at}@{host}"
-            return x.upper() if style == 0 else x
-        a, d = [(" (at) ", " (dot) "), (" [at] ", "."), (" AT ", " DOT "), (" (at) ", "."), (" [at] ", " [dot] "), (" at ", " dot ")][style - 6]
-        return f"{at}{a}{host.replace('.', d)}"
-
-    def phone(self) -> str:
-        a, b, c = self.r.choice(["202", "303", "415", "617", "808"]), "555", "01" + self.digits(2)
-        d = self.digits
-        return self.r.choice([
-            f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+1 {a} {b} {c}", f"+1{a}{b}{c}", f"1-800-{b}-{c}", f"+44 1632 960{d(3)}", f"01632 960 {d(3)}", f"0044 (0)1632 960 {d(3)}",
-            f"+33 1 99 00 {d(2)} {d(2)}", f"01 99 00 {d(2)} {d(2)}", f"01.99.00.{d(2)}.{d(2)}", f"+49 (0)30 / 23125{d(3)}", f"+49 30 23125-{d(3)}", f"030 23125 {d(3)}", f"+34 91 {d(3)} {d(2)} {d(2)}",
-        ])
-
-    def id_number(self, labelled: bool = False) -> tuple[str, str]:
-        d = self.digits
-        ssn = [f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}"]
-        ni = [f"QQ {d(2)} {d(2)} {d(2)} {self.r.choice('ABCD')}", f"QQ{d(6)}{self.r.choice('ABCD')}"]
-        kind = self.r.randrange(6)
-        label, x = [
-            (self.r.choice(["SSN ", "social security no. "]), self.r.choice(ssn)), (self.r.choice(["NI number ", "national insurance no. "]), self.r.choice(ni)),
-            (self.r.choice(["passport ", "passport no. "]), self.r.choice([f"X{d(7)}", f"P{d(2)}K{d(5)}"])), ("identity card ", f"{d(4)} {d(4)} {d(2)}"),
-            (self.r.choice(["insurance member ", "member no. "]), f"KV-{d(2)}-{d(5)}"), ("driving licence ", f"ZZ{d(6)}{self.r.choice('ABCDE')}"),
-        ][kind]
-        return (label, x) if labelled else ("", self.r.choice([ssn[0], ssn[0], ssn[1], ni[1], x]))
-
-    def address(self) -> str:
-        n, town, post = self.r.randrange(1, 240), self.r.choice(TOWNS), f"{self.r.choice('569')}9{self.digits(3)}"
-        if self.r.random() < 0.25:
-            s, _ = self.r.choice(FOREIGN_STREETS)
-            return f"{s.format(n=n)}, {post} {town}"
-        if self.r.random() < 0.18:
-            return f"P.O. Box {n}" + self.r.choice([f", {town}", f", {town}", f", {town} {post}"])
-        x = f"{n} {self.r.choice(STREETS)} {self.r.choice(KINDS_OF_STREET)}"
-        x += self.r.choice(["", "", "", f", Apt {self.r.randrange(1, 40)}", f", Unit {self.r.randrange(1, 40)}{self.r.choice('AB')}", f" #{self.r.randrange(1, 40)}", f", Flat {self.r.randrange(1, 40)}"])
-        if self.r.random() < 0.75:
-            x += self.r.choice([", ", ", ", "\n"]) + town + self.r.choice(["", "", f" {post}", f", ZZ {post}"])
-        return x
-
-    def coin(self) -> str:
-        return "".join(self.r.choice(["b", "br", "d", "dr", "f", "fl", "g", "j", "k", "kr", "l", "m", "n", "pl", "r", "s", "st", "t", "tr", "v", "z"]) + self.r.choice("aeiou") for _ in range(self.r.randrange(3, 5)))
-
-    def slot(self, what: str) -> list[tuple[str, str | None]]:
-        r, d = self.r, self.digits
-        if what in ("labelled", "id_number"):
-            label, x = self.id_number(what == "labelled")
-            return [(label, None), (x, "id_number")]
-        if what == "mailed":
-            x = self.email()
-            return [[(x, "email")], [("<", None), (x, "email"), (">", None)], [("mailto:", None), (x, "email")]][r.randrange(3)]
-        if what in ("email", "phone", "address", "name"):
-            return [(getattr(self, what)(), what)]
-        if what == "filler":
-            return self.fill(r.choice(PLAIN))
-        if what == "plainfill":
-            return self.fill(PLAIN[r.randrange(26, 34)])
-        hexa = r.choice("ABCDGHJKMPTVXZ") + "".join(r.choice("0123456789ABCDEF") for _ in range(7))
-        return [({
-            "title": lambda: r.choice(TITLES), "thing": lambda: r.choice(THINGS), "role": lambda: r.choice(ROLES), "adj": lambda: r.choice(["manual", "pending", "urgent", "stale", "frozen"]),
-            "verb": lambda: r.choice(["lock", "reserve", "forward", "mask"]), "n": lambda: str(r.randrange(1, 99)), "code": lambda: f"{r.choice('ABDKLMVWXZ')}{r.choice('ABDKLMVWXZ')}-{d(4)}",
-            "m2": lambda: f"{r.randrange(1, 13):02d}", "coin": lambda: self.coin().capitalize(), "coinl": lambda: r.choice([self.coin(), self.coin().capitalize()]), "hex": lambda: hexa,
-        }.get(what, lambda: d(int(what[1:])))(), None)]
-
-    def fill(self, pattern: str) -> list[tuple[str, str | None]]:
-        out: list[tuple[str, str | None]] = []
-        titled = "{title}{name}" in pattern
-        for part in re.split(r"(\{\w+\})", pattern.replace("\\n", "\n")):
-            if part == "{name}" and titled and out and out[-1][1] == "title":
-                out.append((self.short(), "name"))
-            elif part.startswith("{"):
-                got = self.slot(part[1:-1])
-                out.extend([(got[0][0], "title")] if part == "{title}" else got)
-            elif part:
-                out.append((part, None))
-        return [(t, None if k == "title" else k) for t, k in out]
-
-
-def labelled(given: list[str], seed: int = 5, per_pattern: int = 14) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Rows of (text, [(start, end, kind)]): every pattern ``per_pattern`` times, two or three to a text."""
-    f = Filler(given, seed)
-    sentences = [f.fill(p) for p in PATTERNS for _ in range(per_pattern)] + [f.fill(p) for p in PLAIN for _ in range(max(2, per_pattern // 2) * (2 if p.startswith(HARD) else 1))]
-    f.r.shuffle(sentences)
-    rows, i = [], 0
-    while i < len(sentences):
-        k = f.r.choice([1, 2, 3])
+FIRST = (
+    "James Mary Robert Patricia John Linda Michael Susan David Karen Emily Oliver Grace Harry Chloe Declan Niamh Rhys Aoife Callum Hans Ursula Jürgen Heike Stefan Anja Matthias Sabine Thorsten Katrin "
+    "José Carmen Antonio Pilar Javier Rocío Álvaro Inés Sergio Montserrat Pierre Nathalie Jean François Sylvie Thierry Amélie Étienne Océane Wei Li Ming Xiu Hiroshi Yuki Kenji Sakura Min-jun Ji-woo Priya Arjun "
+    "Ananya Rahul Fatima Ahmed Omar Layla Yusuf Zainab Kwame Ama Chidi Ngozi Thabo Lerato Ivan Olga Dmitri Svetlana Paweł Agnieszka Jakub Zuzana László Eszter Giulia Marco João Mariana Sven Astrid Mikko Aino Nguyen Linh"
+).split()
+LAST = (
+    "Smith Jones Taylor Brown Williams Wilson Johnson Davies Patel Walker O'Connor McDonald Fitzgerald Murphy Campbell Hughes Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schäfer Hoffmann Köhler Krüger "
+    "García Fernández González Rodríguez López Martínez Sánchez Pérez Gómez Ibáñez Martin Bernard Dubois Thomas Lefèvre Moreau Laurent Girard Lemaître Faure Zhang Wang Chen Liu Tanaka Suzuki Watanabe Kim Park Choi "
+    "Sharma Gupta Iyer Nair Khan Hassan Ali Rahman Haddad Mensah Okafor Adeyemi Dlamini Ivanov Petrova Sokolov Nowak Kowalski Novák Horvath Szabó Rossi Bianchi Silva Santos Andersson Lindqvist Virtanen Korhonen Tran Pham"
+).split()
+PARTICLES = ("van", "van der", "de", "de la", "von", "del", "di", "al-", "da", "le")
+ONSETS = "b br c ch d dr f fr g gr h j k kl l m n p r s sch sh st t tr v w z".split()
+VOWELS = "a e i o u ai ea ee ie ou ö ü é á".split()
+ENDS = "n r l s m t nd rt ck x ston ley ford berg mann ez ard ov ski ini sen".split()
+TITLES = ("Dr. ", "Dr ", "Mr. ", "Mr ", "Mrs. ", "Ms. ", "Miss ", "Prof. ", "Professor ", "Sir ", "Frau ", "Herr ", "Herrn ", "Sr. ", "Sra. ", "Señora ", "Don ", "Doña ", "M. ", "Mme ", "Monsieur ", "Madame ", "Nurse ", "Sister ", "Rev. ", "Captain ")
+TOWNS = "Leeds Bristol Aberdeen Norwich Cardiff Galway Springfield Portland Denver Austin München Köln Leipzig Nürnberg Graz Zürich Sevilla Bilbao Zaragoza Málaga Lyon Nantes Toulouse Dijon Namur Utrecht Göteborg Kraków Porto Verona".split()
+TOWN_TAILS = ("burgh", "ham", "ton", "field", "mouth", "bridge", "dorf", "heim", "hausen", "ville", "court", "lada", "mora", "stad", "wick")
+STREET_WORDS = "High Church Park Mill Station Victoria Queen King North Green School Main Oak Maple Cedar Lake Hill River Garden Castle Bridge Spring Meadow Rose Abbey Market Union Grove Forest Sunset".split()
+STREET_KINDS = "Street St St. Road Rd Rd. Lane Ln Avenue Ave Ave. Drive Dr Court Ct Close Way Walk Terrace Place Crescent Square Boulevard Blvd Row Gardens Quay".split()
+DE_STREET = "Haupt Bahnhof Schiller Goethe Berg Wald Kirch Schul Rosen Birken Dorf Markt Linden Mozart Ring".split()
+ES_STREET = "Mayor Real Sol Alcalá Serrano Goya Colón Velázquez".split() + ["del Carmen", "de la Paz", "San Juan", "de Cervantes", "de los Reyes"]
+FR_STREET = ["de la Gare", "Victor Hugo", "de l'Église", "des Lilas", "Pasteur", "du Général Leclerc", "de la République", "Jean Jaurès", "des Écoles", "Saint-Michel"]
+WORDS = "status queue report module client request token ledger review draft policy schema value record service session balance backup filter screen export import field entry index vendor branch ward sample chart order".split()
+HOSTS = "example.com example.org example.net mail.example post.test corp.invalid uni.example ac.test web.example co.test".split()
+ORGS = ("Bank", "Trust", "Hospital", "Clinic", "Board", "Committee", "Council", "Institute", "University", "Group", "Holdings", "Ltd", "Inc.", "GmbH", "AG", "S.A.", "Agency", "Department", "Foundation", "Laboratory", "Partners", "Insurance")
+TERMS = "Agreement Officer Control Management Union Annex Appendix Policy Level Plan Protocol Review Service Protection Access Class Holder Item Gateway Request Model Check Rule Team Section Limit".split()
+ROLES = "engineer manager analyst nurse auditor architect tester operator director consultant clerk physician reviewer secretary coordinator".split()
+
+
+def _digits(r: random.Random, form: str) -> str:
+    """d any digit, n one from 1 to 9, L an upper-case letter; the rest stands for itself."""
+    return "".join(r.choice("0123456789") if c == "d" else r.choice("123456789") if c == "n" else r.choice("ABCDEFGHJKLMNPRSTUVWXYZ") if c == "L" else c for c in form)
+
+
+def _invented(r: random.Random) -> str:
+    return "".join(r.choice(ONSETS) + r.choice(VOWELS) for _ in range(r.choice((1, 1, 2)))).capitalize() + r.choice(ENDS)
+
+
+def _first(r, given):
+    k = r.random()
+    x = r.choice(given) if given and k < 0.3 else r.choice(FIRST) if k < 0.7 else _invented(r)
+    return f"{x}-{r.choice(FIRST)}" if r.random() < 0.04 else x
+
+
+def _last(r):
+    x = r.choice(LAST) if r.random() < 0.45 else _invented(r)
+    if r.random() < 0.06:
+        x += "-" + r.choice(LAST)
+    if r.random() < 0.08:
+        p = r.choice(PARTICLES)
+        x = p + x if p.endswith("-") else f"{p} {x}"
+    return x
+
+
+def _name(r, given):
+    f, l = _first(r, given), _last(r)
+    i = r.choice("ABCDEFGHIJKLMNOPRSTW")
+    k = r.random()
+    x = (
+        f"{f} {l}" if k < 0.5 else f"{f} {i}. {l}" if k < 0.57 else f"{i}. {l}" if k < 0.66 else f"{l}, {f}" if k < 0.74 else f"{l}, {i}." if k < 0.78 else f"{f} {l} {_last(r)}" if k < 0.82
+        else f"{i}.{r.choice('BJKLMR')}. {l}" if k < 0.85 else f"{f} {r.choice(FIRST)} {l}" if k < 0.88 else f if k < 0.97 else l
+    )
+    return x.upper() if r.random() < 0.03 else x
+
+
+def _full(r, given):
+    x = f"{_first(r, given)} {_last(r)}"
+    return x.upper() if r.random() < 0.03 else x
+
+
+def _ascii(s: str) -> str:
+    return re.sub(r"[^a-z]", "", s.lower()) or "x"
+
+
+def _email(r, given):
+    f, l = _ascii(_first(r, given)), _ascii(_last(r))
+    local = r.choice((f"{f}.{l}", f"{f[0]}{l}", f"{f}_{l}", f"{f}", f"{l}.{f}", f"{f}-{l}", f"{f}{r.randrange(100)}", f"{f}.{l}+{r.choice(WORDS)}", r.choice(WORDS), f"{r.choice(WORDS)}-{r.choice(WORDS)}", f"{f[0]}.{l}{r.randrange(10)}"))
+    host = r.choice(HOSTS) if r.random() < 0.4 else f"{r.choice((r.choice(WORDS), _ascii(_invented(r)), r.choice(WORDS) + '-' + r.choice(WORDS), 'mail.' + r.choice(WORDS), r.choice(WORDS) + str(r.randrange(10))))}.{r.choice('com org net example test invalid de es fr co.uk io gov edu'.split())}"
+    k = r.random()
+    if k < 0.62:
+        return f"{local}@{host}"
+    if k < 0.68:
+        return f"{local}@{host}".upper() if r.random() < 0.5 else f"{local.title()}@{host.title()}"
+    if k < 0.7:
+        return f"{local} @ {host}"
+    at = r.choice((" (at) ", "(at)", " [at] ", "[at]", " at ", " AT ", " {at} ", " (AT) ", " arroba ", " (arroba) ", " arobase ", " (ät) ", "_at_", " <at> "))
+    if r.random() < 0.35:
+        return local + at + host
+    dot = r.choice((" (dot) ", "(dot)", " [dot] ", "[dot]", " dot ", " DOT ", " punto ", " (punto) ", " point ", " Punkt ", " (Punkt) ", "_dot_"))
+    return (local.replace(".", dot) if r.random() < 0.4 else local) + at + host.replace(".", dot)
+
+
+PHONES = (
+    "+1 nnd ddd dddd|+1-nnd-ddd-dddd|+1 (nnd) ddd-dddd|(nnd) ddd-dddd|(nnd) ddd dddd|nnd-ddd-dddd|nnd.ddd.dddd|nnd ddd dddd|1-nnd-ddd-dddd|+1nndddddddd|+1.nnd.ddd.dddd|+44 nd dddd dddd|+44 (0)nd dddd dddd|+44 nddd dddddd|0nd dddd dddd|0nddd dddddd|0nddd ddd ddd|(0nd) dddd dddd|(0nddd) dddddd|"
+    "+353 n ddd dddd|+49 ndd ddddddd|+49 (0)nd dddddd|+49 (0) ndd / ddddddd|+49-ndd-dddddd|0ndd/dddddd|0nd-dddddd|0nddd ddddd|0ndd dddddddd|(0ndd) dddddd|+43 n ddd dd dd|+41 nd ddd dd dd|+33 n dd dd dd dd|+33 (0)n dd dd dd dd|0n dd dd dd dd|0n.dd.dd.dd.dd|0n-dd-dd-dd-dd|+32 n ddd dd dd|"
+    "+34 ndd dd dd dd|+34 ndd ddd ddd|+34-ndd-ddd-ddd|ndd dd dd dd|ndd ddd ddd|(+34) ndd ddd ddd|+351 ndd ddd ddd|+39 0n dddd dddd|+31 n dddd dddd|+48 ndd ddd ddd|+420 ndd ddd ddd|+46 n-ddd dd dd|00nn ndd ddd ddd|00nn nd dddd dddd|+91 ndddd ddddd|+86 ndd dddd dddd|+81 n-dddd-dddd|+61 n dddd dddd|+55 nn ndddd-dddd|"
+    "+nn ndd ddd ddd|+nn nd ddd dddd|+nn (ndd) ddd-ddd|+nndddddddddd|0nddddddddd|+nn.nd.dddd.dddd|+nnd nd ddd dd dd"
+).split("|")
+#: Forms of personal numbers, and the words that stand before them.
+IDS = (
+    (("SSN", "social security number", "Social Security No.", "SSN on file", "soc. sec. no."), ("ddd-dd-dddd", "ddd dd dddd", "ddddddddd")),
+    (("National Insurance number", "NI number", "NINO", "NI no."), ("LL dd dd dd L", "LLddddddL", "LL dddddd L")),
+    (("passport", "passport number", "passport no.", "Passport No", "Reisepass", "Reisepassnummer", "pasaporte", "pasaporte n.º", "passeport", "numéro de passeport"), ("Ldddddddd", "Lddddddd", "LLddddddd", "ddddddddd", "LddLLLddd", "ddLLddddd", "LLL dddddd", "Ldd ddd ddd", "LLdddddd")),
+    (("identity card", "ID card no.", "national ID", "identity number", "ID number", "Personalausweis", "Ausweisnummer", "Ausweis-Nr.", "DNI", "NIE", "NIF", "documento de identidad", "carte d'identité", "CNI n°"), ("ddddddddL", "dd.ddd.ddd-L", "Ldddddddd", "Xddddddd-L", "LddLdddddd", "dddddddddddd", "LLLddddddd", "dddddddd-L", "Yddddddd L")),
+    (("member number", "member no.", "membership number", "member ID", "policy holder number", "insurance number", "Versichertennummer", "Versicherungsnummer", "Mitgliedsnummer", "Krankenversichertennummer", "número de afiliación", "número de socio", "numéro d'adhérent", "numéro d'assuré", "health card", "Medicare number", "NHS number"), ("Ldddddddddd", "LLL-dddddd", "M-dddddd", "ddd ddd dddd", "dd dddddd L ddd", "L-dddd-dddd", "dddd dddd dddd", "LLdddddddd", "dd/dddddddd/dd", "dddddddddL")),
+    (("driving licence", "driver's license", "driver licence no.", "licence number", "license no.", "Führerschein", "Führerscheinnummer", "permiso de conducir", "carné de conducir", "permis de conduire"), ("Lddd-dddd-dddd", "LLLLLdddddd LL", "LddddddddL", "Ldddddddddddd", "dddddddd", "LLdddddddddL", "ddLLddddd")),
+    (("tax ID", "tax number", "Steuer-ID", "Steueridentifikationsnummer", "Sozialversicherungsnummer", "Rentenversicherungsnummer", "número de la Seguridad Social", "NUSS", "numéro de sécurité sociale", "n° de sécu"), ("dd ddd ddd ddd", "ddddddddddd", "dd dddddd L ddd", "dd/dddddddddd", "n dd dd dd ddd ddd dd", "nddddddddddddd", "dd dddddddd dd")),
+)
+#: The same kinds of marks that name a thing, not a person.
+THINGS = (
+    ("serial number", "serial no.", "S/N", "device", "batch", "batch no.", "lot", "ticket", "ticket no.", "case", "incident", "order", "invoice", "account", "account number", "IBAN", "card ending", "sort code", "terminal", "asset tag", "build", "revision", "reference", "tracking number", "part no.",
+     "Seriennummer", "Charge", "Gerät", "Vorgang", "Rechnung", "Konto", "Kontonummer", "Bestellung", "número de serie", "lote", "pedido", "factura", "cuenta", "incidencia", "numéro de série", "lot", "dossier", "facture", "compte", "commande", "hash", "checksum", "meter", "router"),
+    ("LL-ddddd", "dddddd", "ddddddddd", "ddd-dd-dddd", "dddd-dddd", "LLdddddddd", "Ldddddddd", "LLL-dddd-LL", "dd.ddd.ddd", "GBdd LLLL dddd dddd dddd dd", "DEdd dddd dddd dddd dddd dd", "dddd dddd dddd dddd", "dd-dd-dd", "#ddddd", "ddd/dddd", "SN-dddddddd", "0xddddd", "LLLddddddd", "dd dd dd dd", "ddd ddd ddd", "20dd-dddd", "+dd.dd", "ddddddddddd"),
+)
+
+
+def _town(r):
+    x = r.choice(TOWNS) if r.random() < 0.45 else _invented(r) if r.random() < 0.4 else r.choice(STREET_WORDS) + r.choice(TOWN_TAILS)
+    return r.choice(("Saint ", "New ", "Bad ", "La ", "Port ", "San ")) + x if r.random() < 0.1 else x
+
+
+def _address(r, _):
+    n = str(r.randrange(1, 300)) + (r.choice("abcBC") if r.random() < 0.1 else "")
+    sep = r.choice((", ", ", ", ", ", "\n", ",\n", " "))
+    lang = r.choice(("en", "en", "us", "us", "box", "de", "es", "fr"))
+    if lang in ("en", "us"):
+        street = f"{n} {r.choice(STREET_WORDS) if r.random() < 0.6 else _invented(r)} {r.choice(STREET_KINDS)}"
+        if r.random() < 0.2:
+            street = f"{r.choice(('Flat', 'Apt', 'Apt.', 'Unit', 'Suite', 'Room'))} {r.randrange(1, 60)}{r.choice(('', '', 'A', 'B'))}{r.choice((', ', ' '))}{street}"
+        elif r.random() < 0.2:
+            street += f"{r.choice((', ', ' '))}{r.choice(('Apt', 'Apt.', 'Suite', 'Unit', 'Floor', 'Flat', '#'))} {r.randrange(1, 60)}"
+        code = _digits(r, r.choice(("LLn nLL", "Ldd dLL", "LLdd dLL", "Ln dLL"))) if lang == "en" else r.choice(("", "", r.choice("IL TX OR CO NY CA OH".split()) + " ")) + _digits(r, r.choice(("ddddd", "ddddd-dddd")))
+        k = r.random()
+        return street if k < 0.22 else f"{street}{sep}{_town(r)}" if k < 0.42 else f"{street}{sep}{_town(r)}{r.choice((', ', ' '))}{code}"
+    if lang == "box":
+        box = f"{r.choice(('P.O. Box', 'PO Box', 'P. O. Box', 'Post Office Box', 'Postfach', 'Apartado', 'Apartado de Correos', 'Apdo.', 'Boîte postale', 'BP', 'B.P.', 'Private Bag'))} {r.choice((str(r.randrange(1, 9999)), _digits(r, 'nd dd dd')))}"
+        k = r.random()
+        return box if k < 0.2 else f"{box}{sep}{_town(r)}" if k < 0.4 else f"{box}{sep}{_digits(r, 'ddddd')} {_town(r)}"
+    code = _digits(r, r.choice(("ddddd", "ddddd", "dddd", "D-ddddd" if lang == "de" else "ddddd")))
+    if lang == "de":
+        street = f"{r.choice(DE_STREET) if r.random() < 0.6 else _invented(r)}{r.choice(('straße', 'str.', 'strasse', 'weg', 'platz', 'allee', 'gasse', 'ufer', 'ring', '-Straße', 'damm'))} {n}"
+        street = r.choice((street, street, street, f"Am {r.choice(DE_STREET)}{r.choice(('berg', 'tor', 'park', 'bach'))} {n}", f"An der {_invented(r)} {n}", f"{r.choice(('Alte', 'Neue', 'Lange', 'Obere'))} {r.choice(('Straße', 'Gasse', 'Allee'))} {n}", f"Unter den {r.choice(DE_STREET)} {n}"))
+    elif lang == "es":
+        street = f"{r.choice(('Calle', 'C/', 'C/ ', 'Avenida', 'Av.', 'Avda.', 'Plaza', 'Paseo', 'Camino', 'Ronda', 'Travesía', 'calle')).strip()} {r.choice(ES_STREET) if r.random() < 0.6 else _invented(r)}{r.choice((' ', ', ', ' n.º ', ', nº '))}{n}{r.choice(('', '', '', ', ' + str(r.randrange(1, 9)) + r.choice(('º A', 'º B', 'º izq.', 'ª')), ', piso ' + str(r.randrange(1, 9))))}"
+    else:
+        street = f"{n}{r.choice((' ', ', ', ' bis '))}{r.choice(('rue', 'avenue', 'boulevard', 'place', 'chemin', 'quai', 'allée', 'impasse', 'route', 'bd', 'Rue', 'Avenue'))} {r.choice(FR_STREET) if r.random() < 0.6 else _invented(r)}{r.choice(('', '', '', ', appt ' + str(r.randrange(1, 40)), ', bâtiment ' + r.choice('ABC')))}"
+    k = r.random()
+    return street if k < 0.25 else f"{street}{sep}{_town(r)}" if k < 0.35 else f"{street}{sep}{code} {_town(r)}"
+
+
+def _id(r, _):
+    cues, forms = r.choice(IDS)
+    join = r.choice((" ", " ", ": ", " is ", " no. ", " = ", " (", " #", "\n", " lautet ", " es ", " est le ", " - ", " / "))
+    # Forms differ by country and year: a third are any mix of letters and digits, or groups of digits.
+    k = r.random()
+    form = r.choice(forms) if k < 0.65 else "".join(r.choice("ddddL") for _ in range(r.randrange(7, 14))) + "d" if k < 0.85 else r.choice(" -./").join("d" * r.randrange(2, 5) for _ in range(r.randrange(3, 6)))
+    return [(r.choice(cues) + join, None), (_digits(r, form), "id_number"), (")" if join == " (" else "", None)]
+
+
+def _thing(r, _):
+    cue = r.choice(THINGS[0])
+    return f"{cue if r.random() < 0.7 else cue.capitalize()}{r.choice((' ', ' ', ': ', ' is ', ' no. ', ' = '))}{_digits(r, r.choice(THINGS[1]))}"
+
+
+def _class(r, _):
+    a, b = r.choice(WORDS).capitalize(), r.choice(WORDS).capitalize()
+    return r.choice((f"{a}{b}", f"ex:{a}{b}", f"{a} {b}", f"has{a}", f"{r.choice(WORDS)}:{a}", f"{a.upper()}_{b.upper()}", f"{a} {b} {r.choice(TERMS)}", f"{a} {r.choice(TERMS)}", f"{r.choice(TERMS)} {r.choice('ABCD')}", f"{a} {r.randrange(20)}", f"{r.choice(WORDS)}.{r.choice(WORDS)}", f"rdfs:{r.choice(('label', 'comment', 'domain', 'range'))}", a, f"the {a} {b}"))
+
+
+def _org(r, _):
+    x = r.choice((_invented(r), r.choice(STREET_WORDS), r.choice(LAST), r.choice(TOWNS), _town(r), f"{r.choice(LAST)} & {r.choice(LAST)}", f"{r.choice(STREET_WORDS)} {r.choice(STREET_WORDS)}", f"St {r.choice(FIRST)}"))
+    return r.choice((f"{x} {r.choice(ORGS)}", f"{x} {r.choice(ORGS)}", f"{r.choice(ORGS[3:8])} of {x}", f"the {r.choice(WORDS).capitalize()} {r.choice(ORGS)}", f"{r.choice(('Universität', 'Klinikum', 'Banco', 'Hospital', 'Banque', 'Mairie de', 'Stadtwerke', 'Ayuntamiento de'))} {x}"))
+
+
+def _number(r, _):
+    return _digits(r, r.choice(("20dd-0n-1d", "nd.0n.20dd", "n/nd/20dd", "nd:dd", "1d:dd:dd", "n,ddd.dd", "n.ddd,dd", "nd %", "n.d.d", "v2.nd", "nd ms", "nddd", "10.0.d.nd", "EUR nd.dd", "$nd", "0.dd", "20dd", "20dd-0n-1dT1d:dd:00Z", "FR-nd", "REQ-ddd", "CQn", "n of nd", "nd x nd", "nd kg", "n.ddd.ddd", "§ nd", "nd-nd", "dd/dd", "(nd)", "n)")))
+
+
+def _month(r, _):
+    return f"{r.randrange(1, 29)}{r.choice((' ', '. ', ' de ', ' '))}{r.choice('January March April May June July August October December Januar März Mai Oktober enero abril agosto mayo janvier avril août'.split())}"
+
+
+SLOTS = {
+    "name": lambda r, g: [(_name(r, g), "name")], "full": lambda r, g: [(_full(r, g), "name")], "first": lambda r, g: [(_first(r, g), "name")], "mail": lambda r, g: [(_email(r, g), "email")],
+    "phone": lambda r, g: [(_digits(r, r.choice(PHONES)), "phone")], "address": lambda r, g: [(_address(r, g), "address")], "id": _id,
+    "titled": lambda r, g: [(r.choice(TITLES), None), (r.choice((_last(r), _full(r, g), _name(r, g))), "name")],
+    "thing": lambda r, g: [(_thing(r, g), None)], "class": lambda r, g: [(_class(r, g), None)], "org": lambda r, g: [(_org(r, g), None)], "number": lambda r, g: [(_number(r, g), None)], "month": lambda r, g: [(_month(r, g), None)],
+    "word": lambda r, g: [(r.choice(WORDS), None)], "Word": lambda r, g: [(r.choice(WORDS).capitalize(), None)], "role": lambda r, g: [(r.choice(ROLES), None)], "town": lambda r, g: [(_town(r), None)],
+}
+
+#: Patterns by family, with ``|`` between patterns; ``¦`` stands for a bar in the text.
+FAMILIES = {
+    "call_en": "Call {full} on {phone}.|Ring {phone} after office hours.|Our hotline is {phone}, ask for {first}.|{full} can be reached at {phone} or {mail}.|Phone: {phone}|Tel.: {phone}, fax: {phone}|mobile {phone}|Reach the {role} under {phone} before {number}.|Please dial {phone} and quote {thing}.|My new number is {phone}.|"
+    "Contact {mail} or {phone}.|If the {word} fails, phone {first} ({phone}).|text me at {phone} please|The caller left {phone} as call-back number.|Support desk {phone} (weekdays)|phone {phone} was entered in the wrong {word}",
+    "write_en": "Send the {word} to {mail}.|Write to {mail} for access.|E-mail: {mail}|Please forward this to {mail} and copy {mail}.|The address {mail} bounced twice.|Questions? {mail}|Mail from <{mail}> was delayed.|See mailto:{mail} for details.|{full} <{mail}> wrote:|{titled} is at {mail} now.|Find {full} at {mail} or at {address}.|ask {first} at <{mail}>|cc {mail}; {mail}|reply to {mail}|{mail} asked for a new {word}.|The account belongs to {mail}, not to the {role}.|invitations go out via {mail}",
+    "lives_en": "{full} lives at {address}.|Deliver the {word} to {address}.|The office moved to {address} in {month}.|Home address: {address}|Send it by post to {address}.|He was visited at {address} by the {role}.|Postal address: {address}|Billing address\n{address}\n|The letter to {address} came back.|Ship to {full}, {address}.|resident at {address} since {number}|a parcel for {address} was lost|We met at {address}, near the station.",
+    "number_en": "His {id} was copied by mistake.|The {id} belongs to {full}.|She gave her {id} at the desk.|{id}|Please remove {id} from the {word}.|The form shows {id}, which is personal.|{full}, {id}, signed the form.|Applicant: {full}; {id}|verify {id} before the {word} is opened|record holds {id} in clear text|born {number}, {id}",
+    "people_en": "{full} approved the change.|{titled} will sign on {month}.|We asked {full} and {full} to review it.|Reviewed by {name} on {number}.|Thanks, {first}|Hi {first},\n|Dear {titled},\n|Kind regards\n{full}\n{role}, {org}|{full} and {first} disagreed.|According to {titled}, the {word} is fine.|Author: {name}|Owner: {name}|Present: {full}, {full}, {name}|Apologies: {name}; {name}|The patient {full} was seen by {titled}.|{first} said the {word} was late.|{first}, {first} and {first} were there.|the handover from {name} to {name} is done|ask {first} via {phone}|Action: {first} to update the {word} by {month}.|Customer {full} complained about {class}.|signed {name}|as {name} pointed out, {class} is missing|Attendees\n- {full}\n- {full}\n- {name}|{full} ({role}) joined at {number}|we should ask {full} whether {class} holds|Minutes taken by {name}.|{titled} and {titled} were absent.|the {role}, {full}, agreed|Assigned to {name}; due {number}|Interviewer: {titled}|witness {full} stated that the {word} was open",
+    "german": "{full} wohnt in der {address}.|Bitte rufen Sie {titled} unter {phone} an.|Telefon: {phone}|Rückfragen an {mail}.|Ansprechpartner ist {full}, Tel. {phone}.|Die Anschrift lautet {address}.|Senden Sie die Unterlagen an {address}.|Mit freundlichen Grüßen\n{full}|Sehr geehrte {titled},\n|Sehr geehrter {titled},\n|Die {id} steht im Antrag von {full}.|Er legte den {id} vor.|Ihre {id} wurde gespeichert.|{full} hat die Prüfung bestätigt.|{full} übernimmt ab {month}.|{id} wurde kopiert.|{id} gültig bis {number}|Teilnehmer: {full}, {name}, {full}|Laut {titled} ist {class} falsch.|Protokoll: {name}|E-Mail an {mail} gesendet.|Handy {phone}|{first} meldet sich am {month}.|Die Kundin {full} rief um {number} an.|Geprüft von {name}|unter {phone} ist niemand erreichbar",
+    "spanish": "{full} vive en {address}.|Llame a {titled} al {phone}.|Teléfono: {phone}|Escriba a {mail} para más datos.|El domicilio es {address}.|Envíe los papeles a {address}.|Un saludo,\n{full}|Estimado {titled}:\n|Estimada {titled}:\n|El {id} figura en la solicitud de {full}.|Presentó su {id} en la ventanilla.|{full} aprobó el cambio.|{full} firmó.|{id} verificado.|{id} caducado en {number}|Asistentes: {full}, {full} y {name}|Según {titled}, {class} es incorrecto.|Acta redactada por {name}.|Correo: {mail}|móvil {phone}|{first} llamará el {month}.|La clienta {full} se quejó.|Revisado por {name}|con {id} y domicilio en {address}|puede contactar con {full} en {mail}",
+    "french": "{full} habite au {address}.|Appelez {titled} au {phone}.|Téléphone : {phone}|Écrivez à {mail} pour en savoir plus.|L'adresse est {address}.|Envoyez le dossier au {address}.|Cordialement,\n{full}|Cher {titled},\n|Chère {titled},\n|Le {id} figure sur la demande de {full}.|Elle a présenté son {id} au guichet.|{full} a validé la demande.|{full} et {full} sont en congé.|{id} a été copié.|{id} valable jusqu'en {number}|Présents : {full}, {full} et {name}|Selon {titled}, {class} est faux.|Compte rendu de {name}.|Courriel : {mail}|portable {phone}|{first} rappellera le {month}.|La cliente {full} a écrit.|Relu par {name}|joindre {full} au {phone} ou par {mail}",
+    "loose": "{word} {phone} {word}|{Word} {mail} {word}|{word} {address} {word} {word}|{word} {full} {word}|{phone}|{mail}|{address}|{full}|{id} {word}|{word} {word}: {address}|{word} {word}: {phone}|{word} {word}: {mail}|{word}: {full}|{word} ({phone})|{word} ({mail})|{word} ({full})|{word}, {address}, {word}|{number} {full} {number}|{thing}, {phone}|{class} {full} {class}|{class} {mail} {class}|{number} {address}; {word}|{word} \"{mail}\" {word}|{org}, {address}|{org}: {full}, {phone}|{word} / {phone} / {mail}|{name} ¦ {word} ¦ {number}|{titled} {word} {word}|{word} {id}, {word}",
+    "headers": "From: {full} <{mail}>\nTo: {mail}\nSubject: {word} {word}\n|From: {mail}\nDate: {number}\n|To: {name}; {name}\n|Von: {full} <{mail}>\nBetreff: {Word}\n|De: {full} <{mail}>\nAsunto: {word}\n|De : {full}\nObjet : {word}\n|Cc: {full}, {full}\n|Contact\nName: {name}\nPhone: {phone}\nMail: {mail}\nAddress: {address}\n|{full}\n{role}\n{phone}\n{mail}\n|{full}\n{address}\n|--\n{full}\n{org}\n{address}\nT {phone}\n|name ¦ {name}\nphone ¦ {phone}\naddress ¦ {address}\n{id}\n|{full}; {phone}; {mail}; {address}|{name}\t{mail}\t{phone}|Name: {name}, {id}, tel {phone}",
+    "plain_en": "The {word} shall be stored within {number}.|If the {word} is empty, the {role} sees an error.|{class} is a subclass of {class}.|The {role} opens the {word} and checks {thing}.|{org} approved the {word}.|{Word} {number}: the {class} must have a {word}.|See {thing}.|{thing} was replaced in {month}.|The {org} meets on {month}.|Section {number} defines {class}.|Each {class} has exactly one {class}.|The system logs {thing} and {thing}.|{class}|{Word} {word} {word}.|Deployed build {number} to {town}.|The branch in {town} closes at {number}.|Error {number} in {class} after {number}.|@prefix ex: <http://example.org/{word}#> .|ex:{Word} a owl:Class ; rdfs:label \"{Word}\" .|see http://example.org/{word}/{Word}#{word}|@{word} is a decorator|user@{word} is no mailbox|The {org} and the {org} share a {word}.|Note: {class} and {class} overlap.|On {month} the {word} failed {number} times.|- {word}\n- {word}\n- {Word} {word}\n|1. {Word}\n2. {Word}\n|Glossary: {Word} means a {word} of a {word}.|{Word}: a {word} kept by the {org}.|¦ {word} ¦ {number} ¦\n¦ {word} ¦ {number} ¦\n|for i in range({number}): {word}()|{number} rows, {number} errors, {number} warnings|Ticket opened at {number} by the {role}.|Good morning,\n|Thanks and best regards\n|Hello all,\n|To whom it may concern|Release {number} of {Word} {Word} is out.|Monday to Friday, {number} to {number}|The {Word} {Word} of {town} was tested in {month}.|Summary\n|Open Questions\n|Acceptance Criteria\n|The Customer shall confirm the Order.|The Bank returns the Card to the Customer.|{class} to {class} is allowed at {number}|In {month} we visit {town} and {town}.|The trains from {town} to {town} were late.|{class} and {class}|{class}: {class}, {class}|Please restart {class} in {class}.|Room {number}, second floor|room {number} on floor {number}|port {number}, line {number}, page {number}",
+    "plain_other": "Das System speichert {thing} für {number} Tage.|Der {Word} muss innerhalb von {number} antworten.|{class} ist eine Unterklasse von {class}.|Die {org} hat {thing} freigegeben.|Siehe Abschnitt {number}.|Die Sitzung am {month} dauerte {number}.|Guten Tag,\n|Zusammenfassung\n|Die Filiale in {town} öffnet um {number}.|Der Kunde bestätigt die Bestellung.|El sistema guarda {thing} durante {number} días.|{class} es una subclase de {class}.|El {org} aprobó {thing}.|La Comisión de {Word} y el Comité de {Word} aprobaron el plan.|El paquete salió de {town} hacia {town}.|Le Conseil de {Word} a voté.|Le train de {town} à {town}.|Der Zug von {town} nach {town}.|Der Ausschuss für {Word} tagt in {town}.|Véase la sección {number}.|La reunión del {month} duró {number}.|Buenos días:\n|Resumen\n|La sucursal de {town} abre a las {number}.|El Cliente confirma el Pedido.|Le système conserve {thing} pendant {number} jours.|{class} est une sous-classe de {class}.|La {org} a approuvé {thing}.|Voir la section {number}.|La réunion du {month} a duré {number}.|Bonjour,\n|Résumé\n|L'agence de {town} ouvre à {number}.|Le Client confirme la Commande.|Mit {class} und {class} gibt es {number} Fehler.|Il y a {number} erreurs dans {class}.|Hay {number} errores en {class}.|Offene Punkte\n- {Word} {word}\n|Puntos abiertos\n- {Word} {word}\n|Points ouverts\n- {Word} {word}\n",
+}
+_SLOT = re.compile(r"\{(\w+)\}")
+
+
+def patterns(family: str) -> list[str]:
+    return [p.replace("¦", "|") for p in FAMILIES[family].split("|") if p]
+
+
+def filled(pattern: str, r: random.Random, given: list[str]) -> tuple[str, list[tuple[int, int, str]]]:
+    out, spans, at = "", [], 0
+    for m in _SLOT.finditer(pattern):
+        out += pattern[at : m.start()]
+        for text, kind in SLOTS[m.group(1)](r, given):
+            if kind:
+                spans.append((len(out), len(out) + len(text), kind))
+            out += text
+        at = m.end()
+    return out + pattern[at:], spans
+
+
+def labelled(given: list[str], seed: int = 5, rows: int = 5_000, families: tuple[str, ...] = tuple(FAMILIES)) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Up to ``rows`` texts of one to four filled patterns each, from the named families."""
+    r = random.Random(seed)
+    pool = [p for f in families for p in patterns(f)]
+    out = []
+    for _ in range(rows):
         text, spans = "", []
-        for s in sentences[i : i + k]:
-            text += f.r.choice([" ", " ", " ", "\n", "\n\n"]) if text else ""
-            for t, kind in s:
-                if kind:
-                    spans.append((len(text), len(text) + len(t), kind))
-                text += t
-        rows.append((text, spans))
-        i += k
-    return rows
+        for _ in range(r.choice((1, 1, 2, 3, 4))):
+            t, s = filled(r.choice(pool), r, given)
+            if text and not text.endswith("\n"):
+                text += r.choice((" ", " ", " ", "\n", "\n\n", "  ", "\n- ", "; "))
+            spans += [(a + len(text), b + len(text), k) for a, b, k in s]
+            text += t
+        out.append((text, spans))
+    return out
