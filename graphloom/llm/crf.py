@@ -21,6 +21,8 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 
@@ -37,25 +39,29 @@ CELLS = 1 << 20
 CUES = {
     "phone": "phone telephone tel mobile cell fax hotline call called ring dial text helpline extension telefon handy mobil rufnummer anrufen ruf teléfono tel móvil llame llamar téléphone portable appelez appeler joindre",
     "mail": "mail email e-mail mailto mailbox write inbox cc bcc courriel correo adresse schreiben escriba écrivez",
-    "id": "ssn nino passport identity id social security insurance national licence license driver driver's driving member membership tax medicare nhs health ausweis personalausweis reisepass reisepassnummer ausweisnummer führerschein versichertennummer versicherungsnummer sozialversicherungsnummer steuer-id mitgliedsnummer pasaporte dni nie nif nuss identidad afiliación socio conducir carné permiso seguridad passeport identité cni permis assuré adhérent sécu sécurité",
+    "id": "ssn nino passport identity id social security insurance national licence license driver driver's driving member membership tax medicare nhs health ausweis personalausweis reisepass reisepassnummer ausweisnummer führerschein versichertennummer versicherungsnummer sozialversicherungsnummer steuer-id mitgliedsnummer pasaporte dni nie nif nuss identidad afiliación socio conducir carné permiso seguridad passeport identité cni permis assuré adhérent sécu sécurité insured insurer policyholder permit citizen civil residence registration licencia asegurado asegurada cédula sanitaria vitale krankenkasse versichert versicherung conduire sociale adhérente assurée afiliado afiliada socia nir nss ni naf carnet subscriber beneficiary enrollee identification id-card idnr matricule titular legitimation carte-vitale licencia-de-conducir vital personnummer medicaid",
     "thing": "serial batch lot ticket case incident order invoice account iban card device terminal build revision reference tracking part asset meter router hash checksum version error port line seriennummer charge gerät vorgang rechnung konto kontonummer bestellung serie lote pedido factura cuenta incidencia série dossier facture compte commande",
     "title": "dr mr mrs ms miss prof professor sir madam frau herr herrn sr sra señor señora don doña m mme mlle monsieur madame nurse sister rev captain",
     "street": "street st road rd lane ln avenue ave drive dr court ct close way walk terrace place crescent square boulevard blvd row gardens quay calle c avenida av avda plaza paseo camino ronda travesía rue quai chemin allée impasse route bd straße strasse str platz weg gasse",
     "unit": "flat apt apartment unit suite floor room piso appt bâtiment étage box p.o po postfach apartado apdo boîte bp",
     "home": "lives address home deliver moved resident post postal ship billing wohnt anschrift vive domicilio habite",
-    "org": "bank trust hospital clinic board committee council institute university group holdings ltd inc gmbh ag agency department foundation laboratory partners insurance company team office klinikum banco banque universität",
+    "org": "bank trust hospital clinic board committee council institute university group holdings ltd inc gmbh ag agency department foundation laboratory partners insurance company team office klinikum banco banque universität universidad université comité comisión commission consejo conseil junta ayuntamiento mairie société sociedad caja verein gesellschaft klinik ausschuss vorstand rat amt behörde authority association society union fondation fundación stiftung credit savings mutual services service council's panel chamber ministry ministerio ministère ministerium hôpital clínica clinique agencia agence",
     "role": "engineer manager analyst auditor architect tester operator director consultant clerk physician reviewer secretary coordinator customer patient author owner witness applicant kundin kunde clienta cliente client",
     "say": "approved asked said wrote agreed joined reviewed signed complained stated called met visited disagreed sagte schrieb aprobó dijo écrit validé",
     "greet": "dear hi hello thanks regards sincerely cheers cordialement saludo grüßen geehrte geehrter estimado estimada cher chère liebe lieber hola bonjour",
     "day": "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday januar februar märz mai juni juli oktober dezember enero febrero marzo abril mayo junio julio septiembre octubre diciembre janvier février avril juin juillet août septembre octobre décembre",
+    "det": "the a an this that these each every any all no der die das den dem des ein eine einen einem einer eines kein keine jeder jede jedes dieser diese dieses zur zum im am beim vom ins el la los las un una unos unas este esta cada del al le les une ce cette chaque du des au aux",
+    "link": "of in on at for with by from to into under over and or as if when von für mit nach bei aus auf und oder als wenn ohne durch gegen en con para por sobre entre y o si cuando dans avec pour par sur sans et ou quand",
+    "be": "is are was were be been has have had shall must may should can ist sind war waren wird werden wurde hat haben muss soll kann es son era fue será tiene debe puede est sont était sera a doit peut not nicht no pas",
 }
 _CUE = {w: c for c, ws in reversed(CUES.items()) for w in ws.split()}
 _COMPOUND = re.compile(r"\w\w(?:straße|strasse|str|weg|platz|allee|gasse|ufer|damm)\Z")
+_PERSONAL = re.compile(r"(?:personal|reise)?(?:ausweis|pass)|(?:kranken|sozial|renten)?versicher|führerschein|mitglied|steuer-?id")
 
 
 def cue(word: str) -> str:
-    """The class of a lower-case word, or nothing."""
-    return _CUE.get(word) or ("street" if _COMPOUND.search(word) else "")
+    """The class of a lower-case word, or nothing; German compounds count by their parts."""
+    return _CUE.get(word) or ("street" if _COMPOUND.search(word) else "id" if _PERSONAL.match(word) else "")
 
 
 @functools.lru_cache(1 << 17)
@@ -71,11 +77,37 @@ def shape(s: str) -> str:
     return re.sub(r"a{2,}", "a+", re.sub(r"A{3,}", "A+", x))
 
 
+def case_counts(texts: list[str]) -> dict[str, list[int]]:
+    """Lower-case word -> [occurrences in lower case, all occurrences], of words that stand as a chunk, marks around them aside."""
+    out: dict[str, list[int]] = {}
+    for c, n in Counter(chain.from_iterable(t.split() for t in texts)).items():
+        w = c.strip("<>()[].,;:!?\"'*_`")
+        if w.isalpha():
+            got = out.setdefault(w.lower(), [0, 0])
+            got[0] += n * w.islower()
+            got[1] += n
+    return out
+
+
+#: Words with at least one in COUNTED of all occurrences can be common; so there are never more than COUNTED.
+COUNTED, LOWER_SHARE = 50_000, 0.2
+
+
+def least_count(total: int) -> int:
+    return max(2, -(-total // COUNTED))
+
+
+def common(counts: dict[str, list[int]]) -> frozenset[str]:
+    """Words that the collection writes in lower case often enough not to be a name where a capital begins them."""
+    least = least_count(sum(n for _, n in counts.values()))
+    return frozenset(w for w, (low, n) in counts.items() if low >= least and low >= LOWER_SHARE * n)
+
+
 class Vocabulary:
     """Chunks and token types seen by this process, with the hashed features of each."""
 
-    def __init__(self, given: frozenset[str]):
-        self.given = given
+    def __init__(self, given: frozenset[str], common: frozenset[str] = frozenset()):
+        self.given, self.common = given, common
         self.chunks: dict[str, int] = {}
         # Tokens of all chunks, one after the other: type, start and end within the chunk, and where each chunk's begin.
         self.flat: list[list[int]] = [[], [], []]
@@ -108,7 +140,7 @@ class Vocabulary:
         kind = cue(word)
         self.around.append([_h(f"c{word}"), _h(f"d{core}"), _h(f"e{last}"), _h(f"g{self._listed(c)}"), _h(f"q{kind}")])
         self.shape_of.append(_h(f"sh{core}"))
-        self.word_of.append(_h(f"wd{kind or word}"))
+        self.word_of.append(_h(f"wd{kind}"))
         ids = []
         n = len(toks)
         for k, (t, _, _) in enumerate(toks):
@@ -130,7 +162,7 @@ class Vocabulary:
 
     def _listed(self, c: str) -> str:
         w = re.sub(r"^\W+|\W+$", "", c)
-        return ("G" if w.lower() in self.given else "") + ("C" if w[:1].isupper() and w[1:].islower() else "U" if w.isupper() and len(w) > 1 else "")
+        return ("G" if w.lower() in self.given else "") + ("L" if w.lower() in self.common else "") + ("C" if w[:1].isupper() and w[1:].islower() else "U" if w.isupper() and len(w) > 1 else "")
 
     def _type(self, key: tuple) -> int:
         i = self.types.get(key)
@@ -138,7 +170,7 @@ class Vocabulary:
             i = self.types[key] = len(self.own)
             t, sh, core, first, last, at, before, after, kind = key
             low, s = t.lower(), shape(t)
-            given = low in self.given
+            given = 2 * (low in self.given) + (low in self.common)
             # Spelling first: the features that training leaves out at random.
             f = [f"w{low}", f"3{low[-3:]}" if t.isalpha() else "", f"4{low[-4:]}" if t.isalpha() else "", f"b{low[:3]}" if t.isalpha() else "", f"b4{low[:4]}" if t.isalpha() else "", f"s{s}", f"s{s}|{core}", f"x{core}|{first}", f"x{core}|{last}", f"y{sh}|{first}|{last}", f"p{first}", f"l{last}", f"@{at}|{s[:1]}", f"g{given}|{s}", f"q{kind}|{s}", "bias"]
             if t.isalpha():
@@ -225,7 +257,7 @@ def _shifted(values: np.ndarray, owner: np.ndarray, k: int, none: int) -> np.nda
 
 
 def _pairs(b: Batch, v: Vocabulary) -> list[np.ndarray]:
-    """Feature rows of chunk pairs: the word before (or two before, or after) with the own shape."""
+    """Feature rows of chunk pairs: the class of the word before (or two before, or after) with the own shape."""
     sh, wd = np.array(v.shape_of), np.array(v.word_of)
     own = sh[b.chunk_ids]
     out = []
@@ -249,12 +281,14 @@ def features(b: Batch, v: Vocabulary) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, w: np.ndarray, trans: np.ndarray, given: frozenset[str]):
-        self.w, self.trans, self.given = w, trans, given
+    """Weights, the list of given names and the collection's common words (see ``common``)."""
+
+    def __init__(self, w: np.ndarray, trans: np.ndarray, given: frozenset[str], common: frozenset[str] = frozenset()):
+        self.w, self.trans, self.given, self.common = w, trans, given, common
         self.reset()
 
     def reset(self) -> None:
-        self.v = Vocabulary(self.given)
+        self.v = Vocabulary(self.given, self.common)
         self.s_own = np.zeros((0, L), np.float32)
         self.s_near = {k: np.zeros((0, L), np.float32) for k in TOKEN_OFFSETS}
         self.s_around = {k: np.zeros((0, L), np.float32) for k in CHUNK_OFFSETS}
@@ -448,13 +482,13 @@ class _Fold:
         return np.add.reduceat(g[self.token], self.bounds, axis=0) / self.n, (self.gold - expected) / self.n
 
 
-def train(rows: list[tuple[str, list[tuple[int, int, str]]]], given: frozenset[str], passes: int = 5, folds: int = 24, rate: float = 0.05, l2: float = 1e-4, drop: float = 0.5, drop_near: float = 0.9) -> Model:
-    v = Vocabulary(given)
+def train(rows: list[tuple[str, list[tuple[int, int, str]]]], given: frozenset[str], passes: int = 4, folds: int = 24, rate: float = 0.05, l2: float = 1e-4, drop: float = 0.5, drop_near: float = 0.8) -> Model:
+    v = Vocabulary(given, common(case_counts([t for t, _ in rows])))
     b = Batch([t for t, _ in rows], v)
     f = features(b, v)
     rng = np.random.default_rng(3)
     f[np.ix_(rng.random(len(f)) < drop, np.arange(SPELLING))] = 0
-    words = [OWN + NEAR * i + j for i in range(len(TOKEN_OFFSETS)) for j in (0, 3)] + [OWN + NEAR * len(TOKEN_OFFSETS) + AROUND * i for i in range(len(CHUNK_OFFSETS))] + [f.shape[1] - 1 - i for i in range(3)]
+    words = [OWN + NEAR * i + j for i in range(len(TOKEN_OFFSETS)) for j in (0, 3)] + [OWN + NEAR * len(TOKEN_OFFSETS) + AROUND * i for i in range(len(CHUNK_OFFSETS))]
     for group in (words[: 2 * len(TOKEN_OFFSETS)], words[2 * len(TOKEN_OFFSETS) :]):
         f[np.ix_(rng.random(len(f)) < drop_near, group)] = 0
     y = np.zeros(len(b.types), dtype=np.int64)
@@ -476,10 +510,12 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], given: frozenset[s
     w, tr = np.zeros((len(used), L), np.float32), np.zeros((L, L))
     mask = allowed()
     moments = [np.zeros_like(x) for x in (w, w, tr, tr)]
-    steps = 0
+    steps, w_sum, tr_sum, summed = 0, np.zeros_like(w), np.zeros_like(tr), 0
     for epoch in range(passes):
         for part in parts:
             steps += 1
+            if epoch >= passes // 2:  # the mean of the later steps varies less than the last one
+                w_sum, tr_sum, summed = w_sum + w, tr_sum + tr, summed + 1
             gw, gt = part.gradient(w, tr, mask)
             full = -l2 * w
             full[part.rows] += gw
@@ -489,6 +525,6 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], given: frozenset[s
                 s += 0.01 * (g * g - s)
                 p += now * (m / (1 - 0.9**steps)) / (np.sqrt(s / (1 - 0.99**steps)) + 1e-8)
     table = np.zeros((ROWS, L), np.float32)
-    table[used] = w
+    table[used] = w_sum / summed
     table[0] = 0
-    return Model(table, tr, given)
+    return Model(table, tr_sum / summed, given)

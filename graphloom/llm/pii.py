@@ -2,8 +2,9 @@
 
 The model is trained on the driver from a small labelled table (see ``pii_examples``; at most
 ``MOST_EXAMPLES`` rows) with the helpful list of given names as one feature among others, and
-goes to the tasks as one table of fixed size. Every text is decoded whole. Findings are then
-checked for the least form of their kind and cut to it; nothing is found outside the model.
+goes to the tasks as one table of fixed size, with the words that the collection often writes in
+lower case. Every text is decoded whole. Findings are then checked for the least form of their
+kind and cut to it; nothing is found outside the model.
 
 Defined results: null and empty texts have no findings; positions count Unicode characters
 from 0; a document id that occurs twice is searched twice and listed once.
@@ -18,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import pick, spread
+from graphloom.common import keep, pick, spread
 from graphloom.llm import crf, pii_examples
 
-MOST_EXAMPLES = 5_000
+MOST_EXAMPLES = 8_000
 #: Texts that are decoded together.
 TOGETHER = 400
 @functools.lru_cache(2)
@@ -34,27 +35,69 @@ def model(given: frozenset[str], rows: int = MOST_EXAMPLES) -> crf.Model:
 #: Marks that a finding of a kind neither begins nor ends with.
 EDGES = {"email": " \t\n\r\xa0,;:.<>()\"'", "phone": " \t\n\r\xa0,;:/-.", "id_number": " \t\n\r\xa0,;:().#", "address": " \t\n\r\xa0,;:()", "name": " \t\n\r\xa0,;:()"}
 LEAST_DIGITS = {"phone": 6, "id_number": 4, "address": 1}
-
-
-def checked(text: str, kind: str, start: int, end: int) -> tuple[int, int] | None:
-    """The finding without marks at its edges, or none where it lacks the least form of its kind."""
-    if kind == "email" and text[start:end].lower().startswith("mailto:"):
-        start += 7
-    edges = EDGES[kind]
-    while end > start and text[end - 1] in edges and not (text[end - 1] == ")" and "(" in text[start:end]):
-        end -= 1
-    while start < end and text[start] in edges and not (text[start] == "(" and ")" in text[start:end]):
-        start += 1
-    s = text[start:end]
-    if kind in ("name", "address") and s.endswith(".") and not re.search(r"(?:^|[\s.])\w{1,3}\.$", s):
-        end -= 1  # the point of the sentence, not of an initial or a short form
-        s = s[:-1]
-    fits = sum(c.isdigit() for c in s) >= LEAST_DIGITS.get(kind, 0) and len(s) > 1
-    if kind == "email":
-        fits = len(s) >= 5 and ("@" in s or bool(re.search(r"\W(?:\w{2,7})\W|_at_", s)))
-    elif kind == "name":
-        fits = len(s) > 1 and any(c.isalpha() for c in s) and not any(c.isdigit() for c in s)
-    return (start, end) if fits else None
+#: Words in lower case that a name can hold.
+PARTICLES = frozenset("van von der den de del della di da do dos das du la las le los el al ap ben bin ibn ter ten zu zum zur y".split())
+_AT = re.compile(r"@|\W\s*\b(?:at|arroba|arobase|ät)\b\s*\W|_at_|\s(?:at|arroba|arobase)\s", re.I)
+_DOT = re.compile(r"\w\.\w|\W(?:dot|punto|point|punkt)\W|_dot_", re.I)
+
+
+def _pieces(text: str, kind: str, start: int, end: int):
+    """A finding; several mail addresses in one are told apart."""
+    if kind != "email" or text.count("@", start, end) < 2:
+        yield start, end
+        return
+    for m in re.finditer(r"[^\s,;<>]+", text[start:end]):
+        if "@" in m.group():
+            yield start + m.start(), start + m.end()
+
+
+def checked(text: str, kind: str, start: int, end: int):
+    """(start, end) of what a finding holds that has the least form of its kind, without marks at the edges."""
+    for a, b in _pieces(text, kind, start, end):
+        if kind == "email" and text[a:b].lower().startswith("mailto:"):
+            a += 7
+        edges = EDGES[kind]
+        while b > a and text[b - 1] in edges and not (text[b - 1] == ")" and "(" in text[a:b]):
+            b -= 1
+        while a < b and text[a] in edges and not (text[a] == "(" and ")" in text[a:b]):
+            a += 1
+        s = text[a:b]
+        if kind in ("name", "address") and s.endswith(".") and not re.search(r"(?:^|[\s.])\w{1,3}\.$", s):
+            b -= 1  # the point of the sentence, not of an initial or a short form
+            s = s[:-1]
+        if sum(c.isdigit() for c in s) < LEAST_DIGITS.get(kind, 0) or len(s) < 2:
+            continue
+        if kind == "email":
+            at = _AT.search(s)
+            fits = at is not None and _DOT.search(s, at.end() - 1) is not None
+        elif kind == "name":
+            fits = _like_a_name(text, s, a)
+        else:
+            fits = kind != "id_number" or _labelled(text, a, b)
+        if fits:
+            yield a, b
+
+
+def _cues(text: str, a: int, b: int, before: int, after: int) -> list[str]:
+    """Classes of the words around a finding; a word of more than 40 characters is no such word."""
+    near = re.split(r"[\s:/=]+", text[max(0, a - 40 * before) : a])[-before - 1 :] + re.split(r"[\s:/=]+", text[b : b + 40 * after])[: after + 1]
+    return [crf.cue(w.strip("<>()[].,;:\"'#-").lower()) for w in near]
+
+
+def _labelled(text: str, a: int, b: int) -> bool:
+    """A number is personal by a word that says so."""
+    return "id" in _cues(text, a, b, 8, 3)
+
+
+def _like_a_name(text: str, s: str, a: int) -> bool:
+    """Words with capitals, particles aside, and none that names an organisation."""
+    words = s.split()
+    if any(c.isdigit() for c in s) or any(w.strip(",.").islower() and w.strip(",.") not in PARTICLES for w in words):
+        return False
+    if any(crf.cue(w.strip(",.").lower()) == "org" for w in words):
+        return False
+    # "the Board of Leeds": after an article, words joined by a particle are a term.
+    return all(w[:1].isupper() for w in words) or "det" not in _cues(text, a, a, 1, 0)
 
 
 def findings(m: crf.Model, texts: list[str]) -> list[list[tuple[str, int, int]]]:
@@ -62,8 +105,7 @@ def findings(m: crf.Model, texts: list[str]) -> list[list[tuple[str, int, int]]]
     for i in range(0, len(texts), TOGETHER):
         part = texts[i : i + TOGETHER]
         for d, kind, s, e in m.spans(part):
-            if (at := checked(part[d], kind, s, e)) is not None:
-                out[i + d].append((kind, *at))
+            out[i + d].extend((kind, a, b) for a, b in checked(part[d], kind, s, e))
     return out
 
 
@@ -72,10 +114,24 @@ def _given(names: DataFrame) -> frozenset[str]:
     return frozenset(r.given_name for r in pick(names, "given_name").where("given_name is not null").distinct().collect())
 
 
+def common_words(documents: DataFrame) -> frozenset[str]:
+    """``crf.common`` of all documents: counted by the tasks, combined before the shuffle; at most ``crf.COUNTED`` words come back."""
+
+    def run(batches):
+        for b in batches:
+            counts = crf.case_counts([t for t in b.column(0).to_pylist() if t])
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["w", "low", "n"])
+
+    part = spread(pick(documents, "text")).mapInArrow(run, "w string, low bigint, n bigint")
+    sums = keep(part.groupBy("w").agg(F.sum("low").alias("low"), F.sum("n").alias("n")), "words")
+    least = crf.least_count(sums.agg(F.sum("n")).first()[0] or 0)
+    return frozenset(r.w for r in sums.where((F.col("low") >= least) & (F.col("low") >= crf.LOWER_SHARE * F.col("n"))).select("w").collect())
+
+
 def _searched(documents: DataFrame, names: DataFrame, out: str, rows_of):
     spark = documents.sparkSession
     m = model(_given(names))
-    shared = spark.sparkContext.broadcast((m.w, m.trans, m.given))  # fixed size: ROWS by labels
+    shared = spark.sparkContext.broadcast((m.w, m.trans, m.given, common_words(documents)))  # ROWS by labels, and COUNTED words at most
     src = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
 
     def run(batches):
