@@ -59,7 +59,7 @@ _NORM = _PRF.format(s=_N.format("s"), o=_N.format("o"))
 
 from graphloom.queries_data import _ITS  # noqa: E402
 
-_SLUG = "regexp_replace(regexp_replace(trim(coalesce(title, '')), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_SLUG = "trim(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9]+', '_', 'g'), '_')"
 _FR = "regexp_extract(title, '(?i)(?:functional\\s+requirement|fr)[\\s_-]*([0-9]+)', 1)"
 _RULE = {
     "s": "CASE WHEN contains(lower(t), 'customer') THEN 'Customer' WHEN contains(lower(t), 'bank') THEN 'Bank' ELSE 'ATM' END",
@@ -98,7 +98,7 @@ d AS (SELECT *, CASE WHEN NOT arrow AND NOT negated AND trim(t) <> '' AND NOT st
 e AS (SELECT *, coalesce(last_value(ended IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS after FROM d),
 f AS (SELECT doc, line_no, arrow, negated, CASE WHEN after THEN regexp_replace(t, '^(\s*[A-Za-z][\w-]*:[\w-]+)\s+a\s+([A-Za-z][\w-]*:[\w-]+)(\s*[;,.].*)?$', '\1 \2\3') ELSE t END AS t FROM e),
 g AS (SELECT doc, line_no, arrow, negated, CASE WHEN contains(t, 'xsd:decimal') AND NOT contains(t, '^^xsd:decimal') AND NOT contains(t, '"') THEN regexp_replace(t, '([^\^\s])\s+xsd:decimal\b', '\1', 'g') ELSE t END AS t FROM f),
-h AS (SELECT doc, line_no, arrow, negated, CASE WHEN contains(t, '^^xsd:decimal') AND NOT contains(t, '"') THEN regexp_replace(t, '([+-]?[0-9]+(?:\.[0-9]+)?)(\s*\^\^xsd:decimal)', '"\1"\2', 'g') ELSE t END AS t FROM g)
+h AS (SELECT doc, line_no, arrow, negated, CASE WHEN NOT arrow AND contains(t, '^^xsd:decimal') AND NOT contains(t, '"') THEN regexp_replace(t, '([+-]?[0-9]+(?:\.[0-9]+)?)(\s*\^\^xsd:decimal)', '"\1"\2', 'g') ELSE t END AS t FROM g)
 SELECT doc, line_no, CASE WHEN (arrow OR negated) AND NOT starts_with(ltrim(t), '#') THEN '# ' || t ELSE t END AS text FROM h
 """
 

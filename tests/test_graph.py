@@ -245,3 +245,20 @@ def test_unique_key_of_several_values(spark):
     g = graph(spark, 'e:a a e:T ; e:k 1, 2 ; e:d "x", "y" . e:b a e:T ; e:k 2 ; e:d "y" . e:c a e:T ; e:k 2 ; e:d "z" . e:d a e:T ; e:k 2 . e:f a e:U ; e:k 2 ; e:d "z" .')
     unique = lambda *paths: [r[0] for r in rows(shapes.Validator([shapes.Constraint(E + "S", E + "T", "", False, "uniqueKey", " ".join(E + p for p in paths))]).results(g), "focus_node")]
     assert unique("k", "d") == [E + "a", E + "b"] and unique("k") == [E + x for x in "abcd"] and unique("d") == [E + "a", E + "b"]
+
+
+def test_question_patches_settle_in_order(spark):
+    """A later question takes what earlier ones left, also where several expect the same."""
+    dr, sub = "ASK { e:p rdfs:domain e:A ; rdfs:range xsd:string }", "ASK { e:A rdfs:subClassOf+ e:B . e:A rdfs:subClassOf e:C }"
+    qs = [("g", 1, dr), ("g", 2, dr), ("g", 3, sub), ("g", 4, sub), ("g", 5, sub), ("g", 6, "ASK { ?x a e:D . ?x e:q ?y }"), ("g", 7, "ASK { ?x a e:D }"), ("g", 8, None), ("h", 2, sub), ("h", 1, "ASK { e:A rdfs:subClassOf e:B }"), ("h", None, dr)]
+    got = rows(repair.from_questions(spark.createDataFrame(qs, "graph_id string, cq_id int, query string"), "e"), "graph_id", "action", "subject", "predicate", "object")
+    sc = "rdfs:subClassOf"
+    # Question 2 expects a property that is taken, so its first two names are a pair; the fifth has nothing left but that of its names.
+    assert got == sorted([("g", "addProperty", "e:A", "e:p", "xsd:string"), ("g", "addSubclass", "e:p", sc, "e:A"), ("g", "addSubclass", "e:A", sc, "e:B"), ("g", "addSubclass", "e:A", sc, "e:C"), ("g", "addSubclass", "e:D", sc, "e:q"), ("h", "addSubclass", "e:A", sc, "e:B"), ("h", "addSubclass", "e:A", sc, "e:C")], key=repr)
+    assert repair.from_questions(spark.createDataFrame([], "graph_id string, cq_id int, query string")).count() == 0
+
+
+def test_slug_and_arrow_lines(spark):
+    assert one(spark, tx.slug, "Größe über 9") == "Gr_e_ber_9"
+    df = spark.createDataFrame([("d", 1, "5^^xsd:decimal -> x"), ("d", 2, "NOT 5^^xsd:decimal"), ("d", 3, "e:a 'e:b '^b'e:c ; ^^xsd:x")], "doc string, line_no int, text string")
+    assert rows(tx.repaired_lines(df), "line_no", "text") == [(1, "# 5^^xsd:decimal -> x"), (2, '# NOT "5"^^xsd:decimal'), (3, "e:a e:b e:c ; ^^xsd:x")]
