@@ -25,8 +25,10 @@ from graphloom.common import keep, pick, spread
 from graphloom.llm import tokens
 
 OPEN = 64
-PER_STRIPE = 20_000
+PER_STRIPE = 5_000
 MERGE = 32
+#: Tasks of a round at most; each then packs several stripes, one after the other.
+MOST_TASKS = 20_000
 ROW = pa.schema([("spec_id", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int64()), ("n_tokens", pa.int64()), ("bin", pa.int64()), ("open_fill", pa.int64())])
 ROW_SQL = "spec_id bigint, doc_id bigint, piece bigint, n_tokens bigint, bin bigint, open_fill bigint"
 
@@ -47,7 +49,7 @@ class Packer:
             f = (above & -above).bit_length() - 1 + size
             b = self._take(f)
         else:
-            if self.n_open == self.most_open:
+            if self.n_open == self.most_open and size < self.capacity:  # a full bin is never open and needs no place
                 self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
             b, f = self.n_bins, self.capacity
             self.n_bins += 1
@@ -121,24 +123,23 @@ def _packed(specs: list[tuple[int, int]], most_open: int):
 def pack(sizes: DataFrame, specs: DataFrame, seed: int = 1, per_stripe: int = PER_STRIPE, most_open: int = OPEN) -> DataFrame:
     """(spec_id, container, doc_id, piece, n_tokens) for sizes (doc_id, n_tokens) and specs (spec_id, capacity_tokens).
 
-    The specs are a small table of container kinds; they go to every task.
+    The specs are the kinds of containers that a user asks for, not data; they go to every task.
     """
-    kinds = [(r[0], r[1]) for r in specs.select("spec_id", "capacity_tokens").distinct().orderBy("spec_id").limit(1001).collect() if r[0] is not None and r[1] and r[1] > 0]
-    if len(kinds) > 1000:
-        raise ValueError("more than 1000 kinds of containers")
+    kinds = [(r[0], r[1]) for r in specs.select("spec_id", "capacity_tokens").distinct().orderBy("spec_id").collect() if r[0] is not None and r[1] and r[1] > 0]
     sizes = keep(sizes.where("n_tokens > 0").select("doc_id", "n_tokens"), "sizes")
     stripes = max(1, -(-sizes.count() // per_stripe))
     run = _packed(kinds, most_open)
-    one = lambda d: d.repartition("stripe").sortWithinPartitions("stripe", "h", "item").select("stripe", "item", "size", "spec").mapInArrow(run, ROW_SQL)
+    # The number of partitions is given: few bytes of many stripes would else be merged into one task.
+    one = lambda d, n: d.repartition(min(n, MOST_TASKS), "stripe").sortWithinPartitions("stripe", "h", "item").select("stripe", "item", "size", "spec").mapInArrow(run, ROW_SQL)
     hashed = sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    first = keep(one(hashed.select(F.pmod("h", F.lit(stripes)).alias("stripe"), F.col("doc_id").alias("item"), F.col("n_tokens").alias("size"), F.lit(None).cast("bigint").alias("spec"), "h")), "packed")
+    first = keep(one(hashed.select(F.pmod("h", F.lit(stripes)).alias("stripe"), F.col("doc_id").alias("item"), F.col("n_tokens").alias("size"), F.lit(None).cast("bigint").alias("spec"), "h"), stripes), "packed")
     moved = None  # (spec_id, bin, container): where the bins left open went
     left = first.where("doc_id is null").select("spec_id", "bin", "open_fill")
     base, groups = stripes, stripes
     while groups > 1:
         groups = -(-groups // MERGE)
         item = left.select(F.pmod(F.shiftrightunsigned("bin", 32), F.lit(groups)).alias("g"), "spec_id", "bin", "open_fill")
-        merged = keep(one(item.select((F.col("g") + base).alias("stripe"), F.col("bin").alias("item"), F.col("open_fill").alias("size"), F.col("spec_id").alias("spec"), F.xxhash64(F.lit(seed), "bin").alias("h"))), "merged")
+        merged = keep(one(item.select((F.col("g") + base).alias("stripe"), F.col("bin").alias("item"), F.col("open_fill").alias("size"), F.col("spec_id").alias("spec"), F.xxhash64(F.lit(seed), "bin").alias("h")), groups), "merged")
         step = merged.where("doc_id is not null").select("spec_id", F.col("doc_id").alias("bin"), F.col("bin").alias("container"))
         moved = step if moved is None else moved.alias("m").join(step.alias("s"), F.expr("m.spec_id = s.spec_id and m.container = s.bin"), "left").select("m.spec_id", "m.bin", F.coalesce("s.container", "m.container").alias("container")).unionByName(step)
         left = merged.where("doc_id is null").select("spec_id", "bin", "open_fill")
@@ -157,5 +158,23 @@ def report(rows: DataFrame, specs: DataFrame) -> DataFrame:
     """Per spec: containers, tokens, the unused share and the fewest containers that could do."""
     bins = rows.groupBy("spec_id").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
     cap = F.col("capacity_tokens")
-    return bins.join(F.broadcast(specs.select("spec_id", "capacity_tokens").limit(1000)), "spec_id").select(
+    return bins.join(specs.select("spec_id", "capacity_tokens").dropDuplicates(["spec_id"]), "spec_id").select(
         "spec_id", "containers", "tokens", F.ceil(F.col("tokens") / cap).alias("least"), F.round(1 - F.col("tokens") / (F.col("containers") * cap), 4).alias("unused"))
+
+
+def invariants(rows: DataFrame, sizes: DataFrame, specs: DataFrame) -> DataFrame:
+    """What has to hold of a packing, a row per spec: documents packed, tokens lost or added by document, containers
+    over their capacity, documents cut without need, pieces that are neither full nor the last, and whether at most 5 % is unused.
+
+    rows as from ``pack``, sizes (doc_id, n_tokens) with unique ids.
+    """
+    kinds = specs.select("spec_id", F.col("capacity_tokens").alias("cap")).where("spec_id is not null and cap > 0").dropDuplicates(["spec_id"])
+    per = rows.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("pieces"), F.max("piece").alias("last"))
+    short = rows.join(kinds, "spec_id").where("n_tokens < cap").groupBy("spec_id", "doc_id").agg(F.count("*").alias("short"))
+    docs = per.join(sizes.where("n_tokens > 0"), "doc_id", "full").join(kinds, "spec_id", "left").join(short, ["spec_id", "doc_id"], "left")
+    a = docs.groupBy("spec_id").agg(
+        F.count("pieces").alias("documents"), F.count_if(~F.col("got").eqNullSafe(F.col("n_tokens"))).alias("changed"),
+        F.count_if((F.col("n_tokens") <= F.col("cap")) & (F.col("pieces") > 1)).alias("cut_without_need"), F.count_if(F.col("short") > 1).alias("short_pieces"))
+    bins = rows.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("fill")).join(kinds, "spec_id")
+    b = bins.groupBy("spec_id").agg(F.count_if(F.col("fill") > F.col("cap")).alias("over"), (F.sum("fill") >= F.sum("cap") * 0.95).alias("well_filled"))
+    return a.join(b, "spec_id")

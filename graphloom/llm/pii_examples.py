@@ -57,6 +57,13 @@ VERBS = {
     "es": "abre cierra muestra guarda envía comprueba cuenta lee escribe inicia detiene falla devuelve mueve imprime bloquea acepta rechaza necesita usa borra añade cambia espera termina".split(),
     "fr": "ouvre ferme montre garde envoie vérifie compte lit écrit démarre arrête échoue renvoie déplace imprime bloque accepte refuse demande utilise efface ajoute change attend finit".split(),
 }
+#: What people do, rather than systems.
+DID = {
+    "en": "resigned agreed asked answered called came complained confirmed decided explained found forgot gave got heard helped hopes insisted joined knows laughed left likes lives lost met moved objected paid phoned promised regrets remembers retired returned said saw says sent spoke suggested takes thanked thinks told took visited waited wants went wrote works".split(),
+    "de": "bat fragte antwortete rief kam klagte bestätigte entschied erklärte fand vergaß gab hörte half hofft bestand kennt lachte ging wohnt verlor traf zog zahlte versprach bedauert sagte sah schickte sprach dankte denkt nahm besuchte wartete will schrieb arbeitet meint".split(),
+    "es": "pidió preguntó contestó llamó vino confirmó decidió explicó encontró olvidó dio oyó ayudó espera insistió conoce vive perdió pagó prometió dijo vio envió habló sugirió agradeció piensa tomó visitó quiere fue escribió trabaja".split(),
+    "fr": "a demandé, a répondu, a appelé, est venu, a confirmé, a décidé, a expliqué, a trouvé, a oublié, a donné, espère, insiste, connaît, habite, a perdu, a payé, a promis, a dit, a vu, a envoyé, a parlé, propose, remercie, pense, veut, travaille".split(", "),
+}
 NOUNS = {"en": WORDS, "de": DE_NOUNS, "es": ES_NOUNS, "fr": FR_NOUNS}
 HOSTS = "example.com example.org example.net mail.example post.test corp.invalid uni.example ac.test web.example co.test".split()
 ORGS = ("Bank", "Trust", "Hospital", "Clinic", "Board", "Committee", "Council", "Institute", "University", "Group", "Holdings", "Ltd", "Inc.", "GmbH", "AG", "S.A.", "Agency", "Department", "Foundation", "Laboratory", "Partners", "Insurance")
@@ -263,7 +270,7 @@ SLOTS = {
     "name": lambda r, g: [(_name(r, g), "name")], "full": lambda r, g: [(_full(r, g), "name")], "first": lambda r, g: [(_alone(r, g), "name")], "mail": lambda r, g: [(_email(r, g), "email")],
     "phone": lambda r, g: [(_digits(r, r.choice(PHONES)), "phone")], "address": lambda r, g: [(_address(r, g), "address")], "id": _id,
     "titled": lambda r, g: [(r.choice(TITLES), None), (r.choice((_last(r), _full(r, g), _name(r, g))), "name")],
-    "n": lambda r, g: [(str(r.randrange(1, 10 ** r.randrange(1, 4))), None)], "coin": lambda r, g: [(_coin(r, g), None)], "prose": lambda r, g: [(_prose(r, g), None)], "code": lambda r, g: [(_code(r, g), None)], "thing": lambda r, g: [(_thing(r, g), None)], "class": lambda r, g: [(_class(r, g), None)], "org": lambda r, g: [(_org(r, g), None)], "number": lambda r, g: [(_number(r, g), None)], "month": lambda r, g: [(_month(r, g), None)],
+    "n": lambda r, g: [(str(r.randrange(1, 10 ** r.randrange(1, 4))), None)], "did": lambda r, g: [(r.choice(DID[r.choice(("en", "en", "en", "de", "es", "fr"))]), None)], "coin": lambda r, g: [(_coin(r, g), None)], "prose": lambda r, g: [(_prose(r, g), None)], "code": lambda r, g: [(_code(r, g), None)], "thing": lambda r, g: [(_thing(r, g), None)], "class": lambda r, g: [(_class(r, g), None)], "org": lambda r, g: [(_org(r, g), None)], "number": lambda r, g: [(_number(r, g), None)], "month": lambda r, g: [(_month(r, g), None)],
     "word": lambda r, g: [(r.choice(WORDS), None)], "Word": lambda r, g: [(r.choice(WORDS).capitalize(), None)], "role": lambda r, g: [(r.choice(ROLES), None)], "town": lambda r, g: [(_town(r), None)],
 }
 
@@ -275,6 +282,8 @@ FAMILIES = {
     "lives_en": "{full} lives at {address}.|Deliver the {word} to {address}.|The office moved to {address} in {month}.|Home address: {address}|Send it by post to {address}.|He was visited at {address} by the {role}.|Postal address: {address}|Billing address\n{address}\n|The letter to {address} came back.|Ship to {full}, {address}.|resident at {address} since {number}|a parcel for {address} was lost|We met at {address}, near the station.",
     "number_en": "His {id} was copied by mistake.|The {id} belongs to {full}.|She gave her {id} at the desk.|{id}|Please remove {id} from the {word}.|The form shows {id}, which is personal.|{full}, {id}, signed the form.|Applicant: {full}; {id}|verify {id} before the {word} is opened|record holds {id} in clear text|born {number}, {id}",
     "people_en": "{full} approved the change.|{titled} will sign on {month}.|We asked {full} and {full} to review it.|Reviewed by {name} on {number}.|Thanks, {first}|Hi {first},\n|Dear {titled},\n|Kind regards\n{full}\n{role}, {org}|{full} and {first} disagreed.|According to {titled}, the {word} is fine.|Author: {name}|Owner: {name}|Present: {full}, {full}, {name}|Apologies: {name}; {name}|The patient {full} was seen by {titled}.|{first} said the {word} was late.|{first}, {first} and {first} were there.|the handover from {name} to {name} is done|ask {first} via {phone}|Action: {first} to update the {word} by {month}.|Customer {full} complained about {class}.|signed {name}|as {name} pointed out, {class} is missing|Attendees\n- {full}\n- {full}\n- {name}|{full} ({role}) joined at {number}|we should ask {full} whether {class} holds|Minutes taken by {name}.|{titled} and {titled} were absent.|the {role}, {full}, agreed|Assigned to {name}; due {number}|Interviewer: {titled}|witness {full} stated that the {word} was open",
+    "doing": "{full} {did} in {month}.|{first} {did}.|{first} {did} {number} {word}.|{full} {did} the {word}.|{titled} {did} {prose}|{first} and {first} {did}.|{name} {did} {org}.|yesterday {full} {did}|{prose} {full} {did}.|As {first} {did}, {prose}|{first}, who {did}, {did} again.|{word} for {full}: {prose}|{word} by {full}: {prose}|{full}, {role}, {did}.|{word}: {full}; {word}: {first}|{first} {did} and {first} {did}|we met {full} at {number}|my {word} {full} {did}",
+    "ids": "{id}|{id}.|{id}, {word}|{full}: {id}|{id} {did}|{prose} {id} {prose}|{word} {id} ({month})|the {id} is {word}|{id} ist {word}|{id} es {word}|{id} est {word}|her {id} {did}|old {id}, new {id}|{id}\n{word}",
     "german": "{full} wohnt in der {address}.|Bitte rufen Sie {titled} unter {phone} an.|Telefon: {phone}|Rückfragen an {mail}.|Ansprechpartner ist {full}, Tel. {phone}.|Die Anschrift lautet {address}.|Senden Sie die Unterlagen an {address}.|Mit freundlichen Grüßen\n{full}|Sehr geehrte {titled},\n|Sehr geehrter {titled},\n|Die {id} steht im Antrag von {full}.|Er legte den {id} vor.|Ihre {id} wurde gespeichert.|{full} hat die Prüfung bestätigt.|{full} übernimmt ab {month}.|{id} wurde kopiert.|{id} gültig bis {number}|Teilnehmer: {full}, {name}, {full}|Laut {titled} ist {class} falsch.|Protokoll: {name}|E-Mail an {mail} gesendet.|Handy {phone}|{first} meldet sich am {month}.|Die Kundin {full} rief um {number} an.|Geprüft von {name}|unter {phone} ist niemand erreichbar",
     "spanish": "{full} vive en {address}.|Llame a {titled} al {phone}.|Teléfono: {phone}|Escriba a {mail} para más datos.|El domicilio es {address}.|Envíe los papeles a {address}.|Un saludo,\n{full}|Estimado {titled}:\n|Estimada {titled}:\n|El {id} figura en la solicitud de {full}.|Presentó su {id} en la ventanilla.|{full} aprobó el cambio.|{full} firmó.|{id} verificado.|{id} caducado en {number}|Asistentes: {full}, {full} y {name}|Según {titled}, {class} es incorrecto.|Acta redactada por {name}.|Correo: {mail}|móvil {phone}|{first} llamará el {month}.|La clienta {full} se quejó.|Revisado por {name}|con {id} y domicilio en {address}|puede contactar con {full} en {mail}",
     "french": "{full} habite au {address}.|Appelez {titled} au {phone}.|Téléphone : {phone}|Écrivez à {mail} pour en savoir plus.|L'adresse est {address}.|Envoyez le dossier au {address}.|Cordialement,\n{full}|Cher {titled},\n|Chère {titled},\n|Le {id} figure sur la demande de {full}.|Elle a présenté son {id} au guichet.|{full} a validé la demande.|{full} et {full} sont en congé.|{id} a été copié.|{id} valable jusqu'en {number}|Présents : {full}, {full} et {name}|Selon {titled}, {class} est faux.|Compte rendu de {name}.|Courriel : {mail}|portable {phone}|{first} rappellera le {month}.|La cliente {full} a écrit.|Relu par {name}|joindre {full} au {phone} ou par {mail}",
@@ -304,11 +313,11 @@ def filled(pattern: str, r: random.Random, given: list[str]) -> tuple[str, list[
     return out + pattern[at:], spans
 
 
-def labelled(given: list[str], seed: int = 5, rows: int = 8_000, families: tuple[str, ...] = tuple(FAMILIES), empty: float = 0.15) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled(given: list[str], seed: int = 5, rows: int = 8_000, families: tuple[str, ...] = tuple(FAMILIES), empty: float = 0.0) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Up to ``rows`` texts of one to four filled patterns each, from the named families."""
     r = random.Random(seed)
-    pool = [p for f in families for p in patterns(f)]
     out = []
+    pool = [p for f in families for p in patterns(f)]
     plain = [p for f in families if f.startswith("plain") for p in patterns(f)]
     for _ in range(rows):
         text, spans = "", []
