@@ -1,8 +1,8 @@
 """Fixpoints over triples: transitive paths, RDFS and an OWL-RL subset.
 
-All loops are semi-naive: a round joins only what the round before found, drops what is known
-with an anti-join, and writes it to the shared folder, so plans stay short and a lost executor
-costs one round. Only a count comes back to the driver.
+A round joins what the round before found with all that is known, drops what is known with an
+anti-join, and writes it to the shared folder, so plans stay short and a lost executor costs one
+round. Only a count comes back to the driver.
 """
 
 from __future__ import annotations
@@ -13,38 +13,46 @@ from pyspark.sql import functions as F
 from graphloom.common import keep
 from graphloom.model import CLASS, COLUMNS, DOMAIN, OWL, RANGE, RDF, RDFS, SUBCLASS, SUBPROPERTY, TYPE, merged
 
-MOST_ROUNDS = 100
+#: Tables of pairs a round checks against before they are written as one.
+PARTS = 6
 
 
-def transitive(edges: DataFrame, keys: tuple[str, ...] = ("graph_id",), most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """p+ over edges (keys.., s, o): pairs joined by one step or more; cycles end by themselves."""
-    cols = [*keys, "s", "o"]
-    base = keep(edges.select(*cols).where("s is not null and o is not null").dropDuplicates(), "edges")
-    if base.isEmpty():
-        return base
-    step = base.select(*keys, F.col("s").alias("mid"), F.col("o").alias("to"))
-    parts, new = [base], base
-    for _ in range(most_rounds):
-        reach = new.select(*keys, "s", F.col("o").alias("mid")).join(step, [*keys, "mid"]).select(*keys, "s", F.col("to").alias("o")).dropDuplicates()
-        for known in parts:
-            reach = reach.join(known, cols, "left_anti")
-        new = keep(reach, "reach")
-        if new.isEmpty():
-            break
-        parts.append(new)
-        if len(parts) > 6:  # few tables to check against
-            all_ = parts[0]
-            for x in parts[1:]:
-                all_ = all_.unionByName(x)
-            parts = [keep(all_, "reach")]
-    else:
-        raise RuntimeError("the closure did not end")
+def _together(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
     return out
 
 
+def transitive(edges: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """p+ over edges (keys.., s, o): pairs joined by one step or more; cycles end by themselves.
+
+    The reach doubles: after k rounds all pairs of up to 2**k steps are known, since a round joins
+    what the last one found with all that was known before it and with itself. A path of a
+    thousand steps takes eleven rounds; there is no most number of them.
+    """
+    cols = [*keys, "s", "o"]
+    new = keep(edges.select(*cols).where("s is not null and o is not null").dropDuplicates(), "edges")
+    parts: list[DataFrame] = []
+    while not new.isEmpty():
+        parts.append(new)
+        if len(parts) > PARTS:
+            parts = [keep(_together(parts), "reach")]
+        known = _together(parts)
+        left = new.select(*keys, "s", F.col("o").alias("mid"))
+        right = known.select(*keys, F.col("s").alias("mid"), "o")
+        # Every longer path splits into a new half and a known one, whichever comes first.
+        found = left.join(right, [*keys, "mid"]).select(*cols)
+        if len(parts) > 1 or known is not new:
+            back = known.select(*keys, "s", F.col("o").alias("mid")).join(new.select(*keys, F.col("s").alias("mid"), "o"), [*keys, "mid"]).select(*cols)
+            found = found.unionByName(back)
+        found = found.dropDuplicates()
+        for p in parts:
+            found = found.join(p, cols, "left_anti")
+        new = keep(found, "reach")
+    return _together(parts) if parts else new
+
+
 def reflexive(closure: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
     """p*: the closure and each node with itself; nodes (keys.., s)."""
     return closure.unionByName(nodes.select(*keys, "s", F.col("s").alias("o"))).dropDuplicates()
@@ -55,7 +63,10 @@ def edges_of(graph: DataFrame, p: str) -> DataFrame:
 
 
 def list_members(graph: DataFrame) -> DataFrame:
-    """(graph_id, list, member) of RDF collections, by the path rdf:rest*/rdf:first."""
+    """(graph_id, list, member) of RDF collections, by the path rdf:rest*/rdf:first; ``list`` is any cell, as on that path.
+
+    For the members of whole lists alone see ``whole_lists``, which has a row per member only.
+    """
     rest = edges_of(graph, RDF + "rest")
     heads = graph.where(F.col("p") == RDF + "first").select("graph_id", "s").dropDuplicates()
     walk = reflexive(transitive(rest), heads)
@@ -63,6 +74,30 @@ def list_members(graph: DataFrame) -> DataFrame:
     return walk.select("graph_id", F.col("s").alias("list"), F.col("o").alias("at")).join(first, ["graph_id", "at"]).select("graph_id", "list", "member").dropDuplicates()
 
 
+def whole_lists(graph: DataFrame) -> DataFrame:
+    """(graph_id, list, member) with ``list`` the first cell of a collection: a row per member.
+
+    Each cell points to an earlier one, at twice the distance each round, until all point to a
+    first cell; a thousand members take ten rounds. Cells on a ring have no first cell and no rows.
+    """
+    rest = edges_of(graph, RDF + "rest").where(F.col("o") != RDF + "nil").dropDuplicates()
+    first = graph.where(F.col("p") == RDF + "first").select("graph_id", F.col("s").alias("at"), F.col("o").alias("member")).dropDuplicates()
+    jump = keep(rest.select("graph_id", F.col("o").alias("at"), F.col("s").alias("head")), "cells")
+    steps = jump.count()  # no list is longer than the cells that follow another
+    span = 1
+    while span <= steps:
+        up = jump.select("graph_id", F.col("at").alias("head"), F.col("head").alias("further"))
+        far = keep(jump.join(up, ["graph_id", "head"], "left").select("graph_id", "at", F.coalesce("further", "head").alias("head"), F.col("further").isNotNull().alias("moved")).dropDuplicates(), "cells")
+        jump = far.drop("moved")
+        span *= 2
+        if far.where("moved").isEmpty():
+            break
+    inner = jump.select("graph_id", "at").dropDuplicates()
+    ends = jump.join(inner.withColumnRenamed("at", "head"), ["graph_id", "head"], "left_anti")
+    heads = first.join(inner, ["graph_id", "at"], "left_anti").select("graph_id", "at", F.col("at").alias("head"))
+    return ends.select("graph_id", "at", "head").unionByName(heads).join(first, ["graph_id", "at"]).select("graph_id", F.col("head").alias("list"), "member").dropDuplicates()
+
+
 def _row(df: DataFrame, s: str, p, o: str, o_kind: str = "iri") -> DataFrame:
     return df.select("graph_id", F.col(s).alias("s"), F.when(F.col(s).startswith("_:"), "bnode").otherwise("iri").alias("s_kind"), p.alias("p"), F.col(o).alias("o"),
                      F.when(F.col(o).startswith("_:"), "bnode").otherwise(o_kind).alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
@@ -89,11 +124,11 @@ def rdfs(graph: DataFrame) -> DataFrame:
     return merged(full, by_domain, by_range, by_class, _row(sub_c, "s", F.lit(SUBCLASS), "o"), _row(sub_p, "s", F.lit(SUBPROPERTY), "o"))
 
 
-def owl_rl(graph: DataFrame, most_rounds: int = 20) -> DataFrame:
+def owl_rl(graph: DataFrame) -> DataFrame:
     """RDFS and equivalentClass, equivalentProperty, inverseOf, symmetric and transitive properties, to a fixpoint."""
     now = keep(graph.select(*COLUMNS).dropDuplicates(), "graph")
     count = now.count()
-    for _ in range(most_rounds):
+    while True:  # triples over given terms are finite and only grow
         eq = []
         for p, q in ((OWL + "equivalentClass", SUBCLASS), (OWL + "equivalentProperty", SUBPROPERTY)):
             e = edges_of(now, p)
@@ -111,7 +146,6 @@ def owl_rl(graph: DataFrame, most_rounds: int = 20) -> DataFrame:
         if n == count:
             return new
         now, count = new, n
-    raise RuntimeError("the closure did not end")
 
 
 def inconsistencies(closed: DataFrame) -> DataFrame:
