@@ -1,15 +1,21 @@
 """Near-duplicates with small edits (problem 2): an exact set join over token groups.
 
 Tokens are hashed into groups; a row's counts by group are a point, and the overlap of two
-rows is bounded by the summed minima of the coordinates before a pair is verified. The
-points' directory is not a tree of boxes: over tens of coordinates all boxes overlap, and a
-search visits nearly every leaf. Instead the groups themselves are the directory. Two rows of
-sizes up to u that reach the likeness t differ in at most D = u (1 - t) / t tokens, so of D + 2
-groups at least two hold the same tokens on both sides; rows meet under the content of one
-group with two or more tokens, or of two groups with fewer. Nothing is lost or capped. A
-larger collection takes D + 3 groups, of which three agree, and so on, so that no key grows
-with it unchecked; very long rows, whose combinations of groups would be too many, take D + 1
-groups and meet under each single one.
+rows is bounded by the summed minima of the coordinates before a pair is verified. One tree over
+all points does not help: over tens of coordinates all its boxes overlap, and a search visits
+nearly every leaf. So the groups are a directory first. Two rows of sizes up to u that reach the
+likeness t differ in at most D = u (1 - t) / t tokens, so of D + 2 groups at least two hold the
+same tokens on both sides; rows meet under the content of one group with two or more tokens, or
+of two groups with fewer. Under each key the points are packed into the leaves of a tree: a
+leaf's box is the maximum of its points by coordinate, and a row is compared with the points of a
+leaf only where the summed minima of its own point and the box can reach the likeness.
+
+A key of more than ``BOUND`` rows is not searched. Its rows go on to a deeper round, among
+themselves: D + 3 groups, of which three agree, and so on. So the work under a key is bounded and
+no pair is lost, since a round is complete for the rows that enter it. The last round searches
+every key, a large one in the cells of a grid. Keys that a planning sample finds under a
+hundredth of its rows are passed on before the shuffle. Very long rows, whose combinations of
+groups would be too many, take D + 1 groups and meet under each single one.
 
 Defined results: rows with fewer than 8 distinct words (also null and empty texts) never
 count; identical rows are a class, and only its representative enters the join; ids are
@@ -31,6 +37,12 @@ from graphloom.common import keep, pick
 from graphloom.llm import words as W
 
 U = np.uint64
+#: Rows under a key that are searched at once; more go on to the next round.
+BOUND = 256
+#: Rounds, of growing depth; the last one searches all keys.
+ROUNDS = 3
+#: Points in a leaf, rows in a cell of the grid of a large key, and rows of the planning sample.
+LEAF, CELL, SAMPLE = 8, 20_000, 20_000
 ROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("small", pa.int8()), ("code", pa.int64())])
 
 
@@ -85,10 +97,11 @@ def group_keys(h: np.ndarray, owner: np.ndarray, groups: np.ndarray, tag: np.nda
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def signatures(docs: DataFrame, t: float, depth: int) -> DataFrame:
+def signatures(docs: DataFrame, t: float, depth: int, wait: np.ndarray | None = None) -> DataFrame:
     """(key, id, n, small, code): the groups under which a row meets its partners.
 
-    Each row stands in its own size class (small) and as the larger side in the class below.
+    Each row stands in its own size class (small) and as the larger side in the class below. Keys
+    in ``wait`` are left out; a row that has one says so, once a batch, by n = 0.
     """
 
     def run(batches):
@@ -111,42 +124,115 @@ def signatures(docs: DataFrame, t: float, depth: int) -> DataFrame:
                     groups = np.floor(most[mine] * (1 - t) / t + 1e-9).astype(np.int64) + 1 + int(d)
                     keys, rows = group_keys(h[sel], new[owner[sel]], groups, cls[mine], int(d))
                     at = np.flatnonzero(mine)[rows]
+                    if wait is not None and len(wait):
+                        held = wait[np.minimum(np.searchsorted(wait, keys.view(np.int64)), len(wait) - 1)] == keys.view(np.int64)
+                        who = np.unique(ids[at[held]])
+                        zero = np.zeros(len(who), dtype=np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(who), pa.array(zero.astype(np.int32)), pa.array(zero.astype(np.int8)), pa.array(zero)], schema=ROW)
+                        keys, at = keys[~held], at[~held]
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[at]), pa.array(n[at].astype(np.int32)), pa.array(np.full(len(at), 1 - down, dtype=np.int8)), pa.array(code[at])], schema=ROW)
 
     return docs.select("doc_id", "txt").mapInArrow(run, "key bigint, id bigint, n int, small tinyint, code bigint")
 
 
-def _met(t: float):
-    """Pairs of rows under one key whose bounded overlap may reach t."""
+def leaves(x: dict) -> dict:
+    """The packed points under each key: leaves of up to LEAF rows with the box of their points.
+
+    Rows are sorted by key and then by size, so that a leaf's rows are alike in size.
+    """
+    start, _ = W.runs(x["key"])
+    leaf = (np.arange(len(start)) - start) // LEAF
+    at = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1]) | (leaf[1:] != leaf[:-1])]))
+    ends = np.concatenate([at[1:], [len(start)]])
+    _, run_end = W.runs(start[at])  # leaves of one key
+    return {
+        "at": at, "end": ends, "of": np.repeat(np.arange(len(at)), ends - at), "last": run_end,
+        "code": np.bitwise_or.reduceat(x["code"], at), "over": np.maximum.reduceat(x["over"], at), "least": np.minimum.reduceat(x["n"], at), "most": np.maximum.reduceat(x["n"], at),
+    }
+
+
+def box_may_reach(x: dict, box: dict, i: np.ndarray, k: np.ndarray, t: float) -> np.ndarray:
+    """Some point within leaf k's box could reach likeness t with row i: by sizes, and by the summed minima."""
+    n = x["n"][i]
+    overlap = np.bitwise_count(x["code"][i] & box["code"][k]).astype(np.int64) + np.minimum(x["over"][i], box["over"][k])
+    return (box["most"][k] >= t * n - 1e-9) & (n >= t * box["least"][k] - 1e-9) & (overlap * (1 + t) >= t * (n + box["least"][k]) - 1e-9)
+
+
+def searched(x: dict, t: float):
+    """(i, j), i < j, of all pairs under one key whose bounded overlap may reach t."""
+    box = leaves(x)
+    rows = np.arange(len(x["key"]))
+    for i, k in W.ranges(rows, box["of"], box["last"][box["of"]]):
+        ok = box_may_reach(x, box, i, k, t)
+        i, k = i[ok], k[ok]
+        for a, j in W.ranges(i, np.maximum(i + 1, box["at"][k]), box["end"][k]):
+            ok = ((x["small"][a] | x["small"][j]) == 1) & (x["id"][a] != x["id"][j])
+            a, j = a[ok], j[ok]
+            ok = W.may_reach(x, a, j, t)
+            if ok.any():
+                yield a[ok], j[ok]
+
+
+def _met(t: float, bound: int | None):
+    """Pairs under one key that may reach t; a key of more than ``bound`` rows gives its ids instead, as (id, null)."""
 
     def run(batches):
-        for x in W.whole_blocks(batches, ("key", "id", "n", "small", "code")):
+        for x in W.bounded_blocks(batches, ("key", "id", "n", "small", "code"), bound):
+            if "hot" in x:
+                ids = np.unique(x["hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int64())], names=["id_a", "id_b"])
+                continue
             x = W.prepared(x)
-            _, end = W.runs(x["key"])
-            rows = np.arange(len(end))
-            for i, j in W.ranges(rows, rows + 1, end):
-                ok = ((x["small"][i] | x["small"][j]) == 1) & (x["id"][i] != x["id"][j])
-                i, j = i[ok], j[ok]
-                ok = W.may_reach(x, i, j, t)
-                a, b = x["id"][i[ok]], x["id"][j[ok]]
-                if len(a):
-                    yield W.pair_batch(np.minimum(a, b), np.maximum(a, b))
+            for i, j in searched(x, t):
+                a, b = x["id"][i], x["id"][j]
+                yield W.pair_batch(np.minimum(a, b), np.maximum(a, b))
 
     return run
 
 
-def depth_for(n: int) -> int:
-    """How many weak groups less one meet under a key: one more for each hundredfold beyond 2 million rows."""
-    return 1 + max(0, math.ceil(math.log(max(n, 1) / 2e6, 100)))
+def planned(docs: DataFrame, n: int, t: float, depth: int) -> np.ndarray:
+    """Keys that hold more than a hundredth of a sample of the rows. Any set would do: it only says which keys wait for the next round."""
+    some = docs.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(max(1, n // SAMPLE))) == 0)
+    part = signatures(some, t, depth).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > max(BOUND, min(n, SAMPLE) // 100))
+    return np.sort(np.array([r.key for r in part.collect()], dtype=np.int64))  # a row's keys are some tens: some thousands of keys at most
 
 
-def links(docs: DataFrame, t: float = 0.8, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+def celled(sig: DataFrame, cell: int) -> DataFrame:
+    """A key of more than ``cell`` rows becomes the cells of a grid: each row stands in a line of cells, and each pair meets in one."""
+    large = keep(sig.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > cell).select("key", F.ceil(F.col("c") / cell).cast("bigint").alias("parts")), "large")
+    if large.isEmpty():
+        return sig
+    own = F.pmod(F.xxhash64(F.lit(5), "id"), F.col("parts"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.xxhash64("key", F.least(own, q), F.greatest(own, q)))
+    out = sig.join(large, "key", "left")
+    return out.withColumn("key", F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(cells))).drop("parts")
+
+
+def links(docs: DataFrame, t: float = 0.8, depth: int = 1, bound: int = BOUND, rounds: int = ROUNDS, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs of class representatives with likeness t or more, and the members of classes with several rows."""
     members, copies, n = W.classes(docs)
-    reps = W.filtered(docs, copies, n, "doc_id", "left_anti")
-    depth = depth_for(docs.count()) if depth is None else depth
-    met = signatures(reps, t, depth).repartition("key").sortWithinPartitions("key").mapInArrow(_met(t), W.PAIRS).distinct()
-    return W.verified(met, docs, t), members
+    rows = W.filtered(docs, copies, n, "doc_id", "left_anti")
+    left, found = docs.count(), []
+    for k in range(rounds):
+        last = k == rounds - 1
+        wait = planned(rows, left, t, depth + k) if not last else np.zeros(0, np.int64)
+        sig = signatures(rows, t, depth + k, wait)
+        if last:
+            sig = celled(sig, cell)
+        met = sig.where("n > 0").repartition("key").sortWithinPartitions("key", "n").mapInArrow(_met(t, None if last else bound), W.PAIRS)
+        if len(wait):
+            met = met.unionByName(sig.where("n = 0").select(F.col("id").alias("id_a"), F.lit(None).cast("bigint").alias("id_b")))
+        met = keep(met.distinct(), "met")
+        found.append(met.where("id_b is not null"))
+        hot = met.where("id_b is null").select(F.col("id_a").alias("doc_id"))
+        left = hot.count()
+        if not left:
+            break
+        rows = W.filtered(docs, keep(hot, "hot"), left, "doc_id", "left_semi")
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return W.verified(out.distinct() if len(found) > 1 else out, docs, t), members
 
 
 def expanded(found: DataFrame, members: DataFrame) -> DataFrame:
@@ -164,7 +250,7 @@ def found(requirements: DataFrame, t: float = 0.8) -> DataFrame:
     return expanded(pairs, members).toDF("req_id_a", "req_id_b")
 
 
-def groups(requirements: DataFrame, t: float = 0.8, most_rounds: int = 50) -> DataFrame:
+def groups(requirements: DataFrame, t: float = 0.8) -> DataFrame:
     """(req_id, group_id) of every row with a near-duplicate: connected components of the links.
 
     Labels fall to the smallest neighbour and are shortened by a jump each round; only a
@@ -175,7 +261,7 @@ def groups(requirements: DataFrame, t: float = 0.8, most_rounds: int = 50) -> Da
     pairs = keep(pairs, "links")
     edges = keep(pairs.union(pairs.select("id_b", "id_a")).toDF("u", "v"), "edges")
     label = keep(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")), "labels")
-    for _ in range(most_rounds):
+    while True:  # labels only fall
         near = edges.join(label.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("l2"))
         low = label.join(near, "u").select("u", F.least("l", "l2").alias("l"), F.col("l").alias("was"))
         far = label.select(F.col("u").alias("l"), F.col("l").alias("ll"))
@@ -184,8 +270,6 @@ def groups(requirements: DataFrame, t: float = 0.8, most_rounds: int = 50) -> Da
             label = new.select("u", "l")
             break
         label = new.select("u", "l")
-    else:
-        raise RuntimeError("the components did not settle")
     single = label.select(F.col("u").alias("rep_id"), F.col("l").alias("group_id"))
     rest = members.select("doc_id", "rep_id").join(single, "rep_id", "full").select(F.coalesce("doc_id", "rep_id").alias("req_id"), F.coalesce("group_id", "rep_id").alias("group_id"))
     return rest

@@ -2,7 +2,8 @@
 
 Terms are ordered from rare to common by their counts over all rows. A row's inverted-list
 entries are its first terms, up to the point where the norm of the rest (the residual) is
-below the threshold: a pair that shares none of them cannot reach it. Where two entries meet,
+below the threshold: a pair that shares none of them cannot reach it. A list too long for one
+task is joined in the cells of a grid, cut on both sides. Where two entries meet,
 the pair survives only if product plus residual norms reach the threshold, and if the largest
 weights times the bounded overlap do. Survivors get the exact dot product.
 
@@ -28,9 +29,11 @@ from graphloom.llm import words as W
 
 #: Terms that get their own count in the order; there are never more that hold 1/50,000 of all occurrences.
 COUNTED = 50_000
-#: Rows of a term in one inverted list; a more frequent term is spread over several.
+#: Entries of an inverted list that are joined at once; a longer list is joined in the cells of a grid.
 MOST = 200_000
-ROW = pa.schema([("key", pa.int64()), ("side", pa.int8()), ("id", pa.int64()), ("n", pa.int32()), ("code", pa.int64()), ("w", pa.float32()), ("r", pa.float32()), ("mx", pa.float32())])
+#: Entries of either side in a line of cells.
+CELL = 20_000
+ROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("side", pa.int8()), ("hot", pa.bool_()), ("n", pa.int32()), ("code", pa.int64()), ("w", pa.float32()), ("r", pa.float32()), ("mx", pa.float32())])
 
 
 def split_of(c: Column) -> Column:
@@ -55,11 +58,14 @@ def common_terms(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return top.t.to_numpy(np.int64), top.c.to_numpy(np.int64), rows or 0
 
 
+ENTRY = "key bigint, id bigint, side tinyint, hot boolean, n int, code bigint, w float, r float, mx float"
+COLS = ("key", "id", "side", "n", "code", "w", "r", "mx")
+
+
 def entries(docs: DataFrame, theta: float, terms: np.ndarray, counts: np.ndarray, rows: int, weighting: str = "unit", most: int = MOST) -> DataFrame:
-    """Inverted-list entries (key, side, id, n, code, w, r, mx) of rows (doc_id, txt, role).
+    """Inverted-list entries (key, id, side, hot, n, code, w, r, mx) of rows (doc_id, txt, role).
 
-    side 0 is training, 2 evaluation, 1 both. A term found in more than ``most`` rows has
-    several lists: its evaluation entries are spread over them, its training entries stand in each.
+    side 0 is training, 2 evaluation, 1 both. hot: the term is counted in more than ``most`` rows.
     """
 
     def run(batches):
@@ -84,30 +90,27 @@ def entries(docs: DataFrame, theta: float, terms: np.ndarray, counts: np.ndarray
             mx = np.zeros(len(ids))
             np.maximum.at(mx, owner, w)
             code = W.count_codes(h.view(np.uint64), owner, len(ids))
-            o, lists = os[sel], cs[sel] // most + 1
+            o = os[sel]
             side = np.array([-1, 0, 2, 1])[role[o]]
-            # An entry on the evaluation side goes to one list, one on the training side to all of the term.
-            times = np.where(side == 2, 1, lists)
-            e = np.repeat(np.arange(len(o)), times)
-            k = np.arange(len(e)) - np.repeat(np.cumsum(times) - times, times)
-            own = (W.mix(ids[o]) % lists.astype(np.uint64)).astype(np.int64)
-            k = np.where(side[e] == 2, own[e], k)
-            side_e = np.where((side[e] == 1) & (k != own[e]), 0, side[e])
-            key = W.mix(hs[sel][e].view(np.uint64) + W.mix(k)).view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array(key), pa.array(side_e.astype(np.int8)), pa.array(ids[o[e]]), pa.array(n[o[e]].astype(np.int32)), pa.array(code[o[e]]),
-                pa.array(ws[sel][e].astype(np.float32)), pa.array(np.sqrt(rest[sel])[e].astype(np.float32)), pa.array(mx[o[e]].astype(np.float32)),
+                pa.array(hs[sel]), pa.array(ids[o]), pa.array(side.astype(np.int8)), pa.array(cs[sel] > most), pa.array(n[o].astype(np.int32)), pa.array(code[o]),
+                pa.array(ws[sel].astype(np.float32)), pa.array(np.sqrt(rest[sel]).astype(np.float32)), pa.array(mx[o].astype(np.float32)),
             ], schema=ROW)
 
-    return docs.select("doc_id", "txt", "role").mapInArrow(run, "key bigint, side tinyint, id bigint, n int, code bigint, w float, r float, mx float")
+    return docs.select("doc_id", "txt", "role").mapInArrow(run, ENTRY)
 
 
-def _met(theta: float, t: float | None):
-    """Pairs of a list's training and evaluation entries that may reach theta (and the likeness t)."""
+def _met(theta: float, t: float | None, bound: int | None):
+    """Pairs of a list's training and evaluation entries that may reach theta (and the likeness t); a list of
+    more than ``bound`` entries gives its key instead, as (key, null)."""
     slack = theta - 1e-5  # the weights are single precision
 
     def run(batches):
-        for x in W.whole_blocks(batches, ("key", "side", "id", "n", "code", "w", "r", "mx")):
+        for x in W.bounded_blocks(batches, COLS, bound):
+            if "hot" in x:
+                keys = np.unique(x["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.int64())], names=["id_a", "id_b"])
+                continue
             x = W.prepared(x)
             start, _ = W.runs(x["key"])
             rows = np.arange(len(start))
@@ -126,11 +129,43 @@ def _met(theta: float, t: float | None):
     return run
 
 
-def candidates(docs: DataFrame, theta: float, weighting: str = "unit", t: float | None = None, most: int = MOST) -> DataFrame:
-    """Pairs (id_a, id_b), a with the training bit (1) and b with an evaluation bit (2) of ``role``, that may reach theta."""
+def celled(inv: DataFrame, cell: int = CELL) -> DataFrame:
+    """Long lists as the cells of a grid: training entries stand in a row of cells, evaluation entries in a column.
+
+    Either side is cut into parts of about ``cell`` entries, so that a cell is bounded however
+    the list divides; an entry is written once for each part of the other side.
+    """
+    both = F.when(F.col("side") == 1, F.array(F.lit(0), F.lit(2)).cast("array<tinyint>")).otherwise(F.array("side"))
+    sided = inv.withColumn("side", F.explode(both))
+    size = keep(sided.groupBy("key").agg(*(F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == v) / cell)).cast("bigint").alias(c) for c, v in (("tp", 0), ("ep", 2)))), "lists")
+    train = F.col("side") == 0
+    own = F.pmod(F.xxhash64(F.lit(5), "id"), F.when(train, F.col("tp")).otherwise(F.col("ep")))
+    other = F.sequence(F.lit(0), F.when(train, F.col("ep")).otherwise(F.col("tp")) - 1)
+    cells = F.transform(other, lambda q: F.when(train, F.xxhash64("key", own, q)).otherwise(F.xxhash64("key", q, own)))
+    # The lists are few (each holds more than MOST entries), but their number grows: Catalyst chooses the join by its size.
+    return sided.join(size, "key").withColumn("key", F.explode(cells)).select(*COLS)
+
+
+def candidates(docs: DataFrame, theta: float, weighting: str = "unit", t: float | None = None, most: int = MOST, cell: int = CELL) -> DataFrame:
+    """Pairs (id_a, id_b), a with the training bit (1) and b with an evaluation bit (2) of ``role``, that may reach theta.
+
+    Lists of terms that are counted and too long go to the grid at once; a list that turns out too
+    long while it is read (its term held too small a share of all to be counted) goes there afterwards.
+    """
     terms, counts, rows = common_terms(docs)
     inv = entries(docs, theta, terms, counts, rows, weighting, most)
-    return inv.repartition("key").sortWithinPartitions("key", "side").mapInArrow(_met(theta, t), W.PAIRS).distinct()
+    met = lambda x, bound: x.select(*COLS).repartition("key").sortWithinPartitions("key", "side").mapInArrow(_met(theta, t, bound), W.PAIRS).distinct()
+    first = met(inv.where("not hot"), most)
+    # Fewer than ``most`` rows cannot make a long list, nor can a collection without counted ones be told to have none.
+    if rows <= most:
+        return first
+    first = keep(first, "met")
+    late = keep(first.where("id_b is null").select(F.col("id_a").alias("key"), F.lit(True).alias("late")), "late")
+    n_late, out = late.count(), first.where("id_b is not null")
+    if n_late or (counts > most).any():
+        long = inv.join(F.broadcast(late) if n_late <= W.SMALL else late, "key", "left").where("hot or late").drop("late")
+        out = out.unionByName(met(celled(long, cell), None)).distinct()
+    return out
 
 
 def overlaps(requirements: DataFrame, t: float = 0.85) -> DataFrame:

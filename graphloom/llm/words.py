@@ -180,6 +180,50 @@ def whole_blocks(batches, names: tuple[str, ...]):
         yield dict(zip(names, (np.concatenate(x) for x in zip(*pending))))
 
 
+def bounded_blocks(batches, names: tuple[str, ...], bound: int | None):
+    """Blocks of whole runs of equal keys (the first column) of at most ``bound`` rows; a longer run comes
+    as {"hot": the second column, "key"}, piece by piece as it is read, so that no run has to fit in memory."""
+    pending, size, hot = [], 0, None  # columns of the run that may go on, or its key if it is hot
+
+    def block(cols):
+        """The runs of ``cols``, sorted, as one block and the ids of those that are too long."""
+        start, end = runs(cols[0])
+        long = (end - start) > bound if bound is not None else np.zeros(len(start), bool)
+        if long.any():
+            yield {"hot": cols[1][long], "key": cols[0][long]}
+            cols = [c[~long] for c in cols]
+        if len(cols[0]):
+            yield dict(zip(names, cols))
+
+    for b in batches:
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]
+        if not len(cols[0]):
+            continue
+        if hot is not None:
+            same = int(np.searchsorted(cols[0], hot, "right")) if cols[0][0] == hot else 0
+            if same:
+                yield {"hot": cols[1][:same], "key": cols[0][:same]}
+                cols = [c[same:] for c in cols]
+            if not len(cols[0]):
+                continue
+            hot = None
+        last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        if pending and pending[0][0][0] == cols[0][-1]:
+            pending.append(cols)
+        else:
+            pending.append([c[:last] for c in cols])
+            yield from block([np.concatenate(x) for x in zip(*pending)])
+            pending = [[c[last:] for c in cols]]
+        size = sum(len(p[0]) for p in pending)
+        if bound is not None and size > bound:
+            hot = pending[0][0][0]
+            for p in pending:
+                yield {"hot": p[1], "key": p[0]}
+            pending = []
+    if pending:
+        yield from block([np.concatenate(x) for x in zip(*pending)])
+
+
 def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of the run of equal keys that each row is in."""
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))

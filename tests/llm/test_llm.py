@@ -7,6 +7,7 @@ import re
 
 import foreign
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -75,6 +76,11 @@ def test_near_duplicates(spark, seed):
         pairs, members = neardup.links(W.texts(df, "req_id", ["text", "boilerplate_main"]), 0.8, depth)
         got = [tuple(r) for r in neardup.expanded(pairs, members).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+    # Keys that wait, rounds that go deeper, and large keys in the cells of a grid lose nothing.
+    for bound, rounds, cell in ((2, 3, 3), (1, 2, 10**6), (10**6, 1, 2)):
+        pairs, members = neardup.links(W.texts(df, "req_id", ["text", "boilerplate_main"]), 0.8, bound=bound, rounds=rounds, cell=cell)
+        got = [tuple(r) for r in neardup.expanded(pairs, members).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
     label = dict(rows(neardup.groups(df)))
     parent = {}
     find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
@@ -110,8 +116,52 @@ def test_cosine_candidates_lose_nothing(spark, weighting):
         return n(x & y) / np.sqrt(n(x) * n(y))
 
     want = {(a, b) for a, ta, ra in docs for b, tb, rb in docs if a != b and ra & 1 and rb & 2 and cosine(ta, tb) >= 0.7 + 1e-9}
-    for most in (10**6, 7):  # the second spreads frequent terms over several lists
-        assert want <= {tuple(x) for x in overlap.candidates(df, 0.7, weighting, most=most).collect()}
+    for most, cell in ((10**6, 5), (7, 5), (7, 10**6)):  # the others join long lists in a grid
+        got = [tuple(x) for x in overlap.candidates(df, 0.7, weighting, most=most, cell=cell).collect()]
+        assert want <= set(got) and len(got) == len(set(got))
+
+
+def test_a_term_in_most_rows(spark, monkeypatch):
+    """Every row holds the same rare-looking words: lists that no count foresaw are found while they are read."""
+    monkeypatch.setattr(overlap, "COUNTED", 1)  # only a term with all occurrences would be counted
+    docs = [(i, " ".join([f"hot{k}" for k in range(9)] + ([f"own{i}"] if i % 10 else [])), 1 if i % 3 else 2) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id bigint, txt string, role tinyint")
+    want = {(a, b) for a, _, ra in docs for b, _, rb in docs if ra == 1 and rb == 2}
+    got = [tuple(x) for x in overlap.candidates(df, 0.85, most=20, cell=15).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_blocks_are_whole_or_hot():
+    keys = np.sort(np.random.default_rng(1).integers(0, 12, 300))
+    keys[100:220] = keys[100]
+    keys.sort()
+    ids = np.arange(300)
+    for size in (1, 7, 64, 300):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(ids[i : i + size])], names=["key", "id"]) for i in range(0, 300, size)]
+        small, hot = [], []
+        for x in W.bounded_blocks(batches, ("key", "id"), 20):
+            if "hot" in x:
+                hot += x["hot"].tolist()
+            else:
+                small.append((set(x["key"].tolist()), x["id"].tolist()))
+        long = {k for k in set(keys.tolist()) if (keys == k).sum() > 20}
+        assert sorted(hot) == [i for i in ids.tolist() if keys[i] in long]
+        assert sorted(i for _, x in small for i in x) == [i for i in ids.tolist() if keys[i] not in long]
+        assert sum(len(k) for k, _ in small) == len(set(keys.tolist()) - long)  # no run in two blocks
+
+
+def test_leaves_lose_no_pair():
+    """The search by boxes finds what the comparison of all pairs under a key finds."""
+    r = np.random.default_rng(4)
+    n = 400
+    texts = [" ".join(r.choice([f"w{k}" for k in range(40)], r.integers(8, 20), replace=False)) for _ in range(n)]
+    h, owner, size = W.word_sets(texts)
+    order = np.lexsort((size, np.arange(n) % 5))
+    x = W.prepared({"key": (np.arange(n) % 5)[order], "id": order, "n": size[order].astype(np.int32), "small": np.ones(n, np.int8), "code": W.count_codes(h, owner, n)[order]})
+    got = {(int(a), int(b)) for i, j in neardup.searched(x, 0.6) for a, b in zip(i, j)}
+    i, j = np.triu_indices(n, 1)
+    ok = (x["key"][i] == x["key"][j]) & W.may_reach(x, i, j, 0.6)
+    assert got == set(zip(i[ok].tolist(), j[ok].tolist())) and got
 
 
 def test_joins_on_empty_tables(spark):
