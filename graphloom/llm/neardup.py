@@ -10,12 +10,14 @@ of two groups with fewer. Under each key the points are packed into the leaves o
 leaf's box is the maximum of its points by coordinate, and a row is compared with the points of a
 leaf only where the summed minima of its own point and the box can reach the likeness.
 
-A key of more than ``BOUND`` rows is not searched. Its rows go on to a deeper round, among
-themselves: D + 3 groups, of which three agree, and so on. So the work under a key is bounded and
-no pair is lost, since a round is complete for the rows that enter it. The last round searches
-every key, a large one in the cells of a grid. Keys that a planning sample finds under a
-hundredth of its rows are passed on before the shuffle. Very long rows, whose combinations of
-groups would be too many, take D + 1 groups and meet under each single one.
+A content that many rows share would be a poor key. Those of some ``BOUND`` rows or more are found in
+a planning sample and are keys only together with a second group, like the groups of few tokens;
+whichever contents are taken for common, two rows that agree on enough groups still meet. What the
+sample missed shows when it is read: a key of more than ``LIMIT`` rows is not searched, its rows go on
+to a round among themselves with D + 3 groups, of which three agree, and so on; a round is
+complete for the rows that enter it. The last round searches every key, a large one in the
+cells of a grid. So the work under a key is bounded and no pair is lost. Very long rows, whose
+combinations of groups would be too many, take D + 1 groups and meet under each single one.
 
 Defined results: rows with fewer than 8 distinct words (also null and empty texts) never
 count; identical rows are a class, and only its representative enters the join; ids are
@@ -37,12 +39,15 @@ from graphloom.common import keep, pick
 from graphloom.llm import words as W
 
 U = np.uint64
-#: Rows under a key that are searched at once; more go on to the next round.
-BOUND = 256
+NONE = np.zeros(0, np.int64)
+#: Rows under a key from which on its content counts as common, and rows under a key that are searched at all before the last round.
+BOUND, LIMIT = 256, 4096
 #: Rounds, of growing depth; the last one searches all keys.
 ROUNDS = 3
-#: Points in a leaf, rows in a cell of the grid of a large key, and rows of the planning sample.
-LEAF, CELL, SAMPLE = 8, 20_000, 20_000
+#: The planning sample: one row in SHARE, but no more than SAMPLE rows (then it finds less, and more is left to the rounds).
+SHARE, SAMPLE, SEEN = 16, 1_000_000, 4
+#: Points in a leaf, and rows in a line of cells of a large key.
+LEAF, CELL = 8, 20_000
 ROW = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("small", pa.int8()), ("code", pa.int64())])
 
 
@@ -72,8 +77,20 @@ def depth_of(most: int, t: float, wanted: int) -> int:
     return 0
 
 
-def group_keys(h: np.ndarray, owner: np.ndarray, groups: np.ndarray, tag: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, row of each) for rows with ``groups`` token groups under the size class ``tag``."""
+def _listed(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys stand in the sorted array ``some``."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    k = keys.view(np.int64)
+    return some[np.minimum(np.searchsorted(some, k), len(some) - 1)] == k
+
+
+def group_keys(h: np.ndarray, owner: np.ndarray, groups: np.ndarray, tag: np.ndarray, depth: int, common: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row of each) for rows with ``groups`` token groups under the size class ``tag``.
+
+    A group of many tokens is a key by itself, unless its content is one of the ``common`` ones;
+    such a group, like one of few tokens, is a key together with ``depth`` others of these kinds.
+    """
     first = np.concatenate([[0], np.cumsum(groups)])
     cell = first[owner] + (W.mix(h) % groups[owner].astype(U)).astype(np.int64)
     content = np.zeros(first[-1], dtype=U)
@@ -82,7 +99,7 @@ def group_keys(h: np.ndarray, owner: np.ndarray, groups: np.ndarray, tag: np.nda
     row = np.repeat(np.arange(len(groups)), groups)
     place = np.arange(first[-1]) - first[row]
     key = W.mix(content + W.mix(place.astype(U) * U(1 << 20) + tag[row].astype(U)))
-    strong = count > depth
+    strong = (count > depth) & ~_listed(key, common)
     keys, rows = [key[strong]], [row[strong]]
     weak, weak_row = key[~strong], row[~strong]
     per = np.bincount(weak_row, minlength=len(groups))
@@ -97,11 +114,10 @@ def group_keys(h: np.ndarray, owner: np.ndarray, groups: np.ndarray, tag: np.nda
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def signatures(docs: DataFrame, t: float, depth: int, wait: np.ndarray | None = None) -> DataFrame:
+def signatures(docs: DataFrame, t: float, depth: int, common: np.ndarray = NONE) -> DataFrame:
     """(key, id, n, small, code): the groups under which a row meets its partners.
 
-    Each row stands in its own size class (small) and as the larger side in the class below. Keys
-    in ``wait`` are left out; a row that has one says so, once a batch, by n = 0.
+    Each row stands in its own size class (small) and as the larger side in the class below.
     """
 
     def run(batches):
@@ -122,14 +138,8 @@ def signatures(docs: DataFrame, t: float, depth: int, wait: np.ndarray | None =
                     new = np.cumsum(mine) - 1
                     sel = mine[owner]
                     groups = np.floor(most[mine] * (1 - t) / t + 1e-9).astype(np.int64) + 1 + int(d)
-                    keys, rows = group_keys(h[sel], new[owner[sel]], groups, cls[mine], int(d))
+                    keys, rows = group_keys(h[sel], new[owner[sel]], groups, cls[mine], int(d), common)
                     at = np.flatnonzero(mine)[rows]
-                    if wait is not None and len(wait):
-                        held = wait[np.minimum(np.searchsorted(wait, keys.view(np.int64)), len(wait) - 1)] == keys.view(np.int64)
-                        who = np.unique(ids[at[held]])
-                        zero = np.zeros(len(who), dtype=np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(who), pa.array(zero.astype(np.int32)), pa.array(zero.astype(np.int8)), pa.array(zero)], schema=ROW)
-                        keys, at = keys[~held], at[~held]
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[at]), pa.array(n[at].astype(np.int32)), pa.array(np.full(len(at), 1 - down, dtype=np.int8)), pa.array(code[at])], schema=ROW)
 
     return docs.select("doc_id", "txt").mapInArrow(run, "key bigint, id bigint, n int, small tinyint, code bigint")
@@ -173,11 +183,11 @@ def searched(x: dict, t: float):
                 yield a[ok], j[ok]
 
 
-def _met(t: float, bound: int | None):
-    """Pairs under one key that may reach t; a key of more than ``bound`` rows gives its ids instead, as (id, null)."""
+def _met(t: float, limit: int | None):
+    """Pairs under one key that may reach t; a key of more than ``limit`` rows gives its ids instead, as (id, null)."""
 
     def run(batches):
-        for x in W.bounded_blocks(batches, ("key", "id", "n", "small", "code"), bound):
+        for x in W.bounded_blocks(batches, ("key", "id", "n", "small", "code"), limit):
             if "hot" in x:
                 ids = np.unique(x["hot"])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int64())], names=["id_a", "id_b"])
@@ -190,11 +200,12 @@ def _met(t: float, bound: int | None):
     return run
 
 
-def planned(docs: DataFrame, n: int, t: float, depth: int) -> np.ndarray:
-    """Keys that hold more than a hundredth of a sample of the rows. Any set would do: it only says which keys wait for the next round."""
-    some = docs.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(max(1, n // SAMPLE))) == 0)
-    part = signatures(some, t, depth).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > max(BOUND, min(n, SAMPLE) // 100))
-    return np.sort(np.array([r.key for r in part.collect()], dtype=np.int64))  # a row's keys are some tens: some thousands of keys at most
+def planned(docs: DataFrame, n: int, t: float, depth: int, bound: int = BOUND, share: int = SHARE) -> np.ndarray:
+    """Contents that seem to be shared by ``bound`` of ``n`` rows or more, by a sample; at most some 25 a row of SAMPLE / SEEN rows."""
+    share = max(share, n // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(share)) == 0)
+    part = signatures(some, t, depth).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= max(min(SEEN, bound), bound // share)).select("key")
+    return np.sort(part.toPandas().key.to_numpy(np.int64))
 
 
 def celled(sig: DataFrame, cell: int) -> DataFrame:
@@ -208,27 +219,23 @@ def celled(sig: DataFrame, cell: int) -> DataFrame:
     return out.withColumn("key", F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(cells))).drop("parts")
 
 
-def links(docs: DataFrame, t: float = 0.8, depth: int = 1, bound: int = BOUND, rounds: int = ROUNDS, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, t: float = 0.8, depth: int = 1, bound: int = BOUND, limit: int = LIMIT, rounds: int = ROUNDS, cell: int = CELL, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs of class representatives with likeness t or more, and the members of classes with several rows."""
     members, copies, n = W.classes(docs)
     rows = W.filtered(docs, copies, n, "doc_id", "left_anti")
     left, found = docs.count(), []
     for k in range(rounds):
         last = k == rounds - 1
-        wait = planned(rows, left, t, depth + k) if not last else np.zeros(0, np.int64)
-        sig = signatures(rows, t, depth + k, wait)
+        sig = signatures(rows, t, depth + k, planned(rows, left, t, depth + k, bound, share))
         if last:
             sig = celled(sig, cell)
-        met = sig.where("n > 0").repartition("key").sortWithinPartitions("key", "n").mapInArrow(_met(t, None if last else bound), W.PAIRS)
-        if len(wait):
-            met = met.unionByName(sig.where("n = 0").select(F.col("id").alias("id_a"), F.lit(None).cast("bigint").alias("id_b")))
-        met = keep(met.distinct(), "met")
+        met = keep(sig.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_met(t, None if last else limit), W.PAIRS).distinct(), "met")
         found.append(met.where("id_b is not null"))
-        hot = met.where("id_b is null").select(F.col("id_a").alias("doc_id"))
-        left = hot.count()
+        left = 0 if last else met.where("id_b is null").count()
         if not left:
             break
-        rows = W.filtered(docs, keep(hot, "hot"), left, "doc_id", "left_semi")
+        hot = keep(met.where("id_b is null").select(F.col("id_a").alias("doc_id")), "hot")
+        rows = W.filtered(docs, hot, left, "doc_id", "left_semi")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

@@ -77,8 +77,8 @@ def test_near_duplicates(spark, seed):
         got = [tuple(r) for r in neardup.expanded(pairs, members).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     # Keys that wait, rounds that go deeper, and large keys in the cells of a grid lose nothing.
-    for bound, rounds, cell in ((2, 3, 3), (1, 2, 10**6), (10**6, 1, 2)):
-        pairs, members = neardup.links(W.texts(df, "req_id", ["text", "boilerplate_main"]), 0.8, bound=bound, rounds=rounds, cell=cell)
+    for bound, limit, rounds, cell in ((2, 2, 3, 3), (1, 3, 2, 10**6), (3, 10**6, 1, 2), (10**6, 1, 2, 2)):
+        pairs, members = neardup.links(W.texts(df, "req_id", ["text", "boilerplate_main"]), 0.8, bound=bound, limit=limit, rounds=rounds, cell=cell, share=1)
         got = [tuple(r) for r in neardup.expanded(pairs, members).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     label = dict(rows(neardup.groups(df)))
