@@ -62,10 +62,15 @@ ENTRY = "key bigint, id bigint, side tinyint, hot boolean, n int, code bigint, w
 COLS = ("key", "id", "side", "n", "code", "w", "r", "mx")
 
 
-def entries(docs: DataFrame, theta: float, terms: np.ndarray, counts: np.ndarray, rows: int, weighting: str = "unit", most: int = MOST) -> DataFrame:
+#: The key of the entry that says that there are entries of counted terms in too many rows.
+MARK = -(1 << 63)
+
+
+def entries(docs: DataFrame, theta: float, terms: np.ndarray, counts: np.ndarray, rows: int, weighting: str = "unit", most: int = MOST, long: bool = False) -> DataFrame:
     """Inverted-list entries (key, id, side, hot, n, code, w, r, mx) of rows (doc_id, txt, role).
 
-    side 0 is training, 2 evaluation, 1 both. hot: the term is counted in more than ``most`` rows.
+    side 0 is training, 2 evaluation, 1 both. hot: the term is counted in more than ``most`` rows;
+    such entries come only if ``long``, else one entry a batch, under MARK, says that there are some.
     """
 
     def run(batches):
@@ -87,13 +92,17 @@ def entries(docs: DataFrame, theta: float, terms: np.ndarray, counts: np.ndarray
             ends = np.cumsum(n) - 1
             rest = np.maximum(sq[ends][os] - sq, 0)  # squared norm after this term
             sel = rest + ws * ws >= theta * theta - 1e-9  # before it the residual could still reach theta
+            key = np.where(sel & (cs > most) & (not long), MARK, hs)
+            if not long:
+                marked = np.flatnonzero(key == MARK)
+                sel[marked[1:]] = False
             mx = np.zeros(len(ids))
             np.maximum.at(mx, owner, w)
             code = W.count_codes(h.view(np.uint64), owner, len(ids))
             o = os[sel]
             side = np.array([-1, 0, 2, 1])[role[o]]
             yield pa.RecordBatch.from_arrays([
-                pa.array(hs[sel]), pa.array(ids[o]), pa.array(side.astype(np.int8)), pa.array(cs[sel] > most), pa.array(n[o].astype(np.int32)), pa.array(code[o]),
+                pa.array(key[sel]), pa.array(ids[o]), pa.array(side.astype(np.int8)), pa.array(cs[sel] > most), pa.array(n[o].astype(np.int32)), pa.array(code[o]),
                 pa.array(ws[sel].astype(np.float32)), pa.array(np.sqrt(rest[sel]).astype(np.float32)), pa.array(mx[o].astype(np.float32)),
             ], schema=ROW)
 
@@ -107,6 +116,12 @@ def _met(theta: float, t: float | None, bound: int | None):
 
     def run(batches):
         for x in W.bounded_blocks(batches, COLS, bound):
+            told = x["key"] == MARK
+            if told.any() and "hot" not in x:
+                yield pa.RecordBatch.from_arrays([pa.array([MARK], pa.int64()), pa.nulls(1, pa.int64())], names=["id_a", "id_b"])
+                x = {k: v[~told] for k, v in x.items()}
+                if not len(x["key"]):
+                    continue
             if "hot" in x:
                 keys = np.unique(x["key"])
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.int64())], names=["id_a", "id_b"])
@@ -153,17 +168,16 @@ def candidates(docs: DataFrame, theta: float, weighting: str = "unit", t: float
     long while it is read (its term held too small a share of all to be counted) goes there afterwards.
     """
     terms, counts, rows = common_terms(docs)
-    inv = entries(docs, theta, terms, counts, rows, weighting, most)
+    made = lambda long: entries(docs, theta, terms, counts, rows, weighting, most, long)
     met = lambda x, bound: x.select(*COLS).repartition("key").sortWithinPartitions("key", "side").mapInArrow(_met(theta, t, bound), W.PAIRS).distinct()
-    first = met(inv.where("not hot"), most)
-    # Fewer than ``most`` rows cannot make a long list, nor can a collection without counted ones be told to have none.
-    if rows <= most:
+    first = met(made(False), most)
+    if rows <= most:  # no list is longer than there are rows
         return first
     first = keep(first, "met")
     late = keep(first.where("id_b is null").select(F.col("id_a").alias("key"), F.lit(True).alias("late")), "late")
     n_late, out = late.count(), first.where("id_b is not null")
-    if n_late or (counts > most).any():
-        long = inv.join(F.broadcast(late) if n_late <= W.SMALL else late, "key", "left").where("hot or late").drop("late")
+    if n_late:
+        long = made(True).join(F.broadcast(late) if n_late <= W.SMALL else late, "key", "left").where("hot or late").drop("late")
         out = out.unionByName(met(celled(long, cell), None)).distinct()
     return out
 
