@@ -65,7 +65,6 @@ def cue(word: str) -> str:
     return _CUE.get(word) or ("street" if _COMPOUND.search(word) else "id" if _PERSONAL.match(word) else "")
 
 
-@functools.lru_cache(1 << 17)
 def _h(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) % (ROWS - 1) + 1  # row 0 stays zero
 
