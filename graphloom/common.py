@@ -70,7 +70,7 @@ def keep(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage, survives lost executors (unlike a local checkpoint) and costs one
-    columnar, compressed write. The tables are removed when the driver ends.
+    columnar, compressed write. The tables are removed by ``release`` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{label}-{uuid.uuid4().hex}"
@@ -97,8 +97,10 @@ def numbered(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
 
 
 @atexit.register
-def _sweep() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Removes all kept tables: to be called once the results of the queries so far have been read."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.common import pick, spread
+from graphloom.functions import literals
 
 LINE = "req_no string, title string, text string, split string, created_on date, priority int, _corrupt string"
 COLUMNS = ("req_no", "title", "text", "split", "created_on", "priority")
@@ -24,7 +25,6 @@ _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 _FIELD = rf'(?:{_QUOTED}|[^",]*+)'
 _WHOLE = rf"(?s)^{_FIELD}(?:,{_FIELD})*+\z"  # not $, which also matches before a last line break
 _NEXT = rf'({_QUOTED}|[^",]*+),'
-DECIMAL = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
 
 
 def real_date(c: Column) -> Column:
@@ -94,26 +94,16 @@ _TERM = rf'(?:{_LIT}|<[^<>"\s]*+>|[^\s"<][^\s"]*+)'
 _TOKENS = rf"^{_TERM}(?:\s++{_TERM})*+\z"
 _TRIPLE = rf"^(?!\.\s){_TERM}\s++{_TERM}\s++{_TERM}\s++\.\z"
 _TYPED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"\^\^(?:xsd:|<http://www\.w3\.org/2001/XMLSchema#)(decimal|integer|boolean|dateTime)>?(?=\s|$)'
-_DATE_TIME = r"^-?(?:[1-9][0-9]{3,}|0[0-9]{3})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T(?:(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?|24:00:00(?:\.0+)?)(?:Z|[+-](?:(?:0[0-9]|1[0-3]):[0-5][0-9]|14:00))?\z"
-
-
-def _days_fit(v: Column) -> Column:
-    """The day exists in its month, by the proleptic Gregorian calendar; a sign or a longer year changes only leap years."""
-    y, m, d = (F.regexp_extract(v, r"^-?([0-9]{4,})-([0-9]{2})-([0-9]{2})", i) for i in (1, 2, 3))
-    y4 = F.pmod(F.right(y, F.lit(4)).try_cast("int"), F.lit(400))
-    leap = (F.pmod(y4, F.lit(4)) == 0) & ((F.pmod(y4, F.lit(100)) != 0) | (y4 == 0))
-    most = F.when(m.isin("04", "06", "09", "11"), 30).when(m == "02", F.when(leap, 29).otherwise(28)).otherwise(31)
-    return d.try_cast("int") <= most
 
 
 def bad_typed(kind: Column, lex: Column) -> Column:
     """Not in the lexical space of the type; white space around the value collapses, as XML Schema says."""
     v = F.regexp_replace(lex, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
     return (
-        F.when(kind == "decimal", ~v.rlike(rf"^{DECIMAL}\z"))
-        .when(kind == "integer", ~v.rlike(r"^[+-]?[0-9]+\z"))
+        F.when(kind == "decimal", ~v.rlike(literals.DECIMAL))
+        .when(kind == "integer", ~v.rlike(literals.INTEGER))
         .when(kind == "boolean", ~v.isin("true", "false", "1", "0"))
-        .otherwise(~(v.rlike(_DATE_TIME) & _days_fit(v)))
+        .otherwise(~(v.rlike(literals.DATE_TIME) & literals.days_fit(v)))
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.common import keep
 from graphloom.functions import literals
 from graphloom.model import CLASS, COLUMNS, DATATYPE_PROPERTY, ON_PROPERTY, OWL, RESTRICTION, SUBCLASS, TYPE, XSD, merged
 
@@ -32,8 +33,9 @@ def invalid_restrictions(graph: DataFrame, literal_cardinality_ok: bool = False)
     """
     allowed = [OWL + "hasValue"] + ([f for f in FILLERS if "ardinality" in f] if literal_cardinality_ok else [])
     filler = F.col("p").isin(*FILLERS)
+    told = ((F.col("p") == TYPE) & (F.col("o") == RESTRICTION)) | F.col("p").isin(ON_PROPERTY, OWL + "complementOf", *FILLERS)
     return (
-        graph.groupBy("graph_id", "s")
+        graph.where(told).groupBy("graph_id", "s")  # what says nothing of restrictions is never shuffled
         .agg(
             F.max((F.col("p") == TYPE) & (F.col("o") == RESTRICTION)).alias("is_r"), F.count_if(F.col("p") == ON_PROPERTY).alias("n_on"), F.count_if(filler).alias("n_fill"),
             F.max(F.col("p") == OWL + "complementOf").alias("comp"), F.max(filler & (F.col("o_kind") == "lit") & ~F.col("p").isin(*allowed)).alias("lit"),
@@ -45,10 +47,14 @@ def invalid_restrictions(graph: DataFrame, literal_cardinality_ok: bool = False)
 
 def strip_restrictions(graph: DataFrame, literal_cardinality_ok: bool = False) -> DataFrame:
     """Without the triples that touch an invalid restriction, at either end."""
-    bad = invalid_restrictions(graph, literal_cardinality_ok)
+    bad = keep(invalid_restrictions(graph, literal_cardinality_ok), "restrictions")
+    if bad.isEmpty():
+        return graph.select(*COLUMNS)
+    # Catalyst broadcasts the invalid nodes where the table written for them is small, and shuffles else.
     out = graph.select(*COLUMNS).join(bad.withColumnRenamed("node", "s"), ["graph_id", "s"], "left_anti")
-    objects = bad.select("graph_id", F.col("node").alias("o"), F.lit("bnode").alias("o_kind")).unionByName(bad.select("graph_id", F.col("node").alias("o"), F.lit("iri").alias("o_kind")))
-    return out.join(objects, ["graph_id", "o", "o_kind"], "left_anti").select(*COLUMNS)
+    # A literal of the same text is no node.
+    node = out.withColumn("node", F.when(F.col("o_kind") != "lit", F.col("o")))
+    return node.join(bad, ["graph_id", "node"], "left_anti").select(*COLUMNS)
 
 
 def missing_classes(graph: DataFrame) -> DataFrame:

@@ -41,7 +41,11 @@ def sequences(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
     return once.select(F.explode(each).alias("x")).select("x.*").where(F.size("terms") > 0)
 
 
-def suffixes(seqs: DataFrame, n: int) -> DataFrame:
+#: Terms of a record up to which each place is compared with those before it; longer ones are sorted.
+SHORT = 8
+
+
+def suffixes(seqs: DataFrame, n: int, short: int = SHORT) -> DataFrame:
     """(field_name, suffix, old) with its number of occurrences ``c``."""
     pos = F.sequence(F.lit(0), F.size("terms") - 1)
     sub = lambda i, k: F.slice(F.col("terms"), i + 1, k)
@@ -54,8 +58,22 @@ def suffixes(seqs: DataFrame, n: int) -> DataFrame:
             best = F.when((i > 0) & (i + k <= F.size("terms")) & seen, F.lit(k)).otherwise(best)
         return best
 
-    each = F.transform(pos, lambda i: F.struct(sub(i, n).alias("suffix"), old(i).alias("old")))
-    return seqs.select("field_name", F.explode(each).alias("x")).groupBy("field_name", F.col("x.suffix").alias("suffix"), F.col("x.old").alias("old")).agg(F.count("*").alias("c"))
+    def repeats(k):
+        """By place: the k-gram there began before. Equal grams stand together when sorted, the first of them is new."""
+        grams = F.array_sort(F.transform(F.sequence(F.lit(0), F.size("terms") - k), lambda i: F.struct(sub(i, k).alias("g"), i.alias("i"))))
+        told = lambda all_: F.transform(all_, lambda x, at: F.struct(x["i"].alias("i"), ((at > 0) & (F.get(all_, at - 1)["g"] == x["g"])).alias("r")))
+        by_place = F.transform(F.array_sort(F.transform(F.array(grams), told)[0]), lambda x: x["r"].cast("int"))
+        return F.when(F.size("terms") >= k, by_place).otherwise(F.array().cast("array<int>"))
+
+    def sorted_old(flags):
+        # A gram that began before has prefixes that did, so the count of lengths is the longest of them.
+        return lambda i: sum((F.coalesce(F.get(f, i), F.lit(0)) for f in flags), F.lit(0))
+
+    each = lambda o: F.transform(pos, lambda i: F.struct(sub(i, n).alias("suffix"), o(i).alias("old")))
+    long = F.size("terms") > short
+    flagged = F.transform(F.array(F.struct(*(repeats(k).alias(f"k{k}") for k in range(1, n + 1)))), lambda r: each(sorted_old([r[f"k{k}"] for k in range(1, n + 1)])))[0]
+    out = seqs.select("field_name", F.explode(F.when(long, flagged).otherwise(each(old))).alias("x"))
+    return out.groupBy("field_name", F.col("x.suffix").alias("suffix"), F.col("x.old").alias("old")).agg(F.count("*").alias("c"))
 
 
 COUNTS = "field_name string, gram array<string>, occurrences bigint, records bigint"

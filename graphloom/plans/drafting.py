@@ -82,12 +82,40 @@ def context_text(ctx: DataFrame) -> DataFrame:
     return ctx.groupBy("graph_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list(line))).alias("context"))  # a schema, not data
 
 
-def draft_prompt(batches: DataFrame, context: str, examples: str) -> DataFrame:
-    """(batch, prompt) of requirements (batch, ord, identifier, text): context, examples, then the requirements in order."""
+def axioms_text(examples: DataFrame) -> DataFrame:
+    """(ord, text) of examples (ord, identifier, text, axioms): the requirement and its axioms, prefixes first, a line each."""
+    a = F.col("axioms")
+    declared = F.array_sort(F.transform(F.map_entries(F.coalesce(a["prefixes"], F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))), lambda e: F.concat(F.lit("@prefix "), e["key"], F.lit(": <"), e["value"], F.lit("> ."))))
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    body = F.array_join(F.concat(declared, some(a["tbox"]), some(a["abox"])), "\n")
+    head = F.concat(F.lit("- ["), "identifier", F.lit("] "), "text")
+    return examples.select("ord", F.when(body == "", head).otherwise(F.concat(head, F.lit("\n"), body)).alias("text"))
+
+
+def draft_prompt(batches: DataFrame, context: str, examples: str | DataFrame) -> DataFrame:
+    """(batch, prompt) of requirements (batch, ord, identifier, text): context, examples, then the requirements in order.
+
+    Examples are a text, or requirements with axioms, of which a prompt holds a handful.
+    """
+    if not isinstance(examples, str):
+        examples = "\n".join(r.text for r in axioms_text(examples).orderBy("ord").collect()) or "- none"
     line = F.concat(F.lit("- ["), "identifier", F.lit("] "), "text")
     body = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]))  # a batch holds a fixed number
     return batches.groupBy("batch").agg(body.alias("b")).select("batch", F.concat_ws("\n\n", F.lit(f"A. Vocabulary\n{context}"), F.lit(f"B. Examples\n{examples}"), F.concat(F.lit("C. Requirements\n"), "b")).alias("prompt"))
 
 
-def cut(context: str, most: int = 4000) -> str:
-    return context[:most]
+# The characters of a graph's text that a prompt shows. The limit is the generator's, not the engine's.
+REPAIR_CONTEXT, APPLY_CONTEXT = 4000, 6000
+
+
+def repair_request(prompts: DataFrame, graphs: DataFrame) -> DataFrame:
+    """(graph_id, request) of prompts (graph_id, prompt) and graphs (graph_id, turtle): what is wrong, in order, and the graph's beginning."""
+    said = prompts.groupBy("graph_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("prompt")), lambda p: F.concat(F.lit("- "), p)), "\n").alias("all"))  # the results of one graph
+    return said.join(graphs, "graph_id").select("graph_id", F.concat(F.lit("Repair these results:\n"), "all", F.lit("\n\nGraph:\n"), F.left("turtle", F.lit(REPAIR_CONTEXT))).alias("request"))
+
+
+def apply_request(patches: DataFrame, graphs: DataFrame) -> DataFrame:
+    """(graph_id, request) of patches and graphs (graph_id, turtle): the plan as JSON, in order, and the graph's beginning."""
+    row = F.struct("subject", "predicate", "object", "action", "message")
+    plan = patches.groupBy("graph_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("plan"))  # the patches of one graph
+    return plan.join(graphs, "graph_id").select("graph_id", F.concat(F.lit("Apply these patches:\n"), "plan", F.lit("\n\nGraph:\n"), F.left("turtle", F.lit(APPLY_CONTEXT))).alias("request"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.common import keep, numbered
+from graphloom.model import COLUMNS, SH, TYPE, XSD
 from graphloom.operators import shapes
 
 #: Rows of a list in one part of a report.
@@ -65,6 +66,39 @@ def save_plan(patches: DataFrame, path: str) -> None:
     patches.orderBy("subject", "predicate", "object").write.mode("overwrite").json(path)
 
 
-def plan_text(patches: DataFrame, most: int = 10_000) -> str:
-    rows = [r.asDict() for r in patches.orderBy("subject", "predicate", "object").limit(most).collect()]
+def plan_text(patches: DataFrame) -> str:
+    """One JSON text of a whole patch plan, in order; read partition by partition."""
+    rows = [r.asDict() for r in patches.orderBy("subject", "predicate", "object").toLocalIterator()]
     return json.dumps(rows, indent=2)
+
+
+def report_graph(graphs: DataFrame, results: DataFrame, bad: DataFrame | None = None) -> DataFrame:
+    """A validation report as triples, a graph each: its node, sh:conforms, and a node per result.
+
+    Result nodes are named by a digest of the result, so that equal results are one.
+    """
+    node = F.concat(F.lit("_:report_"), F.md5("graph_id"))
+    verdict = shapes.conforms(results, graphs, bad).select("graph_id", node.alias("r"), F.col("conforms").cast("string").alias("conforms"))
+    none = F.lit(None).cast("string")
+    st = lambda s, p, o, kind, dt=None: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"))
+    col = F.col
+    heads = verdict.select("graph_id", F.explode(F.array(st(col("r"), TYPE, F.lit(SH + "ValidationReport"), "iri"), st(col("r"), SH + "conforms", col("conforms"), "lit", XSD + "boolean"))).alias("t"))
+    parts = [c for c in shapes.RESULT if c != "graph_id"]
+    own = F.concat(F.lit("_:result_"), F.md5(F.to_json(F.struct("graph_id", *parts))))
+    kept = results.where("graph_id is not null").select("graph_id", node.alias("r"), own.alias("x"), *parts)
+    severity = F.concat(F.lit(SH), F.element_at(F.split(F.coalesce("severity", F.lit("Violation")), "[#:]"), -1))
+    member = [
+        st(col("r"), SH + "result", col("x"), "bnode"), st(col("x"), TYPE, F.lit(SH + "ValidationResult"), "iri"), st(col("x"), SH + "resultSeverity", severity, "iri"), st(col("x"), SH + "focusNode", col("focus_node"), "iri"), st(col("x"), SH + "resultPath", col("path"), "iri"),
+        st(col("x"), SH + "resultMessage", col("message"), "lit", XSD + "string"), st(col("x"), SH + "sourceShape", col("source_shape"), "iri"), st(col("x"), SH + "sourceConstraintComponent", col("component"), "iri"), st(col("x"), SH + "value", col("value"), "lit", XSD + "string"),
+    ]
+    body = kept.select("graph_id", F.explode(F.array(*member)).alias("t")).where("t.o is not null")
+    out = heads.unionByName(body).select("graph_id", "t.s", F.lit("bnode").alias("s_kind"), "t.p", "t.o", "t.o_kind", "t.o_dt", none.alias("o_lang"))
+    return out.select(*COLUMNS).dropDuplicates()
+
+
+def report_lines(graphs: DataFrame, results: DataFrame) -> DataFrame:
+    """(graph_id, line): the report as text, a line per result and one for the verdict."""
+    said = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f" {name}="), c)).otherwise("")
+    each = results.select("graph_id", F.concat(F.coalesce("severity", F.lit("Violation")), F.lit(": "), F.coalesce("message", F.lit("-")), said("focus", "focus_node"), said("path", "path"), said("value", "value"), said("shape", "source_shape")).alias("line"))
+    verdict = shapes.conforms(results, graphs).select("graph_id", F.concat(F.lit("conforms: "), F.col("conforms").cast("string")).alias("line"))
+    return verdict.unionByName(each)

@@ -11,7 +11,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.common import keep, pick, table
+from graphloom.common import keep, pick, spread, table
 from graphloom.functions import text as tx
 from graphloom.model import CLASS, COLUMNS, DOMAIN, OBJECT_PROPERTY, ON_PROPERTY, OWL, RANGE, RDF, RESTRICTION, SUBCLASS, TYPE, XSD, merged
 from graphloom.operators import clean, closure, context, nested, repair, score, shapes
@@ -19,6 +19,7 @@ from graphloom.operators.mapping import BASE as B
 from graphloom.operators.mapping import TableMap, mapped
 from graphloom.plans import drafting, report
 from graphloom.plans.sparql import Engine
+from graphloom.sources import formats
 from graphloom.sources import requirements as req
 from graphloom.sources import turtle
 
@@ -135,6 +136,17 @@ def list_member_path(s, d):
     return closure.list_members(_lists(s, d)).select(F.col("list").alias("head"), "member")
 
 
+def whole_lists(s, d):
+    """Members of whole lists, a row each: the orders of a customer as a list, which grows with the tables."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")  # the orders of a customer
+    o = table(s, d, "orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(w).alias("nxt"))
+    node = lambda k: F.concat(F.lit("_:o"), k.cast("string"))
+    g = _edges(o, node(F.col("o_orderkey")), RDF + "first", _iri("orders", F.col("o_orderkey"))).unionByName(_edges(o, node(F.col("o_orderkey")), RDF + "rest", F.coalesce(node(F.col("nxt")), F.lit(RDF + "nil")), "node"))
+    return closure.whole_lists(g).select("list", "member")
+
+
 def _part_of(s, d):
     c, n = table(s, d, "customer"), table(s, d, "nation")
     return _edges(c, _iri("customer", F.col("c_custkey")), B + "partOf", _iri("nation", F.col("c_nationkey"))).unionByName(_edges(n, _iri("nation", F.col("n_nationkey")), B + "partOf", _iri("region", F.col("n_regionkey"))))
@@ -516,6 +528,29 @@ def ntriples_roundtrip_geo(s, d):
     return turtle.read_ntriples(turtle.ntriples(_geo(s, d)).select(F.col("line").alias("value"))).select("s", "p", "o", "o_kind")
 
 
+def rdfxml_parse(s, d):
+    """A document of RDF/XML per customer, parsed."""
+    doc = F.concat(F.lit(f'<rdf:RDF xmlns:rdf="{RDF}" xmlns:d="{B}"><d:Customer rdf:about="{B}customer/'), F.col("c_custkey").cast("string"), F.lit('"><d:segment>'), "c_mktsegment", F.lit(f'</d:segment><d:balance rdf:datatype="{XSD}double">'), F.col("c_acctbal").cast("string"),
+                   F.lit(f'</d:balance><d:nation rdf:resource="{B}nation/'), F.col("c_nationkey").cast("string"), F.lit('"/></d:Customer></rdf:RDF>'))
+    c = spread(table(s, d, "customer")).select(F.col("c_custkey").cast("string").alias("g"), doc.alias("t"))
+    return formats.parse_column(c, "g", "t", "xml").where(F.col("p") != f"{B}balance").select("s", "p", "o", "o_kind")
+
+
+def report_graph(s, d):
+    """The delivered results as report graphs: statements by predicate."""
+    v = pick(table(s, d, "validation_results"), "result_id", "graph_id", "focus_node", "path", "message", "severity", "source_shape", "constraint_component", "value").dropDuplicates(["result_id"]).withColumnRenamed("constraint_component", "component")
+    return report.report_graph(v.select("graph_id").where("graph_id is not null"), v.drop("result_id")).groupBy("graph_id", "p").agg(F.count("*").alias("n"))
+
+
+def prompt_loop(s, d):
+    """The loop by prompts over a graph per market segment: no rule adds what the shape asks for, so it ends after its repairs."""
+    from graphloom.plans import loop
+
+    c = [shapes.Constraint(B + "CustomerShape", B + "Customer", f"{B}customer#contact", False, "minCount", "1", "Violation", "a contact")]
+    gen = drafting.RuleGenerator(tx.BANKING, "http://bnk.example.org/ns#")
+    return loop.by_prompts(_by_segment(s, d).where("graph_id is not null"), c, gen, most=1, infer=False)[1]
+
+
 def report_json(s, d):
     v = pick(table(s, d, "validation_results"), "result_id", "graph_id", "focus_node", "path", "message", "severity", "source_shape", "constraint_component", "value").dropDuplicates(["result_id"]).withColumnRenamed("constraint_component", "component")
     answers = s.createDataFrame([], "graph_id string, cq_id int, success boolean, message string")
@@ -550,7 +585,7 @@ QUERIES = {
         direct_mapping, predicate_stats, graph_merge, bgp_star, bgp_chain, ground_ask_suite, bind_exists_or, values_division, not_exists, double_booking, list_member_path, path_plus, path_star, path_cycle, path_inverse_sequence, optional_union,
         rdfs_subclass_types, rdfs_domain_range, owl_inverse, shacl_report, shacl_summary, shacl_conforms, results_summary, literal_coerce, restriction_strip, declare_missing_classes, invalid_decimals, clean_pipeline, exact_prf, normalized_prf, semantic_prf,
         cq_pass_rate, iteration_summary, slugify, fr_identifier, code_fence, prefix_normalize, prefix_ensure, line_sanitize, boilerplate, heuristic_draft, chunk_batches, split_assign, unmatched_ids, exemplar_topk, schema_context, drift_samples, redundant_axioms,
-        shacl_patches, shacl_patches_soft, cq_patches, merge_patches, apply_patches, patched_triples, patch_type_counts, stop_policy_matrix, token_usage, repair_prompts, draft_prompts, turtle_parse, ntriples_roundtrip, ntriples_roundtrip_geo, report_json, repair_loop, repair_loop_segments,
+        shacl_patches, shacl_patches_soft, cq_patches, merge_patches, apply_patches, patched_triples, patch_type_counts, stop_policy_matrix, token_usage, repair_prompts, draft_prompts, turtle_parse, rdfxml_parse, report_graph, prompt_loop, whole_lists, ntriples_roundtrip, ntriples_roundtrip_geo, report_json, repair_loop, repair_loop_segments,
     )
 } | {f"shacl_{n}": _shacl(n) for n in _SHAPES}
 

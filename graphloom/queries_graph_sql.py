@@ -183,6 +183,15 @@ SELECT graph_id, 0 AS part, count(*) AS n FROM f GROUP BY 1 UNION ALL SELECT gra
 SELECT *, CASE WHEN policy = 'max_only' THEN CASE WHEN iteration >= 2 THEN 'max_iterations_reached' ELSE 'continue' END
  WHEN policy = 'hard_and_cq' AND hard = 0 AND pass_rate >= 0.8 THEN 'no_hard_violations_and_cq_threshold_met' WHEN policy = 'default' AND hard = 0 THEN 'no_hard_violations'
  WHEN n_patches = 0 THEN 'no_patches_available' WHEN unchanged THEN 'patches_unchanged' WHEN pass_rate >= 0.8 THEN 'cq_threshold_met' WHEN iteration >= 2 THEN 'max_iterations_reached' ELSE 'continue' END AS reason FROM m""",
+    "whole_lists": f"SELECT '_:o' || min(o_orderkey) OVER (PARTITION BY o_custkey) AS list, '{B}orders/' || o_orderkey AS member FROM orders WHERE o_custkey IS NOT NULL",
+    "rdfxml_parse": f"""SELECT '{B}customer/' || c_custkey AS s, '{TYPE}' AS p, '{B}Customer' AS o, 'iri' AS o_kind FROM customer
+UNION ALL SELECT '{B}customer/' || c_custkey, '{B}segment', c_mktsegment, 'lit' FROM customer UNION ALL SELECT '{B}customer/' || c_custkey, '{B}nation', '{B}nation/' || c_nationkey, 'iri' FROM customer""",
+    "report_graph": f"""WITH v AS (SELECT DISTINCT graph_id, focus_node, path, message, severity, source_shape, constraint_component, value FROM (SELECT DISTINCT ON (result_id) * FROM validation_results) WHERE graph_id IS NOT NULL),
+u AS (UNPIVOT (SELECT graph_id, count(*) AS "result", count(*) AS rtype, count(*) AS "resultSeverity", count(focus_node) AS "focusNode", count(path) AS "resultPath", count(message) AS "resultMessage", count(source_shape) AS "sourceShape", count(constraint_component) AS "sourceConstraintComponent", count(value) AS "value" FROM v GROUP BY 1)
+  ON "result", rtype, "resultSeverity", "focusNode", "resultPath", "resultMessage", "sourceShape", "sourceConstraintComponent", "value" INTO NAME k VALUE n)
+SELECT graph_id, CASE k WHEN 'rtype' THEN '{TYPE}' ELSE 'http://www.w3.org/ns/shacl#' || k END AS p, CAST(sum(CASE k WHEN 'rtype' THEN n + 1 ELSE n END) AS BIGINT) AS n FROM u WHERE n > 0 GROUP BY 1, 2
+UNION ALL SELECT DISTINCT graph_id, 'http://www.w3.org/ns/shacl#conforms', 1 FROM v""",
+    "prompt_loop": "SELECT c_mktsegment AS graph_id, CAST(i AS INTEGER) AS iteration, count(*) AS results, false AS conforms FROM customer, range(2) AS r(i) WHERE c_mktsegment IS NOT NULL AND c_nationkey IS NOT NULL GROUP BY 1, 2",
     "ntriples_roundtrip_geo": _GEO + "SELECT s, p, o, o_kind FROM t",
     "ntriples_roundtrip": f"SELECT s, p, o, o_kind FROM ({_NATION} UNION ALL {_REGION})",
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,8 +70,10 @@ def shaped(df: DataFrame) -> DataFrame:
 
 
 def split_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(identifier) of a split file, an id a line; a file that is not there is empty."""
-    if not os.path.exists(path):
+    """(identifier) of a split file, an id a line; a file that is not there is empty, on any file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(conf).exists(at):
         return spark.createDataFrame([], "identifier string")
     return spark.read.text(path).select(F.trim("value").alias("identifier")).where("identifier <> ''").distinct()
 

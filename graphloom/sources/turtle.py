@@ -307,8 +307,8 @@ def write_ntriples(graph: DataFrame, path: str) -> None:
     ntriples(graph).select("line").write.text(path)
 
 
-def read_ntriples(lines: DataFrame, graph: str = "g") -> DataFrame:
-    """Triples of a column ``value`` of N-Triples lines; comments and blank lines are skipped, other lines that do not match are left out."""
+def read_ntriples(lines: DataFrame, graph="g") -> DataFrame:
+    """Triples of a column ``value`` of N-Triples lines, of a graph by name or column; comments and blank lines are skipped, other lines that do not match are left out."""
     pat = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*+"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)\s*\.\s*(?:#.*)?$'
     x = lambda i: F.regexp_extract("value", pat, i)
     s, o = F.col("s_"), F.col("o_")
@@ -319,8 +319,9 @@ def read_ntriples(lines: DataFrame, graph: str = "g") -> DataFrame:
     dt, lang = F.regexp_extract("o_", r'"\^\^<([^>]*)>$', 1), F.regexp_extract("o_", r'"@([A-Za-z0-9-]+)$', 1)
     inner = lambda c: F.when(c.startswith("<"), F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c)
     kind = lambda c: F.when(c.startswith("<"), "iri").otherwise("bnode")
-    return lines.select(x(1).alias("s_"), x(2).alias("p"), x(3).alias("o_")).where("s_ <> ''").select(
-        F.lit(graph).alias("graph_id"), inner(s).alias("s"), kind(s).alias("s_kind"), "p", F.when(lit, lex).otherwise(inner(o)).alias("o"), F.when(lit, "lit").otherwise(kind(o)).alias("o_kind"),
+    named = F.lit(graph) if isinstance(graph, str) else graph
+    return lines.select(named.alias("graph_id"), x(1).alias("s_"), x(2).alias("p"), x(3).alias("o_")).where("s_ <> ''").select(
+        "graph_id", inner(s).alias("s"), kind(s).alias("s_kind"), "p", F.when(lit, lex).otherwise(inner(o)).alias("o"), F.when(lit, "lit").otherwise(kind(o)).alias("o_kind"),
         F.when(lit, F.when(dt != "", dt).when(lang != "", RDF + "langString").otherwise(XSD + "string")).alias("o_dt"), F.when(lit & (lang != ""), F.lower(lang)).alias("o_lang"),
     )
 
@@ -349,3 +350,35 @@ def turtle_text(rows: list[tuple], prefixes: dict[str, str]) -> str:
         lines = [f"    {'a' if r[3] == RDF + 'type' else name(r[3])} {obj(r)}" for r in rs]
         out.append(f"\n{s if kind == 'bnode' else name(s)}\n" + " ;\n".join(lines) + " .")
     return "\n".join(out) + "\n"
+
+
+def turtle_lines(graph: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """(line): a Turtle text of a graph of any size, in order of its statements; each partition declares the prefixes.
+
+    Names are shortened where their local part is plain; a statement stands on one line.
+    """
+    short = lambda iri: F.concat(F.lit("<"), iri, F.lit(">"))
+
+    def name(iri):
+        out = short(iri)
+        for p, ns in sorted(prefixes.items(), key=lambda x: len(x[1])):
+            local = F.substring(iri, F.lit(len(ns) + 1), F.length(iri))
+            out = F.when(iri.startswith(ns) & local.rlike(r"^[A-Za-z_][A-Za-z0-9_-]*\z"), F.concat(F.lit(p + ":"), local)).otherwise(out)
+        return out
+
+    none = F.lit(None).cast("string")
+    term = lambda v, kind, dt, lang: F.when(kind == "iri", name(v)).otherwise(_nt_term(v, kind, dt, lang))
+    line = F.concat_ws(" ", term(F.col("s"), F.col("s_kind"), none, none), F.when(F.col("p") == RDF + "type", "a").otherwise(name(F.col("p"))), term(F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang")), F.lit("."))
+    head = [f"@prefix {p}: <{ns}> ." for p, ns in sorted(prefixes.items())]
+
+    def run(batches):
+        import pyarrow as pa
+
+        begun = False
+        for b in batches:
+            if b.num_rows and not begun:
+                begun = True
+                yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], schema=b.schema)
+            yield b
+
+    return graph.select("s", "p", "o", line.alias("line")).dropDuplicates(["line"]).repartitionByRange("s", "p", "line").sortWithinPartitions("s", "p", "line").select("line").mapInArrow(run, "line string")

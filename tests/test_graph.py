@@ -262,3 +262,116 @@ def test_slug_and_arrow_lines(spark):
     assert one(spark, tx.slug, "Größe über 9") == "Gr_e_ber_9"
     df = spark.createDataFrame([("d", 1, "5^^xsd:decimal -> x"), ("d", 2, "NOT 5^^xsd:decimal"), ("d", 3, "e:a 'e:b '^b'e:c ; ^^xsd:x")], "doc string, line_no int, text string")
     assert rows(tx.repaired_lines(df), "line_no", "text") == [(1, "# 5^^xsd:decimal -> x"), (2, '# NOT "5"^^xsd:decimal'), (3, "e:a e:b e:c ; ^^xsd:x")]
+
+
+def test_long_chains_and_lists(spark):
+    """A closure of a thousand steps and a list of a thousand members end by themselves."""
+    n = 1000
+    chain = spark.range(n).select(F.lit("g").alias("graph_id"), F.concat(F.lit("n"), "id").alias("s"), F.concat(F.lit("n"), (F.col("id") + 1).cast("string")).alias("o"))
+    assert closure.transitive(chain).count() == n * (n + 1) // 2
+    node = lambda c: F.concat(F.lit("_:l"), c.cast("string"))
+    none = F.lit(None).cast("string")
+    cell = lambda p, o, kind: spark.range(n).select(F.lit("g").alias("graph_id"), node(F.col("id")).alias("s"), F.lit("bnode").alias("s_kind"), F.lit(RDF + p).alias("p"), o.alias("o"), kind.alias("o_kind"), none.alias("o_dt"), none.alias("o_lang"))
+    last = F.col("id") == n - 1
+    g = cell("first", F.concat(F.lit("m"), F.col("id").cast("string")), F.lit("iri")).unionByName(cell("rest", F.when(last, RDF + "nil").otherwise(node(F.col("id") + 1)), F.when(last, "iri").otherwise("bnode")))
+    got = closure.whole_lists(g)
+    assert got.count() == n and got.select("list").distinct().collect()[0][0] == "_:l0"
+    ring = frame(spark, [("g", "_:a", "bnode", RDF + "rest", "_:b", "bnode", None, None), ("g", "_:b", "bnode", RDF + "rest", "_:a", "bnode", None, None), ("g", "_:a", "bnode", RDF + "first", "x", "iri", None, None)])
+    assert closure.whole_lists(ring).count() == 0 and closure.whole_lists(ring.limit(0)).count() == 0
+    one_ = frame(spark, [("g", "_:a", "bnode", RDF + "rest", RDF + "nil", "iri", None, None), ("g", "_:a", "bnode", RDF + "first", "x", "iri", None, None)])
+    assert rows(closure.whole_lists(one_)) == [("g", "_:a", "x")]
+
+
+def test_bounds_lists_and_decimals(spark):
+    x = "http://e#"
+    g = frame(spark, [r for i, (o, dt) in enumerate((("in use", "string"), ("free", "string"), ("in", "string"), ("2024-05-01", "date"), ("2023-05-01", "date"), ("1" + "0" * 25, "integer"), ("5", "decimal"))) for r in (("g", f"{x}{i}", "iri", TYPE, x + "T", "iri", None, None), ("g", f"{x}{i}", "iri", x + "p", o, "lit", XSD + dt, None))])
+    c = lambda comp, arg: shapes.Constraint(x + comp, x + "T", x + "p", False, comp, arg)
+    broken = lambda comp, arg: sorted(r[0][-1] for r in shapes.Validator([c(comp, arg)]).results(g).select("focus_node").collect())
+    assert broken("in", '["in use", "free"]') == ["2", "3", "4", "5", "6"]
+    assert broken("minInclusive", "2024-01-01") == ["0", "1", "2", "4", "5", "6"]
+    assert broken("maxInclusive", "100") == ["0", "1", "2", "3", "4", "5"]
+    assert broken("minExclusive", "1e24") == ["0", "1", "2", "3", "4", "6"]
+    parsed = shapes.parse(f'@prefix sh: <http://www.w3.org/ns/shacl#> . <{x}S> sh:targetClass <{x}T> ; sh:property [ sh:path <{x}p> ; sh:in ( "in use" "free" ) ] .')
+    assert [p.arg for p in parsed] == ['["in use", "free"]']
+    bad = merged(g, frame(spark, [("b", x + "b", "iri", TYPE, x + "T", "iri", None, None), ("b", x + "b", "iri", x + "p", "5,0", "lit", XSD + "decimal", None)]))
+    res, no = shapes.validated([c("maxInclusive", "100")], bad)
+    assert rows(no) == [("b",)] and {r.graph_id for r in res.collect()} == {"g"}
+    assert rows(shapes.conforms(res, bad, no)) == [("b", False), ("g", False)]
+    assert shapes.Validator([]).results(g).count() == 0
+
+
+def test_date_times(spark):
+    from graphloom.functions import literals
+
+    ok = lambda v: spark.range(1).select(literals.well_formed(F.lit(v), F.lit(XSD + "dateTime"))).first()[0]
+    assert [ok(v) for v in ("2024-02-29T10:00:00", "2023-02-29T10:00:00", "2024-01-01T24:00:00Z", "2024-02-31T00:00:00", "2024-01-01")] == [True, False, True, False, False]
+
+
+def test_formats(spark, tmp_path):
+    from graphloom.sources import formats
+
+    assert [formats.guess(p) for p in ("a.TTL", "b.owl", "c.nt", "d.nq", "e.txt")] == ["turtle", "xml", "nt", "nquads", None]
+    e = "http://e/"
+    doc = f"""<rdf:RDF xmlns:rdf="{RDF}" xmlns:e="{e}" xml:base="{e}x">
+      <e:C rdf:about="{e}a" e:note="n"><e:p rdf:resource="b"/><e:q rdf:datatype="{XSD}integer">5</e:q><e:l xml:lang="EN">t</e:l>
+        <e:n><rdf:Description rdf:ID="c"/></e:n><e:items rdf:parseType="Collection"><e:C rdf:about="{e}i"/></e:items><e:r rdf:parseType="Resource"><e:s>v</e:s></e:r></e:C></rdf:RDF>"""
+    got = {r[1:] for r in formats.parse_xml(doc)}
+    assert {(e + "a", "iri", TYPE, e + "C", "iri", None, None), (e + "a", "iri", e + "p", e + "b", "iri", None, None), (e + "a", "iri", e + "q", "5", "lit", XSD + "integer", None), (e + "a", "iri", e + "l", "t", "lit", RDF + "langString", "en"),
+            (e + "a", "iri", e + "n", e + "x#c", "iri", None, None), (e + "a", "iri", e + "note", "n", "lit", XSD + "string", None), ("_:g_x1", "bnode", RDF + "first", e + "i", "iri", None, None), ("_:g_x1", "bnode", RDF + "rest", RDF + "nil", "iri", None, None)} <= got and len(got) == 12
+    assert formats.parse_xml("") == []
+    with pytest.raises(formats.XmlError):
+        formats.parse_xml("<a>")
+    (tmp_path / "x.rdf").write_text(doc)
+    (tmp_path / "y.ttl").write_text("@prefix e: <http://e/> . e:a e:p e:b .")
+    (tmp_path / "z.nq").write_text(f'<{e}a> <{e}p> "x <y> . z" <{e}g> .\n<{e}a> <{e}p> <{e}b> .\n# c\n')
+    assert formats.load(spark, str(tmp_path / "x.rdf")).count() == 12
+    assert rows(formats.load(spark, str(tmp_path / "y.ttl")), "graph_id", "s", "o") == [("y", e + "a", e + "b")]
+    assert rows(formats.load(spark, str(tmp_path / "z.nq")), "graph_id", "o") == [(e + "g", "x <y> . z"), ("z", e + "b")]
+    (tmp_path / "bad.ttl").write_text("e:a e:b")
+    assert formats.load(spark, str(tmp_path / "bad.ttl"), strict=False).count() == 0
+
+
+def test_turtle_lines_and_report_graph(spark):
+    from graphloom.plans import report
+
+    g = frame(spark, [("g", "http://e/a", "iri", TYPE, "http://e/C", "iri", None, None), ("g", "http://e/a", "iri", "http://e/p", 'q"\n', "lit", XSD + "string", None), ("g", "_:x", "bnode", "http://e/p", "5", "lit", XSD + "integer", None)])
+    text = "\n".join(r.line for r in turtle.turtle_lines(g, {"e": "http://e/"}).collect())
+    assert {r[1:] for r in turtle.parse(text)} == {tuple(r)[1:] for r in frame(spark, [(a, s.replace("_:x", "_:g_1"), *rest) for a, s, *rest in (tuple(r) for r in g.collect())]).collect()}
+    res = spark.createDataFrame([("g", "f", "p", "m", "Violation", "s", "c", "v"), ("g", "f", None, "m", None, "s", "c", None)], ", ".join(f"{c} string" for c in shapes.RESULT))
+    out = report.report_graph(g.unionByName(g.withColumn("graph_id", F.lit("h"))), res)
+    assert {r[0]: r[1] for r in rows(out.where(F.col("p").endswith("conforms")), "graph_id", "o")} == {"g": "false", "h": "true"}
+    assert out.where(F.col("p").endswith("#result")).count() == 2 and out.where(F.col("p").endswith("#value")).count() == 1
+    assert report.report_lines(g, res).count() == 3
+
+
+def test_loops_with_a_generator(spark):
+    x = "http://e#"
+    g = frame(spark, [("a", x + "n1", "iri", TYPE, x + "T", "iri", None, None), ("b", x + "n2", "iri", TYPE, x + "T", "iri", None, None), ("c", x + "n3", "iri", TYPE, x + "T", "iri", None, None), ("c", x + "n3", "iri", x + "p", "v", "lit", None, None)])
+    cons = [shapes.Constraint(x + "S", x + "T", x + "p", False, "minCount", "1", "Violation", "a value")]
+
+    def answer(patches):
+        return patches.select("graph_id").distinct().select("graph_id", F.when(F.col("graph_id") == "a", F.lit('```turtle\ne:n1 e:p "v" .\n```')).otherwise("no turtle at all").alias("turtle"))
+
+    final, log = loop.run(g, cons, [], loop.LoopConfig(base=x, prefix="e", prefixes={"e": x}, max_iterations=2, infer=False), answer)
+    last = {r.graph_id: r.reason for r in log.orderBy("iteration").collect()}
+    assert last["a"] == last["c"] == "no_hard_violations" and last["b"] in ("patches_unchanged", "max_iterations_reached")
+    assert final.where("graph_id = 'b'").count() > 1  # the rules stood in for the text
+    delta, lost = loop.applied(spark.createDataFrame([("z", "addProperty", None, None, None, "m")], "graph_id string, action string, subject string, predicate string, object string, message string").where("false"), loop.LoopConfig(base=x), answer)
+    assert delta.count() == lost.count() == 0
+
+    gen = drafting.RuleGenerator(tx.BANKING, x)
+    final, log = loop.by_prompts(g, cons, gen, most=2, infer=False)
+    assert {(r.graph_id, r.iteration): r.conforms for r in log.collect()} == {("a", 0): False, ("b", 0): False, ("c", 0): True, ("a", 1): False, ("b", 1): False, ("a", 2): False, ("b", 2): False}
+    assert final.where((F.col("graph_id") == "a") & F.col("s").contains("_repair_")).select("s").distinct().count() == 1
+
+
+def test_prompts_with_axioms(spark):
+    ex = spark.createDataFrame([(1, "R1", "t", ({"e": "http://e#"}, ["e:A a owl:Class ."], None)), (2, "R2", "u", None)], "ord int, identifier string, text string, axioms struct<prefixes:map<string,string>,tbox:array<string>,abox:array<string>>")
+    assert rows(drafting.axioms_text(ex)) == [(1, "- [R1] t\n@prefix e: <http://e#> .\ne:A a owl:Class ."), (2, "- [R2] u")]
+    p = drafting.draft_prompt(spark.createDataFrame([(0, 1, "A", "x")], "batch int, ord int, identifier string, text string"), "ctx", ex).first().prompt
+    assert "e:A a owl:Class ." in p and p.endswith("C. Requirements\n- [A] x")
+    graphs = spark.createDataFrame([("g", "x" * 7000)], "graph_id string, turtle string")
+    r = drafting.repair_request(spark.createDataFrame([("g", "b"), ("g", "a")], "graph_id string, prompt string"), graphs).first().request
+    assert r.startswith("Repair these results:\n- a\n- b\n") and r.endswith("x" * 4000) and "x" * 4001 not in r
+    a = drafting.apply_request(spark.createDataFrame([("g", "addProperty", "s", "p", "o", "m")], "graph_id string, action string, subject string, predicate string, object string, message string"), graphs).first().request
+    assert '"subject":"s"' in a and a.endswith("x" * 6000)
