@@ -1,6 +1,8 @@
 """Deeply nested JSON records -> related flat tables (problem 1).
 
-Each record is parsed as a whole, then walked once as path-value-ordinal triples. Triples that share
+Each record is read as a stream of the values of its members, a list member element by element, and
+each of these is walked as path-value-ordinal triples; so a long log is never held as a whole.
+Triples that share
 their nearest repeated ancestor (path and ordinals) form one flat row; the ordinals of the
 outer ancestors are the key of the parent row. A record never leaves its task, so shredding
 needs no shuffle however large one run or one graph becomes.
@@ -13,6 +15,7 @@ elements count for the ordinals but are no rows; of repeated member names the la
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -31,13 +34,85 @@ def _text(v) -> str | None:
     return json.dumps(v, ensure_ascii=False)
 
 
-def triples(doc, repeated: frozenset[str], keyed: frozenset[str]) -> Iterator[tuple[str, tuple, str | None, str, str, object]]:
-    """(row path, ordinals, member, kind, path below the row, value) in document order.
+_BLANK = re.compile(r"[ \t\n\r]*").match
+_DECODER = json.JSONDecoder()
+
+
+class _Repeated(Exception):
+    """A member name occurs twice in the record."""
+
+
+def pieces(text: str) -> Iterator[tuple]:
+    """(value, row path, path below the row, ordinals) of a JSON text: the members of the outer object as they are
+    read, those that are lists element by element. ValueError where the text is no JSON."""
+    at = _BLANK(text, 0).end()
+    if text[at : at + 1] != "{":
+        value, at = _DECODER.raw_decode(text, at)
+        yield value, ROOT, "", ()
+        _ended(text, at)
+        return
+    seen: set[str] = set()
+    at = _BLANK(text, at + 1).end()
+    more = text[at : at + 1] != "}"
+    while more:
+        if text[at : at + 1] != '"':
+            raise json.JSONDecodeError("a member name is missing", text, at)
+        name, at = json.decoder.scanstring(text, at + 1, True)
+        if name in seen:
+            raise _Repeated
+        seen.add(name)
+        at = _BLANK(text, at).end()
+        if text[at : at + 1] != ":":
+            raise json.JSONDecodeError("a colon is missing", text, at)
+        at = _BLANK(text, at + 1).end()
+        if text[at : at + 1] == "[":
+            at, i = _BLANK(text, at + 1).end(), 0
+            inside = text[at : at + 1] != "]"
+            while inside:
+                value, at = _DECODER.raw_decode(text, at)
+                if value is not None:
+                    yield value, f"{name}[]", "", (i,)
+                i += 1
+                at, inside = _next(text, at, "]")
+            at += 1
+        else:
+            value, at = _DECODER.raw_decode(text, at)
+            yield value, ROOT, name, ()
+        at, more = _next(text, at, "}")
+    _ended(text, at + 1)
+
+
+def _next(text: str, at: int, end: str) -> tuple[int, bool]:
+    """Where the next item begins, or the end stands."""
+    at = _BLANK(text, at).end()
+    c = text[at : at + 1]
+    if c == ",":
+        return _BLANK(text, at + 1).end(), True
+    if c != end:
+        raise json.JSONDecodeError("a comma is missing", text, at)
+    return at, False
+
+
+def _ended(text: str, at: int) -> None:
+    if _BLANK(text, at).end() != len(text):
+        raise json.JSONDecodeError("there is more after the end", text, at)
+
+
+def triples(text: str, repeated: frozenset[str], keyed: frozenset[str]) -> Iterator[tuple[str, tuple, str | None, str, str, object]]:
+    """(row path, ordinals, member, kind, path below the row, value) of a JSON text.
 
     A path is dotted, with ``[]`` after each repeated step and ``{}`` after a keyed one
     (an object whose member names are data). The path below is '' for the row itself.
     """
-    stack = [(doc, ROOT, "", (), None)]
+    if _BLANK(text, 0).end() < len(text) and text[_BLANK(text, 0).end()] == "{":
+        yield ROOT, (), None, "object", "", None
+    for value, row, below, at in pieces(text):
+        yield from walk(value, row, below, at, repeated, keyed)
+
+
+def walk(value, row: str, below: str, at: tuple, repeated: frozenset[str], keyed: frozenset[str]):
+    """The triples of one value that stands ``below`` a row."""
+    stack = [(value, row, below, at, None)]
     while stack:
         v, row, below, at, member = stack.pop()
         full = below if row == ROOT else (f"{row}.{below}" if below else row)
@@ -70,6 +145,20 @@ def shred(df: DataFrame, id_col: str, json_col: str, repeated: Iterable[str] = (
     types = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
     schema = pa.schema(list(zip(names, types)))
 
+    def read(rec, found, add):
+        rows: dict[tuple, tuple[str, list]] = {}
+        for row, at, member, kind, below, v in found:
+            if kind == "member":
+                add(rec, row, list(at), member, kind, [("value", _text(v))])
+            else:
+                got = rows.setdefault((row, at), [kind, []])
+                if kind == "object":
+                    got[0] = kind
+                else:
+                    got[1].append((below or "value", _text(v)))
+        for (row, at), (kind, vals) in rows.items():
+            add(rec, row, list(at), None, kind, vals)
+
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in names]
@@ -81,34 +170,30 @@ def shred(df: DataFrame, id_col: str, json_col: str, repeated: Iterable[str] = (
             for rec, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text is None:
                     continue
+                begun = len(out[0])
                 try:
-                    doc = json.loads(text)
-                    rows: dict[tuple, tuple[str, list]] = {}
-                    for row, at, member, kind, below, v in triples(doc, rep, key):
-                        if kind == "member":
-                            add(rec, row, list(at), member, kind, [("value", _text(v))])
-                        else:
-                            got = rows.setdefault((row, at), [kind, []])
-                            if kind == "object":
-                                got[0] = kind
-                            else:
-                                got[1].append((below or "value", _text(v)))
-                    for (row, at), (kind, vals) in rows.items():
-                        add(rec, row, list(at), None, kind, vals)
-                except (ValueError, RecursionError) as e:
-                    add(rec, "_error", [], None, "error", [("value", str(e)[:200])])
+                    read(rec, triples(text, rep, key), add)
+                except (ValueError, RecursionError, _Repeated) as e:
+                    for column in out:
+                        del column[begun:]
+                    try:
+                        if not isinstance(e, _Repeated):
+                            raise e
+                        read(rec, walk(json.loads(text), ROOT, "", (), rep, key), add)  # of repeated names the last holds
+                    except (ValueError, RecursionError) as err:
+                        for column in out:
+                            del column[begun:]
+                        add(rec, "_error", [], None, "error", [("value", str(err))])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], schema=schema)
 
     src = spread(pick(df, id_col, json_col))
     return src.select(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{json_col}`")).mapInArrow(run, ROWS)
 
 
-def columns_of(rows: DataFrame, tbl: str, most: int = 2000) -> list[str]:
-    """The value paths seen in one table, by name: a schema, collected only up to ``most`` entries."""
-    found = rows.where(F.col("tbl") == tbl).select(F.explode(F.map_keys("vals")).alias("c")).distinct().orderBy("c").limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"{tbl} has more than {most} paths; give the wanted columns")
-    return [r.c for r in found]
+def columns_of(rows: DataFrame, tbl: str) -> list[str]:
+    """The value paths seen in one table, by name: they become its columns, so they have to fit a schema."""
+    found = rows.where(F.col("tbl") == tbl).select(F.explode(F.map_keys("vals")).alias("c")).distinct().orderBy("c")
+    return [r.c for r in found.toLocalIterator()]
 
 
 def pivot(rows: DataFrame, tbl: str, columns: list[str] | None = None) -> DataFrame:

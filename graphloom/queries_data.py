@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.common import table
+from graphloom.common import keep, table
 from graphloom.operators import badrows, copies, drift, nested, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,13 @@ def _p7(s: SparkSession, d: str) -> DataFrame:
     return terms.marked(terms.field_terms(table(s, d, "patches"), table(s, d, "validation_results")))
 
 
+def _p6_kept(s: SparkSession, d: str) -> DataFrame:
+    """Of each line the values that the stable table holds, in a column or in ``rest``: all that the line has."""
+    t = drift.consistent(table(s, d, "iteration_log_lines"))
+    held = [F.when(F.col(f"`{c}`").isNotNull(), 1).otherwise(0) for c in t.columns if c not in (*drift.KEYS, "line_no", "rest", "raw")]
+    return t.select("file_id", "line_no", (sum(held, F.lit(0)) + F.greatest(F.size("rest"), F.lit(0))).cast("bigint").alias("n"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": lambda s, d: nested.children(nested.shred_runs(table(s, d, "run_logs"))),
     "p1_errors": lambda s, d: nested.errors(nested.shred_runs(table(s, d, "run_logs"))),
@@ -34,6 +42,8 @@ QUERIES: dict[str, Query] = {
     "p5_collapsed": lambda s, d: copies.collapsed(table(s, d, "requirement_records")),
     "p6_found": lambda s, d: drift.changes(table(s, d, "iteration_log_lines")),
     "p6_table": lambda s, d: drift.consistent(table(s, d, "iteration_log_lines")),
+    "p6_kept": _p6_kept,
+    "p6_lifespans": lambda s, d: drift.lifespans(keep(drift.catalogue(table(s, d, "iteration_log_lines")), "fields")),
     "p7_found": lambda s, d: _p7(s, d).where("mark is not null").select("field_name", "term", "mark"),
     "p7_counts": lambda s, d: _p7(s, d).select("field_name", "term", "occurrences", "records"),
     "p7_ngrams": lambda s, d: terms.ngram_counts(terms.sequences(table(s, d, "validation_results"), "result_id", {"validation_results.path": "path"}), 3).selectExpr("concat_ws(' ', gram) as gram", "occurrences", "records"),
@@ -107,6 +117,16 @@ SELECT file_id, 'type_changed' AS change_kind, path AS field_path, '' AS new_pat
 UNION ALL SELECT file_id, 'renamed', op, np FROM r
 UNION ALL SELECT d.file_id, CASE WHEN d.nt IS NOT NULL THEN 'added' ELSE 'removed' END, d.path, '' FROM d LEFT JOIN r ON r.file_id = d.file_id AND r.parent = d.parent WHERE (d.nt IS NULL OR d.ot IS NULL) AND r.file_id IS NULL
 """
+_KEPT = r"""
+WITH l AS (SELECT file_id, line_no, payload FROM iteration_log_lines),
+n AS (SELECT file_id, line_no, count(*) AS n FROM (SELECT * FROM l WHERE json_valid(payload)) l, json_tree(l.payload) j WHERE j.type NOT IN ('OBJECT', 'NULL') AND NOT contains(j.fullkey, '[') GROUP BY 1, 2)
+SELECT l.file_id, l.line_no, coalesce(n, 0) AS n FROM l LEFT JOIN n USING (file_id, line_no)
+"""
+# Islands: the files of a series are numbered, and a field's unbroken runs share the difference of their numbers.
+_SPANS = _DRIFT[: _DRIFT.index("c AS (")].replace("o AS (SELECT *,", "o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY written, file_id) AS pos,").rstrip().rstrip(",") + r"""
+, g AS (SELECT o.series_id, k.path, k.t, o.file_id, pos, pos - row_number() OVER (PARTITION BY o.series_id, k.path, k.t ORDER BY pos) AS island FROM k JOIN o ON o.file_id = k.file_id)
+SELECT series_id, path AS field_path, t AS field_type, arg_min(file_id, pos) AS start_file, arg_max(file_id, pos) AS end_file FROM g GROUP BY series_id, path, t, island
+"""
 _NGRAMS = r"""
 WITH src AS (SELECT result_id, list_sort(list(DISTINCT path)) AS ps FROM validation_results WHERE path IS NOT NULL AND result_id IS NOT NULL GROUP BY 1),
 s AS (SELECT result_id, flatten(list_transform(ps, lambda x: regexp_extract_all(regexp_replace(x, '<http://([A-Za-z_][A-Za-z0-9_\-]*)\.example\.org/ns#([^>\s]+)>', ' \1:\2 ', 'g'), '[A-Za-z_][A-Za-z0-9_.\-]*:[\p{L}\p{N}_](?:[\p{L}\p{N}_.\-]*[\p{L}\p{N}_\-])?'))) AS t FROM src),
@@ -128,6 +148,8 @@ UNION ALL SELECT log_id, iter_pos, 'patch_type', name FROM pt WHERE json_type(v)
     + "try_cast(it->>'$.stop.decision' AS BOOLEAN) AS stop, it->>'$.stop.reason' AS stop_reason, it->>'$.reasoning.notes' AS notes FROM its",
     "p4_found": _PIECES + _TURTLE + "SELECT 'requirement_lines' AS row_source, line_id AS row_id, reason FROM r WHERE reason IS NOT NULL UNION ALL SELECT 'llm_responses', response_id, reason FROM w WHERE reason IS NOT NULL",
     "p6_found": _DRIFT,
+    "p6_kept": _KEPT,
+    "p6_lifespans": _SPANS,
     "p7_ngrams": _NGRAMS,
     "p4_loaded": _PIECES + "SELECT line_id AS row_id, v[1] AS req_no, v[2] AS title, v[3] AS text, v[4] AS split, CAST(v[5] AS DATE) AS created_on, CAST(v[6] AS INTEGER) AS priority FROM r WHERE reason IS NULL",
     "p5_found": _KEYS + "SELECT keep_id, rec_id AS dup_id FROM r JOIN g USING (k) WHERE rec_id > keep_id",

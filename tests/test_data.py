@@ -49,6 +49,26 @@ def test_nested_errors_are_kept(spark):
     assert rows(nested.shred_runs(logs(spark, "{")), "tbl") == [("_error",)]
 
 
+def test_nested_stream_is_the_parser():
+    """Read as a stream or as a whole, a text gives the same triples, or neither is JSON."""
+    rep, key = frozenset(["a", "b.c"]), frozenset(["a[].k", "k"])
+    good = ['{}', ' { "a" : [ ] , "b" : {"c": {"d": 1}}, "k": {"x": null, "y": 2} } ', '{"a":[{"k":{"p":1}},null,[1,[2]],"t",{"z":[{"q":1}]}],"e\\u0041":true}', '[1,{"a":2}]', '"x"', '12', 'null', '{"a":{"k":{"p":1}}}', '{"a":"\\ud83d\\ude00","n":NaN}']
+    for t in good:
+        assert sorted(map(repr, nested.triples(t, rep, key))) == sorted(map(repr, nested.walk(json.loads(t), nested.ROOT, "", (), rep, key))), t
+    for t in ("", "{", '{"a"}', '{"a":1,}', '{"a":[1,]}', '{"a":[1 2]}', '{"a":1} x', "{'a':1}", '{"a":1 "b":2}', "nul", '{"a":"\n"}', '{"a":[1}'):
+        with pytest.raises(ValueError):
+            json.loads(t)
+        with pytest.raises(ValueError):
+            list(nested.triples(t, rep, key))
+
+
+def test_nested_repeated_names(spark):
+    df = spark.createDataFrame([(1, '{"iteration_log":[{"iteration":1}],"run":"a","iteration_log":[{"iteration":2},{"iteration":3}]}'), (2, '{"run":"b","x":')], "log_id bigint, payload string")
+    out = nested.shred_runs(df)
+    assert rows(out.where("tbl = 'iteration_log[]'").selectExpr("rec_id", "ordinals[0]", "vals['iteration']")) == [(1, 0, "2"), (1, 1, "3")]
+    assert rows(out.where("rec_id = 2").select("tbl")) == [("_error",)]
+
+
 def test_empty_tables(spark):
     assert nested.children(nested.shred_runs(logs(spark).limit(0) if False else spark.createDataFrame([], "log_id bigint, payload string"))).count() == 0
     assert copies.found(spark.createDataFrame([], "rec_id bigint, payload string")).count() == 0
