@@ -69,12 +69,18 @@ def _h(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) % (ROWS - 1) + 1  # row 0 stays zero
 
 
+_CLASSES = {c: "9" if chr(c).isdigit() else "A" if chr(c).isupper() else "a" for c in range(128) if chr(c).isalnum()}
+_DIGIT, _LETTER, _LOWER_RUN, _UPPER_RUN = (re.compile(p) for p in (r"\d", r"[^\W\d_]", r"a{2,}", r"A{3,}"))
+
+
 @functools.lru_cache(1 << 17)
 def shape(s: str) -> str:
     """Letters and digits by class; runs of letters are shortened, digits are kept one by one."""
-    x = re.sub(r"\d", "9", s)
-    x = re.sub(r"[^\W\d_]", lambda m: "A" if m.group().isupper() else "a", x)
-    return re.sub(r"a{2,}", "a+", re.sub(r"A{3,}", "A+", x))
+    if s.isascii():
+        x = s.translate(_CLASSES)
+    else:
+        x = _LETTER.sub(lambda m: "A" if m.group().isupper() else "a", _DIGIT.sub("9", s))
+    return _LOWER_RUN.sub("a+", _UPPER_RUN.sub("A+", x))
 
 
 def case_counts(texts: list[str]) -> dict[str, list[int]]:
@@ -114,6 +120,7 @@ class Vocabulary:
         self.begin: list[int] = [0]
         self.arrays = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)]
         self.types: dict[tuple, int] = {}
+        self.words, self.frames, self.sides = {}, {}, {}
         self.own: list[list[int]] = []
         self.near: list[list[int]] = []
         self.around: list[list[int]] = []
@@ -169,17 +176,34 @@ class Vocabulary:
         if i is None:
             i = self.types[key] = len(self.own)
             t, sh, core, first, last, at, before, after, kind = key
-            low, s = t.lower(), shape(t)
-            given = 2 * (low in self.given) + (low in self.common)
-            # Spelling first: the features that training leaves out at random.
-            f = [f"w{low}", f"3{low[-3:]}" if t.isalpha() else "", f"4{low[-4:]}" if t.isalpha() else "", f"b{low[:3]}" if t.isalpha() else "", f"b4{low[:4]}" if t.isalpha() else "", f"s{s}", f"s{s}|{core}", f"x{core}|{first}", f"x{core}|{last}", f"y{sh}|{first}|{last}", f"p{first}", f"l{last}", f"@{at}|{s[:1]}", f"g{given}|{s}", f"q{kind}|{s}", "bias"]
-            if t.isalpha():
-                f += [f"2{low[-2:]}", f"n{min(len(t), 9)}|{s}"]
-            f += [f"<{before.lower() if before.isalpha() else before}|{s}", f">{after.lower() if after.isalpha() else after}|{s}", f"<>{shape(before)}|{shape(after)}"]
-            self.own.append([_h("0" + x) if x else 0 for x in f])
-            self.near.append([_h(f"n{low}"), _h(f"m{s}"), _h(f"k{given}{s}"), _h(f"3{low[-3:] if t.isalpha() else ''}")])
+            spelling, word, near, s = self.words.get(t) or self._word(t)
+            frame = self.frames.get((s, sh, core, first, last, at, kind)) or self._frame(s, sh, core, first, last, at, kind)
+            sides = self.sides.get((before, after, s)) or self._sides(before, after, s)
+            self.own.append(spelling + word + frame + sides)  # spelling first: what training leaves out at random
+            self.near.append(near)
         return i
 
+    # The features of a type by what they depend on, each hashed once.
+    def _word(self, t: str):
+        low, s = t.lower(), shape(t)
+        given = 2 * (low in self.given) + (low in self.common)
+        spelling, word = [_h(f"0w{low}"), 0, 0, 0, 0], [_h(f"0s{s}"), _h(f"0g{given}|{s}")]
+        if t.isalpha():
+            spelling[1:] = _h(f"03{low[-3:]}"), _h(f"04{low[-4:]}"), _h(f"0b{low[:3]}"), _h(f"0b4{low[:4]}")
+            word += [_h(f"02{low[-2:]}"), _h(f"0n{min(len(t), 9)}|{s}")]
+        got = self.words[t] = spelling, word, [_h(f"n{low}"), _h(f"m{s}"), _h(f"k{given}{s}"), _h(f"3{low[-3:] if t.isalpha() else ''}")], s
+        return got
+
+    def _frame(self, s, sh, core, first, last, at, kind):
+        f = (f"s{s}|{core}", f"x{core}|{first}", f"x{core}|{last}", f"y{sh}|{first}|{last}", f"p{first}", f"l{last}", f"@{at}|{s[:1]}", f"q{kind}|{s}", "bias")
+        got = self.frames[s, sh, core, first, last, at, kind] = [_h("0" + x) for x in f]
+        return got
+
+    def _sides(self, before, after, s):
+        plain = lambda x: x.lower() if x.isalpha() else x
+        got = self.sides[before, after, s] = [_h(f"0<{plain(before)}|{s}"), _h(f"0>{plain(after)}|{s}"), _h(f"0<>{shape(before)}|{shape(after)}")]
+        return got
+
 
 def _salted(ids: np.ndarray, offset: int) -> np.ndarray:
     """The same features at another offset have rows of their own."""
