@@ -18,6 +18,11 @@ def arguments() -> argparse.ArgumentParser:
     r.add_argument("--threshold", type=float)
     r.add_argument("--draft-only", dest="draft_only", action="store_true", default=None)
     r.add_argument("--output")
+    for name in ("base", "shapes", "questions", "gold", "vocabulary", "base-graph", "generator", "prefix"):
+        r.add_argument(f"--{name}", dest=name.replace("-", "_"), help="instead of the configuration's")
+    for name in ("batch-size", "min-patch-iterations"):
+        r.add_argument(f"--{name}", dest=name.replace("-", "_"), type=int)
+    r.add_argument("--no-reason", dest="reason", action="store_false", default=None, help="without inference")
     q = sub.add_parser("query", help="run one registered query and show rows of it")
     q.add_argument("name")
     q.add_argument("sf_dir")
@@ -29,7 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     a = arguments().parse_args(argv)
     from pyspark.sql import SparkSession
 
-    from graphloom.common import ship
+    from graphloom.common import release, ship
 
     spark = SparkSession.builder.appName("graphloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     ship(spark)
@@ -45,13 +50,16 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from graphloom.plans import pipeline
 
-    configs = pipeline.load_config(a.config, requirements=a.requirements, limit=a.limit, policies=a.policies, max_iterations=a.max_iterations, thresholds=[a.threshold] if a.threshold is not None else None, draft_only=a.draft_only, output=a.output)
+    given = {k: v for k, v in vars(a).items() if k not in ("command", "config", "threshold")}
+    configs = pipeline.load_config(a.config, thresholds=[a.threshold] if a.threshold is not None else None, **given)
     for c in configs:
         tables = pipeline.run(spark, c)
         for name, df in tables.items():
             if name.endswith(("_log", "exact", "semantic", "reasoner")):
                 print(f"{c.name}: {name}")
                 df.show(truncate=False)
+        print("\n".join(f"{c.name}: {line}" for line in pipeline.summary(tables)))
+        release()
     return 0
 
 

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from graphloom.common import keep
 from graphloom.functions.text import BANKING, Rules, repaired, strip_fence
-from graphloom.model import COLUMNS, frame, normalize_base
+from graphloom.model import COLUMNS, STANDARD, frame, normalize_base
 from graphloom.operators import clean, closure, context, score, shapes
 from graphloom.plans import drafting, loop, report
 from graphloom.plans.sparql import Engine, split_queries
+from graphloom.sources import formats
 from graphloom.sources import requirements as req
 from graphloom.sources import turtle
 
@@ -91,13 +92,24 @@ def read_turtle(spark: SparkSession, text: str, graph: str) -> DataFrame:
         return turtle.load(spark, repaired(df).first().text, graph)
 
 
+def read_graph(spark: SparkSession, path: str, graph: str) -> DataFrame:
+    """A graph file of any format, read by the tasks; a Turtle text that cannot be parsed as it is is repaired first, or is an error."""
+    if formats.guess(path) in ("nt", "nquads", "xml"):
+        return formats.load(spark, path).withColumn("graph_id", F.lit(graph))
+    whole = spark.read.text(path, wholetext=True).select(F.lit(graph).alias("doc"), F.col("value").alias("text"))
+    plain = keep(formats.parse_column(whole, "doc", "text"), "graph")
+    if not plain.isEmpty():
+        return plain
+    return formats.parse_column(repaired(whole.withColumn("text", strip_fence(F.col("text")))), "doc", "text", strict=True)
+
+
 def draft(spark: SparkSession, c: Config, rules: Rules = BANKING, registry: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(triples, requirements with split and batch) of one domain."""
     rs = req.read(spark, c.requirements, c.limit)
     rs = req.batches(req.assigned(rs, {n: req.split_ids(spark, p) for n, p in c.splits.items()}) if c.splits else rs.withColumn("split", F.lit(None).cast("string")), c.batch_size)
     g = drafting.generator(c.generator, rules, c.base, {c.prefix: c.base}, registry).draft(rs.select(F.lit(c.name).alias("graph_id"), "identifier", "text"))
     if c.base_graph:
-        g = g.unionByName(read_turtle(spark, _text(c.base_graph), c.name)).dropDuplicates()
+        g = g.unionByName(read_graph(spark, c.base_graph, c.name)).dropDuplicates()
     return g, rs
 
 
@@ -121,7 +133,7 @@ def evaluated(spark: SparkSession, graph: DataFrame, c: Config) -> dict[str, Dat
     """Scores against gold, question answers, drift samples and redundant axioms of a graph."""
     out = {"drift": context.drift_samples(graph, c.base), "redundant": context.redundant_axioms(graph, c.base + "sourceRequirement")}
     if c.gold:
-        gold = turtle.load(spark, _text(c.gold), c.name + "_gold").withColumn("graph_id", F.lit(c.name))
+        gold = read_graph(spark, c.gold, c.name)
         out |= {"exact": score.exact(graph, gold), "semantic": score.semantic(graph, gold)}
     if c.questions:
         out["answers"] = Engine(graph).ask(split_queries(_text(c.questions)), {c.prefix: c.base})
@@ -158,10 +170,25 @@ def save(tables: dict[str, DataFrame], c: Config) -> None:
         df.write.mode("overwrite").json(f"{c.output}/{c.name}/{name}")
         if set(COLUMNS) <= set(df.columns):
             turtle.ntriples(df).select("line").write.mode("overwrite").text(f"{c.output}/{c.name}/{name}.nt")
+            turtle.turtle_lines(df, STANDARD | {c.prefix: c.base}).write.mode("overwrite").text(f"{c.output}/{c.name}/{name}.ttl")
     Path(c.output, c.name).mkdir(parents=True, exist_ok=True)
     Path(c.output, c.name, "config.json").write_text(json.dumps(asdict(c), indent=2), encoding="utf-8")
 
 
+def summary(tables: dict[str, DataFrame]) -> list[str]:
+    """What a run came to, a line per policy: the last iteration of each graph, and the scores there are."""
+    out = []
+    for name in sorted(n for n in tables if n.endswith("_log")):
+        at = name.removesuffix("_log")
+        last = tables[name].groupBy("graph_id").agg(F.max_by(F.struct("iteration", "hard", "soft", "cq_pass_rate", "reason"), "iteration").alias("x"))
+        row = last.agg(F.count("*").alias("graphs"), F.max("x.iteration").alias("iterations"), F.sum("x.hard").alias("hard"), F.sum("x.soft").alias("soft"), F.avg("x.cq_pass_rate").alias("rate"), F.count_if(F.col("x.hard") == 0).alias("clear")).first()
+        out.append(f"{at}: {row.graphs} graphs, {row.clear} without hard results, {row.hard or 0} hard and {row.soft or 0} soft results, pass rate {row.rate or 0:.3f}, up to {row.iterations} iterations")
+        for kind in ("exact", "semantic"):
+            if f"{at}_{kind}" in tables:
+                out += [f"{at}: {kind} precision {r.precision:.4f}, recall {r.recall:.4f}, F1 {r.f1:.4f}" for r in tables[f"{at}_{kind}"].collect()]
+    return out
+
+
 def run_domains(spark: SparkSession, configs: list[Config], **more) -> DataFrame:
     """(domain, policy, iteration.., scores): the logs of several domains, one below the other."""
     logs = []
@@ -173,4 +200,4 @@ def run_domains(spark: SparkSession, configs: list[Config], **more) -> DataFrame
     return functools.reduce(DataFrame.unionByName, logs)
 
 
-__all__ = ["Config", "draft", "evaluated", "frame", "load_config", "read_turtle", "reasoned", "run", "run_domains", "save"]
+__all__ = ["Config", "draft", "evaluated", "frame", "load_config", "read_graph", "read_turtle", "reasoned", "run", "run_domains", "save", "summary"]
