@@ -251,9 +251,14 @@ def expanded(found: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(within)
 
 
+def joined(requirements: DataFrame, t: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """``links`` of requirements by text and boilerplate_main together."""
+    return links(W.texts(pick(requirements, "req_id", "text", "boilerplate_main"), "req_id", ["text", "boilerplate_main"]), t)
+
+
 def found(requirements: DataFrame, t: float = 0.8) -> DataFrame:
     """p2_found: (req_id_a, req_id_b) with a likeness of at least t by text and boilerplate_main together."""
-    pairs, members = links(W.texts(pick(requirements, "req_id", "text", "boilerplate_main"), "req_id", ["text", "boilerplate_main"]), t)
+    pairs, members = joined(requirements, t)
     return expanded(pairs, members).toDF("req_id_a", "req_id_b")
 
 

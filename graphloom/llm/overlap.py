@@ -182,8 +182,12 @@ def candidates(docs: DataFrame, theta: float, weighting: str = "unit", t: float
     return out
 
 
-def overlaps(requirements: DataFrame, t: float = 0.85) -> DataFrame:
-    """(train_id, eval_id, eval_split, eval_source) of every overlap with a likeness of at least t."""
+def linked(requirements: DataFrame, t: float = 0.85) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, training rows, evaluation rows) of the overlaps with a likeness of at least t.
+
+    links (id_a, id_b) are of class representatives, of a class with itself where its rows lie on both sides;
+    training rows (id_a, train_id) and evaluation rows (id_b, eval_id, eval_split, eval_source) name theirs.
+    """
     docs = W.texts(pick(requirements, "req_id", "text", "split", "source"), "req_id", ["text"], split_of(F.col("split")).alias("split"), F.col("source")).where("split is not null")
     members, copies, n = W.classes(docs, "split", "source")
     own = F.when(F.col("split") == "train", 1).otherwise(2)
@@ -197,13 +201,16 @@ def overlaps(requirements: DataFrame, t: float = 0.85) -> DataFrame:
     alone = W.filtered(docs.select(F.col("doc_id").alias("rep_id"), "split", "source"), ids, ids.count(), "rep_id", "left_semi").select("rep_id", F.col("rep_id").alias("doc_id"), "split", "source")
     m = members.select("rep_id", "doc_id", "split", "source")
     rows = m.unionByName(alone.join(m.select("rep_id").distinct(), "rep_id", "left_anti"))
+    itself = bits.where("bits = 3").select(F.col("doc_id").alias("id_a"), F.col("doc_id").alias("id_b"))
     train = rows.where("split = 'train'").select(F.col("rep_id").alias("id_a"), F.col("doc_id").alias("train_id"))
     held = rows.where("split <> 'train'").select(F.col("rep_id").alias("id_b"), F.col("doc_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source"))
-    across = pairs.join(train, "id_a").join(held, "id_b")
-    within = m.where("split = 'train'").select("rep_id", F.col("doc_id").alias("train_id")).join(
-        m.where("split <> 'train'").select("rep_id", F.col("doc_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("source").alias("eval_source")), "rep_id")
-    cols = ["train_id", "eval_id", "eval_split", "eval_source"]
-    return across.select(cols).unionByName(within.select(cols))
+    return pairs.unionByName(itself), train, held
+
+
+def overlaps(requirements: DataFrame, t: float = 0.85) -> DataFrame:
+    """(train_id, eval_id, eval_split, eval_source) of every overlap with a likeness of at least t."""
+    links, train, held = linked(requirements, t)
+    return links.join(train, "id_a").join(held, "id_b").select("train_id", "eval_id", "eval_split", "eval_source")
 
 
 def found(requirements: DataFrame, t: float = 0.85) -> DataFrame:
@@ -211,6 +218,14 @@ def found(requirements: DataFrame, t: float = 0.85) -> DataFrame:
     return overlaps(requirements, t).select(F.least("train_id", "eval_id").alias("req_id_a"), F.greatest("train_id", "eval_id").alias("req_id_b"), "eval_split", "eval_source")
 
 
+def per_row(requirements: DataFrame, t: float = 0.85) -> DataFrame:
+    """(req_id, class_id, eval_split, eval_source, links): each evaluation row that overlaps, its class and its number of training rows. No pairs are written out."""
+    links, train, held = linked(requirements, t)
+    n = train.groupBy("id_a").agg(F.count("*").alias("n"))
+    by = links.join(n, "id_a").groupBy("id_b").agg(F.sum("n").alias("links"))
+    return held.join(by, "id_b").select(F.col("eval_id").alias("req_id"), F.col("id_b").alias("class_id"), "eval_split", "eval_source", "links")
+
+
 def report(requirements: DataFrame, t: float = 0.85) -> DataFrame:
     """Overlapping pairs and evaluation rows per split and source."""
-    return overlaps(requirements, t).groupBy("eval_split", "eval_source").agg(F.count("*").alias("pairs"), F.countDistinct("eval_id").alias("eval_rows"))
+    return per_row(requirements, t).groupBy("eval_split", "eval_source").agg(F.sum("links").alias("pairs"), F.count("*").alias("eval_rows"))

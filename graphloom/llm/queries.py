@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from graphloom.common import keep, table
 from graphloom.llm import mixing, neardup, overlap, packing, pii, tokens
 
@@ -19,6 +21,10 @@ def _pack_invariants(s, d):
 QUERIES = {
     "p2_found": lambda s, d: neardup.found(table(s, d, "requirements")),
     "p2_groups": lambda s, d: neardup.groups(table(s, d, "requirements")),
+    # The forms that grow with the texts, not with the pairs of their copies.
+    "p2_links": lambda s, d: neardup.joined(table(s, d, "requirements"))[0].toDF("req_id_a", "req_id_b"),
+    "p2_members": lambda s, d: neardup.joined(table(s, d, "requirements"))[1].select(F.col("doc_id").alias("req_id"), "rep_id"),
+    "p3_rows": lambda s, d: overlap.per_row(table(s, d, "requirements")),
     "p3_found": lambda s, d: overlap.found(table(s, d, "requirements")),
     "p3_report": lambda s, d: overlap.report(table(s, d, "requirements")),
     "p8_pack": lambda s, d: packing.packed(table(s, d, "documents"), table(s, d, "pack_specs")),
@@ -45,6 +51,11 @@ SQL = {
     "p2_found": _PAIRS.format(cols="text, boilerplate_main", where="", t="0.8", cross="") + "SELECT ra AS req_id_a, rb AS req_id_b FROM f",
     "p2_groups": _PAIRS.replace("WITH w AS", "WITH RECURSIVE w AS").format(cols="text, boilerplate_main", where="", t="0.8", cross="")
     + ", e AS (SELECT ra AS a, rb AS b FROM f UNION ALL SELECT rb, ra FROM f), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS req_id, least(a, min(b)) AS group_id FROM r GROUP BY a",
+    "p2_links": _PAIRS.format(cols="text, boilerplate_main", where="", t="0.8", cross="")
+    + ", same AS (SELECT rb AS id FROM f WHERE c = na AND c = nb) SELECT ra AS req_id_a, rb AS req_id_b FROM f WHERE NOT (c = na AND c = nb) AND ra NOT IN (SELECT id FROM same) AND rb NOT IN (SELECT id FROM same)",
+    "p2_members": _PAIRS.format(cols="text, boilerplate_main", where="", t="0.8", cross="") + ", same AS (SELECT rb AS req_id, min(ra) AS rep_id FROM f WHERE c = na AND c = nb GROUP BY 1) SELECT * FROM same UNION SELECT rep_id, rep_id FROM same",
+    "p3_rows": _P3.replace("WITH w AS", "WITH w AS", 1) + """, k AS (SELECT req_id, min(req_id) OVER (PARTITION BY list_sort(w)) AS class_id FROM d WHERE sp IS NOT NULL)
+SELECT e.req_id, class_id, e.eval_split, e.eval_source, e.links FROM (SELECT CASE WHEN sa = 'train' THEN rb ELSE ra END AS req_id, CASE WHEN sa = 'train' THEN sb ELSE sa END AS eval_split, CASE WHEN sa = 'train' THEN cb ELSE ca END AS eval_source, count(*) AS links FROM f GROUP BY 1, 2, 3) e JOIN k USING (req_id)""",
     "p8_invariants": "SELECT spec_id, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0::BIGINT AS changed, 0::BIGINT AS cut_without_need, 0::BIGINT AS short_pieces, 0::BIGINT AS over, true AS well_filled FROM pack_specs",
     "p9_invariants": "SELECT source, max_repeats, false AS over, true AS near FROM mix_targets",
     "p3_found": _P3 + "SELECT ra AS req_id_a, rb AS req_id_b, CASE WHEN sa = 'train' THEN sb ELSE sa END AS eval_split, CASE WHEN sa = 'train' THEN cb ELSE ca END AS eval_source FROM f",
