@@ -2,7 +2,9 @@
 
 1. Cheap invariants for every record, on the map side: stripped lengths of title and text
    and the counts of a few letter groups. Only classes with several members go on.
-2. Inside those classes the costlier key, a digest of the whole stripped record, is taken.
+2. Inside those classes members are told apart by the costlier key, a digest of the whole stripped
+   record. It is taken where the record is parsed, since to parse and strip it a second time
+   costs several times a digest; so texts are read once and never shuffled.
 3. Groups are counted with map-side partial aggregation, so that one record copied over and
    over reduces to a row per task; AQE splits a hot key where members meet their group.
 
@@ -44,11 +46,11 @@ def members(df: DataFrame, id_col: str = "rec_id", json_col: str = "payload") ->
         .select(F.col(f"`{id_col}`").cast("bigint").alias("rec_id"), read.alias("r"))
         .where(F.col("rec_id").isNotNull() & F.col("r").isNotNull() & F.col("r._bad").isNull())
         .select("rec_id", stripped(F.col("r.title")).alias("title"), stripped(F.col("r.text")).alias("text"))
-        .withColumn("cls", invariants(F.col("title"), F.col("text")))
+        .select("rec_id", invariants(F.col("title"), F.col("text")).alias("cls"), digest(F.col("title"), F.col("text")).alias("key"))
     )
+    base = keep(base, "invariants")  # a few bytes a record
     several = base.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
-    inside = base.join(several, "cls").select("rec_id", digest(F.col("title"), F.col("text")).alias("key"))
-    return keep(inside, "copies")
+    return keep(base.join(several, "cls").select("rec_id", "key"), "copies")
 
 
 def groups(m: DataFrame) -> DataFrame:
