@@ -62,13 +62,22 @@ _PERSONAL = re.compile(r"(?:personal|reise)?(?:ausweis|pass)|(?:kranken|sozial|r
 
 def cue(word: str) -> str:
     """The class of a lower-case word, or nothing; German compounds count by their parts."""
-    return _CUE.get(word) or ("street" if _COMPOUND.search(word) else "id" if _PERSONAL.match(word) else "")
+    known = _CUE.get(word)
+    if known or len(word) < 4 or not word[0].isalpha():
+        return known or ""
+    return "street" if _COMPOUND.search(word) else "id" if _PERSONAL.match(word) else ""
 
 
 def _h(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) % (ROWS - 1) + 1  # row 0 stays zero
 
 
+@functools.lru_cache(256)
+def _few(s: str) -> int:
+    return _h(s)
+
+
+_EDGES = re.compile(r"^\W+|\W+$")
 _CLASSES = {c: "9" if chr(c).isdigit() else "A" if chr(c).isupper() else "a" for c in range(128) if chr(c).isalnum()}
 _DIGIT, _LETTER, _LOWER_RUN, _UPPER_RUN = (re.compile(p) for p in (r"\d", r"[^\W\d_]", r"a{2,}", r"A{3,}"))
 
@@ -120,7 +129,7 @@ class Vocabulary:
         self.begin: list[int] = [0]
         self.arrays = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)]
         self.types: dict[tuple, int] = {}
-        self.words, self.frames, self.sides = {}, {}, {}
+        self.words, self.frames, self.sides, self.cores = {}, {}, {}, {}
         self.own: list[list[int]] = []
         self.near: list[list[int]] = []
         self.around: list[list[int]] = []
@@ -145,9 +154,12 @@ class Vocabulary:
         core = shape(c.strip("<>()[],;:.\"'") or c)
         last = c[-1] if c[-1] in ".,;:)>]" else ""
         kind = cue(word)
-        self.around.append([_h(f"c{word}"), _h(f"d{core}"), _h(f"e{last}"), _h(f"g{self._listed(c)}"), _h(f"q{kind}")])
-        self.shape_of.append(_h(f"sh{core}"))
-        self.word_of.append(_h(f"wd{kind}"))
+        of_core = self.cores.get(core)
+        if of_core is None:
+            of_core = self.cores[core] = _h(f"d{core}"), _h(f"sh{core}")
+        self.around.append([_h(f"c{word}"), of_core[0], _few(f"e{last}"), _few(f"g{self._listed(c)}"), _few(f"q{kind}")])
+        self.shape_of.append(of_core[1])
+        self.word_of.append(_few(f"wd{kind}"))
         ids = []
         n = len(toks)
         for k, (t, _, _) in enumerate(toks):
@@ -168,8 +180,9 @@ class Vocabulary:
         return self.arrays
 
     def _listed(self, c: str) -> str:
-        w = re.sub(r"^\W+|\W+$", "", c)
-        return ("G" if w.lower() in self.given else "") + ("L" if w.lower() in self.common else "") + ("C" if w[:1].isupper() and w[1:].islower() else "U" if w.isupper() and len(w) > 1 else "")
+        w = c if c.isalnum() else _EDGES.sub("", c)
+        low = w.lower()
+        return ("G" if low in self.given else "") + ("L" if low in self.common else "") + ("C" if w[:1].isupper() and w[1:].islower() else "U" if w.isupper() and len(w) > 1 else "")
 
     def _type(self, key: tuple) -> int:
         i = self.types.get(key)
