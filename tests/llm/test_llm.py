@@ -229,6 +229,41 @@ def test_route_respects_caps_and_costs():
     assert few[("a", "b"), "b"] + few[("b",), "b"] == 20 and few[("a", "b"), "b"] <= 20 and few[("b",), "b"] <= 10  # nothing twice where once will do
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_route_fills_each_round_as_far_as_any_way_does(seed):
+    """By minimal cuts over all sets of sources: the first k rounds hold the most they can, for each k."""
+    r = random.Random(seed)
+    names = "abcd"
+    targets = {s: (0.25, r.randrange(1, 4)) for s in names}
+    sets = [tuple(s for i, s in enumerate(names) if k >> i & 1) for k in range(1, 16)]
+    cap = {p: r.choice((1, 7, 40, 300)) for p in r.sample(sets, 9)} | {(s,): r.randrange(1, 50) for s in names}
+    flow = mixing.route(cap, targets, r.choice((None, 60)))
+    want = {s: sum(v for (_, x), v in flow.items() if x == s) for s in names}
+    assert max(want.values()) - min(want.values()) <= 1 and sum(want.values()) and all(0 <= v <= cap[p] * targets[s][1] for (p, s), v in flow.items())
+    load = {p: sum(v for (q, _), v in flow.items() if q == p) for p in cap}
+    for k in range(1, 13):
+        cuts = (sum(n for s, n in want.items() if s not in some) + sum(min(k * c, sum(targets[s][1] * c for s in p if s in some)) for p, c in cap.items()) for some in [(), *sets])
+        assert sum(min(n, k * cap[p]) for p, n in load.items()) == min(cuts)
+
+
+def test_mixture_of_many_patterns(spark):
+    """Sources whose documents are all shared, each with others: none is lost to the larger patterns."""
+    r = random.Random(4)
+    names = [f"s{i}" for i in range(8)]
+    docs = []
+    for k in range(1, 256):
+        docs += [(len(docs) + i, f"text {k} " + "word " * r.randrange(5, 9), s) for i, s in enumerate(x for i, x in enumerate(names) if k >> i & 1)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([(s, 0.125, 1) for s in names], "source string, target_share double, max_repeats int")
+    got = mixing.mixture(df, targets, most_patterns=3)
+    shares = mixing.shares(got, targets).collect()
+    have = collections.Counter()
+    for _, text, s in docs:
+        have[s] += len(tokens.encode(text))
+    assert all(0.99 * min(have.values()) <= x.tokens <= 1.01 * min(have.values()) and x.most_uses == 1 for x in shares)
+    assert rows(got) == rows(mixing.mixture(df, targets))
+
+
 def mix_tables(spark, n=600):
     r = random.Random(8)
     docs = [(i, " ".join(r.choice("alpha beta gamma delta epsilon".split()) + str(r.randrange(99)) for _ in range(r.randrange(1, 30))), r.choice(["a", "a", "a", "b", "b", "c", "zzz", None])) for i in range(n)]
