@@ -113,7 +113,10 @@ def _name(r, given):
 
 
 def _full(r, given):
-    x = f"{_first(r, given)} {_last(r)}"
+    f, l = _first(r, given), _last(r)
+    i = r.choice("ABCDEFGHIJKLMNOPRSTW")
+    k = r.random()
+    x = f"{f} {l}" if k < 0.78 else f"{l}, {f}" if k < 0.9 else f"{i}. {l}" if k < 0.95 else f"{f} {i}. {l}"
     return x.upper() if r.random() < 0.03 else x
 
 
@@ -250,7 +253,7 @@ def _prose(r, _):
 def _coin(r, _):
     """Coined names of products, systems and places: only what stands around them tells them from people."""
     x = r.choice((_invented(r), _invented(r), _town(r), r.choice(LAST), r.choice(WORDS).capitalize() + r.choice(ENDS)))
-    return f"{x} {_invented(r)}" if r.random() < 0.08 else x
+    return f"{x} {_invented(r)}" if r.random() < 0.2 else x
 
 
 def _code(r, _):
@@ -277,20 +280,23 @@ SLOTS = {
 #: Patterns by family, with ``|`` between patterns; ``¦`` stands for a bar in the text.
 FAMILIES = {
     "call_en": "Call {full} on {phone}.|Ring {phone} after office hours.|Our hotline is {phone}, ask for {first}.|{full} can be reached at {phone} or {mail}.|Phone: {phone}|Tel.: {phone}, fax: {phone}|mobile {phone}|Reach the {role} under {phone} before {number}.|Please dial {phone} and quote {thing}.|My new number is {phone}.|"
-    "Contact {mail} or {phone}.|If the {word} fails, phone {first} ({phone}).|text me at {phone} please|The caller left {phone} as call-back number.|Support desk {phone} (weekdays)|phone {phone} was entered in the wrong {word}",
+    "Contact {mail} or {phone}.|If the {word} fails, phone {first} ({phone}).|text me at {phone} please|The caller left {phone} as call-back number.|Support desk {phone} (weekdays)|my number is {phone}|{full} {phone}|{phone} {did}|{prose} {phone} {prose}|the {word} rang at {phone}|phone {phone} was entered in the wrong {word}",
     "write_en": "Send the {word} to {mail}.|Write to {mail} for access.|E-mail: {mail}|Please forward this to {mail} and copy {mail}.|The address {mail} bounced twice.|Questions? {mail}|Mail from <{mail}> was delayed.|See mailto:{mail} for details.|{full} <{mail}> wrote:|{titled} is at {mail} now.|Find {full} at {mail} or at {address}.|ask {first} at <{mail}>|cc {mail}; {mail}|reply to {mail}|{mail} asked for a new {word}.|The account belongs to {mail}, not to the {role}.|invitations go out via {mail}",
-    "lives_en": "{full} lives at {address}.|Deliver the {word} to {address}.|The office moved to {address} in {month}.|Home address: {address}|Send it by post to {address}.|He was visited at {address} by the {role}.|Postal address: {address}|Billing address\n{address}\n|The letter to {address} came back.|Ship to {full}, {address}.|resident at {address} since {number}|a parcel for {address} was lost|We met at {address}, near the station.",
+    "lives_en": "{full} lives at {address}.|{full} lives at {address}\n{Word}.|the {word} went to {address}\n{Word} {word}|{address}\n{Word}|Deliver the {word} to {address}.|The office moved to {address} in {month}.|Home address: {address}|Send it by post to {address}.|He was visited at {address} by the {role}.|Postal address: {address}|Billing address\n{address}\n|The letter to {address} came back.|Ship to {full}, {address}.|resident at {address} since {number}|a parcel for {address} was lost|We met at {address}, near the station.",
     "number_en": "His {id} was copied by mistake.|The {id} belongs to {full}.|She gave her {id} at the desk.|{id}|Please remove {id} from the {word}.|The form shows {id}, which is personal.|{full}, {id}, signed the form.|Applicant: {full}; {id}|verify {id} before the {word} is opened|record holds {id} in clear text|born {number}, {id}",
-    "people_en": "{full} approved the change.|{titled} will sign on {month}.|We asked {full} and {full} to review it.|Reviewed by {name} on {number}.|Thanks, {first}|Hi {first},\n|Dear {titled},\n|Kind regards\n{full}\n{role}, {org}|{full} and {first} disagreed.|According to {titled}, the {word} is fine.|Author: {name}|Owner: {name}|Present: {full}, {full}, {name}|Apologies: {name}; {name}|The patient {full} was seen by {titled}.|{first} said the {word} was late.|{first}, {first} and {first} were there.|the handover from {name} to {name} is done|ask {first} via {phone}|Action: {first} to update the {word} by {month}.|Customer {full} complained about {class}.|signed {name}|as {name} pointed out, {class} is missing|Attendees\n- {full}\n- {full}\n- {name}|{full} ({role}) joined at {number}|we should ask {full} whether {class} holds|Minutes taken by {name}.|{titled} and {titled} were absent.|the {role}, {full}, agreed|Assigned to {name}; due {number}|Interviewer: {titled}|witness {full} stated that the {word} was open",
+    "people_en": "{full} approved the change.|{titled} will sign on {month}.|We asked {full} and {full} to review it.|Reviewed by {name} on {number}.|Thanks, {first}|Hi {first},\n|Dear {titled},\n|Kind regards\n{full}\n{role}, {org}|{full} and {first} disagreed.|According to {titled}, the {word} is fine.|Author: {name}|Owner: {name}|Present: {full}, {full}, {name}|Apologies: {name}; {name}|The patient {full} was seen by {titled}.|{first} said the {word} was late.|{first}, {first} and {first} were there.|the handover from {name} to {name} is done|ask {first} via {phone}|Action: {first} to update the {word} by {month}.|Customer {full} complained about {class}.|signed {name}|as {name} pointed out, {class} is missing|Attendees\n- {full}\n- {full}\n- {name}|{full} ({role}) joined at {number}|the {word} of {full} is {word}|The {word} for {name} is {word}.|the {word} by {full} {did}|Thanks, {full} {Word} {word}: {n}|Regards {full} {Word} {word} {phone}|{prose} {full} {Word} {word} {phone}|{prose} {full} {Word} {word} ({n})|{prose} {full} {prose}|{full}, the new {role}, {did}|a letter from {full} came in {month}|{full} is our {role}.|{first}'s {word} {did}|it was {full} who {did}|the talk by {full} was {word}|{prose} {titled} {did}|we should ask {full} whether {class} holds|Minutes taken by {name}.|{titled} and {titled} were absent.|the {role}, {full}, agreed|Assigned to {name}; due {number}|Interviewer: {titled}|witness {full} stated that the {word} was open",
     "doing": "{full} {did} in {month}.|{first} {did}.|{first} {did} {number} {word}.|{full} {did} the {word}.|{titled} {did} {prose}|{first} and {first} {did}.|{name} {did} {org}.|yesterday {full} {did}|{prose} {full} {did}.|As {first} {did}, {prose}|{first}, who {did}, {did} again.|{word} for {full}: {prose}|{word} by {full}: {prose}|{full}, {role}, {did}.|{word}: {full}; {word}: {first}|{first} {did} and {first} {did}|we met {full} at {number}|my {word} {full} {did}",
-    "ids": "{id}|{id}.|{id}, {word}|{full}: {id}|{id} {did}|{prose} {id} {prose}|{word} {id} ({month})|the {id} is {word}|{id} ist {word}|{id} es {word}|{id} est {word}|her {id} {did}|old {id}, new {id}|{id}\n{word}",
+    "ids": "{id}|{id}.|{id}, {word}|{full}: {id}|{id} {did}|{prose} {id} {prose}|{word} {id} ({month})|the {id} is {word}|{id} issued in {coin}.|{id}, issued in {coin}. {prose}|{id} from {coin}.|{id} valid in {town}, {prose}|{id}, ausgestellt in {coin}.|{id} expedido en {coin}.|{id} délivré en {coin}. {prose}|{id} expired|{id} is void|copy of the {id}|{prose} {id}.|{full} has {id}|{id} on the {word}|The {word} of {full} ({id}) is {word}.|the {word} for {name}, {id}, is {word}|{word} by {full} with {id}|the {word} of {titled}, {id}|{id} ist {word}|{id} es {word}|{id} est {word}|her {id} {did}|old {id}, new {id}|{id}\n{word}",
     "german": "{full} wohnt in der {address}.|Bitte rufen Sie {titled} unter {phone} an.|Telefon: {phone}|Rückfragen an {mail}.|Ansprechpartner ist {full}, Tel. {phone}.|Die Anschrift lautet {address}.|Senden Sie die Unterlagen an {address}.|Mit freundlichen Grüßen\n{full}|Sehr geehrte {titled},\n|Sehr geehrter {titled},\n|Die {id} steht im Antrag von {full}.|Er legte den {id} vor.|Ihre {id} wurde gespeichert.|{full} hat die Prüfung bestätigt.|{full} übernimmt ab {month}.|{id} wurde kopiert.|{id} gültig bis {number}|Teilnehmer: {full}, {name}, {full}|Laut {titled} ist {class} falsch.|Protokoll: {name}|E-Mail an {mail} gesendet.|Handy {phone}|{first} meldet sich am {month}.|Die Kundin {full} rief um {number} an.|Geprüft von {name}|unter {phone} ist niemand erreichbar",
     "spanish": "{full} vive en {address}.|Llame a {titled} al {phone}.|Teléfono: {phone}|Escriba a {mail} para más datos.|El domicilio es {address}.|Envíe los papeles a {address}.|Un saludo,\n{full}|Estimado {titled}:\n|Estimada {titled}:\n|El {id} figura en la solicitud de {full}.|Presentó su {id} en la ventanilla.|{full} aprobó el cambio.|{full} firmó.|{id} verificado.|{id} caducado en {number}|Asistentes: {full}, {full} y {name}|Según {titled}, {class} es incorrecto.|Acta redactada por {name}.|Correo: {mail}|móvil {phone}|{first} llamará el {month}.|La clienta {full} se quejó.|Revisado por {name}|con {id} y domicilio en {address}|puede contactar con {full} en {mail}",
     "french": "{full} habite au {address}.|Appelez {titled} au {phone}.|Téléphone : {phone}|Écrivez à {mail} pour en savoir plus.|L'adresse est {address}.|Envoyez le dossier au {address}.|Cordialement,\n{full}|Cher {titled},\n|Chère {titled},\n|Le {id} figure sur la demande de {full}.|Elle a présenté son {id} au guichet.|{full} a validé la demande.|{full} et {full} sont en congé.|{id} a été copié.|{id} valable jusqu'en {number}|Présents : {full}, {full} et {name}|Selon {titled}, {class} est faux.|Compte rendu de {name}.|Courriel : {mail}|portable {phone}|{first} rappellera le {month}.|La cliente {full} a écrit.|Relu par {name}|joindre {full} au {phone} ou par {mail}",
     "loose": "{word} {phone} {word}|{Word} {mail} {word}|{word} {address} {word} {word}|{word} {full} {word}|{phone}|{mail}|{address}|{full}|{id} {word}|{word} {word}: {address}|{word} {word}: {phone}|{word} {word}: {mail}|{word}: {full}|{word} ({phone})|{word} ({mail})|{word} ({full})|{word}, {address}, {word}|{number} {full} {number}|{thing}, {phone}|{class} {full} {class}|{class} {mail} {class}|{number} {address}; {word}|{word} \"{mail}\" {word}|{org}, {address}|{org}: {full}, {phone}|{word} / {phone} / {mail}|{name} ¦ {word} ¦ {number}|{titled} {word} {word}|{word} {id}, {word}",
     "headers": "From: {full} <{mail}>\nTo: {mail}\nSubject: {word} {word}\n|From: {mail}\nDate: {number}\n|To: {name}; {name}\n|Von: {full} <{mail}>\nBetreff: {Word}\n|De: {full} <{mail}>\nAsunto: {word}\n|De : {full}\nObjet : {word}\n|Cc: {full}, {full}\n|Contact\nName: {name}\nPhone: {phone}\nMail: {mail}\nAddress: {address}\n|{full}\n{role}\n{phone}\n{mail}\n|{full}\n{address}\n|--\n{full}\n{org}\n{address}\nT {phone}\n|name ¦ {name}\nphone ¦ {phone}\naddress ¦ {address}\n{id}\n|{full}; {phone}; {mail}; {address}|{name}\t{mail}\t{phone}|Name: {name}, {id}, tel {phone}",
     "plain_prose": "{prose}|{prose} {prose}|{prose} {prose} {prose}|{code}: {prose}|{prose} {code}|- {prose}\n- {prose}\n|{Word}: {prose}|{number} {prose}|{prose} ({code}, {code})|{code} and {code}|see {code}, {code} and {code}|{class}: {prose}|{prose} {thing}.|{code} {prose} {number}|{Word} {number}\n{prose}\n|{word}@{word}|{n}@{word}{n}|{word}{n}@{word}{n}|root@{word}-{word}|{Word}{Word}@{word}|{word} at {word}|{prose} at {town}.|{number} at {number}|{word} at {number} on {month}|¦ {code} ¦ {prose} ¦ {number} ¦\n|\"{prose}\"|{prose} {org}, {code}|{prose} {class} {class} {prose}",
-    "plain_coined": "{coin} is down since {number}.|the {word} of {coin} is open|between {coin} and {coin}|in {coin}, {coin} and {town}|for {coin}, the {word} changes|with {coin} or {coin}|{prose} in {coin}, {prose}|{prose} for {coin} is {word}.|{Word} of {coin}|the {Word} of {coin} approved it|The {org} decides on {code}.|by the {org} on {month}|the {coin} {word}|The {coin} {Word} starts at {number}|{coin} and {coin} are {word} names|from {coin} to {coin}|{coin}, {coin}, {coin}: {prose}|{coin} {code} is a {word}|{Word} {code} is a {word}|{word} {code}, {word} {code}|upgrade {coin} to {number}, then {coin}|{prose} von {coin} und {coin}.|die {Word} {coin} ist {word}|el {word} de {coin} y {coin} es {word}|le {word} de {coin}, {coin} et {coin}|in {coin} and {coin}, {prose}|As of {month}, {coin} is the default.|under {coin} law|{coin} supports {class} and {coin}|the product {coin} by {org}|{thing} is {word}|{code} is not a {word}",
+    "plain_coined": "{coin} is down since {number}.|the {word} of {coin} is open|between {coin} and {coin}|in {coin}, {coin} and {town}|for {coin}, the {word} changes|with {coin} or {coin}|{prose} in {coin}, {prose}|{prose} for {coin} is {word}.|{Word} of {coin}|the {Word} of {coin} approved it|The {org} decides on {code}.|by the {org} on {month}|the {coin} {word}|The {coin} {Word} starts at {number}|{coin} and {coin} are {word} names|from {coin} to {coin}|{coin}, {coin}, {coin}: {prose}|{coin} {code} is a {word}|{Word} {code} is a {word}|{word} {code}, {word} {code}|upgrade {coin} to {number}, then {coin}|{prose} von {coin} und {coin}.|die {Word} {coin} ist {word}|el {word} de {coin} y {coin} es {word}|le {word} de {coin}, {coin} et {coin}|in {coin} and {coin}, {prose}|As of {month}, {coin} is the default.|under {coin} law|{coin} supports {class} and {coin}|the product {coin} by {org}|{thing} is {word}|{code} is not a {word}"
+    # Lists of coined names, and coined names that begin a sentence.
+    "|in {town}, {coin}, {coin} and {coin}|for {coin}, {coin}, {coin}, {prose}|{prose} for {coin}, {coin}, {word}.|{coin}, {coin}, {coin} and {coin} {prose}|für {coin}, {coin} und {coin}|{prose} für {coin}, {coin}, {coin}.|en {coin}, {coin}, {coin} y {coin}|dans {coin}, {coin}, {coin} et {coin}"
+    "|{prose} {coin} in the {word} is {word}.|{prose} {coin} of the {word} {prose}|{prose} {coin} {word} {prose}|{coin} {word} {word} {prose}|{coin} on the {word} of {coin}|{prose} {coin} at {number}.|{coin} im {Word} {prose}|{coin} en la {word} {prose}|{coin} dans le {word} {prose}|{prose} {coin} for {month} {prose}|{word} {word} for {coin}, {coin}, {word} {word}|The {word} {word} in {coin}, {coin}, {word} and {word}.|{Word} {word} of {coin}, {coin}, {word}",
     "plain_en": "The {word} shall be stored within {number}.|If the {word} is empty, the {role} sees an error.|{class} is a subclass of {class}.|The {role} opens the {word} and checks {thing}.|{org} approved the {word}.|{Word} {number}: the {class} must have a {word}.|See {thing}.|{thing} was replaced in {month}.|The {org} meets on {month}.|Section {number} defines {class}.|Each {class} has exactly one {class}.|The system logs {thing} and {thing}.|{class}|{Word} {word} {word}.|Deployed build {number} to {town}.|The branch in {town} closes at {number}.|Error {number} in {class} after {number}.|@prefix ex: <http://example.org/{word}#> .|ex:{Word} a owl:Class ; rdfs:label \"{Word}\" .|see http://example.org/{word}/{Word}#{word}|@{word} is a decorator|user@{word} is no mailbox|The {org} and the {org} share a {word}.|Note: {class} and {class} overlap.|On {month} the {word} failed {number} times.|- {word}\n- {word}\n- {Word} {word}\n|1. {Word}\n2. {Word}\n|Glossary: {Word} means a {word} of a {word}.|{Word}: a {word} kept by the {org}.|¦ {word} ¦ {number} ¦\n¦ {word} ¦ {number} ¦\n|for i in range({number}): {word}()|{number} rows, {number} errors, {number} warnings|Ticket opened at {number} by the {role}.|Good morning,\n|Thanks and best regards\n|Hello all,\n|To whom it may concern|Release {number} of {Word} {Word} is out.|Monday to Friday, {number} to {number}|The {Word} {Word} of {town} was tested in {month}.|Summary\n|Open Questions\n|Acceptance Criteria\n|The Customer shall confirm the Order.|The Bank returns the Card to the Customer.|{class} to {class} is allowed at {number}|In {month} we visit {town} and {town}.|The trains from {town} to {town} were late.|{class} and {class}|{class}: {class}, {class}|Please restart {class} in {class}.|Room {number}, second floor|room {number} on floor {number}|port {number}, line {number}, page {number}",
     "plain_other": "Das System speichert {thing} für {number} Tage.|Der {Word} muss innerhalb von {number} antworten.|{class} ist eine Unterklasse von {class}.|Die {org} hat {thing} freigegeben.|Siehe Abschnitt {number}.|Die Sitzung am {month} dauerte {number}.|Guten Tag,\n|Zusammenfassung\n|Die Filiale in {town} öffnet um {number}.|Der Kunde bestätigt die Bestellung.|El sistema guarda {thing} durante {number} días.|{class} es una subclase de {class}.|El {org} aprobó {thing}.|La Comisión de {Word} y el Comité de {Word} aprobaron el plan.|El paquete salió de {town} hacia {town}.|Le Conseil de {Word} a voté.|Le train de {town} à {town}.|Der Zug von {town} nach {town}.|Der Ausschuss für {Word} tagt in {town}.|Véase la sección {number}.|La reunión del {month} duró {number}.|Buenos días:\n|Resumen\n|La sucursal de {town} abre a las {number}.|El Cliente confirma el Pedido.|Le système conserve {thing} pendant {number} jours.|{class} est une sous-classe de {class}.|La {org} a approuvé {thing}.|Voir la section {number}.|La réunion du {month} a duré {number}.|Bonjour,\n|Résumé\n|L'agence de {town} ouvre à {number}.|Le Client confirme la Commande.|Mit {class} und {class} gibt es {number} Fehler.|Il y a {number} erreurs dans {class}.|Hay {number} errores en {class}.|Offene Punkte\n- {Word} {word}\n|Puntos abiertos\n- {Word} {word}\n|Points ouverts\n- {Word} {word}\n",
 }
